@@ -10,8 +10,8 @@ from ledgerleaf.llm.common import materialize, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and texts without letters go."""
-    found = language.predict(docs, language.fit(docs))
-    return found.where("lang_pred != 'und'").select(*docs.columns)
+    found = language.predict(docs, language.fit(docs), lang_as="_lang_pred", score_as="_lang_score")
+    return found.where("_lang_pred != 'und'").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ class Model:
             names = of if kind == "family" else langs
             rows = (names == p) | (names == q)
             weights.append(svm(x[rows], np.where(names[rows] == p, 1, -1).astype(np.float32)))
-        self.weights = np.array(weights, np.float32).reshape(len(weights), -1)
+        self.weights = np.array(weights, np.float32).reshape(len(weights), BUCKETS + 1)
 
     def _choose(self, margins: np.ndarray, kind: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The name with the most votes of its pairs, weighed by how sure they are, and its share."""
@@ -140,7 +140,7 @@ class Model:
         out, score = np.full(len(texts), "und", object), np.zeros(len(texts))
         if not self.langs:
             return out, score
-        w = self.weights if len(self.weights) else np.zeros((0, BUCKETS + 2), np.float32)
+        w = self.weights
         flat = np.hstack([w[:, :BUCKETS], np.zeros((len(w), 1), np.float32)])
         margins = SCALE * sums(texts, flat) + w[:, -1]
         fam, p_fam = self._choose(margins, "family", self.families)
@@ -168,15 +168,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 part = batch.slice(s, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in features(part.column(2))], pa.binary())], ["lang", "mark", "x"])
 
-    sample = rows.withColumn("mark", F.xxhash64("text")).where(F.pmod(F.col("mark"), F.lit(1_000_000)) < share).select("lang", "mark", "text").limit(2 * max_rows + 4 * len(counts))
+    # copies of a text count once, so a large group of them can't fill the sample
+    marked = rows.withColumn("mark", F.xxhash64("text")).where(F.pmod(F.col("mark"), F.lit(1_000_000)) < share)
+    sample = marked.groupBy("lang", "mark").agg(F.first("text").alias("text"))
     got = sorted(sample.mapInArrow(make, "lang string, mark long, x binary").collect())
     x = np.array([np.frombuffer(r["x"], np.float32)[:BUCKETS] for r in got], np.float32).reshape(len(got), BUCKETS)
     return Model(np.array([r["lang"] for r in got], object), x)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score appended; columns of these names are replaced."""
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """`docs` with the language and its score appended; columns of these names are replaced."""
+    rest = [c for c in docs.columns if c not in (lang_as, score_as)]
     rows = docs.select(*rest).withColumn("_letters", has_letter(F.col(text_col)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -187,9 +189,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 lang, score = sent.value.predict(part.column(part.schema.get_field_index(text_col)))
                 none = ~part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
                 lang[none], score[none] = "und", 0
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*rest, lang_as, score_as])
 
-    schema = rows.drop("_letters").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = rows.drop("_letters").withColumns({lang_as: F.lit(""), score_as: F.lit(0.0)}).schema
     return rows.mapInArrow(run, schema)
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -50,15 +50,19 @@ def _fingerprints(k: int, seed: int):
                     hashes = np.array([h(b" ".join(g), seed) for g in grams], "<u8")
                     ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out.append(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0] if n else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.int64())], ["doc_id", "mark", "fp"])
 
     return run
 
 
+def mark_of(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(k, seed), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    """doc_id, mark (a hash of the text, which tells rows with one id apart), fp (the 64 bits as a signed long) of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), mark_of(text_col))
+    return rows.mapInArrow(_fingerprints(k, seed), f"doc_id {docs.schema[id_col].dataType.simpleString()}, mark long, fp long")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,24 +210,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id: the smallest id that a row reaches over links of `radius` differing bits or fewer."""
+    """doc_id, mark, fp, root, component_id: the smallest id that a row reaches over links of `radius` differing bits or fewer."""
     prints = materialize(fingerprints(docs, id_col, text_col, k, seed), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(links(nodes, radius))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(known, "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that with the smallest id. Of rows that share an id one stays, as of other copies."""
-    found = materialize(near_duplicates(docs, id_col, text_col), "components")
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = kept.where("n > 1").limit(1).count() > 0
-    keys = kept.select(F.col("doc_id").alias("_keep"))
-    rest = docs.join(keys, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    return rest.dropDuplicates([id_col]) if repeated else rest
+    """One document of each component: that with the smallest id, then mark; null ids come last. Of equal rows one stays."""
+    counts = near_duplicates(docs, id_col, text_col).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("best")
+    kept = materialize(counts.groupBy("root").agg(best).select("best.*"), "kept")
+    keys = kept.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_kept"))
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (mark_of(text_col) == F.col("_kept"))
+    rest = docs.join(keys, same, "left_semi")
+    return rest.dropDuplicates([id_col, text_col]) if kept.where("n > 1").limit(1).count() else rest
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,41 @@
+"""The pipeline's stages on the smallest tables, and that the queries with SQL give DuckDB's rows."""
+
+import os
+
+import pytest
+
+import corpus_pipeline
+from ledgerleaf.llm import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(900_001, None, "en", "s", 0), (900_002, "12345", "en", "s", 5), (900_003, "Password=abcdef99 the thing and other words", "en", "s", 43)], docs.schema)
+    docs = docs.unionByName(odd)
+    columns, was = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns
+        now = docs.count()
+        assert (was - 2 == now) if name == "language_id" else now == was if name == "secret_scan" else 0.5 * was < now <= was
+        was = now
+    assert docs.where("doc_id = 900003").first().text.startswith("[SECRET] the")
+    assert docs.where("n_chars != length(text)").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == was
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("embeddings", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rows = queries.QUERIES[name](spark, SF)
+    columns = sorted(rows.columns)
+    want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in rows.select(*columns).collect()))) == sorted(map(str, want))
