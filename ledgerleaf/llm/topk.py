@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 SHARD_ROWS = 1_024
-BLOCK_ROWS = 1_024
-LEAF = 32
+BLOCK_ROWS = 256
+LEAF = 128
 NONE = np.iinfo(np.int64).min
 
 
-def build(ids: np.ndarray, x: np.ndarray) -> dict:
+def build(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> dict:
     """A ball tree: points in leaf order and, for each node, centre, radius, least id, children or the slice of its leaf."""
     order, nodes = [], []
 
@@ -44,7 +44,7 @@ def build(ids: np.ndarray, x: np.ndarray) -> dict:
         nodes.append(None)
         left = right = -1
         start = sum(map(len, order))
-        if len(rows) > LEAF and d.max() > 0:
+        if len(rows) > leaf and d.max() > 0:
             a = pts[d.argmax()]
             b = pts[((pts - a) ** 2).sum(1).argmax()]
             side = pts @ (a - b)
@@ -59,7 +59,8 @@ def build(ids: np.ndarray, x: np.ndarray) -> dict:
     grow(np.arange(len(ids)))
     rows = np.concatenate(order)
     cols = [np.array(c) for c in zip(*nodes)]
-    return {"ids": ids[rows], "x": x[rows], "centre": cols[0], "radius": cols[1], "least": cols[2], "left": cols[3], "right": cols[4], "start": cols[5], "end": cols[6]}
+    small = np.int16 if np.abs(x).max(initial=0) < 2**15 else np.int64
+    return {"ids": ids[rows], "x": x[rows].astype(small), "centre": cols[0], "radius": cols[1], "least": cols[2], "left": cols[3], "right": cols[4], "start": cols[5], "end": cols[6]}
 
 
 class Search:
@@ -103,7 +104,7 @@ class Search:
         if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2**52:
             score = (q.astype(float) @ x.T.astype(float)).astype(np.int64)
         else:
-            score = q @ x.T
+            score = q @ x.T.astype(np.int64)
         own = ids[None, :] == self.ids[rows][:, None]
         score = np.hstack([self.score[rows], np.where(own, NONE, score)])
         ids = np.hstack([self.id[rows], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(ids, own.shape))])
@@ -143,7 +144,7 @@ def _scan(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows for each row where `is_query` holds (a condition on `vectors`)."""
     x = lambda e: e.cast("double")
     fine = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(vec_col, lambda e: e.isNotNull() & ~F.isnan(x(e)) & (F.abs(x(e)) != float("inf")))
@@ -152,7 +153,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
 
     def plant(frame: pd.DataFrame) -> pd.DataFrame:
-        tree = build(frame["id"].to_numpy(), _matrix(frame, dim))
+        tree = build(frame["id"].to_numpy(), _matrix(frame, dim), leaf)
         return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "data": [pickle.dumps(tree, 5)]})
 
     def bundle(frame: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +164,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     packed = rows.where("asks").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks))).groupBy("block").applyInPandas(bundle, "block int, part int, data binary")
     # the stated query set against all rows, in blocks: each block meets every tree
     sent = trees.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("shard").alias("part"), "data")
-    met = packed.unionByName(sent).repartition(min(blocks, 4096), "block").sortWithinPartitions("block", "part")
+    met = packed.unionByName(sent).repartition(min(4 * blocks, 4096), "block").sortWithinPartitions("block", "part")
     return met.mapInArrow(_scan(k), "query_id long, rank int, vec_id long, score long")
 
 

@@ -45,7 +45,7 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)] + [(200, None, 0), (201, [1.0, None], 0), (202, [float("nan")], 0), (203, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (204, [2.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = {}
-    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, shard_rows=20, block_rows=4).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, shard_rows=50, block_rows=4, leaf=3).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = {i: [math.floor(256 * float(x)) for x in r] for i, r in enumerate(v)} | {204: [512, 256]}
     for q in (i for i in good if i % 10 == 0):
