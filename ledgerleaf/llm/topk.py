@@ -1,7 +1,8 @@
 """Exact top-k inner-product search over ball trees.
 
 Candidates are dealt to shards of about `shard_rows` vectors by a hash of the id, so equal vectors spread evenly; each
-shard becomes a ball tree, one row of a written table. Queries are packed into blocks, one row each. A task takes one
+shard becomes a ball tree, one row of a written table. Queries are packed into blocks, one row each; blocks grow with the
+root of the number of queries, up to `BLOCK_BYTES`, since every block costs another pass of the trees. A task takes one
 block and streams the trees past it: nodes are visited by falling upper bound of the inner product, and the k-th score
 found so far, shared over all shards of the block, prunes what follows. Memory is one block and one tree.
 
@@ -15,6 +16,7 @@ each; a query with fewer than k candidates gets all; an empty table gives no row
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -28,6 +30,7 @@ from .common import materialize, table
 
 SHARD_ROWS = 1_024
 BLOCK_ROWS = 256
+BLOCK_BYTES = 8 << 20
 LEAF = 128
 NONE = np.iinfo(np.int64).min
 
@@ -144,12 +147,14 @@ def _scan(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf: int = LEAF) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, shard_rows: int = SHARD_ROWS, block_rows: int | None = None, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows for each row where `is_query` holds (a condition on `vectors`)."""
     x = lambda e: e.cast("double")
     fine = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(vec_col, lambda e: e.isNotNull() & ~F.isnan(x(e)) & (F.abs(x(e)) != float("inf")))
     rows = vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda e: F.floor(x(e) * scale)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     n, asked, dim = rows.agg(F.count("*"), F.count_if("asks"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if block_rows is None:
+        block_rows = max(BLOCK_ROWS, min(BLOCK_BYTES // (8 * max(1, dim)), math.isqrt(64 * asked)))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
 
     def plant(frame: pd.DataFrame) -> pd.DataFrame:
