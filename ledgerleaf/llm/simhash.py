@@ -27,10 +27,12 @@ from .common import materialize, table
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-#: Nodes that make the top tree: a bound on what the driver sees, not on what is searched.
+#: Nodes that make the top tree, and those for each shard where there are many: what the driver sees, not what is searched.
 SAMPLE = 20_000
+PER_SHARD = 16
 SHARD_ROWS = 8_192
-MAX_DEPTH = 10
+#: At most 131,072 shards, so the top tree is made from two million fingerprints (16 MB) at most.
+MAX_DEPTH = 17
 LEAF = 256
 
 
@@ -181,9 +183,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS,
     depth = 0
     while n > shard_rows << depth and depth < MAX_DEPTH:
         depth += 1
+    sample = max(sample, PER_SHARD << depth)
     part = min(1.0, sample / max(1, n))
-    seen = nodes.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1_000_000)) < int(part * 1_000_000)).limit(2 * sample)
-    tree = top_tree(np.sort(np.array([r[0] for r in seen.select("fp").collect()], np.int64).view(np.uint64)), depth) if depth else []
+    seen = nodes.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1_000_000_000)) < int(part * 1_000_000_000)).limit(2 * sample)
+    tree = top_tree(np.sort(seen.select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)), depth) if depth else []
     dealt = nodes.select("fp").mapInArrow(_route(tree, radius), "shard int, fp long, own boolean")
     return dealt.groupBy("shard").applyInPandas(_forest(radius), "a long, b long")
 
