@@ -3,8 +3,8 @@
 Messages are rows (conv_id, turn, kind, call_id, name, body): a `call` has a tool's name and its arguments as JSON, a
 `result` what came back, a `message` a role as its name and text. Calls and results are hash-joined by conversation and
 identifier, through one row for each identifier, so repeated identifiers can't multiply. Calls whose arguments refer to
-other calls (`{"$ref": "identifier"}` as a value) come after the results of those: levels are relaxed by joins until
-nothing changes. Arguments are parsed, validated against the tools' schemas and written as canonical JSON (keys sorted,
+other calls (`{"$ref": "identifier"}` as a value) come after the results of those: each round of joins takes out the calls that
+wait for none that is left, so chains of any depth are ordered and only true cycles stay. Arguments are parsed, validated against the tools' schemas and written as canonical JSON (keys sorted,
 no spaces, UTF-8). One row for each message comes back, ordered in its conversation by (level, at, sub, turn); no conversation
 is ever gathered in one place.
 
@@ -28,7 +28,8 @@ from .common import materialize, table
 #: A tool's parameters: name -> (JSON type, required).
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,), "null": (type(None),)}
-MAX_LEVELS = 64
+#: Rounds after which the levels found so far are written as one table, which keeps the plan short.
+COMPACT = 32
 MESSAGE = "conv_id, turn, kind, call_id, name, body"
 
 #: The tool that the query reads a chat's turns as: a user's turn calls it, the assistant's next turn is its result.
@@ -95,21 +96,22 @@ def _levels(calls: DataFrame) -> DataFrame:
         return body.map(references)
 
     wanting = calls.where(F.col("body").contains("$ref"))
-    edges = materialize(wanting.select("conv_id", "call_id", F.explode(find("body")).alias("ref")).distinct(), "refs")
-    none = edges.select("conv_id", "call_id").distinct()
-    if not none.limit(1).count():
-        return none.withColumn("level", F.lit(0))
-    level = materialize(none.withColumn("level", F.lit(1)), "levels")
-    for turn in range(2, MAX_LEVELS + 2):
-        known = level.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("up"))
-        above = edges.join(known, ["conv_id", "ref"], "left").groupBy("conv_id", "call_id").agg((F.max(F.coalesce("up", F.lit(0))) + 1).alias("level"))
-        new = materialize(above, "levels")
-        # what still rises in this round can be a chain; what rises after as many rounds as levels are allowed is a cycle
-        rising = new.where(F.col("level") >= turn).limit(1).count()
-        level = new
-        if not rising:
-            return level
-    return level.withColumn("level", F.when(F.col("level") > MAX_LEVELS, -1).otherwise(F.col("level")))
+    left = materialize(wanting.select("conv_id", "call_id", F.explode(find("body")).alias("ref")).distinct(), "refs")
+    n, level, found = left.count(), 0, left.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0)
+    while n:
+        level += 1
+        waits = left.select("conv_id", F.col("call_id").alias("ref")).distinct()
+        blocked = left.join(waits, ["conv_id", "ref"], "left_semi").select("conv_id", "call_id").distinct()
+        still = materialize(left.join(blocked, ["conv_id", "call_id"], "left_semi"), "refs")
+        rest = still.count()
+        if rest == n:
+            return found.unionByName(left.select("conv_id", "call_id", F.lit(-1).alias("level")).distinct())
+        done = left.join(blocked, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(level).alias("level")).distinct()
+        found = found.unionByName(done)
+        if level % COMPACT == 0:
+            found = materialize(found, "levels")
+        left, n = still, rest
+    return found
 
 
 def format_chats(messages: DataFrame, schemas: Schemas) -> DataFrame:

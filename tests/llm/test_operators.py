@@ -299,6 +299,16 @@ def test_tools(spark):
     assert [r.status for r in tools.format_chats(tools.from_turns(chats), tools.REPLY).orderBy(F.col("conv_id").asc_nulls_last(), "turn").collect()] == ["linked", "linked", "message", "no_result"]
 
 
+def test_long_chains_of_calls_are_no_cycles(spark):
+    n = tools.COMPACT + 3
+    body = lambda i: json.dumps({"a": {"$ref": f"c{i - 1}"}} if i else {"a": 1})
+    rows = [(1, i, "call", f"c{i}", "sum", body(i)) for i in range(n)]
+    rows += [(1, n, "call", "own", "sum", json.dumps({"a": {"$ref": "own"}})), (1, n + 1, "call", "behind", "sum", json.dumps({"a": {"$ref": "own"}}))]
+    got = tools.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, kind string, call_id string, name string, body string"), {})
+    got = {r.turn: (r.level, r.status) for r in got.collect()}
+    assert got == {i: (i, "no_result") for i in range(n)} | {n: (-1, "cycle"), n + 1: (-1, "cycle")}
+
+
 def print_of(text):
     import xxhash
 
