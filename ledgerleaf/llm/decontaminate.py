@@ -16,8 +16,9 @@ table may be empty; other columns of `docs` pass through `clean` untouched and d
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -31,9 +32,12 @@ WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 BLOCK = 8
-MAX_ITEMS = 20_000
+#: The block maxima are a dense table of terms and blocks, some 40 MB for so many short items.
+MAX_ITEMS = 4_096
 #: Words of a batch that are scored at once.
 CHUNK = 400_000
+#: Cells (words of a passage times blocks) whose bounds are summed at once.
+CELLS = 1 << 24
 
 
 def question_answer(text: str) -> tuple[str, str]:
@@ -74,39 +78,47 @@ class Index:
         for t, post in enumerate(self.postings):
             for d, x in post:
                 self.block_max[t, d // BLOCK] = max(self.block_max[t, d // BLOCK], np.nextafter(np.float32(x), np.float32(2)))
+        self.peak = self.block_max.max(axis=1).tolist()
 
-    def wand(self, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
+    def wand(self, terms: list[int], blocks: Iterable[int]) -> list[tuple[int, float]]:
         """(item, score) of all items at or above the threshold, in the given blocks."""
-        cursors = [[self.postings[t][0][0], 0, t] for t in terms]
-        out, slack = [], self.threshold - 1e-5
-        peak = {t: float(self.block_max[t].max()) for t in terms}
+        blocks = sorted(blocks)
+        cursors, out, slack = [], [], self.threshold - 1e-5
+        for t in terms if blocks else ():
+            at = bisect_left(self.postings[t], (blocks[0] * BLOCK,))
+            if at < len(self.postings[t]):
+                cursors.append([self.postings[t][at][0], at, t])
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, None
             for c in cursors:
-                bound += peak[c[2]]
+                bound += self.peak[c[2]]
                 if bound >= slack:
                     pivot = c[0]
                     break
             if pivot is None:
                 break
             block = pivot // BLOCK
+            k = bisect_left(blocks, block)
+            if k == len(blocks):
+                break
             to = pivot
-            if block not in blocks or sum(float(self.block_max[c[2], block]) for c in cursors if c[0] <= pivot or c[0] // BLOCK == block) < slack:
+            if blocks[k] > block:
+                to = blocks[k] * BLOCK
+            elif sum(float(self.block_max[c[2], block]) for c in cursors if c[0] <= pivot or c[0] // BLOCK == block) < slack:
                 to = (block + 1) * BLOCK
             elif cursors[0][0] == pivot:
                 score = sum(self.postings[c[2]][c[1]][1] for c in cursors if c[0] == pivot)
                 if score >= self.threshold - 1e-9:
                     out.append((pivot, score))
                 to = pivot + 1
-            alive = []
             for c in cursors:
-                post, at = self.postings[c[2]], c[1]
-                while at < len(post) and post[at][0] < to:
-                    at += 1
-                if at < len(post):
-                    alive.append([post[at][0], at, c[2]])
-            cursors = alive
+                if c[0] >= to:
+                    break
+                post = self.postings[c[2]]
+                c[1] = bisect_left(post, (to,), c[1])
+                c[0] = post[c[1]][0] if c[1] < len(post) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
         return out
 
     def verify(self, item: int, words: list[str]) -> tuple[float, ...] | None:
@@ -150,15 +162,18 @@ class Index:
         passage, term = keys // size, keys % size
         starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
         ends = np.r_[starts[1:], len(keys)]
-        bounds = np.add.reduceat(self.block_max[term], starts, axis=0)
-        for i in np.flatnonzero(bounds.max(axis=1) >= self.threshold - 1e-4):
-            d, words, s = owners[passage[starts[i]]]
-            hits = self.wand(term[starts[i] : ends[i]].tolist(), set(np.flatnonzero(bounds[i] >= self.threshold - 1e-4).tolist()))
-            for item, score in hits:
-                shares = self.verify(item, words[s : s + 2 * half])
-                if shares:
-                    got = (score, shares[0], shares[-1])
-                    found[d][item] = max(found[d].get(item, got), got)
+        step = max(1, CELLS // (self.blocks * 2 * half))
+        for lo in range(0, len(starts), step):
+            hi = min(lo + step, len(starts))
+            bounds = np.add.reduceat(self.block_max[term[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
+            for i in np.flatnonzero(bounds.max(axis=1) >= self.threshold - 1e-4):
+                a, b = starts[lo + i], ends[lo + i]
+                d, words, s = owners[passage[a]]
+                for item, score in self.wand(term[a:b].tolist(), np.flatnonzero(bounds[i] >= self.threshold - 1e-4).tolist()):
+                    shares = self.verify(item, words[s : s + 2 * half])
+                    if shares:
+                        got = (score, shares[0], shares[-1])
+                        found[d][item] = max(found[d].get(item, got), got)
 
 
 def indexes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", max_items: int = MAX_ITEMS) -> list[Index]:
