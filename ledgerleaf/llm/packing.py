@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memo(dict):
+    """A dict that makes what it lacks, so that `map` over its `__getitem__` only enters Python for what is new."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = self.make(key)
+        return got
+
+
 class ChunkEncoder:
     """Token ids of a text as little-endian bytes, through a cache of its white-space-delimited chunks.
 
@@ -58,37 +70,26 @@ class ChunkEncoder:
         points = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         self.byte = {b: chr(b) if b in points else chr(next(other)) for b in range(256)}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Memo(self.chunk), Memo(self.word)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            got = self.words[w] = np.array([t.id for t in self.model.tokenize("".join(map(self.byte.__getitem__, w.encode())))], "<u4").tobytes()
-        return got
+        return np.array([t.id for t in self.model.tokenize("".join(map(self.byte.__getitem__, w.encode())))], "<u4").tobytes()
 
     def chunk(self, c: str) -> bytes:
         if self.PLAIN.fullmatch(c) and "<|" not in c:
-            return b"".join(map(self.word, self.WORDS.findall(c.lower())))
+            return b"".join(map(self.words.__getitem__, self.WORDS.findall(c.lower())))
         return self.ids(c)
 
     def encode(self, text: str) -> bytes:
         if self.ODD.search(text) or not unicodedata.is_normalized("NFC", text):
             return self.ids(text)
-        have, out = self.chunks, []
-        if len(have) > CACHE:
-            have.clear()
-        for c in text.split():
-            got = have.get(c)
-            if got is None:
-                got = have[c] = self.chunk(c)
-            out.append(got)
-        return b"".join(out)
+        for memo in (self.chunks, self.words):
+            if len(memo) > CACHE:
+                memo.clear()
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 def _pieces(path: str, window: int, end: int, keep_ids: bool):
