@@ -82,8 +82,11 @@ def anti_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFr
 
 def delete_scope(target: DataFrame, keys: DataFrame, on: list[str], where: Column | None = None) -> DataFrame:
     """SNK-09: without the rows whose keys are given and for which the condition holds."""
-    hit = target.join(keys.select(*on).distinct(), on, "left_semi") if where is None else target.where(where).join(keys.select(*on).distinct(), on, "left_semi")
-    return target.exceptAll(hit)
+    t, k = target.alias("t"), keys.select(*[F.col(c).alias(f"_key_{c}") for c in on]).distinct()
+    hit = F.lit(True) if where is None else where
+    for c in on:
+        hit = hit & (F.col(f"t.{c}") == F.col(f"_key_{c}"))
+    return t.join(k, hit, "left_anti")
 
 
 @query("WIN-01", B.with_views("best", "SELECT doc, page, representation, priority, length(content) AS chars, md5(content) AS digest FROM best"))
