@@ -125,3 +125,27 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().doc == "1"
     sinks.write_split(best, "representation", str(tmp_path / "split"))
     assert (tmp_path / "split" / "representation=text").is_dir()
+
+
+def test_delete_scope_keeps_nulls_and_repeats(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "a"), (None, "a"), (3, "b"), (3, "b")], "doc int, stage string")
+    keys = spark.createDataFrame([(1,), (1,), (None,)], "doc int")
+    left = mart.delete_scope(rows, keys, ["doc"], F.col("stage") == "a")
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [(1, None), (2, "a"), (None, "a"), (3, "b"), (3, "b")]))
+    assert mart.delete_scope(rows, keys, ["doc"]).count() == 4
+
+
+def test_dispatch_with_wildcards(spark):
+    from ledgerleaf.operators import queue
+
+    events = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, 6, "a"), (4, None, "a")], "event_id int, thread int, kind string")
+    subs = spark.createDataFrame([(1, 5, None), (2, None, "a"), (3, 5, "a"), (4, 7, "a")], "sub int, thread int, kind string")
+    got = sorted((r["event_id"], r["sub"]) for r in queue.dispatch(events, subs).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 2), (4, 2)]
+
+
+def test_text_list(spark):
+    from ledgerleaf.operators import queue
+
+    rows = spark.createDataFrame([('["a", "b"]',), ("{}",), ("no",), (None,), ("",)], "c string")
+    assert [r[0] for r in rows.select(queue.text_list(F.col("c"))).collect()] == [["a", "b"], [], [], [], []]
