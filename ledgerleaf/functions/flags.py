@@ -32,9 +32,11 @@ def without(flags: Column, *names: str) -> Column:
     return F.filter(flags, lambda f: ~f.isin(*names))
 
 
-def page_signals(text: Column, images: Column) -> Column:
+def page_signals(text: Column, images: Column, ratios: tuple[Column, Column, Column] | None = None) -> Column:
+    """Flags of a page; `ratios` are its alpha, symbol and newline ratios where these are columns already."""
+    alpha, symbol, newline = ratios or (T.alpha_ratio(text), T.symbol_ratio(text), T.newline_ratio(text))
     n, low = F.length(text), F.lower(text)
-    garbled = (T.alpha_ratio(text) < 0.35) & (n >= 40)
+    garbled = (alpha < 0.35) & (n >= 40)
     header = low.contains(HEADER_WORDS[0])
     for w in HEADER_WORDS[1:]:
         header = header | low.contains(w)
@@ -45,8 +47,8 @@ def page_signals(text: Column, images: Column) -> Column:
         (images & (n == 0), "suspected_scanned_page"),
         (images & (n < 40), "image_render_recommended"),
         (garbled, "suspected_garbled_text"),
-        ((T.symbol_ratio(text) > 0.35) & (n >= 40), "high_symbol_ratio"),
-        ((T.newline_ratio(text) > 0.12) & (n >= 80), "high_whitespace_noise"),
+        ((symbol > 0.35) & (n >= 40), "high_symbol_ratio"),
+        ((newline > 0.12) & (n >= 80), "high_whitespace_noise"),
         ((n < 120) & header, "possible_header_footer_only"),
         (text.contains("\t") | text.contains("  ") | text.contains("|"), "possible_table_or_form_content"),
         ((n == 0) | garbled, "ocr_recommended"),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of any kind, as the inside of a character class.
-_WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, 0x2000))) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPACE = f"[\\s{_WIDE}]"
 _BREAKS = "".join(map(chr, (0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)))
 
@@ -37,19 +37,39 @@ def _share(part: Column, whole: Column) -> Column:
 
 def solid(c: Column) -> Column:
     """How many characters aren't white space."""
-    return F.length(F.regexp_replace(c, SPACE, ""))
+    return F.length(F.regexp_replace(c, f"{SPACE}+", ""))
+
+
+def letters(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
+
+
+def symbols(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s]+", ""))
+
+
+def line_breaks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
 def alpha_ratio(c: Column) -> Column:
-    return _share(F.length(F.regexp_replace(c, r"[^\p{L}]", "")), solid(c))
+    return _share(letters(c), solid(c))
 
 
 def symbol_ratio(c: Column) -> Column:
-    return _share(F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s]", "")), solid(c))
+    return _share(symbols(c), solid(c))
 
 
 def newline_ratio(c: Column) -> Column:
-    return _share(F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))), F.length(c))
+    return _share(line_breaks(c), F.length(c))
+
+
+def with_ratios(rows: DataFrame, text: str) -> DataFrame:
+    """Adds alpha, symbol and newline ratios of a text column; each text is counted once, in a step of its own."""
+    c = F.col(text)
+    counted = rows.withColumns({"_solid": solid(c), "_letters": letters(c), "_symbols": symbols(c), "_breaks": line_breaks(c), "_chars": F.length(c)})
+    share = {"alpha": ("_letters", "_solid"), "symbol": ("_symbols", "_solid"), "newline": ("_breaks", "_chars")}
+    return counted.withColumns({k: _share(F.col(a), F.col(b)) for k, (a, b) in share.items()}).drop("_solid", "_letters", "_symbols", "_breaks", "_chars")
 
 
 def clean(c: Column) -> Column:
@@ -108,7 +128,7 @@ def inventory_tokens(c: Column) -> Column:
 def numeric_token_ratio(c: Column) -> Column:
     """Share of the tokens at least half of whose characters are digits."""
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    digits = lambda w: F.length(F.regexp_replace(w, r"[^0-9]", ""))
+    digits = lambda w: F.length(F.regexp_replace(w, r"[^0-9]+", ""))
     many = F.size(F.filter(words, lambda w: digits(w) >= F.greatest(F.lit(1), F.floor(F.length(w) / 2))))
     return _share(many, F.size(words))
 

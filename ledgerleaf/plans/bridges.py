@@ -43,7 +43,8 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with normalised text, signals, and made-up artifact paths."""
     p = pages(spark, sf_dir).withColumn("norm", T.normalize_page(F.col("content")))
-    p = p.withColumn("chars", F.length("norm")).withColumn("flags", G.page_signals(F.col("norm"), F.col("images")))
+    p = T.with_ratios(p, "norm").withColumn("chars", F.length("norm"))
+    p = p.withColumn("flags", G.page_signals(F.col("norm"), F.col("images"), (F.col("alpha"), F.col("symbol"), F.col("newline"))))
     path = lambda k, name: F.when(F.col("doc_id") % k == 0, F.concat(F.lit(f"{name}/"), F.col("doc_id").cast("string")))
     return p.select("doc", "page", "doc_id", "filename", "norm", "chars", "flags", "images", path(2, "ocr").alias("ocr_path"), path(5, "md").alias("markdown_path"), path(11, "repair").alias("repair_path"), path(3, "vision").alias("vision_path"), path(6, "image").alias("image_path"))
 
