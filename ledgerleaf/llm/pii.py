@@ -1,11 +1,13 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Base spans come from four fixed patterns. Suspicious tokens (with a digit, `@` or `+`) are the nodes of a field: tokens
-inside base spans are observed, the others have a node potential by the shape of the token, learned as log shares of
-labels over all documents (a small table: one row for each shape and label). Neighbouring tokens share a chain edge;
-distant tokens that repeat or resemble each other share a skip edge that favours equal labels. Occurrences of a key
-are linked in a row, not in pairs, so edges grow with tokens. Loopy message passing gives marginals, and a token whose
-best label is an entity is added with that kind; base spans stay.
+Base spans come from four fixed patterns. Suspicious tokens (with a digit, `@` or `+`, or equal to the local part of an
+address found in the text) are the nodes of a field: tokens inside base spans are observed, the others have a node
+potential by the shape of the token, learned as log shares of labels over all documents (a small table: one row for each
+shape and label). Neighbouring tokens share a chain edge; distant tokens that repeat or resemble each other share a skip
+edge that favours equal labels. Each occurrence of a key is linked to the key's anchors, its first observed occurrence
+of each kind (without one, to its first occurrence), so evidence reaches every repeat in one step and edges grow with
+tokens. Loopy message passing gives marginals, and a token whose best label is an entity is added with that kind; base
+spans stay.
 
 `MISSED` is the share of entities that patterns are taken to miss: without it, labels made by the patterns could never
 add anything. A token is so added only where an observed entity in its document supports it.
@@ -17,6 +19,7 @@ id and text columns are used.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,12 +39,16 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NODE = re.compile(r"[0-9@+]\S*")
+TOKEN = re.compile(r"\S+")
 EDGE_MARKS = " \t\r\n.,;:!?()[]{}<>\"'|#$%&*=~`"
 
 MISSED = 0.02
 CHAIN_WEIGHT = 0.5
 SKIP_WEIGHT = 6.0
-ROUNDS, DAMPING = 12, 0.3
+#: Log potential of what an observed token isn't: no number of repeats may outvote it.
+HELD = -1e9
+#: Messages run until they settle; the bound is for fields that swing.
+ROUNDS, DAMPING = 200, 0.3
 
 
 def luhn(digits: str) -> bool:
@@ -77,9 +84,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def nodes_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the suspicious tokens, without marks at their edges."""
+def local_part(address: str) -> str:
+    return address.lower().partition("@")[0].strip(EDGE_MARKS)
+
+
+def nodes_of(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """(start, end) of the suspicious tokens, without marks at their edges; also of local parts of the addresses in `base`."""
     out, end = [], 0
+    locals_ = {local_part(text[s:e]) for s, k, e in base if k == 0} - {""}
     for m in NODE.finditer(text):
         s = m.start()
         while s > end and not text[s - 1].isspace():
@@ -91,6 +103,12 @@ def nodes_of(text: str) -> list[tuple[int, int]]:
             e -= 1
         if s < e:
             out.append((s, e))
+    if locals_:
+        for m in TOKEN.finditer(text):
+            if not NODE.search(m[0]) and (t := m[0].strip(EDGE_MARKS)).lower() in locals_:
+                s = m.start() + len(m[0]) - len(m[0].lstrip(EDGE_MARKS))
+                out.append((s, s + len(t)))
+        out.sort()
     return out
 
 
@@ -108,10 +126,32 @@ def keys(token: str) -> list[str]:
     if len(d) >= 12 and not any(c.isalpha() for c in low):
         out.append(f"d{len(d)}:{d[:6]}{d[-4:]}")
     if "@" in low:
-        out.append("t" + low.partition("@")[0])
+        out.append("t" + local_part(low))
     return out
 
 
+def skip_edges(text: str, nodes: list[tuple[int, int]], labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Each unobserved occurrence of a key with the key's first observed occurrence of each kind; without one, with the first of all."""
+    members: dict[str, list[int]] = {}
+    for i, (s, e) in enumerate(nodes):
+        for k in keys(text[s:e]):
+            members.setdefault(k, []).append(i)
+    begins = [s for s, _ in nodes]
+    for s, k, e in base:  # the address itself, where its token has more around it
+        i = bisect_right(begins, s) - 1
+        if k == 0 and i >= 0 and s < nodes[i][1] and labels[i] == 0:
+            members.setdefault("t" + local_part(text[s:e]), []).append(i)
+    out: set[tuple[int, int]] = set()
+    for found in members.values():
+        anchors: dict[int, int] = {}
+        for i in found:
+            if labels[i] < len(KINDS):
+                anchors.setdefault(int(labels[i]), i)
+        ends = anchors.values() or found[:1]
+        out.update((a, i) for i in found if labels[i] == len(KINDS) for a in ends if a != i)
+    return sorted(out)
+
+
 def labels_of(nodes: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
     """The kind of the base span that a node meets, else other."""
     out, j = np.full(len(nodes), len(KINDS)), 0
@@ -155,22 +195,14 @@ def added_spans(text: str, base: list[tuple[int, int, int]], shares: dict[str, n
     """Spans of the field that no base span meets. Without an observed entity no token can pass, so nothing is run."""
     if not base:
         return []
-    nodes = nodes_of(text)
+    nodes = nodes_of(text, base)
     labels = labels_of(nodes, base)
     if not (labels == len(KINDS)).any():
         return []
     tokens = [text[s:e] for s, e in nodes]
-    seen: dict[str, int] = {}
-    pairs, weight = [], []
-    for i, t in enumerate(tokens):
-        if i and not text[nodes[i - 1][1] : nodes[i][0]].strip(EDGE_MARKS):
-            pairs.append((i - 1, i))
-            weight.append(CHAIN_WEIGHT)
-        for k in keys(t):
-            if k in seen:
-                pairs.append((seen[k], i))
-                weight.append(SKIP_WEIGHT)
-            seen[k] = i
+    chain = [(i - 1, i) for i in range(1, len(nodes)) if not text[nodes[i - 1][1] : nodes[i][0]].strip(EDGE_MARKS)]
+    skip = skip_edges(text, nodes, labels, base)
+    pairs, weight = chain + skip, [CHAIN_WEIGHT] * len(chain) + [SKIP_WEIGHT] * len(skip)
     if not pairs:
         return []
     flat = np.log(np.full(len(LABELS), MISSED / len(KINDS)))
@@ -178,7 +210,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], shares: dict[str, n
     unary = np.array([np.maximum(shares.get(shape(t), flat), flat - np.log(2)) for t in tokens])
     unary[:, -1] = np.maximum(unary[:, -1], flat[-1])
     observed = labels < len(KINDS)
-    unary[observed] = -30
+    unary[observed] = HELD
     unary[observed, labels[observed]] = 0
     best = marginals(unary, np.array(pairs), np.array(weight, float)).argmax(1)
     return [(s, int(k), e) for (s, e), k, o in zip(nodes, best, observed) if not o and k < len(KINDS)]
@@ -193,8 +225,9 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
             for text in batch.column(0):
                 text = text.as_py()
                 if text:
-                    nodes = nodes_of(text)
-                    seen.update(zip([shape(text[s:e]) for s, e in nodes], labels_of(nodes, base_spans(text)).tolist()))
+                    base = base_spans(text)
+                    nodes = nodes_of(text, base)
+                    seen.update(zip([shape(text[s:e]) for s, e in nodes], labels_of(nodes, base).tolist()))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["shape", "label", "n"])
 
     rows = docs.select("text").mapInArrow(count, "shape string, label int, n long").groupBy("shape", "label").agg(F.sum("n").alias("n"))

@@ -146,6 +146,23 @@ def test_pii(spark):
     assert pii.find_personal_data(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [2, 10, 1000])
+def test_pii_reaches_every_repeat(repeats):
+    card = "4539578763621486"
+    for seen, missed in ((f"card {card}", f"{card[:6]}000000{card[-4:]}"), ("from <mailto:jane.doe@ex.org>", "Jane.Doe"), ("j0e42@ex.org", "j0e42")):
+        text = seen + f", then ({missed}) again" * repeats
+        base = pii.base_spans(text)
+        assert len(base) == 1
+        nodes = pii.nodes_of(text, base)
+        n = np.full(len(pii.LABELS), 0.2)
+        for label in pii.labels_of(nodes, base):
+            n[label] += 1
+        shares = {pii.shape(text[s:e]): np.log(n / n.sum()) for s, e in nodes}
+        added = pii.added_spans(text, base, shares)
+        assert [text[s:e] for s, _, e in added] == [missed] * repeats and {k for _, k, _ in added} == {base[0][1]}
+        assert len(pii.skip_edges(text, nodes, pii.labels_of(nodes, base), base)) <= 4 * len(nodes)
+
+
 def test_base_spans_like_the_patterns():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
