@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerleaf.llm import decontaminate, language, packing, secrets, simhash
 from ledgerleaf.llm.common import materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without letters go."""
-    found = language.predict(docs, language.fit(docs), lang_as="_lang_pred", score_as="_lang_score")
-    return found.where("_lang_pred != 'und'").select(*docs.columns)
+    """Documents with letters; one without a label gets the predicted language as its `lang`. Labels that were given stay."""
+    found = language.predict(docs.where(language.has_letter(F.col("text"))), language.fit(docs), lang_as="_lang_pred", score_as="_lang_score")
+    told = F.when((F.coalesce(F.trim("lang"), F.lit("")) == "") & (F.col("_lang_pred") != "und"), F.col("_lang_pred")).otherwise(F.col("lang"))
+    return found.withColumn("lang", told).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

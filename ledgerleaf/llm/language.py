@@ -1,11 +1,12 @@
 """Hierarchical language identification: the family first, then one-versus-one linear SVMs within it.
 
 Features are hashed byte bigrams and trigrams of the lower-cased whole text, as shares. Both steps use linear support
-vector machines with squared hinge loss, trained on a bounded sample of labelled rows (`max_rows`, evenly over the
-languages); all documents are scored by summing weights along the text, in windows, so memory doesn't grow with length.
+vector machines with squared hinge loss, trained on a bounded sample of distinct labelled texts (`max_rows`, evenly over
+the languages, each with some); all documents are scored by summing weights along the text, in windows, so memory doesn't grow with length.
 
 Defined results: a null text, one without letters, or any text where nothing could be learned gives `und` and 0;
-repeated rows each get their row; an empty table gives no rows; only the id, text and language columns are used.
+a null or blank label is none; repeated rows each get their row; an empty table gives no rows; only the id, text and
+language columns are used.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, table
@@ -153,14 +154,16 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
-    """Learn from documents whose fold (crc32 mod 4) is not 2; the sample is drawn by a hash of the text."""
+    """Learn from documents whose fold (crc32 mod 4) is not 2; of each language's distinct texts the first by a hash."""
     text = F.col(text_col)
-    rows = docs.where((fold(id_col, 4) != 2) & F.col(lang_col).isNotNull() & has_letter(text)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.where((fold(id_col, 4) != 2) & (F.trim(F.col(lang_col).cast("string")) != "") & has_letter(text)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    # copies of a text count once, in the rate and in the sample, so a large group of them can neither fill nor thin it
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "mark").distinct().groupBy("lang").count().collect()}
     each = max(4, max_rows // max(1, len(counts)))
     share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1_000_000, 1_000_000 * each // n + 1)).otherwise(share)
+    for lang, n in counts.items():  # more than are needed, so that none of many languages is left with too few by chance
+        share = F.when(F.col("lang") == lang, min(1_000_000, 1_000_000 * (2 * each + 32) // n + 1)).otherwise(share)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +171,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 part = batch.slice(s, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in features(part.column(2))], pa.binary())], ["lang", "mark", "x"])
 
-    # copies of a text count once, so a large group of them can't fill the sample
-    marked = rows.withColumn("mark", F.xxhash64("text")).where(F.pmod(F.col("mark"), F.lit(1_000_000)) < share)
-    sample = marked.groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    marked = rows.where(F.pmod(F.col("mark"), F.lit(1_000_000)) < share)
+    drawn = marked.groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    sample = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("_n") <= each).drop("_n")
     got = sorted(sample.mapInArrow(make, "lang string, mark long, x binary").collect())
     x = np.array([np.frombuffer(r["x"], np.float32)[:BUCKETS] for r in got], np.float32).reshape(len(got), BUCKETS)
     return Model(np.array([r["lang"] for r in got], object), x)

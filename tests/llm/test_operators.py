@@ -116,6 +116,19 @@ def test_language(spark):
     assert language.predict(empty(spark), language.fit(df)).count() == 0
 
 
+def test_language_with_many_copies_of_one_text(spark):
+    rng = random.Random(8)
+    parts = {"en": ["the", "th", "ing", "and"], "de": ["sch", "und", "ein", "ü"]}
+    make = lambda g: " ".join("".join(rng.choices(parts[g], k=3)) for _ in range(30))
+    rows = [(f"{g}{i}", make(g), g) for g in parts for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    copies = spark.range(20_000).select(F.concat(F.lit("c"), "id").alias("doc_id"), F.lit(make("de")).alias("text"), F.lit("de").alias("lang"))
+    model = language.fit(df.unionByName(copies), max_rows=20)
+    assert model.langs == ["de", "en"]
+    got = language.predict(df, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(rows)
+
+
 def test_windows_sum_like_features():
     import pyarrow as pa
 

@@ -28,6 +28,17 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == was
 
 
+def test_language_stage_without_labels(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    none = spark.createDataFrame([(1, "clean words", None, "s", 11), (2, "123", None, "s", 3), (3, None, None, "s", 0)], schema)
+    assert [(r.doc_id, r.lang) for r in stage(spark, none, SF).collect()] == [(1, None)]
+    known = [(i, f"the thing and that {i}" if i % 2 else f"schön und eine {i}", "en" if i % 2 else "de", "s", 20) for i in range(60)]
+    some = spark.createDataFrame([*known, (100, "the thing and that", None, "s", 18), (101, "schön und eine", "", "s", 14), (102, "the thing and", "xx", "s", 13)], schema)
+    got = {r.doc_id: r.lang for r in stage(spark, some, SF).collect()}
+    assert len(got) == 63 and (got[100], got[101], got[102]) == ("en", "de", "xx")
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     import duckdb
