@@ -181,8 +181,8 @@ def best_fit_decreasing(lengths: dict[int, int], window: int) -> list[tuple[int,
     return runs
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `keep_ids` its token ids."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end: int = END_ID, keep_ids: bool = True) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its token ids, which `keep_ids` False leaves out."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, local_rank long, part int" + ", ids array<int>" * keep_ids
@@ -201,5 +201,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *place, *["ids"] * keep_ids)
 
 
+def sequences(packed: DataFrame, window: int = WINDOW, pad: int = END_ID) -> DataFrame:
+    """Whole sequences from `pack`'s pieces: sequence_id, n_tokens without padding, and `window` ids; a sequence has `window` pieces at most."""
+    found = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    ids = found.select("sequence_id", F.flatten(F.col("pieces.ids")).alias("ids"))
+    return ids.select("sequence_id", F.size("ids").alias("n_tokens"), F.concat("ids", F.array_repeat(F.lit(pad), F.lit(window) - F.size("ids"))).alias("ids"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The contract's columns: of the ids only their digest."""
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)

@@ -212,6 +212,17 @@ def test_packing(spark, texts):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_sequences_hold_all_tokens(spark, texts):
+    packed = packing.pack(frame(spark, texts), window=512).cache()
+    got = {r.sequence_id: r for r in packing.sequences(packed, 512, pad=-1).collect()}
+    want = {}
+    for r in sorted(packed.collect(), key=lambda r: (r.sequence_id, r.offset)):
+        want.setdefault(r.sequence_id, []).extend(r.ids)
+    assert {k: r.ids for k, r in got.items()} == {k: v + [-1] * (512 - len(v)) for k, v in want.items()}
+    assert all(r.n_tokens == len(want[k]) for k, r in got.items())
+    assert packing.sequences(packed.limit(0)).count() == 0
+
+
 def test_best_fit_decreasing_like_one_by_one():
     rng = random.Random(4)
     for window in (1, 7, 64):

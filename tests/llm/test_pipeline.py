@@ -28,6 +28,17 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == was
 
 
+def test_last_stage_holds_the_tokens(spark):
+    import zlib
+
+    import numpy as np
+
+    docs = spark.createDataFrame([(1, "one two three", "en", "s", 13), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2] and [list(r.ids) for r in rows if r.doc_id == 2] == [[2]]
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
 def test_language_stage_without_labels(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     stage = dict(corpus_pipeline.STAGES)["language_id"]
