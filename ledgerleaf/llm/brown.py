@@ -5,10 +5,12 @@ counts, so what is shuffled and joined is a block's vocabulary and not its token
 
 1. Counts of all training words, from the blocks' lists; N and V from these.
 2. Bigram counts, over all training text, of the `HEAD` most frequent words. Exchange clustering moves each of these to
-   the class that raises the class-bigram likelihood most, until a round moves none. Words outside the head form classes
-   beside these by their longest known ending, a rule learned from the head.
-3. Class transitions over all training tokens, and the number of training words and tokens of each class.
-4. Each block's words meet their counts in a join, and the block's documents are scored with that small dictionary.
+   the class that raises the class-bigram likelihood most, until a round moves none or `SWEEPS` rounds are done.
+3. Every other training word is assigned by the same gain, in one batch, from the classes of its neighbours in the head,
+   counted over all training text. Words that never stand beside a head word, and unseen words, form classes beside
+   these by their longest known ending, a rule learned from the head.
+4. Each block's words meet their counts and classes in a join, and its documents are written as counts and classes.
+5. Class transitions over all training tokens, the number of training words and tokens of each class, and the scores.
 
 p(w | previous) = MIX * p(class of w | class of previous) * p(w | class of w) + (1 - MIX) * p(w); all three are
 add-one smoothed, with one unseen word in each class and in the whole.
@@ -39,6 +41,8 @@ MIX = 0.7
 ENDINGS = (4, 3, 2, 1)
 BLOCK_BYTES = 8 << 20
 CACHE = 300_000
+#: Neighbours that a task counts before it sends them on.
+FLUSH = 1_500_000
 MARKS = b".,;:!?\"'()[]|%$#&*"
 
 
@@ -89,8 +93,27 @@ def exchange(w: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     return of
 
 
+def gains(t: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Exchange gain of each class, less what all classes share, for words that have none yet; `t`: class bigrams; `word` rises from 0 without gaps.
+
+    A cell is j where n tokens of class j follow the word, and classes + j where they precede it.
+    """
+    k, words = len(t), int(word[-1]) + 1
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    table = np.vstack([t.T, t])  # row of a cell: what each class has there
+    begins = np.flatnonzero(np.r_[True, np.diff(word) > 0])
+    at = table[cell]
+    gain = np.add.reduceat(f(at + n[:, None]) - f(at), begins)
+    both = np.zeros((words, 2 * k))
+    both[word, cell] = n
+    row, col, diag = both[:, :k], both[:, k:], np.diag(t)
+    gain += f(diag + row + col) + f(diag) - f(diag + row) - f(diag + col)
+    out, into = t.sum(1) + col, t.sum(0) + row  # the neighbours' tokens count whatever class the word gets
+    return gain - f(out + row.sum(1, keepdims=True)) + f(out) - f(into + col.sum(1, keepdims=True)) + f(into)
+
+
 class Classes:
-    """Class of any word: its own if it is in the head, else one beside that of its longest known ending; the end's is last."""
+    """Class of a word without one by its neighbours: its own if it is in the head, else one beside that of its longest known ending; the end's is last."""
 
     def __init__(self, head: list[bytes], counts: list[int], of: np.ndarray):
         self.n = int(of.max(initial=0)) + 1
@@ -175,19 +198,71 @@ def head_bigrams(train: DataFrame, head: list[bytes]) -> np.ndarray:
     return _sum_matrix(train.select("text").mapInArrow(run, "a int, b int, n long"), size)
 
 
-def transitions(train: DataFrame, classes: Classes) -> np.ndarray:
-    """Counts of (class of the previous token, class); a text begins after an end."""
-    sent, size = train.sparkSession.sparkContext.broadcast(classes), len(classes)
+def neighbours(train: DataFrame, classes: Classes) -> DataFrame:
+    """word, cell, n: how often head words of each class stand beside each word outside the head; cells as in `gains`."""
+    sent, k = train.sparkSession.sparkContext.broadcast(classes.head), classes.n
+
+    def flush(ids: dict[bytes, int], cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell, n = np.unique(np.concatenate([*cells, np.zeros(0, np.int64)]), return_counts=True)
+        words = pa.array(list(ids), pa.binary()).cast(pa.string())
+        for s in range(0, len(cell), 50_000):
+            part = cell[s : s + 50_000]
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(part // (2 * k))), pa.array((part % (2 * k)).astype(np.int32)), pa.array(n[s : s + 50_000])], ["word", "cell", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, m = sent.value, np.zeros(size * size, np.int64)
+        get, ids, cells, size = sent.value.get, {}, [], 0
         for batch in batches:
             for data in batch.column(0):
-                of = np.array([c.end, *map(c.of, words_of(data.as_py())), c.end], np.int64)
+                words = words_of(data.as_py())
+                of = np.array([-1, *(get(w, -1) for w in words), -1], np.int64)
+                own = of[1:-1] < 0
+                after, before = np.flatnonzero(own & (of[2:] >= 0)), np.flatnonzero(own & (of[:-2] >= 0))
+                at = lambda i: np.array([ids.setdefault(words[j], len(ids)) for j in i.tolist()], np.int64) * (2 * k)  # noqa: E731, B023
+                cells += [at(after) + of[after + 2], at(before) + k + of[before]]
+                size += len(after) + len(before)
+                if size > FLUSH:
+                    yield from flush(ids, cells)
+                    ids, cells, size = {}, [], 0
+        yield from flush(ids, cells)
+
+    # dealt by the word alone, so that its cells lie together for `assign` without another exchange
+    return train.select("text").mapInArrow(run, "word string, cell int, n long").repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+
+
+def assign(beside: DataFrame, t: np.ndarray) -> DataFrame:
+    """word, class: the class of greatest gain for each word of `neighbours`."""
+    sent = beside.sparkSession.sparkContext.broadcast(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 2_000) for i in range(0, whole.num_rows, 2_000)):
+                lists = batch.columns[1:]
+                word = np.repeat(np.arange(batch.num_rows), lists[0].value_lengths().to_numpy())
+                best = gains(sent.value, word, lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy().astype(float)).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], ["word", "class"])
+
+    listed = beside.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most two cells a class
+    return listed.select("word", F.col("cells.cell").alias("cell"), F.col("cells.n").alias("n")).mapInArrow(run, "word string, class int")
+
+
+def transitions(train: DataFrame, size: int, end: int) -> np.ndarray:
+    """Counts of (class of the previous token, class) of encoded texts; a text begins after an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for tokens in batch.column(0):
+                of = np.r_[end, tokens.values.to_numpy() % size]
                 m += np.bincount(of[:-1] * size + of[1:], minlength=size * size)
         yield _matrix_rows(m.reshape(size, size))
 
-    return _sum_matrix(train.select("text").mapInArrow(run, "a int, b int, n long"), size)
+    return _sum_matrix(train.select("tokens").mapInArrow(run, "a int, b int, n long"), size)
+
+
+def class_of(c: Classes, words: pa.Array, given: pa.Array) -> np.ndarray:
+    """The class that a word was given, else the one that `c` has for it."""
+    pairs = zip(words.cast(pa.binary()).to_pylist(), given.to_pylist())
+    return np.fromiter((k if k is not None else c.end if w == END.encode() else c.of(w) for w, k in pairs), np.int64, len(words))
 
 
 def class_sizes(vocabulary: DataFrame, classes: Classes) -> np.ndarray:
@@ -197,12 +272,11 @@ def class_sizes(vocabulary: DataFrame, classes: Classes) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, n = sent.value, np.zeros(size, np.int64)
         for batch in batches:
-            for w in batch.column(0).cast(pa.binary()).to_pylist():
-                n[c.end if w == END.encode() else c.of(w)] += 1
+            n += np.bincount(class_of(c, batch.column(0), batch.column(1)), minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(n)], ["a", "n"])
 
     out = np.zeros(size)
-    for r in vocabulary.select("word").mapInArrow(run, "a int, n long").groupBy("a").agg(F.sum("n").alias("n")).collect():
+    for r in vocabulary.select("word", "class").mapInArrow(run, "a int, n long").groupBy("a").agg(F.sum("n").alias("n")).collect():
         out[r["a"]] = r["n"]
     return out
 
@@ -223,36 +297,50 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(head).collect()
     train = rows.where("not held_out")
     names = [r["word"].encode() for r in top]
-    classes = Classes(names, [r["c"] for r in top], exchange(head_bigrams(train, names), n_classes))
-    steps = transitions(train, classes)
-    of_class = steps.sum(0)
-    sizes = class_sizes(counts, classes)
-    log_step = np.log(steps + 1) - np.log(steps.sum(1, keepdims=True) + len(classes))
-    model = sc.broadcast((classes, log_step, np.log(of_class + sizes + 1)))
+    pairs = head_bigrams(train, names)
+    classes = Classes(names, [r["c"] for r in top], exchange(pairs, n_classes))
+    if names:
+        z = np.eye(classes.n)[[classes.head[w] for w in names]]
+        given = materialize(assign(neighbours(train, classes), z.T @ pairs @ z), "word-classes")
+        counts = materialize(counts.join(given, "word", "left"), "classed-counts")
+    else:
+        counts = counts.withColumn("class", F.lit(None).cast("int"))
+    size, end = len(classes), classes.end
+    sent = sc.broadcast(classes)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        cls, step, of = model.value
-        words = known.column("word").cast(pa.binary()).to_pylist()
-        at = {w: i for i, w in enumerate(words)}
-        c = np.array(known.column("c").to_numpy(), float)
-        k = np.fromiter((cls.end if w == END.encode() else cls.of(w) for w in words), np.int64, len(words))
-        uni = np.log(c + 1) - np.log(tokens + vocabulary + 1)
-        emit = np.log(c + 1) - of[k]
-        end = at[END.encode()]
-        cols: list[list] = [[], [], [], []]
-        for data in texts.column("text"):
-            ids = np.array([*map(at.__getitem__, words_of(data.as_py())), end], np.int64)
-            now = k[ids]
-            last = np.r_[cls.end, now[:-1]]
-            p = np.logaddexp(np.log(mix) + step[last, now] + emit[ids], np.log1p(-mix) + uni[ids]) if tokens else np.zeros(len(ids))
-            for col, v in zip(cols, (len(ids), int((c[ids] > 0).sum()), float(np.sum(uni[ids]) / np.log(10)), float(p.sum() / np.log(10)))):
-                col.append(v)
-        n = len(texts)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
-
-    known = listed.select("block", "word").join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c")).repartition(blocks, "block")
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def encode(texts: pa.Table, known: pa.Table) -> pa.Table:
+        """Each token as count * classes + class."""
+        words = known.column("word").combine_chunks()
+        k = class_of(sent.value, words, known.column("class").combine_chunks())
+        code = known.column("c").to_numpy().astype(np.int64) * size + k
+        at = {w: i for i, w in enumerate(words.cast(pa.binary()).to_pylist())}
+        last = at[END.encode()]
+        tokens = [code[[*map(at.__getitem__, words_of(data.as_py())), last]] for data in texts.column("text")]
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+
+    known = listed.select("block", "word").join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"), "class").repartition(blocks, "block")
+    encoded = materialize(dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(encode, f"doc_id {kind}, held_out boolean, tokens array<long>"), "encoded")
+    steps = transitions(encoded.where("not held_out"), size, end)
+    log_step = np.log(steps + 1) - np.log(steps.sum(1, keepdims=True) + size)
+    model = sc.broadcast((log_step, np.log(steps.sum(0) + class_sizes(counts, classes) + 1)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, of = model.value
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for data in batch.column(2):
+                c, now = np.divmod(data.values.to_numpy(), size)
+                seen = np.log(c + 1.0)
+                uni = seen - np.log(tokens + vocabulary + 1)
+                last = np.r_[end, now[:-1]]
+                p = np.logaddexp(np.log(mix) + step[last, now] + seen - of[now], np.log1p(-mix) + uni) if tokens else np.zeros(len(c))
+                for col, v in zip(cols, (len(c), int((c > 0).sum()), float(uni.sum() / np.log(10)), float(p.sum() / np.log(10)))):
+                    col.append(v)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(np.full(n, tokens, np.int64)), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return encoded.select("doc_id", "held_out", "tokens").mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,30 @@ def test_exchange_raises_likelihood():
     assert all(len(set(of[true == c])) == 1 for c in range(4)) and len(set(of)) == 4
 
 
+def test_rare_words_are_classed_by_their_neighbours(spark):
+    rng = np.random.default_rng(1)
+    t = rng.poisson(30, (4, 4)).astype(float)
+    cells = [(0, 1, 3), (0, 4, 2), (0, 5, 1), (1, 6, 4)]
+    got = brown.gains(t, *np.array([c[:2] for c in cells]).T, np.array([c[2] for c in cells], float))
+    f = lambda m: sum(x * math.log(x) for x in np.ravel(m) if x > 0)
+    likelihood = lambda m: f(m) - f(m.sum(0)) - f(m.sum(1))
+    for w in range(2):
+        want = []
+        for b in range(4):
+            m = t.copy()
+            for word, cell, n in cells:
+                if word == w:
+                    m[(b, cell) if cell < 4 else (cell - 4, b)] += n
+            want.append(likelihood(m))
+        assert got[w] - got[w, 0] == pytest.approx(np.array(want) - want[0])
+    # words with the same ending, told apart by what stands beside them
+    head = {b"a": 0, b"b": 1}
+    classes = brown.Classes([*head], [9, 9], np.array([0, 1]))
+    df = spark.createDataFrame([(bytearray(f"a x{i}z a b y{i}z b".encode()),) for i in range(50)], "text binary")
+    of = {r["word"]: r["class"] for r in brown.assign(brown.neighbours(df, classes), np.array([[2.0, 90], [90, 2]])).collect()}
+    assert of == {f"{w}{i}z": c for i in range(50) for w, c in (("x", 1), ("y", 0))}
+
+
 def test_url_filter(spark):
     urls = ["https://example.com/en/7?x", "HTTP://A.COM/en/1", "http://WWW.x.org/p.html", "http://x.org/p/", "no url", None, "", "http://h", "http://example.net/de/8#f", "ftp://n.net/de/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
