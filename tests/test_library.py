@@ -149,3 +149,10 @@ def test_text_list(spark):
 
     rows = spark.createDataFrame([('["a", "b"]',), ("{}",), ("no",), (None,), ("",)], "c string")
     assert [r[0] for r in rows.select(queue.text_list(F.col("c"))).collect()] == [["a", "b"], [], [], [], []]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_coe13_sends_lengths_not_texts(spark):
+    plan = catalog.QUERIES["COE-13"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    collected = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert "content_text" not in collected and "chars" in collected
