@@ -2,15 +2,16 @@
 
 Base spans come from four fixed patterns. Suspicious tokens (with a digit, `@` or `+`, or equal to the local part of an
 address found in the text) are the nodes of a field: tokens inside base spans are observed, the others have a node
-potential by the shape of the token, learned as log shares of labels over all documents (a small table: one row for each
-shape and label). Neighbouring tokens share a chain edge; distant tokens that repeat or resemble each other share a skip
-edge that favours equal labels. Each occurrence of a key is linked to the key's anchors, its first observed occurrence
-of each kind (without one, to its first occurrence), so evidence reaches every repeat in one step and edges grow with
-tokens. Loopy message passing gives marginals, and a token whose best label is an entity is added with that kind; base
-spans stay.
+potential by the token's shape and by the word before it. Neighbouring tokens share a chain edge; distant tokens that
+repeat or resemble each other share a skip edge. Each occurrence of a key is linked to the key's anchors, its first
+observed occurrence of each kind (without one, to its first occurrence), so evidence reaches every repeat in one step
+and edges grow with tokens. Loopy message passing gives marginals, and a token whose best label is an entity is added
+with that kind; base spans stay.
 
-`MISSED` is the share of entities that patterns are taken to miss: without it, labels made by the patterns could never
-add anything. A token is so added only where an observed entity in its document supports it.
+All potentials are learned piece by piece from counts over all documents, labelled by the patterns: log shares of labels
+by shape, the pull of the word before (in hashed groups), and for each sort of edge how much more often two labels meet
+than by chance. The tables are small and of fixed size, whatever the corpus. Patterns miss entities, so a share `MISSED`
+of each label share goes evenly to the kinds: labels made by the patterns could else never add anything.
 
 Defined results: a null text counts as empty; repeated rows each get their row; an empty table gives no rows; only the
 id and text columns are used.
@@ -19,6 +20,7 @@ id and text columns are used.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,11 +42,17 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NODE = re.compile(r"[0-9@+]\S*")
 TOKEN = re.compile(r"\S+")
+IP_PARTS = re.compile(r"[0-9]+")
 EDGE_MARKS = " \t\r\n.,;:!?()[]{}<>\"'|#$%&*=~`"
 
 MISSED = 0.02
-CHAIN_WEIGHT = 0.5
-SKIP_WEIGHT = 6.0
+#: Groups of preceding words, and observations that a group's label shares are drawn towards the common shares by.
+GROUPS, DRAW = 512, 20
+#: Counts of label pairs that edges begin with: chain edges know nothing, occurrences of one key are mostly alike.
+CHAIN_PRIOR = np.full((5, 5), 1.0)
+SKIP_PRIOR = np.full((5, 5), 0.02) + 4 * np.eye(5)
+#: A learned pull is at most this strong, so that few counts make no certainty.
+PULL = 8.0
 #: Log potential of what an observed token isn't: no number of repeats may outvote it.
 HELD = -1e9
 #: Messages run until they settle; the bound is for fields that swing.
@@ -113,9 +121,16 @@ def nodes_of(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int
 
 
 def shape(token: str) -> str:
-    """A token's shape: a few hundred values in all."""
-    n = sum(c in "0123456789" for c in token)
-    return f"{min(n, 20)}{'@' * ('@' in token)}{'+' * token.startswith('+')}{'a' * any(c.isalpha() for c in token)}{'.' * min(3, token.count('.'))}{'-' * min(2, token.count('-'))}"
+    """A token's shape, a few hundred values in all; a number of a card's length that fails the card test, or parts above 255, show in it."""
+    d = digits_of(token)
+    bad = (12 <= len(d) <= 19 and not luhn(d)) or (token.count(".") == 3 and any(len(x) > 3 or int(x) > 255 for x in IP_PARTS.findall(token)))
+    return f"{min(len(d), 20)}{'@' * ('@' in token)}{'+' * token.startswith('+')}{'a' * any(c.isalpha() for c in token)}{'.' * min(3, token.count('.'))}{'-' * min(2, token.count('-'))}{'!' * bad}"
+
+
+def group_before(text: str, start: int) -> int:
+    """The hashed group of the word before a token."""
+    before = text[max(0, start - 40) : start].rstrip(EDGE_MARKS).split()
+    return zlib.crc32(before[-1].strip(EDGE_MARKS).lower().encode(errors="replace")) % GROUPS if before else 0
 
 
 def keys(token: str) -> list[str]:
@@ -130,8 +145,8 @@ def keys(token: str) -> list[str]:
     return out
 
 
-def skip_edges(text: str, nodes: list[tuple[int, int]], labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Each unobserved occurrence of a key with the key's first observed occurrence of each kind; without one, with the first of all."""
+def skip_edges(text: str, nodes: list[tuple[int, int]], labels: np.ndarray, base: list[tuple[int, int, int]], every: bool = False) -> list[tuple[int, int]]:
+    """Each unobserved (or `every`) occurrence of a key with the key's first observed occurrence of each kind; without one, with the first of all."""
     members: dict[str, list[int]] = {}
     for i, (s, e) in enumerate(nodes):
         for k in keys(text[s:e]):
@@ -148,7 +163,7 @@ def skip_edges(text: str, nodes: list[tuple[int, int]], labels: np.ndarray, base
             if labels[i] < len(KINDS):
                 anchors.setdefault(int(labels[i]), i)
         ends = anchors.values() or found[:1]
-        out.update((a, i) for i in found if labels[i] == len(KINDS) for a in ends if a != i)
+        out.update((a, i) for i in found if every or labels[i] == len(KINDS) for a in ends if a != i)
     return sorted(out)
 
 
@@ -168,18 +183,19 @@ def labels_of(nodes: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
     return out
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Loopy belief propagation in the log domain; an edge favours equal labels by its weight."""
+def marginals(unary: np.ndarray, edges: np.ndarray, pulls: np.ndarray) -> np.ndarray:
+    """Log beliefs of loopy message passing; `pulls`: a table of log potentials (label of a, label of b) for each edge (a, b)."""
+    belief = unary.copy()
+    if not len(edges):
+        return belief
     a, b = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-    w = np.r_[weight, weight][:, None]
+    w = np.exp(np.concatenate([pulls, pulls.transpose(0, 2, 1)]))
     back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
     msg = np.zeros((len(a), unary.shape[1]))
-    belief = unary.copy()
     for _ in range(ROUNDS):
         gone = belief[a] - msg[back]
         gone -= gone.max(1, keepdims=True)
-        p = np.exp(gone)
-        new = np.log(p.sum(1, keepdims=True) + p * np.expm1(w))
+        new = np.log(np.einsum("ei,eij->ej", np.exp(gone), w))
         new -= new.max(1, keepdims=True)
         moved = DAMPING * msg + (1 - DAMPING) * new
         done = np.abs(moved - msg).max(initial=0) < 1e-4
@@ -191,33 +207,62 @@ def marginals(unary: np.ndarray, edges: np.ndarray, weight: np.ndarray) -> np.nd
     return belief
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], shares: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
-    """Spans of the field that no base span meets. Without an observed entity no token can pass, so nothing is run."""
-    if not base:
-        return []
+def field(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
+    """Nodes, their labels by the patterns, chain edges and skip edges of a text."""
     nodes = nodes_of(text, base)
     labels = labels_of(nodes, base)
-    if not (labels == len(KINDS)).any():
-        return []
-    tokens = [text[s:e] for s, e in nodes]
     chain = [(i - 1, i) for i in range(1, len(nodes)) if not text[nodes[i - 1][1] : nodes[i][0]].strip(EDGE_MARKS)]
-    skip = skip_edges(text, nodes, labels, base)
-    pairs, weight = chain + skip, [CHAIN_WEIGHT] * len(chain) + [SKIP_WEIGHT] * len(skip)
-    if not pairs:
-        return []
-    flat = np.log(np.full(len(LABELS), MISSED / len(KINDS)))
-    flat[-1] = np.log(1 - MISSED)
-    unary = np.array([np.maximum(shares.get(shape(t), flat), flat - np.log(2)) for t in tokens])
-    unary[:, -1] = np.maximum(unary[:, -1], flat[-1])
+    return nodes, labels, chain, skip_edges(text, nodes, labels, base)
+
+
+class Model:
+    """Log potentials from counts {(sort, a, b): n}; sorts: shape and label, group and label, chain and skip label pairs."""
+
+    def __init__(self, counts: dict[tuple[str, str, int], int]):
+        k = len(LABELS)
+        shapes: dict[str, np.ndarray] = {}
+        groups, chain, skip = np.zeros((GROUPS, k)), CHAIN_PRIOR.copy(), SKIP_PRIOR.copy()
+        for (sort, a, b), n in counts.items():
+            if sort == "shape":
+                shapes.setdefault(a, np.full(k, 0.2))[b] += n
+            else:
+                {"group": groups, "chain": chain, "skip": skip}[sort][int(a), b] += n
+        spread = np.r_[np.full(k - 1, 1 / (k - 1)), 0]
+        seen = lambda share: (1 - MISSED) * share + MISSED * spread
+        share = lambda n: seen(n / n.sum(-1, keepdims=True))
+        self.shapes = {a: np.log(share(n)) for a, n in shapes.items()}
+        self.flat = np.log(seen(np.eye(k)[-1]))
+        common = share(groups.sum(0) + 1)
+        self.groups = np.clip(np.log((groups @ np.eye(k) + DRAW * common) / (groups.sum(1, keepdims=True) + DRAW) / common), -PULL, PULL)
+        self.chain, self.skip = (self.pull(n) for n in (chain, skip))
+
+    @staticmethod
+    def pull(n: np.ndarray) -> np.ndarray:
+        """How much more often two labels meet than by chance, alike in both directions."""
+        n = n + n.T
+        side = n.sum(1)
+        return np.clip(np.log(n * n.sum() / np.outer(side, side)), -PULL, PULL)
+
+    def unary(self, text: str, nodes: list[tuple[int, int]]) -> np.ndarray:
+        return np.array([self.shapes.get(shape(text[s:e]), self.flat) + self.groups[group_before(text, s)] for s, e in nodes])
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:
+    """Spans of the field that no base span meets."""
+    nodes, labels, chain, skip = field(text, base)
     observed = labels < len(KINDS)
+    if observed.all():
+        return []  # nothing is left to label
+    unary = model.unary(text, nodes)
     unary[observed] = HELD
     unary[observed, labels[observed]] = 0
-    best = marginals(unary, np.array(pairs), np.array(weight, float)).argmax(1)
+    pulls = np.concatenate([np.broadcast_to(t, (len(e), *t.shape)) for t, e in ((model.chain, chain), (model.skip, skip))])
+    best = marginals(unary, np.array(chain + skip, int).reshape(-1, 2), pulls).argmax(1)
     return [(s, int(k), e) for (s, e), k, o in zip(nodes, best, observed) if not o and k < len(KINDS)]
 
 
-def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Log shares of labels by shape, from counts over every text of `docs` (column text)."""
+def learn(docs: DataFrame) -> Model:
+    """The field's potentials, from counts over every text of `docs` (column text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -226,15 +271,16 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
                 text = text.as_py()
                 if text:
                     base = base_spans(text)
-                    nodes = nodes_of(text, base)
-                    seen.update(zip([shape(text[s:e]) for s, e in nodes], labels_of(nodes, base).tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["shape", "label", "n"])
+                    nodes, labels, chain, skip = field(text, base)
+                    of = labels.tolist()
+                    seen.update(("shape", shape(text[s:e]), k) for (s, e), k in zip(nodes, of))
+                    seen.update(("group", str(group_before(text, s)), k) for (s, _), k in zip(nodes, of))
+                    seen.update(("chain", str(of[a]), of[b]) for a, b in chain)
+                    seen.update(("skip", str(of[a]), of[b]) for a, b in skip_edges(text, nodes, labels, base, True))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["sort", "a", "b", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "shape string, label int, n long").groupBy("shape", "label").agg(F.sum("n").alias("n"))
-    counts: dict[str, np.ndarray] = {}
-    for r in rows.collect():  # a bounded table: shapes are made of a few small counts
-        counts.setdefault(r["shape"], np.full(len(LABELS), 0.2))[r["label"]] += r["n"]
-    return {k: np.log(v / v.sum()) for k, v in counts.items()}
+    rows = docs.select("text").mapInArrow(count, "sort string, a string, b int, n long").groupBy("sort", "a", "b").agg(F.sum("n").alias("n"))
+    return Model({(r["sort"], r["a"], r["b"]): r["n"] for r in rows.collect()})  # a bounded table: shapes are made of a few small counts
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +309,11 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
+def count_of(spans: Column, rank: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["rank"] == F.lit(rank))).cast("long")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS)]
+    counts = [count_of(F.col("base"), r).alias(f"n_{k}") for r, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))

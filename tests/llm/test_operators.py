@@ -1,10 +1,14 @@
 """Each operator against brute force on small made-up tables: nulls, blanks, ties, repeats, long texts, empty tables."""
 
+import hashlib
+import itertools
 import json
 import math
+import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -190,14 +194,71 @@ def test_pii_reaches_every_repeat(repeats):
         text = seen + f", then ({missed}) again" * repeats
         base = pii.base_spans(text)
         assert len(base) == 1
-        nodes = pii.nodes_of(text, base)
-        n = np.full(len(pii.LABELS), 0.2)
-        for label in pii.labels_of(nodes, base):
-            n[label] += 1
-        shares = {pii.shape(text[s:e]): np.log(n / n.sum()) for s, e in nodes}
-        added = pii.added_spans(text, base, shares)
+        nodes, labels, _, skip = pii.field(text, base)
+        added = pii.added_spans(text, base, pii.Model(Counter(("shape", pii.shape(text[s:e]), int(k)) for (s, e), k in zip(nodes, labels))))
         assert [text[s:e] for s, _, e in added] == [missed] * repeats and {k for _, k, _ in added} == {base[0][1]}
-        assert len(pii.skip_edges(text, nodes, pii.labels_of(nodes, base), base)) <= 4 * len(nodes)
+        assert len(skip) <= 4 * len(nodes)
+
+
+def plain_spans(text):
+    """The base spans by the contract's patterns alone."""
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+    check = lambda d: sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+    out = [(m.start(), 0, m.end()) for m in email.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in ip.finditer(text) if all(int(p) < 256 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in card.finditer(text) if 12 <= len(d := digits(m[0])) <= 19 and check(d)]
+    out += [(m.start(), 3, m.end()) for m in phone.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_pii_query_by_brute_force(spark, tmp_path):
+    """Every column of the query, on the smallest table and on made-up texts of each kind, alone and together."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rng = random.Random(9)
+    bits = ["a.b@ex.org", "10.0.0.1", "300.1.1.1", "4539578763621486", "4539 5787 6362 1486", "4539578763621487", "+1 (212) 555-0199", "+1 2", "x", "12", "é"]
+    made = [(10_000 + i, " ".join(rng.choices(bits, k=rng.randrange(6)))) for i in range(200)] + [(20_000, None), (20_000, None), (None, "4539578763621486 10.0.0.1")]
+    docs.unionByName(spark.createDataFrame(made, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    text = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    want = []
+    for i, t in text:
+        base = plain_spans(t)
+        line = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        want.append((str(i), *[sum(k == r for _, k, _ in base) for r in range(4)], hashlib.sha256(line.encode()).hexdigest()))
+    rows = pii.op5_pii(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows) == sorted(want)
+    assert sum(map(sum, (w[1:5] for w in want))) > 100
+    for r in rows:  # base spans stay among all spans, which lie in order
+        spans = [(int(s), pii.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert spans == sorted(spans) and set(plain_spans(dict(text)[r.doc_id])) <= set(spans)
+
+
+def test_marginals_like_enumeration():
+    """Exact on trees; on a small loop the best labels agree."""
+    rng = np.random.default_rng(5)
+    for n, edges in ((1, []), (4, [(0, 1), (1, 2), (1, 3)]), (5, [(0, 1), (1, 2), (2, 3), (3, 4)]), (4, [(0, 1), (1, 2), (2, 3), (3, 0)])):
+        unary, pulls = rng.normal(size=(n, 3)), rng.normal(size=(len(edges), 3, 3)) / 2
+        p = np.zeros((n, 3))
+        for labels in itertools.product(range(3), repeat=n):
+            x = np.exp(sum(unary[i, k] for i, k in enumerate(labels)) + sum(pulls[e][labels[a], labels[b]] for e, (a, b) in enumerate(edges)))
+            for i, k in enumerate(labels):
+                p[i, k] += x
+        got = np.exp(pii.marginals(unary, np.array(edges, int).reshape(-1, 2), pulls))
+        got, p = got / got.sum(1, keepdims=True), p / p.sum(1, keepdims=True)
+        assert np.allclose(got, p, atol=1e-3 if len(edges) < n else 0.03)
+
+
+def test_pulls_are_learned():
+    """Labels that meet more often than by chance pull each other, others push; words before a token count too."""
+    counts = {("chain", "1", 1): 50, ("chain", "1", 4): 1, ("chain", "4", 4): 500, ("group", str(zlib.crc32(b"ip") % pii.GROUPS), 1): 80, ("group", "3", 4): 900, ("shape", "8...!", 4): 50}
+    model = pii.Model(counts)
+    assert model.chain[1, 1] > 1 > 0 > model.chain[1, 4]
+    assert pii.added_spans("ip 999.1.1.300", [], model) == [] and pii.added_spans("", [], model) == []
+    strong = pii.Model({**counts, ("shape", "3@a...", 0): 2000})
+    text = "from a99.x.y.z1@mail"  # no observed entity, yet its shape says what it is
+    assert [(text[s:e], k) for s, k, e in pii.added_spans(text, pii.base_spans(text), strong)] == [("a99.x.y.z1@mail", 0)]
 
 
 def test_base_spans_like_the_patterns():
