@@ -1,13 +1,24 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, asked with every training passage.
 
-Test items are the indexed side: a bounded index (at most `max_items` items, else several that are asked in turn) goes
-to every task. A document is cut into passages of twice the longest item's words, half overlapping, so an item's copy
-always lies whole in one. Scores are divided by the score that an item gives itself, which makes one threshold fit all.
+Test items are the indexed side. Their number, mean length, longest length and each term's document frequency are taken
+over the whole list by aggregation, so that a score doesn't depend on how the list is split. The list is split by a hash
+of the text into parts of bounded size; each part's index is built where its items lie and written to the shared folder.
+Bundles of indexes, up to `PASS_BYTES` together, go to every task, which asks one after the other with the same texts:
+one pass over the documents for each bundle, which is one pass in all up to some hundred thousand items.
+
+A document is cut into passages of two and a half times the longest item's words, half overlapping, so an item's copy
+lies whole in one even with a fifth more words in it. A hit counts if the shingles of the item's question and of its
+answer (the part after the last `?`) both occur in the passage, `OVERLAP` or more of each. A question or answer of fewer
+than `SHORT` words is held by its words instead, one or a fifth of them missing at most, and the shingles of the item as
+a whole decide; so do they alone where an item has no question mark.
+
+Each item has its own threshold: the least score that a passage can have which passes this check, that is the item's
+own score less its heaviest terms, as many as may be missing. So no verified pair is lost before the check. Weights are
+divided by that threshold, which makes it 1 for all.
 
 Block-max WAND in two steps. First, for all passages of a batch at once, the sums of each term's block maxima give an
 upper bound for each block of items; a block below the threshold is skipped. What is left runs WAND over the postings,
-with the same block maxima, and returns every item at or above the threshold. A hit counts only if the shingles of the
-item's question and of its answer both occur in the passage (0.8 or more of them).
+with the same block maxima, and returns every item at or above the threshold.
 
 Defined results: a null or blank text or item matches nothing; repeated rows and items each get their rows; either
 table may be empty; other columns of `docs` pass through `clean` untouched and don't matter elsewhere.
@@ -15,10 +26,13 @@ table may be empty; other columns of `docs` pass through `clean` untouched and d
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,68 +40,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
+OVERLAP, SHINGLE, SHORT = 0.8, 5, 10
 BLOCK = 8
-#: The block maxima are a dense table of terms and blocks, some 40 MB for so many short items.
-MAX_ITEMS = 4_096
+#: Bounds of a part: the block maxima of a loaded index are a dense table of terms and blocks, some 60 MB for so many.
+MAX_ITEMS, MAX_WORDS = 4_096, 400_000
+#: Bytes of written indexes that are sent to the tasks at once.
+PASS_BYTES = 128 << 20
 #: Words of a batch that are scored at once.
 CHUNK = 400_000
 #: Cells (words of a passage times blocks) whose bounds are summed at once.
 CELLS = 1 << 24
 
 
-def question_answer(text: str) -> tuple[str, str]:
-    """The part up to the last `?`, or all but the last sentence, and the rest; one sentence alone is the question."""
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def question_answer(text: str) -> list[str]:
+    """The part up to the last `?` and the rest, or the text alone where either would be empty."""
     at = text.rfind("?") + 1
-    if not text[at:].strip() or not at:
-        ends = [m.end() for m in re.finditer(r"[.!?](?=\s)", text.rstrip())]
-        at = ends[-1] if ends else len(text)
-    return text[:at], text[at:]
+    return [text[:at], text[at:]] if words_of(text[:at]) and words_of(text[at:]) else [text]
+
+
+def shingles(words: list[str], k: int = SHINGLE) -> list[tuple[str, ...]]:
+    return [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+
+
+def needed(n: int, overlap: float = OVERLAP) -> int:
+    return math.ceil(overlap * n - 1e-9)
 
 
-def shingles(words: list[str], k: int = SHINGLE) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+class Item:
+    """What a passage must hold of an item; `lost` is how many of its terms may be missing at most."""
+
+    def __init__(self, text: str, overlap: float = OVERLAP):
+        parts = [words_of(p) for p in question_answer(text)]
+        self.short = [w for w in parts if len(parts) > 1 and len(w) < SHORT]
+        self.long = [shingles(w) for w in ([sum(parts, [])] if self.short else parts)]
+        self.need = [needed(len(s), overlap) for s in self.long]
+        self.lost = sum(len(s) - n for s, n in zip(self.long, self.need))
+
+    def held(self, words: set[str], grams: Callable[[int], set]) -> tuple[float, float] | None:
+        """(question overlap, answer overlap) in a passage, if it holds the item."""
+        shares = []
+        for s, n in zip(self.long, self.need):
+            have = sum(g in grams(len(s[0])) for g in s)
+            if have < n:
+                return None
+            shares.append(have / len(s))
+        for w in self.short:
+            have = sum(x in words for x in w)
+            if len(w) - have > max(len(w) > 2, len(w) // 5):
+                return None
+            shares.append(have / len(w))
+        return shares[0], shares[-1]
 
 
 class Index:
-    """Postings by term in item order, with weights over the item's own score, and each term's maximum in each block."""
-
-    def __init__(self, items: list[tuple[object, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP):
-        self.threshold, self.overlap = threshold, overlap
-        words = [(i, WORD.findall(t.lower()), t) for i, t in items if t]
-        words = [x for x in words if x[1]]
-        self.ids = [i for i, _, _ in words]
-        self.parts = [[s for p in question_answer(t) if (s := shingles(WORD.findall(p.lower())))] for _, _, t in words]
-        n, lengths = len(words), [len(w) for _, w, _ in words]
-        self.longest, mean = max(lengths, default=1), sum(lengths) / max(1, n)
-        df = Counter(t for _, w, _ in words for t in set(w))
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for d, (_, w, _) in enumerate(words):
+    """Postings by term in item order, with weights over the item's threshold, and each term's maximum in each block.
+
+    `n`, `mean`, `width` and `df` are those of the whole list; without them the given items are the list.
+    """
+
+    def __init__(self, ids: pa.Array, texts: list[str], df: dict[str, int] | None = None, n: int | None = None, mean: float | None = None, longest: int | None = None, overlap: float = OVERLAP):
+        words = [words_of(t) for t in texts]
+        df = df or Counter(t for w in words for t in set(w))
+        n, mean = n or len(texts), mean or sum(map(len, words)) / max(1, len(words))
+        self.ids, self.items = ids, [Item(t, overlap) for t in texts]
+        self.half = math.ceil(1.25 * (longest or max(map(len, words), default=1)))
+        self.terms = {t: k for k, t in enumerate(sorted({t for w in words for t in w}))}
+        postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        self.share = []  # of its own score that an item's threshold is
+        for d, (w, item) in enumerate(zip(words, self.items)):
             tf = Counter(w)
-            raw = {t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
-            own = sum(raw.values())
+            raw = {t: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
+            own, heaviest = sum(raw.values()), sorted(raw.values(), reverse=True)
+            least = max(own - sum(heaviest[: item.lost]), own / 100)
+            self.share.append(least / own)
             for t, x in raw.items():
-                self.postings[self.terms[t]].append((d, x / own))
-        self.blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(self.terms), max(1, self.blocks)), np.float32)
-        for t, post in enumerate(self.postings):
-            for d, x in post:
-                self.block_max[t, d // BLOCK] = max(self.block_max[t, d // BLOCK], np.nextafter(np.float32(x), np.float32(2)))
-        self.peak = self.block_max.max(axis=1).tolist()
+                postings[self.terms[t]].append((d, x / least))
+        self.blocks = max(1, -(-len(texts) // BLOCK))
+        self.begin = array("q", np.r_[0, np.cumsum([len(p) for p in postings], dtype=np.int64)].astype(np.int64).tolist())
+        self.item = array("i", [d for p in postings for d, _ in p])
+        self.weight = array("d", [x for p in postings for _, x in p])
+        self.ready()
+
+    def ready(self) -> Index:
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.begin))
+        self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
+        np.maximum.at(self.block_max, (term, np.array(self.item, int) // BLOCK), np.nextafter(np.array(self.weight, np.float32), np.float32(np.inf)))
+        self.peak = self.block_max.max(axis=1).tolist() if len(self.terms) else []
+        return self
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("block_max", "peak")}
 
     def wand(self, terms: list[int], blocks: Iterable[int]) -> list[tuple[int, float]]:
-        """(item, score) of all items at or above the threshold, in the given blocks."""
-        blocks = sorted(blocks)
-        cursors, out, slack = [], [], self.threshold - 1e-5
+        """(item, score) of all items at or above the threshold, in the given blocks; scores are over the thresholds."""
+        blocks, item, weight, begin = sorted(blocks), self.item, self.weight, self.begin
+        cursors, out, slack = [], [], 1 - 1e-5
         for t in terms if blocks else ():
-            at = bisect_left(self.postings[t], (blocks[0] * BLOCK,))
-            if at < len(self.postings[t]):
-                cursors.append([self.postings[t][at][0], at, t])
+            at = bisect_left(item, blocks[0] * BLOCK, begin[t], begin[t + 1])
+            if at < begin[t + 1]:
+                cursors.append([item[at], at, t])
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, None
@@ -108,43 +167,21 @@ class Index:
             elif sum(float(self.block_max[c[2], block]) for c in cursors if c[0] <= pivot or c[0] // BLOCK == block) < slack:
                 to = (block + 1) * BLOCK
             elif cursors[0][0] == pivot:
-                score = sum(self.postings[c[2]][c[1]][1] for c in cursors if c[0] == pivot)
-                if score >= self.threshold - 1e-9:
+                score = sum(weight[c[1]] for c in cursors if c[0] == pivot)
+                if score >= 1 - 1e-9:
                     out.append((pivot, score))
                 to = pivot + 1
             for c in cursors:
                 if c[0] >= to:
                     break
-                post = self.postings[c[2]]
-                c[1] = bisect_left(post, (to,), c[1])
-                c[0] = post[c[1]][0] if c[1] < len(post) else -1
+                c[1] = bisect_left(item, to, c[1], begin[c[2] + 1])
+                c[0] = item[c[1]] if c[1] < begin[c[2] + 1] else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
-    def verify(self, item: int, words: list[str]) -> tuple[float, ...] | None:
-        have: set = set()
-        for k in {len(next(iter(s))) for s in self.parts[item]}:
-            have |= shingles(words, k)
-        shares = tuple(len(s & have) / len(s) for s in self.parts[item])
-        return shares if min(shares) >= self.overlap else None
-
-    def search(self, docs: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
-        """For each text: item -> (best score, question overlap, answer overlap) of the verified hits."""
-        found: list[dict] = [{} for _ in docs]
-        if not self.ids:
-            return found
-        texts, n = [], 0
-        for d, text in enumerate(docs):
-            if text:
-                texts.append((d, WORD.findall(text.lower())))
-                n += len(texts[-1][1])
-            if n >= CHUNK or (d == len(docs) - 1 and texts):
-                self._search(texts, found)
-                texts, n = [], 0
-        return found if not texts else (self._search(texts, found), found)[1]
-
-    def _search(self, texts: list[tuple[int, list[str]]], found: list[dict]) -> None:
-        half, get, size = self.longest, self.terms.get, len(self.terms)
+    def search(self, texts: list[tuple[int, list[str]]], found: list[dict[int, tuple[float, float, float]]]) -> None:
+        """Adds item -> (best score as a share of the item's own, question overlap, answer overlap) to the place of each text (place, words)."""
+        half, get, size = self.half, self.terms.get, len(self.terms)
         keys, owners, first = [], [], 0
         for d, words in texts:
             ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
@@ -156,7 +193,7 @@ class Index:
             last = max(0, len(words) - 1) // half + 1
             owners += [(d, words, p * half) for p in range(last)]
             first += last
-        keys = np.unique(np.concatenate(keys))
+        keys = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]))
         if not len(keys):
             return
         passage, term = keys // size, keys % size
@@ -166,63 +203,129 @@ class Index:
         for lo in range(0, len(starts), step):
             hi = min(lo + step, len(starts))
             bounds = np.add.reduceat(self.block_max[term[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
-            for i in np.flatnonzero(bounds.max(axis=1) >= self.threshold - 1e-4):
+            for i in np.flatnonzero(bounds.max(axis=1) >= 1 - 1e-4):
                 a, b = starts[lo + i], ends[lo + i]
                 d, words, s = owners[passage[a]]
-                for item, score in self.wand(term[a:b].tolist(), np.flatnonzero(bounds[i] >= self.threshold - 1e-4).tolist()):
-                    shares = self.verify(item, words[s : s + 2 * half])
+                words, made = words[s : s + 2 * half], {}
+                grams = lambda k: made.get(k) or made.setdefault(k, set(shingles(words, k)))  # noqa: E731, B023
+                for item, score in self.wand(term[a:b].tolist(), np.flatnonzero(bounds[i] >= 1 - 1e-4).tolist()):
+                    shares = self.items[item].held(grams(1) and {g[0] for g in grams(1)}, grams)
                     if shares:
-                        got = (score, shares[0], shares[-1])
+                        got = (score * self.share[item], *shares)
                         found[d][item] = max(found[d].get(item, got), got)
 
-
-def indexes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", max_items: int = MAX_ITEMS) -> list[Index]:
-    """One index, or several of about `max_items` items: what is broadcast at once is bounded whatever the table's size."""
-    items = bench.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    shards = max(1, -(-items.count() // max_items))
-    out = []
-    for s in range(shards):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s) if shards > 1 else items
-        out.append(Index(sorted((tuple(r) for r in part.collect()), key=lambda r: (str(r[0]), r[1]))))
+def hits(indexes: list[Index | bytes], docs: list[str | None]) -> list[list[tuple[pa.Array, int, tuple[float, float, float]]]]:
+    """For each text the verified (ids, place in ids, (score, question overlap, answer overlap)), index by index in order."""
+    out: list[list] = [[] for _ in docs]
+
+    def ask(texts: list[tuple[int, list[str]]]) -> None:
+        for one in indexes:
+            index = pickle.loads(one).ready() if isinstance(one, bytes) else one
+            found: list[dict] = [{} for _ in docs]
+            index.search(texts, found)
+            for d, _ in texts:
+                out[d] += [(index.ids, k, v) for k, v in sorted(found[d].items())]
+
+    texts, n = [], 0
+    for d, text in enumerate(docs):
+        if text:
+            texts.append((d, words_of(text)))
+            n += len(texts[-1][1])
+        if n >= CHUNK:
+            ask(texts)
+            texts, n = [], 0
+    if texts:
+        ask(texts)
     return out
 
 
-def _texts(batch: pa.RecordBatch, column: str) -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+def indexes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", max_items: int = MAX_ITEMS) -> DataFrame:
+    """(part, data): the written indexes of all items, each of about `max_items` items and `MAX_WORDS` words at most."""
+    rows = bench.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    kind = bench.schema[id_col].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([words_of(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, words], ["item_id", "text", "words"])
+
+    items = materialize(rows.mapInArrow(cut, f"item_id {kind}, text string, words array<string>").where("size(words) > 0"), "items")
+    n, total, longest = items.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(1))).first()
+    parts = max(1, -(-n // max_items), -(-total // MAX_WORDS))
+    items = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int"))
+    terms = items.select("part", F.explode(F.array_distinct("words")).alias("word"))
+    df = terms.groupBy("word").agg(F.count("*").alias("df"))
+    known = terms.distinct().join(df, "word").select(F.col("part").alias("of"), "word", "df")
 
+    def build(items: pa.Table, known: pa.Table) -> pa.Table:
+        items = items.sort_by([("text", "ascending"), ("item_id", "ascending")])
+        df = dict(zip(known.column("word").to_pylist(), known.column("df").to_pylist()))
+        index = Index(items.column("item_id").combine_chunks(), items.column("text").to_pylist(), df, n, total / n, longest)
+        return pa.table({"part": pa.array([items.column("part")[0].as_py()], pa.int32()), "data": pa.array([pickle.dumps(index, 5)], pa.binary())})
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_items: int = MAX_ITEMS) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap of each verified pair."""
-    sc = docs.sparkSession.sparkContext
+    return materialize(items.groupBy("part").cogroup(known.groupBy("of")).applyInArrow(build, "part int, data binary"), "indexes")
+
+
+def bundles(written: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[bytes]]:
+    """The written indexes, as many at once as `pass_bytes` allow: what the driver holds and sends is bounded."""
+    sizes = written.select("part", F.octet_length("data").alias("n")).orderBy("part").collect()  # one row for thousands of items
+    while sizes:
+        take = max(1, sum(np.cumsum([r["n"] for r in sizes]) <= pass_bytes))
+        now, sizes = [r["part"] for r in sizes[:take]], sizes[take:]
+        yield [bytes(r["data"]) for r in written.where(F.col("part").isin(now)).orderBy("part").collect()]
+
+
+def _passes(docs: DataFrame, bench: DataFrame, max_items: int, pass_bytes: int) -> Iterator[tuple[Callable, bool]]:
+    """For each bundle, a function that gives the hits of a task's texts, and whether it is the only one."""
+    written = indexes(bench, max_items=max_items)
+    alone = written.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] <= pass_bytes
+    for bundle in bundles(written, pass_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(bundle)
+
+        def opened(sent=sent) -> Callable[[list[str | None]], list[list]]:
+            several = sent.value
+            loaded = [pickle.loads(b).ready() for b in several] if len(several) == 1 else several
+            return lambda texts: hits(loaded, texts)
+
+        yield opened, alone
+        if not alone:
+            sent.unpersist()
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_items: int = MAX_ITEMS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap of each verified pair; score is a share of the item's own."""
     doc_kind, item_kind = docs.schema[id_col].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()
+    shape = f"doc_id {doc_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
     rows, out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), None
-    for one in indexes(bench, max_items=max_items):
-        sent = sc.broadcast(one)
+    for opened, alone in _passes(docs, bench, max_items, pass_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+        def run(batches: Iterator[pa.RecordBatch], opened=opened) -> Iterator[pa.RecordBatch]:
+            ask = opened()
             for batch in batches:
-                hits = [(i, k, v) for i, h in enumerate(index.search(_texts(batch, "text"))) for k, v in sorted(h.items())]
-                cols = [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([index.ids[h[1]] for h in hits]), *[pa.array([h[2][j] for h in hits], pa.float64()) for j in range(3)]]
-                if hits:
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        part = rows.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double")
+                met = [(i, *h) for i, one in enumerate(ask(batch.column(1).to_pylist())) for h in one]
+                if met:
+                    ids = pa.concat_arrays([ids.slice(k, 1) for _, ids, k, _ in met])
+                    cols = [pa.array([v[j] for *_, v in met], pa.float64()) for j in range(3)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([m[0] for m in met], pa.int64())), ids, *cols], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+        part = rows.mapInArrow(run, shape)
+        part = part if alone else materialize(part, "hits")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else docs.sparkSession.createDataFrame([], shape)
 
 
-def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", max_items: int = MAX_ITEMS) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", max_items: int = MAX_ITEMS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """`docs` without the documents that hold a test item; filtered where they lie, with no shuffle."""
-    sc = docs.sparkSession.sparkContext
-    for one in indexes(bench, max_items=max_items):
-        sent = sc.broadcast(one)
+    at = docs.columns.index(text_col)
+    for opened, alone in _passes(docs, bench, max_items, pass_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], opened=opened) -> Iterator[pa.RecordBatch]:
+            ask = opened()
             for batch in batches:
-                yield batch.filter(pa.array([not h for h in sent.value.search(_texts(batch, text_col))], pa.bool_()))
+                yield batch.filter(pa.array([not h for h in ask(batch.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if alone else materialize(docs, "clean")
     return docs
 
 
