@@ -14,6 +14,8 @@ id and text columns are used, so extra columns can't clash. A row is known by it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,33 @@ ENDPOINT = r"https?://[^\s\"'<>]+"
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, wherever and how often `body` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(items: Column) -> Column:
+    """An array cut into pieces of about the root of its size, 64 at least: folds over pieces stay cheap however long it is."""
+    k = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items)))).cast("int")
+    last = F.greatest(F.ceil(F.size(items) / k).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * k + 1, k))
+
+
+def _before(items: Column, kind: str, zero: int, value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """array<struct<before,x>>: each item (of SQL type `kind`) with the `join` of the values of all items before it.
+
+    A fold that appends copies its array each time, so it runs over pieces: n matches cost about n * sqrt(n) / 2 copies.
+    """
+    fold = lambda at, x: join(at, value(x))
+    none = lambda kind: F.array().cast(f"array<{kind}>").alias("out")
+    sums = lambda chunks: F.transform(chunks, lambda c: F.aggregate(c, F.lit(zero), fold))
+    starts = lambda chunks: F.aggregate(sums(chunks), F.struct(F.lit(zero).alias("at"), none("int")), lambda acc, n: F.struct(join(acc["at"], n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    pair = lambda at, x: F.struct(at.alias("before"), x.alias("x"))
+    step = lambda acc, x: F.struct(fold(acc["at"], x).alias("at"), F.array_append(acc["out"], pair(acc["at"], x)).alias("out"))
+    within = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none(f"struct<before:int,x:{kind}>")), step, lambda acc: acc["out"])
+    return _let(items, lambda found: _let(_chunks(found), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), within))))
+
+
 def _spans(text: Column, pattern: str, kind: str, least: int = 0, group: int = 0, may: Column | None = None) -> Column:
     """array<struct<start,rank,end>> of the matches whose `group` has `least` code points; `may`: a cheap test that any can exist."""
     lit = F.lit(pattern)
@@ -40,18 +69,21 @@ def _spans(text: Column, pattern: str, kind: str, least: int = 0, group: int = 0
     whole = F.transform(F.regexp_extract_all(text, lit, F.lit(0)), F.length)
     kept = F.transform(F.regexp_extract_all(text, lit, F.lit(group)), F.length) if group else whole
     zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("len"), kept.alias("kept"))
-    none = F.array().cast(f"array<{SPAN}>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    placed = _before(zipped, "struct<gap:int,len:int,kept:int>", 0, lambda x: x["gap"] + x["len"], lambda a, b: a + b)
+    start = lambda m: m["before"] + m["x"]["gap"]
+    found = F.transform(F.filter(placed, lambda m: m["x"]["kept"] >= least), lambda m: F.struct(start(m).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start(m) + m["x"]["len"]).alias("end")))
+    return F.when(may, found).otherwise(F.array().cast(f"array<{SPAN}>")) if may is not None else found
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
-        out = F.when(x["kept"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
 
-    found = F.aggregate(zipped, first, step, lambda acc: acc["out"])
-    return F.when(may, found).otherwise(none) if may is not None else found
+def _free(spans: Column, base: Column) -> Column:
+    """Those of `spans` that meet no base span: the furthest end of base spans from the left and the nearest start to the right decide."""
+    tag = lambda arr, weak: F.transform(arr, lambda s: F.struct(s["start"].alias("start"), F.lit(weak).alias("weak"), s["rank"].alias("rank"), s["end"].alias("end")))
+    kind = "struct<start:int,weak:int,rank:int,end:int>"
+    left = _before(F.array_sort(F.concat(tag(spans, 1), tag(base, 0))), kind, 0, lambda x: F.when(x["weak"] == 0, x["end"]).otherwise(0), F.greatest)
+    far = 2**31 - 1
+    both = _before(F.reverse(left), f"struct<before:int,x:{kind}>", far, lambda p: F.when(p["x"]["weak"] == 0, p["x"]["start"]).otherwise(far), F.least)
+    clear = F.filter(both, lambda q: (q["x"]["x"]["weak"] == 1) & (q["x"]["before"] <= q["x"]["x"]["start"]) & (q["before"] >= q["x"]["x"]["end"]))
+    return F.transform(clear, lambda q: F.struct(q["x"]["x"]["start"].alias("start"), q["x"]["x"]["rank"].alias("rank"), q["x"]["x"]["end"].alias("end")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,13 +109,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def link(found: DataFrame, reach: int = 256) -> DataFrame:
     """(rid, added) of the weak parts with their counterparts in reach; parts that a base span covers only serve as evidence."""
-    base = F.concat("assign", "access", "hex")
-    role = lambda name, arr, add: F.transform(arr, lambda s: F.struct(F.lit(name).alias("role"), s.alias("span"), add(s).alias("add")))
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    no = lambda s: F.lit(False)
-    parts = F.concat(role("id", F.col("ids"), free), role("id", F.col("access"), no), role("key", F.col("keys"), free), role("key", F.col("assign"), no), role("key", F.col("hex"), no), role("endpoint", F.col("endpoints"), free))
+    role = lambda name, arr, add: F.transform(arr, lambda s: F.struct(F.lit(name).alias("role"), s.alias("span"), F.lit(add).alias("add")))
+    of = lambda free, kind: F.filter(free, lambda s: s["rank"] == F.lit(KINDS.index(kind)))
+    # parts that a base span covers are evidence for others, and base spans themselves as well
+    evidence = F.concat(role("id", F.concat("ids", "access"), False), role("key", F.concat("keys", "assign", "hex"), False))
+    free = _free(F.concat("ids", "keys", "endpoints"), F.concat("assign", "access", "hex"))
+    parts = F.concat(evidence, _let(free, lambda f: F.concat(*[role(kind, of(f, kind), True) for kind in ("id", "key", "endpoint")])))
     weak = (F.size("ids") + F.size("keys") + F.size("endpoints")) > 0
-    rows = found.where(weak).dropDuplicates(["rid"]).select("rid", F.explode(parts).alias("p")).select("rid", "p.role", "p.span", "p.add", F.floor(F.col("p.span.start") / reach).alias("bucket"))
+    found = found.where(weak).dropDuplicates(["rid"])
+    rows = found.select("rid", F.explode(parts).alias("p")).select("rid", "p.role", "p.span", "p.add", F.floor(F.col("p.span.start") / reach).alias("bucket"))
     edge = lambda name, f: f(F.when(F.col("role") == name, F.col("span.start")))
     scopes = rows.where("role != 'endpoint'").groupBy("rid", "bucket").agg(edge("id", F.min).alias("id0"), edge("id", F.max).alias("id1"), edge("key", F.min).alias("key0"), edge("key", F.max).alias("key1"))
     asked = rows.where("add").select("rid", "role", "span", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"))
@@ -114,14 +148,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     hits = find_secrets(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["rid"]).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
     text = F.col(text_col)
     rid = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(F.coalesce(text, F.lit("")))))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("_spans", first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    # what stays: from the furthest end of all spans before to the start of a span that begins there or later
+    reached = _before(F.col("_spans"), SPAN, 0, lambda s: s["end"], F.greatest)
+    gaps = F.transform(F.filter(reached, lambda p: p["x"]["start"] >= p["before"]), lambda p: F.struct(p["before"].alias("from"), p["x"]["start"].alias("to")))
+    # a substring is counted from the start of its text, so the text is first cut into as many parts as there are pieces
+    cut = F.transform(_let(gaps, _chunks), lambda c: F.struct(c.alias("gaps"), c[0]["from"].alias("at"), F.substring(text, c[0]["from"] + 1, F.element_at(c, -1)["to"] - c[0]["from"]).alias("part")))
+    joined = F.transform(cut, lambda c: F.array_join(F.transform(c["gaps"], lambda g: F.concat(F.substring(c["part"], g["from"] - c["at"] + 1, g["to"] - g["from"]), F.lit(mark))), ""))
+    end = F.array_max(F.transform("_spans", lambda s: s["end"]))
+    clean = F.concat(F.array_join(joined, ""), F.substring(text, end + 1, F.length(text)))
     return docs.withColumn("_rid", rid).join(hits, "_rid", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
 
 
