@@ -1,7 +1,8 @@
 """Brown class-based n-grams: exchange clustering, class transitions, word emissions, smoothed log probability.
 
-Documents are dealt to blocks of about `BLOCK_BYTES` of text by a hash. Each block lists its distinct words once, with
-counts, so what is shuffled and joined is a block's vocabulary and not its tokens, and a frequent word is one row a block.
+Each task tokenises its documents once and writes them in blocks of about `BLOCK_BYTES` of text: the distinct words of
+the block with their counts, and the tokens as places in that list. Texts are never moved; a block's vocabulary is what is
+joined, so a frequent word is one row a block, and many blocks share a partition.
 
 1. Counts of all training words, from the blocks' lists; N and V from these.
 2. Bigram counts, over all training text, of the `HEAD` most frequent words. Exchange clustering moves each of these to
@@ -9,7 +10,7 @@ counts, so what is shuffled and joined is a block's vocabulary and not its token
 3. Every other training word is assigned by the same gain, in one batch, from the classes of its neighbours in the head,
    counted over all training text. Words that never stand beside a head word, and unseen words, form classes beside
    these by their longest known ending, a rule learned from the head.
-4. Each block's words meet their counts and classes in a join, and its documents are written as counts and classes.
+4. The blocks' lists meet the words' counts and classes in a join; each block is written with its list's codes.
 5. Class transitions over all training tokens, the number of training words and tokens of each class, and the scores.
 
 p(w | previous) = MIX * p(class of w | class of previous) * p(w | class of w) + (1 - MIX) * p(w); all three are
@@ -22,11 +23,13 @@ gives no rows; only the id and text columns are used.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +44,6 @@ MIX = 0.7
 ENDINGS = (4, 3, 2, 1)
 BLOCK_BYTES = 8 << 20
 CACHE = 300_000
-#: Neighbours that a task counts before it sends them on.
-FLUSH = 1_500_000
 MARKS = b".,;:!?\"'()[]|%$#&*"
 
 
@@ -152,19 +153,45 @@ def words_of(data: bytes | None) -> list[bytes]:
     return (data or b"").lower().split()
 
 
-def _count_words(group: pa.Table) -> pa.Table:
-    train, rest = Counter(), set()
-    for held, data in zip(group.column("held_out").to_pylist(), group.column("text")):
-        words = words_of(data.as_py())
-        if held:
-            rest.update(words)
-        else:
-            train.update(words)
-            train[END.encode()] += 1
-    words = [*train, *(rest - train.keys()), *([] if END.encode() in train else [END.encode()])]
-    n = np.zeros(len(words), np.int64)
-    n[: len(train)] = list(train.values())
-    return pa.table({"block": pa.array(np.full(len(words), group.column("block")[0].as_py(), np.int32)), "word": pa.array(words, pa.binary()).cast(pa.string()), "n": pa.array(n)})
+def _blocks(block_bytes: int):
+    """Rows of documents (doc_id, held_out, text) to rows of blocks; a text ends with token 0, the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tokens, held, docs, size = defaultdict(count(1).__next__), [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            lens = np.array([len(t) for t in tokens], np.int32)
+            flat = np.concatenate(tokens)
+            n = np.bincount(flat[np.repeat(~np.array(held, bool), lens)], minlength=len(ids) + 1)
+            words = pa.array([END.encode(), *ids], pa.binary()).cast(pa.string())
+            listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            cols = [listed(pa.concat_arrays(docs)), listed(pa.array(held, pa.bool_())), listed(pa.array(lens)), pa.array([flat.astype("<u4").tobytes()], pa.binary()), listed(words), listed(pa.array(n.astype(np.int64)))]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lens", "tokens", "words", "n"])
+
+        for batch in batches:
+            for i, (out, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                words = words_of(data.as_py())
+                tokens.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) if words else np.zeros(0, np.int64))
+                tokens[-1] = np.append(tokens[-1], 0)
+                held.append(out)
+                docs.append(batch.column(0).slice(i, 1))
+                size += len(data.as_py() or b"") + 16
+                if size >= block_bytes:
+                    yield block()
+                    ids, tokens, held, docs, size = defaultdict(count(1).__next__), [], [], [], 0
+        if tokens:
+            yield block()
+
+    return run
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, pa.Scalar]]]:
+    """(tokens, the document of each, whether it is held out) and the other columns of each block."""
+    for i in range(batch.num_rows):
+        row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+        lens = row["lens"].values.to_numpy()
+        held = row["held_out"].values.to_numpy(zero_copy_only=False).astype(bool)
+        yield np.frombuffer(row["tokens"].as_py(), "<u4"), np.repeat(np.arange(len(lens)), lens), np.repeat(held, lens), row
 
 
 def _matrix_rows(m: np.ndarray) -> pa.RecordBatch:
@@ -180,83 +207,109 @@ def _sum_matrix(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def head_bigrams(train: DataFrame, head: list[bytes]) -> np.ndarray:
-    sent = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)})
+def head_bigrams(blocks: DataFrame, head: list[bytes]) -> np.ndarray:
+    sent = blocks.sparkSession.sparkContext.broadcast({w.decode(errors="surrogateescape"): i for i, w in enumerate(head)})
     size = len(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, m = sent.value.get, np.zeros(size * size, np.int64)
         for batch in batches:
-            for data in batch.column(0):
-                ids = np.array([get(w, -1) for w in words_of(data.as_py())], np.int64)
-                a, b = ids[:-1], ids[1:]
-                ok = (a >= 0) & (b >= 0)
+            for tokens, doc, held, row in rows_of(batch):
+                words = row["words"].values.to_pylist()
+                of = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))[tokens]
+                a, b = of[:-1], of[1:]
+                ok = (a >= 0) & (b >= 0) & ~held[:-1] & (doc[1:] == doc[:-1])
                 cell, n = np.unique(a[ok] * size + b[ok], return_counts=True)
                 m[cell] += n
         yield _matrix_rows(m.reshape(size, size))
 
-    return _sum_matrix(train.select("text").mapInArrow(run, "a int, b int, n long"), size)
+    return _sum_matrix(blocks.select("held_out", "lens", "tokens", "words").mapInArrow(run, "a int, b int, n long"), size)
+
 
+def _listed(word: pa.Array, owner: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row for each word with its cells; `owner` rises from 0 without gaps."""
+    ends = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(word)))].astype(np.int32))
+    return pa.RecordBatch.from_arrays([word, pa.ListArray.from_arrays(ends, pa.array(cell.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64)))], ["word", "cell", "n"])
 
-def neighbours(train: DataFrame, classes: Classes) -> DataFrame:
-    """word, cell, n: how often head words of each class stand beside each word outside the head; cells as in `gains`."""
-    sent, k = train.sparkSession.sparkContext.broadcast(classes.head), classes.n
 
-    def flush(ids: dict[bytes, int], cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cell, n = np.unique(np.concatenate([*cells, np.zeros(0, np.int64)]), return_counts=True)
-        words = pa.array(list(ids), pa.binary()).cast(pa.string())
-        for s in range(0, len(cell), 50_000):
-            part = cell[s : s + 50_000]
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(part // (2 * k))), pa.array((part % (2 * k)).astype(np.int32)), pa.array(n[s : s + 50_000])], ["word", "cell", "n"])
+def neighbours(blocks: DataFrame, classes: Classes) -> DataFrame:
+    """word, cell, n (lists): in each block, how often head words of each class stand beside each other word; cells as in `gains`."""
+    sent, k = blocks.sparkSession.sparkContext.broadcast({w.decode(errors="surrogateescape"): c for w, c in classes.head.items()}), classes.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, ids, cells, size = sent.value.get, {}, [], 0
+        get = sent.value.get
         for batch in batches:
-            for data in batch.column(0):
-                words = words_of(data.as_py())
-                of = np.array([-1, *(get(w, -1) for w in words), -1], np.int64)
-                own = of[1:-1] < 0
-                after, before = np.flatnonzero(own & (of[2:] >= 0)), np.flatnonzero(own & (of[:-2] >= 0))
-                at = lambda i: np.array([ids.setdefault(words[j], len(ids)) for j in i.tolist()], np.int64) * (2 * k)  # noqa: E731, B023
-                cells += [at(after) + of[after + 2], at(before) + k + of[before]]
-                size += len(after) + len(before)
-                if size > FLUSH:
-                    yield from flush(ids, cells)
-                    ids, cells, size = {}, [], 0
-        yield from flush(ids, cells)
-
-    # dealt by the word alone, so that its cells lie together for `assign` without another exchange
-    return train.select("text").mapInArrow(run, "word string, cell int, n long").repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+            for tokens, doc, held, row in rows_of(batch):
+                words = row["words"].values
+                of = np.fromiter(map(get, words.to_pylist(), repeat(-1)), np.int64, len(words))[tokens]
+                ok = ~held[:-1] & (doc[1:] == doc[:-1])
+                own = (of < 0) & (tokens > 0)
+                after, before = ok & own[:-1] & (of[1:] >= 0), ok & own[1:] & (of[:-1] >= 0)
+                keys = np.r_[tokens[:-1][after] * (2 * k) + of[1:][after], tokens[1:][before] * (2 * k) + k + of[:-1][before]].astype(np.int64)
+                cell, n = np.unique(keys, return_counts=True)
+                if len(cell):
+                    found, owner = np.unique(cell // (2 * k), return_inverse=True)
+                    out = _listed(words.take(pa.array(found)), owner, cell % (2 * k), n)
+                    yield from (out.slice(s, 10_000) for s in range(0, out.num_rows, 10_000))
+
+    return blocks.select("held_out", "lens", "tokens", "words").mapInArrow(run, "word string, cell array<int>, n array<long>")
 
 
 def assign(beside: DataFrame, t: np.ndarray) -> DataFrame:
-    """word, class: the class of greatest gain for each word of `neighbours`."""
-    sent = beside.sparkSession.sparkContext.broadcast(t)
+    """word, class: the class of greatest gain for each word of `neighbours`. A word's rows stream by in order; only their sum is held."""
+    sent, cells = beside.sparkSession.sparkContext.broadcast(t), 2 * len(t)
+
+    def summed(rows: pa.RecordBatch) -> pa.RecordBatch:
+        word = rows.column(0)
+        new = np.r_[True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]
+        lists = rows.column(1).value_lengths().to_numpy()
+        key = np.repeat(np.cumsum(new) - 1, lists) * cells + rows.column(1).flatten().to_numpy()
+        cell, at = np.unique(key, return_inverse=True)
+        return _listed(word.filter(pa.array(new)), cell // cells, cell % cells, np.bincount(at, rows.column(2).flatten().to_numpy()))
+
+    def best(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in (rows.slice(s, 2_000) for s in range(0, rows.num_rows, 2_000)):
+            word = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy())
+            found = gains(sent.value, word, part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy().astype(float)).argmax(1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.int32))], ["word", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 2_000) for i in range(0, whole.num_rows, 2_000)):
-                lists = batch.columns[1:]
-                word = np.repeat(np.arange(batch.num_rows), lists[0].value_lengths().to_numpy())
-                best = gains(sent.value, word, lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy().astype(float)).argmax(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], ["word", "class"])
+        kept = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = summed(batch if kept is None else pa.concat_batches([kept, batch]))
+                yield from best(rows.slice(0, rows.num_rows - 1))
+                kept = rows.slice(rows.num_rows - 1)  # the last word may go on in the next batch
+        if kept is not None:
+            yield from best(kept)
 
-    listed = beside.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most two cells a class
-    return listed.select("word", F.col("cells.cell").alias("cell"), F.col("cells.n").alias("n")).mapInArrow(run, "word string, class int")
+    return beside.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, class int")
 
 
-def transitions(train: DataFrame, size: int, end: int) -> np.ndarray:
-    """Counts of (class of the previous token, class) of encoded texts; a text begins after an end."""
+def classed(counts: DataFrame, given: DataFrame, classes: Classes) -> DataFrame:
+    """`counts` with a class for every word: the given one, else by `classes`."""
+    sent = counts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(class_of(sent.value, batch.column(0), batch.column(2)).astype(np.int32))], ["word", "c", "class"])
+
+    return counts.join(given, "word", "left").select("word", "c", "class").mapInArrow(run, "word string, c long, class int")
+
+
+def transitions(coded: DataFrame, size: int, end: int) -> np.ndarray:
+    """Counts of (class of the previous token, class) of the training texts; a text begins after an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros(size * size, np.int64)
         for batch in batches:
-            for tokens in batch.column(0):
-                of = np.r_[end, tokens.values.to_numpy() % size]
-                m += np.bincount(of[:-1] * size + of[1:], minlength=size * size)
+            for tokens, _, held, row in rows_of(batch):
+                of = (np.frombuffer(row["code"].as_py(), "<i8") % size)[tokens]
+                last = np.r_[end, of[:-1]]  # each text ends with an end
+                m += np.bincount((last * size + of)[~held], minlength=size * size)
         yield _matrix_rows(m.reshape(size, size))
 
-    return _sum_matrix(train.select("tokens").mapInArrow(run, "a int, b int, n long"), size)
+    return _sum_matrix(coded.select("held_out", "lens", "tokens", "code").mapInArrow(run, "a int, b int, n long"), size)
 
 
 def class_of(c: Classes, words: pa.Array, given: pa.Array) -> np.ndarray:
@@ -265,82 +318,63 @@ def class_of(c: Classes, words: pa.Array, given: pa.Array) -> np.ndarray:
     return np.fromiter((k if k is not None else c.end if w == END.encode() else c.of(w) for w, k in pairs), np.int64, len(words))
 
 
-def class_sizes(vocabulary: DataFrame, classes: Classes) -> np.ndarray:
-    """How many different training words each class has."""
-    sent, size = vocabulary.sparkSession.sparkContext.broadcast(classes), len(classes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, n = sent.value, np.zeros(size, np.int64)
-        for batch in batches:
-            n += np.bincount(class_of(c, batch.column(0), batch.column(1)), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(n)], ["a", "n"])
-
-    out = np.zeros(size)
-    for r in vocabulary.select("word", "class").mapInArrow(run, "a int, n long").groupBy("a").agg(F.sum("n").alias("n")).collect():
-        out[r["a"]] = r["n"]
-    return out
-
-
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, n_classes: int = CLASSES, mix: float = MIX, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where `held_out` doesn't hold."""
     sc = docs.sparkSession.sparkContext
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.cast("binary").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(blocks)).cast("int"))
-    # as many partitions as blocks: what a task reads stays the same however large the input is
-    dealt = dealt.repartition(blocks, "block")
-    listed = materialize(dealt.groupBy("block").applyInArrow(_count_words, "block int, word string, n long"), "block-words")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    shape = f"doc_id array<{kind}>, held_out array<boolean>, lens array<int>, tokens binary, words array<string>, n array<long>"
+    # written with its number: a block is known by it from here on
+    blocks = materialize(rows.mapInArrow(_blocks(block_bytes), shape).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "w")).select("block", "pos", "w.words", "w.n").withColumnRenamed("words", "word")
     counts = materialize(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(head).collect()
-    train = rows.where("not held_out")
     names = [r["word"].encode() for r in top]
-    pairs = head_bigrams(train, names)
+    pairs = head_bigrams(blocks, names)
     classes = Classes(names, [r["c"] for r in top], exchange(pairs, n_classes))
-    if names:
-        z = np.eye(classes.n)[[classes.head[w] for w in names]]
-        given = materialize(assign(neighbours(train, classes), z.T @ pairs @ z), "word-classes")
-        counts = materialize(counts.join(given, "word", "left"), "classed-counts")
-    else:
-        counts = counts.withColumn("class", F.lit(None).cast("int"))
     size, end = len(classes), classes.end
+    z = np.eye(classes.n)[[classes.head[w] for w in names]] if names else np.zeros((0, classes.n))
+    given = assign(neighbours(blocks, classes), z.T @ pairs @ z)
+    counts = materialize(classed(counts, given, classes), "classed-counts")
+    sizes = np.zeros(size)
+    for r in counts.groupBy("class").count().collect():  # one row for each class
+        sizes[r["class"]] = r["count"]
     sent = sc.broadcast(classes)
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def encode(texts: pa.Table, known: pa.Table) -> pa.Table:
-        """Each token as count * classes + class."""
-        words = known.column("word").combine_chunks()
-        k = class_of(sent.value, words, known.column("class").combine_chunks())
-        code = known.column("c").to_numpy().astype(np.int64) * size + k
-        at = {w: i for i, w in enumerate(words.cast(pa.binary()).to_pylist())}
-        last = at[END.encode()]
-        tokens = [code[[*map(at.__getitem__, words_of(data.as_py())), last]] for data in texts.column("text")]
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
-
-    known = listed.select("block", "word").join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"), "class").repartition(blocks, "block")
-    encoded = materialize(dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(encode, f"doc_id {kind}, held_out boolean, tokens array<long>"), "encoded")
-    steps = transitions(encoded.where("not held_out"), size, end)
+    def encode(block: pa.Table, known: pa.Table) -> pa.Table:
+        """The block with count * classes + class of each word of its list."""
+        c = known.column("c").fill_null(0).to_numpy()
+        code, pos = np.zeros(known.num_rows, "<i8"), known.column("pos").to_numpy()
+        code[pos] = c * size + class_of(sent.value, known.column("unseen").combine_chunks(), known.column("class").combine_chunks())
+        out = block.select(["doc_id", "held_out", "lens", "tokens"])
+        return out.append_column("code", pa.array([code.tobytes()], pa.binary()))
+
+    # of words with a class only the place goes on to the blocks
+    known = listed.select("block", "pos", "word").join(counts, "word", "left").select(F.col("block").alias("of"), "pos", "c", "class", F.when(F.col("class").isNull(), F.col("word")).otherwise("").alias("unseen"))
+    texts = blocks.select("block", "doc_id", "held_out", "lens", "tokens")
+    coded = texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(encode, f"doc_id array<{kind}>, held_out array<boolean>, lens array<int>, tokens binary, code binary")
+    coded = materialize(coded, "coded")
+    steps = transitions(coded, size, end)
     log_step = np.log(steps + 1) - np.log(steps.sum(1, keepdims=True) + size)
-    model = sc.broadcast((log_step, np.log(steps.sum(0) + class_sizes(counts, classes) + 1)))
+    model = sc.broadcast((log_step, np.log(steps.sum(0) + sizes + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, of = model.value
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for data in batch.column(2):
-                c, now = np.divmod(data.values.to_numpy(), size)
+            for at, _, _, row in rows_of(batch):
+                c, k = np.divmod(np.frombuffer(row["code"].as_py(), "<i8"), size)
                 seen = np.log(c + 1.0)
-                uni = seen - np.log(tokens + vocabulary + 1)
+                uni, word, now = (seen - np.log(tokens + vocabulary + 1))[at], (seen - of[k])[at], k[at]
                 last = np.r_[end, now[:-1]]
-                p = np.logaddexp(np.log(mix) + step[last, now] + seen - of[now], np.log1p(-mix) + uni) if tokens else np.zeros(len(c))
-                for col, v in zip(cols, (len(c), int((c > 0).sum()), float(uni.sum() / np.log(10)), float(p.sum() / np.log(10)))):
-                    col.append(v)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(np.full(n, tokens, np.int64)), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return encoded.select("doc_id", "held_out", "tokens").mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                p = np.logaddexp(np.log(mix) + step[last, now] + word, np.log1p(-mix) + uni) if tokens else np.zeros(len(at))
+                lens = row["lens"].values.to_numpy()
+                begins = np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)
+                total = lambda x: pa.array(np.add.reduceat(x, begins))  # noqa: E731, B023
+                cols = [row["doc_id"].values, row["held_out"].values, pa.array(lens.astype(np.int64)), total((c > 0)[at].astype(np.int64)), pa.array(np.full(len(lens), tokens, np.int64)), total(uni / np.log(10)), total(p / np.log(10))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return coded.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,19 +62,43 @@ def test_top_k(spark):
 
 
 def test_brown(spark, texts):
-    got = {(r.doc_id, r.n_tokens): r for r in brown.score_documents(frame(spark, texts), brown.fold("doc_id", 7) == 2, head=50, n_classes=5, block_bytes=20_000).collect()}
-    counts, train = {}, 0
+    """Counts, base score and the model's score by brute force from the classes that the model itself gives."""
+    size, mix = 5, 0.7
+    df = frame(spark, texts)
+    caught = {}
+    real = brown.classed
+    brown.classed = lambda counts, given, classes: caught.setdefault("rows", real(counts, given, classes).cache()) if not caught.update(classes=classes) else None
+    try:
+        got = {(r.doc_id, r.n_tokens): r for r in brown.score_documents(df, brown.fold("doc_id", 7) == 2, head=50, n_classes=size, mix=mix, block_bytes=20_000).collect()}
+    finally:
+        brown.classed = real
+    of, classes = {r["word"].encode(): r["class"] for r in caught["rows"].collect()}, caught["classes"]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    toks = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    counts, steps, members = Counter(), Counter(), Counter()
+    label = lambda w: classes.end if w == b"\n" else of.get(w, classes.of(w))
     for i, t, *_ in texts:
-        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
-            for w in [*(t or "").encode().lower().split(), None]:
-                counts[w] = counts.get(w, 0) + 1
-                train += 1
+        if not held(i):
+            counts.update(toks(t))
+            labels = [classes.end, *map(label, toks(t))]
+            steps.update(zip(labels, labels[1:]))
+    assert set(of) == set(counts)
+    members.update(label(w) for w in counts)
+    total, k = sum(counts.values()), len(classes)
+    from_, into = Counter(), Counter()
+    for (a, b), n in steps.items():
+        from_[a] += n
+        into[b] += n
     for i, t, *_ in texts:
-        toks = [*(t or "").encode().lower().split(), None]
-        r = got[i, len(toks)]
-        assert r.train_tokens == train and r.n_known == sum(counts.get(w, 0) > 0 for w in toks)
-        assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 1) / (train + len(counts) + 1)) for w in toks))
-        assert r.score < 0
+        w = toks(t)
+        r = got[i, len(w)]
+        assert r.train_tokens == total and r.n_known == sum(counts[x] > 0 for x in w) and r.held_out == held(i)
+        one = lambda x: (counts[x] + 1) / (total + len(counts) + 1)
+        assert r.base_score == pytest.approx(sum(math.log10(one(x)) for x in w))
+        labels = [classes.end, *map(label, w)]
+        want = sum(math.log10(mix * (steps[a, b] + 1) / (from_[a] + k) * (counts[x] + 1) / (into[b] + members[b] + 1) + (1 - mix) * one(x)) for x, a, b in zip(w, labels, labels[1:]))
+        assert r.score == pytest.approx(want)
+    assert len(got) == len({(r[0], len(toks(r[1]))) for r in texts})
     assert brown.score_documents(empty(spark), F.lit(False)).count() == 0
     alone = brown.score_documents(frame(spark, texts[:2]), F.lit(True)).collect()
     assert [r.base_score for r in alone] == [0, 0] and [r.score for r in alone] == [0, 0]
@@ -107,8 +131,9 @@ def test_rare_words_are_classed_by_their_neighbours(spark):
     # words with the same ending, told apart by what stands beside them
     head = {b"a": 0, b"b": 1}
     classes = brown.Classes([*head], [9, 9], np.array([0, 1]))
-    df = spark.createDataFrame([(bytearray(f"a x{i}z a b y{i}z b".encode()),) for i in range(50)], "text binary")
-    of = {r["word"]: r["class"] for r in brown.assign(brown.neighbours(df, classes), np.array([[2.0, 90], [90, 2]])).collect()}
+    df = spark.createDataFrame([(i, False, bytearray(f"a x{i}z a b y{i}z b".encode())) for i in range(50)] + [(99, True, bytearray(b"a held a"))], "doc_id int, held_out boolean, text binary")
+    blocks = df.mapInArrow(brown._blocks(100), "doc_id array<int>, held_out array<boolean>, lens array<int>, tokens binary, words array<string>, n array<long>")
+    of = {r["word"]: r["class"] for r in brown.assign(brown.neighbours(blocks, classes), np.array([[2.0, 90], [90, 2]])).collect()}
     assert of == {f"{w}{i}z": c for i in range(50) for w, c in (("x", 1), ("y", 0))}
 
 
