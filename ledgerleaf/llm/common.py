@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`; a folder of our own where unset."""
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`. Only a session in one process may go without."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ledgerleaf-"))
     return path.rstrip("/")
 

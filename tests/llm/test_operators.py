@@ -43,6 +43,19 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from ledgerleaf.llm import common
+
+    session = lambda master, path: SimpleNamespace(conf={"spark.checkpoint.dir": path} if path else {}, sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    assert common.shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_dir(session("local[4]", None)) == common.shared_dir(session("local", None))
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master, None))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(150, 6)).astype("float32")
@@ -150,6 +163,10 @@ def test_url_filter(spark):
     for limit in (8 << 20, 0):  # a broadcast filter, and one that is shuffled
         r = url_filter.filter_urls(some, big, max_broadcast_bytes=limit)
         assert r.where("listed").count() == 1500 and r.where("listed and not maybe").count() == 0 and r.where("maybe").count() < 1800
+    # rule hits and hot URLs, in every way of joining: same verdicts, and the shuffled blocks of rule hits are spread
+    hot = spark.range(4000).selectExpr("id as page_id", "if(id % 2 = 0, 'http://h.org/7', 'http://a.com/en/1') as url")
+    ways = [url_filter.filter_urls(hot, big, url_filter.RULES, max_broadcast_bytes=limit).groupBy("rule", "verdict", "listed").count().orderBy("rule").collect() for limit in (8 << 20, 0)]
+    assert ways[0] == ways[1] and [(r.rule, r.verdict, r.listed, r["count"]) for r in ways[0]] == [(None, "block", True, 2000), ("com/en/", "block", False, 2000)]
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
     assert url_filter.filter_urls(pages, listed.limit(0)).where("listed").count() == 0
 
