@@ -11,7 +11,12 @@ from . import text as T
 HEADER_WORDS = ("page ", "county", "contract", "agreement")
 OCR_TRIGGERS = ("no_text_extracted", "low_text_density", "suspected_scanned_page", "suspected_image_only_page", "suspected_garbled_text", "ocr_recommended")
 SKIP = ("likely_blank_page", "likely_low_information_page", "skip_llm_repair")
-LLM = ("llm_markdown_recommended", "llm_vision_markdown_recommended", "llm_repair_recommended")
+LLM = ("llm_markdown_recommended", "llm_repair_recommended", "llm_vision_markdown_recommended", "llm_normalization_recommended")
+DOC_LLM = (*LLM, "ocr_still_needs_review")
+DOC_OCR = ("has_ocr_pages", "has_low_quality_ocr_pages", "ocr_improved_some_pages", "ocr_still_needs_review", "has_likely_blank_pages", "has_low_information_pages", "llm_markdown_recommended", "llm_repair_recommended", "llm_normalization_recommended")
+DOC_ORIENTATION = ("has_validated_page_images", "has_rotated_page_images")
+OCR_POOR = ("ocr_failed", "ocr_low_text_density", "ocr_low_confidence", "ocr_suspected_garbled_text", "ocr_high_symbol_ratio", "ocr_high_whitespace_noise", "ocr_not_better_than_pdf_text")
+LOW_QUALITY = ("no_text_extracted", "low_text_density", "suspected_scanned_page", "suspected_image_only_page", "suspected_garbled_text", "high_symbol_ratio", "high_whitespace_noise", "ocr_low_text_density", "ocr_low_confidence", "ocr_suspected_garbled_text", "ocr_high_symbol_ratio", "ocr_high_whitespace_noise", "ocr_failed")
 
 
 def chosen(*rules: tuple[Column, str]) -> Column:
@@ -66,8 +71,9 @@ def ocr_signals(text: Column, conf: Column, pdf_chars: Column, blank: Column, lo
     return chosen(
         (F.lit(True), "ocr_attempted"),
         (low_info, "likely_low_information_page"),
+        (low_info, "skip_llm_repair"),
         (blank, "likely_blank_page"),
-        (blank | low_info, "skip_llm_repair"),
+        (blank, "skip_llm_repair"),
         (some, "ocr_succeeded"),
         (~some, "ocr_failed"),
         (sparse, "ocr_low_text_density"),
@@ -114,8 +120,7 @@ def vision_candidate(flags: Column, image_path: Column, vision_path: Column) ->
 
 
 def confidence_bucket(method: Column, flags: Column, conf: Column, ocr_chars: Column, chars: Column) -> Column:
-    poor = any_of(flags, "ocr_low_text_density", "ocr_low_confidence", "ocr_suspected_garbled_text", "ocr_high_symbol_ratio", "ocr_high_whitespace_noise", "ocr_possible_handwriting", "ocr_not_better_than_pdf_text")
-    pdf_poor = any_of(flags, "no_text_extracted", "low_text_density", "suspected_image_only_page", "suspected_scanned_page", "suspected_garbled_text", "high_symbol_ratio", "high_whitespace_noise", "ocr_recommended")
+    poor, pdf_poor = any_of(flags, *OCR_POOR), any_of(flags, *LOW_QUALITY)
     ocr = (
         F.when(has(flags, "ocr_failed") | (ocr_chars == 0), "ocr_failed")
         .when((conf >= 80) & ~poor, "ocr_high_confidence")
@@ -141,6 +146,40 @@ def document_rollup(flags: str = "flags") -> Column:
     )
 
 
+def _rollup(base: Column, gone: tuple[str, ...], *rules: tuple[Column, str]) -> Column:
+    """Base flags without those that are set anew, then the new ones in rule order; each once."""
+    return F.array_distinct(F.concat(without(base, *gone), chosen(*rules)))
+
+
+def ocr_rollup(base: Column, flags: str = "flags") -> Column:
+    """AGG-09: an aggregate over a document's pages; `base` is the document's flags as an aggregate."""
+    on = lambda *names: F.bool_or(any_of(F.col(flags), *names))
+    return _rollup(
+        base,
+        DOC_OCR,
+        (on("ocr_attempted"), "has_ocr_pages"),
+        (on("ocr_low_text_density", "ocr_low_confidence", "ocr_suspected_garbled_text"), "has_low_quality_ocr_pages"),
+        (on("ocr_improved_over_pdf_text"), "ocr_improved_some_pages"),
+        (on("likely_blank_page"), "has_likely_blank_pages"),
+        (on("likely_low_information_page"), "has_low_information_pages"),
+        (on("llm_markdown_recommended"), "llm_markdown_recommended"),
+        (on("llm_repair_recommended"), "ocr_still_needs_review"),
+        (on("llm_repair_recommended"), "llm_repair_recommended"),
+    )
+
+
+def llm_rollup(base: Column, flags: str = "flags") -> Column:
+    """AGG-10: an aggregate over a document's pages."""
+    on = lambda name: F.bool_or(has(F.col(flags), name))
+    repair = on("llm_repair_recommended")
+    return _rollup(base, DOC_LLM, (on("llm_markdown_recommended"), "llm_markdown_recommended"), (repair, "llm_repair_recommended"), (repair, "ocr_still_needs_review"), (on("llm_vision_markdown_recommended"), "llm_vision_markdown_recommended"))
+
+
+def orientation_rollup(base: Column, validated: Column, rotated: Column) -> Column:
+    """AGG-11: an aggregate over a document's pages."""
+    return _rollup(base, DOC_ORIENTATION, (F.bool_or(validated), "has_validated_page_images"), (F.bool_or(rotated), "has_rotated_page_images"))
+
+
 def orientation_score(conf: Column, tokens: Column, chars: Column, alpha: Column, symbol: Column) -> Column:
     none = chars == 0
     score = F.coalesce(conf, F.lit(0.0)) + 1.5 * F.least(tokens, F.lit(40)) + F.least(chars, F.lit(400)) / 40

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import text as T
 from ..plans import bridges as B
 from ..plans.catalog import query
 from .mart import INDEX, NEED, READY, best_variant, first_path, index, readiness
-from .pages import ROUTED, routed
+from .pages import ROLLUP, ROUTED, routed
 
 
 def _routed_rows(name: str, kind: str) -> None:
@@ -98,12 +100,57 @@ def sib20(spark, sf_dir):
 
 
 def recomputed(spark, sf_dir: str) -> DataFrame:
-    """UDF-25: the recommendations dropped and set anew, in the order markdown, repair, vision."""
+    """UDF-25: the recommendations dropped and set anew, in the order markdown, repair, vision; each flag once."""
+    k = F.col("doc_id")
+    stale = F.array_compact(F.array(F.when(k % 3 == 0, "llm_normalization_recommended"), F.when(k % 4 == 0, "llm_repair_recommended"), F.when(k % 5 == 0, "reviewed"), F.when(k % 5 == 0, "reviewed")))
     add = F.array_compact(F.array(F.when(F.col("markdown"), "llm_markdown_recommended"), F.when(F.col("repair"), "llm_repair_recommended"), F.when(F.col("vision"), "llm_vision_markdown_recommended")))
-    return routed(spark, sf_dir).select("doc", "page", F.concat(G.without(F.col("flags"), *G.LLM), add).alias("flags"))
+    return routed(spark, sf_dir).select("doc", "page", F.array_distinct(F.concat(G.without(F.concat(stale, "flags"), *G.LLM), add)).alias("flags"))
+
+
+STALE_LLM = "list_filter([CASE WHEN doc_id % 3 = 0 THEN 'llm_normalization_recommended' END, CASE WHEN doc_id % 4 = 0 THEN 'llm_repair_recommended' END, CASE WHEN doc_id % 5 = 0 THEN 'reviewed' END], lambda x: x IS NOT NULL)"
+ANEW = f"""SELECT doc, page, list_concat(list_filter(list_concat({STALE_LLM}, flags), lambda x: NOT list_contains(['llm_markdown_recommended', 'llm_repair_recommended', 'llm_vision_markdown_recommended', 'llm_normalization_recommended'], x)),
+  list_filter([CASE WHEN markdown THEN 'llm_markdown_recommended' END, CASE WHEN repair THEN 'llm_repair_recommended' END, CASE WHEN vision THEN 'llm_vision_markdown_recommended' END], lambda x: x IS NOT NULL)) AS flags FROM ({ROUTED})"""
+
+
+def _base_flags() -> Column:
+    """A document's flags before a roll-up, as an aggregate: its own, and stale ones of earlier runs."""
+    return F.array_append(F.array_append(G.document_rollup("page_flags"), F.when(F.min("doc_id") % 8 == 0, "has_ocr_pages").otherwise("has_rotated_page_images")), "ocr_still_needs_review")
+
+
+ROLL = """SELECT doc, list_concat(list_filter(base, lambda f: NOT list_contains([{gone}], f)), list_filter([{new}], lambda x: x IS NOT NULL)) AS flags FROM (SELECT doc, list_concat(CASE WHEN r.flags = '' THEN [] ELSE string_split(r.flags, ',') END,
+  [CASE WHEN doc * 4 % 8 = 0 THEN 'has_ocr_pages' ELSE 'has_rotated_page_images' END, 'ocr_still_needs_review']) AS base, o.* EXCLUDE (doc) FROM (SELECT doc, {aggs} FROM {pages} GROUP BY doc) o JOIN rolled r USING (doc))"""
+
+
+def _roll(gone: tuple[str, ...], pages: str, **rules: str) -> str:
+    """SQL of a roll-up: new flags in order, each with its condition over the pages."""
+    quoted = ", ".join(f"'{g}'" for g in gone)
+    new = ", ".join(f"CASE WHEN c_{name} THEN '{name}' END" for name in rules)
+    return ROLL.format(gone=quoted, new=new, aggs=", ".join(f"bool_or({cond}) AS c_{name}" for name, cond in rules.items()), pages=pages)
 
 
-ANEW = f"SELECT doc, page, list_concat(flags, list_filter([CASE WHEN markdown THEN 'llm_markdown_recommended' END, CASE WHEN repair THEN 'llm_repair_recommended' END, CASE WHEN vision THEN 'llm_vision_markdown_recommended' END], lambda x: x IS NOT NULL)) AS flags FROM ({ROUTED})"
+def _any(*names: str) -> str:
+    return "list_has_any(flags, [" + ", ".join(f"'{n}'" for n in names) + "])"
+
+
+OCR_ROLL = _roll(G.DOC_OCR, "ocr_pages", has_ocr_pages=_any("ocr_attempted"), has_low_quality_ocr_pages=_any("ocr_low_text_density", "ocr_low_confidence", "ocr_suspected_garbled_text"), ocr_improved_some_pages=_any("ocr_improved_over_pdf_text"),
+    has_likely_blank_pages=_any("likely_blank_page"), has_low_information_pages=_any("likely_low_information_page"), llm_markdown_recommended=_any("llm_markdown_recommended"), ocr_still_needs_review=_any("llm_repair_recommended"), llm_repair_recommended=_any("llm_repair_recommended"))
+LLM_ROLL = _roll(G.DOC_LLM, "ocr_pages", llm_markdown_recommended=_any("llm_markdown_recommended"), llm_repair_recommended=_any("llm_repair_recommended"), ocr_still_needs_review=_any("llm_repair_recommended"), llm_vision_markdown_recommended=_any("llm_vision_markdown_recommended"))
+ROTATED_ROLL = _roll(G.DOC_ORIENTATION, "ocr_pages", has_validated_page_images="doc_id % 12 = 0", has_rotated_page_images="doc_id % 5 = 1")
+
+
+@query("AGG-09", B.with_views("ocr_pages", f"SELECT doc, array_to_string(flags, ',') AS flags FROM ({OCR_ROLL})", rolled=ROLLUP))
+def agg09(spark, sf_dir):
+    return B.ocr_pages(spark, sf_dir).groupBy("doc").agg(F.array_join(G.ocr_rollup(_base_flags()), ",").alias("flags"))
+
+
+@query("AGG-10", B.with_views("ocr_pages", f"SELECT doc, array_to_string(flags, ',') AS flags FROM ({LLM_ROLL})", rolled=ROLLUP))
+def agg10(spark, sf_dir):
+    return B.ocr_pages(spark, sf_dir).groupBy("doc").agg(F.array_join(G.llm_rollup(_base_flags()), ",").alias("flags"))
+
+
+@query("AGG-11", B.with_views("ocr_pages", f"SELECT doc, array_to_string(flags, ',') AS flags FROM ({ROTATED_ROLL})", rolled=ROLLUP))
+def agg11(spark, sf_dir):
+    return B.ocr_pages(spark, sf_dir).groupBy("doc").agg(F.array_join(G.orientation_rollup(_base_flags(), F.col("doc_id") % 12 == 0, F.col("doc_id") % 5 == 1), ",").alias("flags"))
 
 
 @query("UDF-25", B.with_views("flagged", f"SELECT doc, page, array_to_string(flags, ',') AS flags FROM ({ANEW})"))
@@ -133,12 +180,15 @@ def set03(spark, sf_dir):
     return B.flagged(spark, sf_dir).select("doc_id", F.array_join(G.without(F.concat("flags", "flags"), "ocr_recommended", "low_text_density"), ",").alias("flags"))
 
 
-@query("SET-04", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Page ' || doc_id || ' is blank' ELSE '' END AS warnings FROM documents")
+WARNINGS = "[CASE WHEN doc_id % 3 = 0 THEN 'Image orientation: ' || source END, 'Page ' || doc_id || ': ' || coalesce(lang, 'no language'), CASE WHEN doc_id % 5 < 2 THEN 'Image orientation: low confidence' END, 'See Image orientation: ' || (doc_id % 7)]"
+
+
+@query("SET-04", f"SELECT doc_id, array_to_string(list_filter({WARNINGS}, lambda w: NOT starts_with(w, 'Image orientation: ')), ';') AS warnings FROM documents")
 def set04(spark, sf_dir):
     """Warnings of the orientation stage go, others stay."""
-    k = F.col("doc_id").cast("string")
-    all_of = F.array_compact(F.array(F.concat(F.lit("Image orientation: "), k), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Page "), k, F.lit(" is blank")))))
-    return B.read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(all_of, lambda w: ~w.startswith("Image orientation: ")), ",").alias("warnings"))
+    k = F.col("doc_id")
+    said = F.array_compact(F.array(F.when(k % 3 == 0, F.concat(F.lit("Image orientation: "), F.col("source"))), F.concat(F.lit("Page "), k.cast("string"), F.lit(": "), F.coalesce("lang", F.lit("no language"))), F.when(k % 5 < 2, "Image orientation: low confidence"), F.concat(F.lit("See Image orientation: "), (k % 7).cast("string"))))
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(said, lambda w: ~w.startswith("Image orientation: ")), ";").alias("warnings"))
 
 
 @query("SET-08", B.with_views("pages", "SELECT doc, array_to_string(list_sort(list_distinct(list(page % 3))), ',') AS pages FROM pages GROUP BY doc"))
@@ -186,7 +236,7 @@ def sib43(spark, sf_dir):
 
 @query("SIB-55", B.with_views(NEED, f"SELECT doc, blocker FROM ({READY}) WHERE blocker IS NOT NULL"))
 def sib55(spark, sf_dir):
-    return readiness(spark, sf_dir).where("blocker is not null")
+    return readiness(spark, sf_dir).where("blocker is not null").select("doc", "blocker")
 
 
 @query("SIB-56", B.with_views(NEED, f"SELECT doc FROM ({READY}) WHERE blocker IS NULL"))
@@ -205,22 +255,43 @@ def sib01(spark, sf_dir):
     return c.join(far, "doc", "full_outer").select("doc", F.col("loaded").isNull().alias("missing"), (~F.col("filename").eqNullSafe(F.col("far_name"))).alias("filename"), (~F.col("page_count").eqNullSafe(F.col("far_count"))).alias("page_count"))
 
 
-@query("SNK-20", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'json:new,xml:b' ELSE 'xml:b,json:new' END AS artifacts FROM documents")
+ARTIFACTS = """SELECT *, row_number() OVER (PARTITION BY o ORDER BY line, kind, path, description) AS place FROM (SELECT l_orderkey AS o, l_linenumber AS line, CASE l_partkey % 3 WHEN 0 THEN 'xml' WHEN 1 THEN 'json' ELSE 'text' END AS kind, 'path/' || (l_suppkey % 4) AS path, 'step ' || (l_partkey % 5) AS description FROM lineitem)"""
+NEW_PATH, NEW_STEP = "path/1", "step 3"
+
+
+def artifacts(spark, sf_dir: str) -> DataFrame:
+    """An order's lines as the nested artifact list of a document (o)."""
+    k = F.col("l_partkey") % 3
+    made = F.struct(F.col("l_linenumber").alias("at"), F.when(k == 0, "xml").when(k == 1, "json").otherwise("text").alias("kind"), F.concat(F.lit("path/"), (F.col("l_suppkey") % 4).cast("string")).alias("path"), F.concat(F.lit("step "), (F.col("l_partkey") % 5).cast("string")).alias("description"))
+    return B.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.transform(F.array_sort(F.collect_list(made)), lambda a: F.struct(a["kind"].alias("kind"), a["path"].alias("path"), a["description"].alias("description"))).alias("artifacts"))
+
+
+def _shown(artifacts: Column) -> Column:
+    return F.array_join(F.transform(artifacts, lambda a: F.concat_ws("|", a["kind"], a["path"], a["description"])), ",")
+
+
+def upsert_artifact(artifacts: Column, kind: str, path: str, description: str) -> Column:
+    """SNK-20: the first artifact with this path or this description is replaced where it stands; without one the new one comes last."""
+    new = F.struct(F.lit(kind).alias("kind"), F.lit(path).alias("path"), F.lit(description).alias("description"))
+    same = lambda a: (a["path"] == path) | (a["description"] == description)
+    first = F.array_position(F.transform(artifacts, same), True)
+    return F.when(first > 0, F.transform(artifacts, lambda a, i: F.when(i == first - 1, new).otherwise(a))).otherwise(F.array_append(artifacts, new))
+
+
+@query("SNK-20", f"""WITH a AS ({ARTIFACTS}), hit AS (SELECT o, min(place) AS first FROM (SELECT o, CASE WHEN path = '{NEW_PATH}' OR description = '{NEW_STEP}' THEN place END AS place FROM a) GROUP BY o),
+  new AS (SELECT a.o, place, CASE WHEN place = first THEN 'json|{NEW_PATH}|{NEW_STEP}' ELSE kind || '|' || path || '|' || description END AS one FROM a JOIN hit USING (o) UNION ALL SELECT o, 1000000, 'json|{NEW_PATH}|{NEW_STEP}' FROM hit WHERE first IS NULL)
+  SELECT o, string_agg(one, ',' ORDER BY place) AS artifacts FROM new GROUP BY o""")
 def snk20(spark, sf_dir):
-    """The artifact of the same path or description is replaced where it stands; else the new one is added last."""
-    made = lambda kind, path: F.struct(F.lit(kind).alias("kind"), F.lit(path).alias("path"))
-    old = F.when(F.col("doc_id") % 2 == 0, F.array(made("json", "old"), made("xml", "b"))).otherwise(F.array(made("xml", "b")))
-    d = B.read(spark, sf_dir, "documents").select("doc_id", old.alias("old"))
-    same = lambda a: a["kind"] == "json"
-    new = F.when(F.exists("old", same), F.transform("old", lambda a: F.when(same(a), made("json", "new")).otherwise(a))).otherwise(F.array_append("old", made("json", "new")))
-    return d.select("doc_id", F.array_join(F.transform(new, lambda a: F.concat_ws(":", a["kind"], a["path"])), ",").alias("artifacts"))
+    return artifacts(spark, sf_dir).select("o", _shown(upsert_artifact(F.col("artifacts"), "json", NEW_PATH, NEW_STEP)).alias("artifacts"))
 
 
-@query("SNK-21", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'txt,xml' ELSE 'xml' END AS kinds FROM documents")
+@query("SNK-21", f"""WITH a AS ({ARTIFACTS}) SELECT o, string_agg(one, ',' ORDER BY place) AS artifacts FROM (SELECT o, place, kind || '|' || path || '|' || description AS one FROM a WHERE NOT (kind = 'xml' AND description = '{NEW_STEP}')
+  UNION ALL SELECT DISTINCT o, 1000000, 'xml|new.xml|{NEW_STEP}' FROM a) GROUP BY o""")
 def snk21(spark, sf_dir):
-    """All of the same kind go, the new one comes last."""
-    old = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("xml"), F.lit("txt"), F.lit("xml"))).otherwise(F.array(F.lit("xml")))
-    return B.read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_append(F.filter(old, lambda k: k != "xml"), "xml"), ",").alias("kinds"))
+    """All of the same kind and description go, the new one comes last."""
+    new = F.struct(F.lit("xml").alias("kind"), F.lit("new.xml").alias("path"), F.lit(NEW_STEP).alias("description"))
+    rest = F.filter("artifacts", lambda a: ~((a["kind"] == "xml") & (a["description"] == NEW_STEP)))
+    return artifacts(spark, sf_dir).select("o", _shown(F.array_append(rest, new)).alias("artifacts"))
 
 
 @query("STR-04", B.with_views("signals", "SELECT doc_id, symbol FROM signals"))
@@ -248,19 +319,37 @@ def str15(spark, sf_dir):
     return B.items(spark, sf_dir).select("thread_id", "seq", T.cut(F.col("content_text"), 240).alias("preview"))
 
 
-@query("STR-21", r"SELECT item_id, md5(text) AS digest FROM benchmark")
+FENCED = "CASE doc_id % 4 WHEN 0 THEN '  ```markdown' || chr(10) || t || chr(10) || '``` ' WHEN 1 THEN '```' || chr(10) || t WHEN 2 THEN t || chr(10) || '```' ELSE chr(10) || t || ' ' END"
+
+
+def strip_fence(text: Column) -> Column:
+    """STR-21: what a fence holds, without the white space around it; a fence that isn't opened first stays."""
+    bare = T.strip(text)
+    inner = F.regexp_replace(F.regexp_replace(bare, r"\A[^\n]*(\n|\z)", ""), r"(\A|\n)[ \t]*```[ \t]*\z", "")
+    return F.when(bare.startswith("```"), T.strip(inner)).otherwise(bare)
+
+
+@query("STR-21", rf"""SELECT doc_id, CASE WHEN starts_with(s, '```') THEN regexp_replace(regexp_replace(regexp_replace(s, '^[^\n]*(\n|$)', ''), '(^|\n)[ \t]*```[ \t]*$', ''), '^\s+|\s+$', '', 'g') ELSE s END AS body
+  FROM (SELECT doc_id, regexp_replace({FENCED}, '^\s+|\s+$', '', 'g') AS s FROM (SELECT doc_id, regexp_replace(substr(sha256(coalesce(text, '')), 1, 10 + doc_id % 9), '[0-3]', ' ', 'g') AS t FROM documents))""")
 def str21(spark, sf_dir):
-    """A text wrapped in a fence comes out of it as it was."""
-    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
-    return B.read(spark, sf_dir, "benchmark").select("item_id", F.md5(F.regexp_replace(fenced, r"(?s)\A```[a-z]*\n|\n```\s*\z", "")).alias("digest"))
+    k, nl = F.col("doc_id") % 4, "\n"
+    t = F.regexp_replace(F.expr("substring(sha2(coalesce(text, ''), 256), 1, int(10 + doc_id % 9))"), "[0-3]", " ")
+    fenced = F.when(k == 0, F.concat(F.lit("  ```markdown\n"), t, F.lit("\n``` "))).when(k == 1, F.concat(F.lit("```\n"), t)).when(k == 2, F.concat(t, F.lit("\n```"))).otherwise(F.concat(F.lit(nl), t, F.lit(" ")))
+    return B.read(spark, sf_dir, "documents").select("doc_id", strip_fence(fenced).alias("body"))
+
+
+def shown_party(party: Column) -> Column:
+    """STR-26: a party as it is shown; blank and unknown ones by a placeholder. The unknown names and the placeholder."""
+    known = (T.strip(party) != "") & ~F.lower(T.strip(party)).isin("unknown seller", "unknown buyer")
+    return F.when(F.coalesce(known, F.lit(False)), party).otherwise("Not found in initial extraction")
 
 
-@query("STR-26", B.with_views("classification", "SELECT doc, replace(stage, '_', ' ') AS stage, CASE WHEN doc % 3 = 0 THEN NULL ELSE 'party ' || doc END AS party FROM classification"))
+@query("STR-26", B.with_views("classification parties", """SELECT doc, replace(stage, '_', ' ') AS stage, CASE WHEN p IS NULL OR trim(p) = '' OR lower(trim(p)) IN ('unknown seller', 'unknown buyer') THEN 'Not found in initial extraction' ELSE p END AS party
+  FROM (SELECT doc, stage, CASE doc % 6 WHEN 0 THEN ' Unknown Seller ' WHEN 1 THEN '  ' WHEN 2 THEN 'unknown buyers' ELSE buyer END AS p FROM classification LEFT JOIN parties USING (doc))"""))
 def str26(spark, sf_dir):
-    """Labels without underscores; placeholders for unknown parties are null."""
-    raw = F.when(F.col("doc") % 6 == 0, " Unknown ").when(F.col("doc") % 3 == 0, "N/A").otherwise(F.concat(F.lit("party "), F.col("doc").cast("string")))
-    known = F.when(~F.lower(F.trim(raw)).isin("unknown", "n/a", "none", ""), raw)
-    return B.classification(spark, sf_dir).select("doc", F.translate("stage", "_", " ").alias("stage"), known.alias("party"))
+    k = F.col("doc") % 6
+    raw = F.when(k == 0, " Unknown Seller ").when(k == 1, "  ").when(k == 2, "unknown buyers").otherwise(F.col("buyer"))
+    return B.classification(spark, sf_dir).join(B.parties(spark, sf_dir), "doc", "left").select("doc", F.translate("stage", "_", " ").alias("stage"), shown_party(raw).alias("party"))
 
 
 @query("STR-28", "SELECT doc_id, 'data:text/plain;base64,' || base64(encode(substr(coalesce(text, ''), 1, 30))) AS url FROM documents")
@@ -308,12 +397,21 @@ def coe03(spark, sf_dir):
     return B.classification(spark, sf_dir).select("doc", F.when((F.col("stage") == "active_change") | (F.col("role") == "delta"), F.coalesce("change_kind", F.lit("amendment"))).alias("change_kind"))
 
 
-@query("COE-08", B.with_views("notes", "SELECT doc, coalesce(change, governing) AS change, governing FROM notes"))
+def merge_domains(base: Column, overlay: Column, domains: Iterable[str]) -> Column:
+    """COE-08: the selected domains of `overlay`, null or not, in place of those of `base`."""
+    for name in domains:
+        base = base.withField(name, overlay[name])
+    return base
+
+
+DOMAINS = ("identity", "parties", "subject", "term", "economics", "controls")
+
+
+@query("COE-08", "SELECT o_orderkey, " + ", ".join(f"CASE WHEN (o_orderkey + {i}) % 3 <> 0 THEN '{'new' if d in ('parties', 'term') else 'old'} {d} ' || {'o_custkey' if d in ('parties', 'term') else 'o_orderkey'} END AS {d}" for i, d in enumerate(DOMAINS)) + " FROM orders")
 def coe08(spark, sf_dir):
-    """Selected domains of the fresh note replace those of the old one."""
-    old, fresh = F.struct(F.col("governing").alias("change"), "governing"), F.struct("change", F.lit("x").alias("governing"))
-    merged = old.withField("change", F.coalesce(fresh["change"], old["change"]))
-    return B.notes(spark, sf_dir).select("doc", merged.alias("m")).select("doc", "m.change", "m.governing")
+    """An order's key and customer stand for two notes of one document; parties and term are taken anew."""
+    note = lambda word, key: F.struct(*[F.when((F.col("o_orderkey") + i) % 3 != 0, F.concat_ws(" ", F.lit(word), F.lit(d), F.col(key).cast("string"))).alias(d) for i, d in enumerate(DOMAINS)])
+    return B.read(spark, sf_dir, "orders").select("o_orderkey", merge_domains(note("old", "o_orderkey"), note("new", "o_custkey"), ("parties", "term")).alias("m")).select("o_orderkey", "m.*")
 
 
 @query("MTH-11", B.with_views("classification", "SELECT doc, round_even(least(confidence, CASE WHEN doc % 3 = 2 THEN 0.90 WHEN doc % 3 = 1 THEN 0.94 ELSE 1.0 END, CASE WHEN doc % 5 = 0 THEN 0.90 ELSE 1.0 END, CASE WHEN doc % 7 = 0 THEN 0.88 ELSE 1.0 END), 2) AS confidence FROM classification"))

@@ -126,9 +126,19 @@ def set01(spark, sf_dir):
     return B.flagged(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.concat(f, f))), ",").alias("both"), F.array_join(G.without(f, "ocr_recommended"), ",").alias("less"))
 
 
-@query("SET-09", "SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#:]+)', 1), '^www\\.', '') AS host FROM pages")
+HOSTS = r"SELECT page_id // 20 AS message, page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pages"
+
+
+@query("SET-09", f"""SELECT message, array_to_string(list_slice(hosts, 1, 3), ', ') || CASE WHEN len(hosts) > 3 THEN ' +' || (len(hosts) - 3) ELSE '' END AS summary
+  FROM (SELECT message, list(host ORDER BY first) AS hosts FROM (SELECT message, host, min(page_id) AS first FROM ({HOSTS}) WHERE host <> '' GROUP BY message, host) GROUP BY message)""")
 def set09(spark, sf_dir):
-    return B.read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "://([^/?#:]+)", 1), r"^www\.", "").alias("host"))
+    """The hosts of a message's sources, each once in the order in which they come first: three of them and how many more."""
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), r"^www\.", "")
+    seen = B.read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 20).alias("message"), "page_id", host.alias("host")).where("host != ''")
+    firsts = seen.groupBy("message", "host").agg(F.min("page_id").alias("first"))
+    hosts = firsts.groupBy("message").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "host"))), lambda x: x["host"]).alias("hosts"))
+    more = F.size("hosts") - 3
+    return hosts.select("message", F.concat(F.array_join(F.slice("hosts", 1, 3), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise("")).alias("summary"))
 
 
 ROLLUP = """SELECT doc, array_to_string(list_filter([
@@ -153,26 +163,40 @@ def agg12(spark, sf_dir):
     return page.unionByName(document).groupBy("level", "flag").agg(F.count("*").alias("n"))
 
 
-STATE = f"""SELECT doc, CASE WHEN bool_or(ocr) THEN 'normalize_ocr' WHEN bool_or(markdown) THEN 'normalize_llm_markdown' WHEN bool_or(vision) THEN 'normalize_vision_markdown' WHEN bool_or(repair) THEN 'normalize_llm_repair'
-  WHEN bool_or(list_has_any(flags, ['suspected_scanned_page', 'suspected_garbled_text'])) THEN 'done_with_review_flag' ELSE 'done' END AS state FROM ({ROUTED}) GROUP BY doc"""
+STATES = ("failed", "inventory_only", "needs_image_orientation", "needs_ocr", "needs_llm_markdown", "needs_vision_markdown", "needs_llm_repair", "done_with_review_flag", "done")
+ACTIONS = ("manual_review", "normalize_txt", "validate_image_orientation", "normalize_ocr", "normalize_llm_markdown", "normalize_vision_markdown", "normalize_llm_repair", "none", "none")
+STATE = f"""SELECT doc, [{', '.join(f"'{s}'" for s in STATES)}][k] AS state, [{', '.join(f"'{a}'" for a in ACTIONS)}][k] AS action FROM (
+  SELECT c.doc, CASE WHEN c.doc % 37 = 0 THEN 1 WHEN r.pages IS NULL THEN 2 WHEN turn THEN 3 WHEN ocr THEN 4 WHEN markdown THEN 5 WHEN vision THEN 6 WHEN repair THEN 7 WHEN review THEN 8 ELSE 9 END AS k
+  FROM (SELECT DISTINCT doc_id // 4 AS doc FROM documents) c LEFT JOIN (SELECT doc, count(*) AS pages, bool_or(doc_id % 18 = 6) AS turn, bool_or(ocr) AS ocr, bool_or(markdown) AS markdown, bool_or(vision) AS vision, bool_or(repair) AS repair,
+    bool_or(list_has_any(flags, ['suspected_scanned_page', 'suspected_garbled_text'])) AS review FROM ({ROUTED}) WHERE doc % 11 <> 5 GROUP BY doc) r ON c.doc = r.doc)"""
+
 
+def pipeline_state(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """WIN-18: the state of each document (doc, failed) and what is to be done next, the first that fits in a fixed order.
 
-def pipeline_state(spark, sf_dir: str) -> DataFrame:
-    """WIN-18: the first step that a document waits for, in a fixed order."""
-    r = routed(spark, sf_dir)
-    state = F.when(F.bool_or("ocr"), "normalize_ocr").when(F.bool_or("markdown"), "normalize_llm_markdown").when(F.bool_or("vision"), "normalize_vision_markdown").when(F.bool_or("repair"), "normalize_llm_repair")
+    `pages` has a row for each page: doc, flags, and whether it is to be turned or is a candidate for each step.
+    """
     review = F.bool_or(G.any_of(F.col("flags"), "suspected_scanned_page", "suspected_garbled_text"))
-    return r.groupBy("doc").agg(state.when(review, "done_with_review_flag").otherwise("done").alias("state"))
+    steps = pages.groupBy("doc").agg(F.lit(True).alias("has_pages"), *[F.bool_or(c).alias(c) for c in ("turn", "ocr", "markdown", "vision", "repair")], review.alias("review"))
+    fits = [F.col("failed"), F.col("has_pages").isNull(), *[F.col(c) for c in ("turn", "ocr", "markdown", "vision", "repair", "review")], F.lit(True)]
+    pick = lambda names: F.coalesce(*[F.when(cond, name) for cond, name in zip(fits, names)])
+    return documents.join(steps, "doc", "left").select("doc", pick(STATES).alias("state"), pick(ACTIONS).alias("action"))
+
+
+def _states(spark, sf_dir: str) -> DataFrame:
+    """Every 37th document failed, every 11th has no pages yet, some images are not turned yet."""
+    documents = B.pages(spark, sf_dir).select("doc").distinct().withColumn("failed", F.col("doc") % 37 == 0)
+    return pipeline_state(documents, routed(spark, sf_dir).where("doc % 11 != 5").withColumn("turn", F.col("doc_id") % 18 == 6))
 
 
 @query("WIN-18", B.with_views("flagged", STATE))
 def win18(spark, sf_dir):
-    return pipeline_state(spark, sf_dir)
+    return _states(spark, sf_dir)
 
 
 @query("AGG-13", B.with_views("flagged", f"SELECT state, count(*) AS n FROM ({STATE}) GROUP BY state"))
 def agg13(spark, sf_dir):
-    return pipeline_state(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
+    return _states(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
 
 
 PROFILE = """SELECT doc, count(*) AS pages, CAST(sum(t) AS BIGINT) AS total, round_even(avg(t), 2) AS mean, median(t) AS middle, max(t) AS most, min(t) AS least,
@@ -238,9 +262,56 @@ def agg32(spark, sf_dir):
     return B.read(spark, sf_dir, "pages").select("page_id", T.numeric_token_ratio(words).alias("ratio"))
 
 
-@query("SNK-12", B.with_views("best", """SELECT doc, md5('<document>' || chr(10) || string_agg('<page number="' || page || '" source="' || representation || '"><![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]></page>', chr(10) ORDER BY page) || chr(10) || '</document>') AS digest FROM best GROUP BY doc"""))
+def page_xml(number: Column, representation: Column, path: Column, flags: Column, content: Column) -> Column:
+    """STR-08: the block of one page; without a representation it is missing and empty."""
+    empty = F.lit("")
+    line = F.concat(F.lit('    <page number="'), number.cast("string"), F.lit('" representation="'), T.xml_attribute(F.coalesce(representation, F.lit("missing"))), F.lit('" source_path="'), T.xml_attribute(F.coalesce(path, empty)), F.lit('">'))
+    quality = F.concat(F.lit("      <quality_flags>"), T.xml_attribute(F.array_join(flags, ",")), F.lit("</quality_flags>"))
+    body = F.concat(F.lit("      <content>"), T.cdata(F.coalesce(content, empty)), F.lit("</content>"))
+    return F.concat_ws("\n", line, quality, body, F.lit("    </page>"))
+
+
+def document_xml(doc: Column, filename: Column, source: Column, pages: Column, blocks: Column) -> Column:
+    """STR-09: the whole document; `blocks` are its pages' blocks in order."""
+    tag = lambda name, v: F.concat(F.lit(f"    <{name}>"), v, F.lit(f"</{name}>"))
+    head = F.concat(F.lit('<document doc_id="'), T.xml_attribute(doc), F.lit('">'))
+    lines = [head, F.lit("  <metadata>"), tag("source_filename", T.xml_attribute(filename)), tag("source_pdf", T.xml_attribute(source)), tag("page_count", pages.cast("string")), F.lit("  </metadata>"), F.lit("  <pages>"), F.array_join(blocks, "\n"), F.lit("  </pages>"), F.lit("</document>")]
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
+
+
+def page_blocks(spark, sf_dir: str) -> DataFrame:
+    """Every page with its block; pages without content stay."""
+    best = best_variant(B.variants(spark, sf_dir)).select("doc", "page", "representation", "content")
+    p = B.flagged(spark, sf_dir).select("doc", "page", "doc_id", "filename", "flags").join(best, ["doc", "page"], "left")
+    path = F.when(F.col("representation").isNotNull(), F.concat_ws("/", F.lit("out & in"), "representation", F.col("doc_id").cast("string")))
+    return p.select("doc", "page", "filename", page_xml(F.col("page"), F.col("representation"), path, F.col("flags"), F.col("content")).alias("xml"))
+
+
+_ESCAPED = lambda c: f"""replace(replace(replace(replace({c}, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;')"""
+BLOCKS = """SELECT f.doc, f.page, f.filename, '    <page number="' || f.page || '" representation="' || coalesce(b.representation, 'missing') || '" source_path="' || coalesce('out &amp; in/' || b.representation || '/' || f.doc_id, '') || '">' || chr(10)
+  || '      <quality_flags>' || array_to_string(flags, ',') || '</quality_flags>' || chr(10) || '      <content><![CDATA[' || replace(coalesce(b.content, ''), ']]>', ']]]]><![CDATA[>') || ']]></content>' || chr(10) || '    </page>' AS xml
+  FROM flagged f LEFT JOIN best b ON f.doc = b.doc AND f.page = b.page"""
+DOCUMENT = f"""SELECT doc, '<document doc_id="d&amp;' || doc || '">' || chr(10) || '  <metadata>' || chr(10) || '    <source_filename>' || {_ESCAPED('min(filename)')} || '</source_filename>' || chr(10) || '    <source_pdf>in/' || {_ESCAPED('min(filename)')} || '</source_pdf>' || chr(10)
+  || '    <page_count>' || count(*) || '</page_count>' || chr(10) || '  </metadata>' || chr(10) || '  <pages>' || chr(10) || string_agg(xml, chr(10) ORDER BY page) || chr(10) || '  </pages>' || chr(10) || '</document>' || chr(10) AS xml FROM ({BLOCKS}) GROUP BY doc"""
+
+
+@query("STR-08", B.with_views("flagged best", f"SELECT doc, page, md5(xml) AS digest, length(xml) AS chars FROM ({BLOCKS})"))
+def str08(spark, sf_dir):
+    return page_blocks(spark, sf_dir).select("doc", "page", F.md5("xml").alias("digest"), F.length("xml").alias("chars"))
+
+
+def assembled(spark, sf_dir: str) -> DataFrame:
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("page", "xml"))), lambda p: p["xml"])
+    d = page_blocks(spark, sf_dir).groupBy("doc").agg(F.min("filename").alias("filename"), F.count("*").alias("pages"), blocks.alias("blocks"))
+    return d.select("doc", document_xml(F.concat(F.lit("d&"), F.col("doc").cast("string")), F.col("filename"), F.concat(F.lit("in/"), "filename"), F.col("pages"), F.col("blocks")).alias("xml"))
+
+
+@query("STR-09", B.with_views("flagged best", f"SELECT doc, md5(xml) AS digest, length(xml) AS chars FROM ({DOCUMENT})"))
+def str09(spark, sf_dir):
+    return assembled(spark, sf_dir).select("doc", F.md5("xml").alias("digest"), F.length("xml").alias("chars"))
+
+
+@query("SNK-12", B.with_views("flagged best", f"SELECT doc, 'assembled/' || doc || '.xml' AS path, octet_length(encode(xml)) AS bytes, sha256(xml) AS digest FROM ({DOCUMENT})"))
 def snk12(spark, sf_dir):
-    b = best_variant(B.variants(spark, sf_dir))
-    xml = F.concat(F.lit('<page number="'), F.col("page").cast("string"), F.lit('" source="'), "representation", F.lit('">'), T.cdata(F.col("content")), F.lit("</page>"))
-    pages = F.transform(F.array_sort(F.collect_list(F.struct("page", xml.alias("xml")))), lambda p: p["xml"])
-    return b.groupBy("doc").agg(F.md5(F.concat_ws("\n", F.lit("<document>"), F.array_join(pages, "\n"), F.lit("</document>"))).alias("digest"))
+    """One file for each document: where it goes, and what it holds."""
+    return assembled(spark, sf_dir).select("doc", F.concat(F.lit("assembled/"), F.col("doc").cast("string"), F.lit(".xml")).alias("path"), F.octet_length("xml").alias("bytes"), F.sha2("xml", 256).alias("digest"))

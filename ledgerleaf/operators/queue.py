@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans import bridges as B
 from ..plans.catalog import query
-from .timeline import CLAIMABLE, STALE_BEFORE, claimable
+from .timeline import CLAIMABLE, ME, STALE_BEFORE, claimable
 
 CALLS = "SELECT turn_id AS call_id, thread_id, status, worker, beat, queued_at FROM claims WHERE phase = 'executing_model'"
 TOOLS = "SELECT turn_id AS call_id, thread_id, status, worker, beat, queued_at FROM claims WHERE phase = 'executing_tools'"
@@ -55,24 +55,12 @@ def prj21(spark, sf_dir):
     return B.read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
 
 
-@query("JOI-06", B.with_views("claims", f"SELECT c.call_id, t.turns FROM calls c JOIN (SELECT thread_id, count(*) AS turns FROM claims WHERE status = 'active' GROUP BY thread_id) t ON c.thread_id = t.thread_id WHERE c.status = 'active' AND c.beat < {STALE_BEFORE}", calls=CALLS))
-def joi06(spark, sf_dir):
-    turns = B.claims(spark, sf_dir).where("status = 'active'").groupBy("thread_id").agg(F.count("*").alias("turns"))
-    return calls(spark, sf_dir, "executing_model").where((F.col("status") == "active") & (F.col("beat") < STALE_BEFORE)).join(turns, "thread_id").select("call_id", "turns")
-
-
-@query("JOI-07", B.with_views("claims", f"SELECT thread_id, count(*) AS n FROM ({CLAIMABLE}) WHERE phase IN ('executing_model', 'executing_tools') GROUP BY thread_id"))
-def joi07(spark, sf_dir):
-    """Of the claimable turns those in a phase that a fresh call or tool of their thread would have barred."""
-    return claimable(B.claims(spark, sf_dir), "worker_3", STALE_BEFORE).where(F.col("phase").isin("executing_model", "executing_tools")).groupBy("thread_id").agg(F.count("*").alias("n"))
-
-
-@query("STM-08", B.with_views("claims", f"SELECT turn_id, thread_id FROM ({CLAIMABLE}) WHERE turn_id = 45"))
+@query("STM-08", B.with_views("claims model_calls tool_calls", f"SELECT turn_id, thread_id FROM ({CLAIMABLE}) WHERE turn_id = 45"))
 def stm08(spark, sf_dir):
-    """One named turn; the condition on its thread needs that thread's rows alone."""
-    turns = B.claims(spark, sf_dir)
-    near = turns.join(turns.where("turn_id = 45").select("thread_id"), "thread_id", "left_semi")
-    return claimable(near, "worker_3", STALE_BEFORE).where("turn_id = 45").select("turn_id", "thread_id")
+    """One named turn, if it may be claimed; only its own calls are looked at."""
+    one = F.col("turn_id") == 45
+    calls = (B.turn_calls(spark, sf_dir, tools).where(one) for tools in (False, True))
+    return claimable(B.claims(spark, sf_dir).where(one), *calls, ME, STALE_BEFORE).select("turn_id", "thread_id")
 
 
 @query("STM-05", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 AND event_id % 5 > 0 THEN event_id % 5 END, CASE WHEN event_id % 2 = 0 THEN event_id END) AS cursor FROM events")
@@ -85,24 +73,41 @@ def stm05(spark, sf_dir):
     return B.read(spark, sf_dir, "events").select("event_id", F.coalesce(number(asked), number(seen)).alias("cursor"))
 
 
-SUBSCRIPTIONS = "SELECT * FROM (VALUES (1, 3, NULL), (2, NULL, 'error'), (3, 5, 'purchase'), (4, 7, 'signup')) s(sub, thread, kind)"
+SUBSCRIPTIONS = [(1, 3, None, None), (2, None, None, "error"), (3, 5, None, "purchase"), (4, 7, None, "signup"), (5, None, 44, None), (6, None, 45, "error"), (7, None, None, None), (8, 5, 46, None)]
+KEYS = ("thread", "turn", "kind")
+#: Subscriptions to everything are held beside every event: so many at most.
+MAX_OPEN = 10_000
 
 
 def dispatch(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """STM-06: each event to the subscriptions whose thread and kind it has; null is any. One equi-join for each form of null."""
+    """STM-06: each event to the subscriptions whose thread, turn and kind it has; null is any.
+
+    One equi-join for each combination of keys that occurs; subscriptions without any key get all events, from a list
+    of checked length that goes along with each row.
+    """
+    given = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), k) for k in KEYS]))
     out = None
-    for keys in (["thread", "kind"], ["thread"], ["kind"]):
-        unset = [c for c in ("thread", "kind") if c not in keys]
-        s = subscriptions.where(" and ".join([f"{c} is not null" for c in keys] + [f"{c} is null" for c in unset])).drop(*unset)
-        one = events.join(s, keys).select("event_id", "sub")
+    for keys in (r["keys"] for r in subscriptions.select(given.alias("keys")).distinct().collect()):  # eight at most
+        s = subscriptions.where(" and ".join(f"{k} is {'not ' * (k in keys)}null" for k in KEYS)).select(*keys, "sub")
+        if keys:
+            one = events.join(s, keys)
+        else:
+            open_ = sorted(r["sub"] for r in s.limit(MAX_OPEN + 1).collect())
+            if len(open_) > MAX_OPEN:
+                raise ValueError(f"at most {MAX_OPEN} subscriptions without any key")
+            one = events.withColumn("sub", F.explode(F.array(*map(F.lit, open_))))
+        one = one.select("event_id", "sub")
         out = one if out is None else out.unionByName(one)
-    return out
+    return events.select("event_id").limit(0).withColumn("sub", F.lit(0)) if out is None else out
 
 
-@query("STM-06", "SELECT event_id, sub FROM events JOIN (" + SUBSCRIPTIONS + ") ON (thread IS NULL OR thread = user_id) AND (kind IS NULL OR kind = event_type)")
+_LISTED = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in s) + ")" for s in SUBSCRIPTIONS)
+
+
+@query("STM-06", f"SELECT event_id, sub FROM events JOIN (VALUES {_LISTED}) s(sub, thread, turn, kind) ON (thread IS NULL OR thread = user_id) AND (turn IS NULL OR turn = event_id - event_id % 4) AND (kind IS NULL OR kind = event_type)")
 def stm06(spark, sf_dir):
-    s = spark.createDataFrame([(1, 3, None), (2, None, "error"), (3, 5, "purchase"), (4, 7, "signup")], "sub int, thread long, kind string")
-    e = B.read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("long").alias("thread"), F.col("event_type").alias("kind"))
+    s = spark.createDataFrame(SUBSCRIPTIONS, "sub int, thread long, turn long, kind string")
+    e = B.read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("long").alias("thread"), (F.col("event_id") - F.col("event_id") % 4).alias("turn"), F.col("event_type").alias("kind"))
     return dispatch(e, s)
 
 
@@ -199,10 +204,13 @@ def text_list(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
-@query("JSN-02", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || ',b' ELSE '' END AS listed FROM events")
+@query("JSN-02", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN array_to_string(list_filter([event_type, CASE WHEN event_id % 5 = 1 THEN CAST(user_id AS VARCHAR) END, 'x ' || event_id], lambda x: x IS NOT NULL), ',') ELSE '' END AS listed FROM events")
 def jsn02(spark, sf_dir):
-    k = F.col("event_id") % 3
-    raw = F.when(k == 0, F.to_json(F.array("event_type", F.lit("b")))).when(k == 1, "not json")
+    """Lists of strings and numbers; objects, blank and broken texts are no list."""
+    k = F.col("event_id") % 5
+    last = F.concat(F.lit("x "), F.col("event_id").cast("string"))
+    mixed = F.concat(F.lit('["'), "event_type", F.lit('", '), F.col("user_id").cast("string"), F.lit(', "'), last, F.lit('"]'))
+    raw = F.when(k == 1, mixed).when(k < 3, F.to_json(F.array("event_type", last))).when(k == 3, F.concat(F.lit('{"a": ["'), "event_type", F.lit('"]}'))).otherwise(F.concat(F.lit("["), "event_type"))
     return B.read(spark, sf_dir, "events").select("event_id", F.array_join(text_list(raw), ",").alias("listed"))
 
 
@@ -225,11 +233,16 @@ def jsn05(spark, sf_dir):
     return B.read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), worker.alias("worker")), {"ignoreNullFields": "false"}).alias("payload"))
 
 
-@query("JSN-06", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+SAID = "CASE event_id % 4 WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'so ' || props || ' it is' WHEN 2 THEN props || ' and {not closed' ELSE 'none: ' || event_type END"
+
+
+@query("JSN-06", rf"SELECT event_id, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.k') END AS k, json_valid(j) AS found FROM (SELECT event_id, regexp_extract({SAID}, '\{{(.|\n)*\}}') AS j FROM events)")
 def jsn06(spark, sf_dir):
     """The object that an answer holds, with or without a fence around it, from its first brace to its last."""
-    said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("so "), "props", F.lit(" it is")))
-    return B.read(spark, sf_dir, "events").select("event_id", F.get_json_object(F.regexp_extract(said, r"(?s)\{.*\}", 0), "$.k").alias("k"))
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("so "), "props", F.lit(" it is"))).when(k == 2, F.concat("props", F.lit(" and {not closed"))).otherwise(F.concat(F.lit("none: "), "event_type"))
+    held = F.regexp_extract(said, r"(?s)\{.*\}", 0)
+    return B.read(spark, sf_dir, "events").select("event_id", F.get_json_object(held, "$.k").alias("k"), (F.get_json_object(held, "$").isNotNull()).alias("found"))
 
 
 @query("COE-04", "SELECT user_id, array_to_string(list_sort(list_distinct(list(event_id % 4 + 1))), ',') AS pages FROM events GROUP BY user_id")

@@ -168,22 +168,26 @@ def str27(spark, sf_dir):
     return B.read(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ", ").alias("arguments"))
 
 
-@query("MTH-05", B.with_views("flagged", """SELECT doc_id, CASE WHEN list_has_any(flags, ['no_text_extracted', 'low_text_density', 'suspected_image_only_page', 'suspected_scanned_page', 'suspected_garbled_text', 'high_symbol_ratio', 'high_whitespace_noise', 'ocr_recommended']) THEN 'pdf_text_low_confidence' ELSE 'pdf_text_high_confidence' END AS bucket FROM flagged"""))
+METHOD = "CASE doc_id % 3 WHEN 0 THEN 'pdf_text' WHEN 1 THEN 'ocr' ELSE 'vision' END"
+LOWEST = "[" + ", ".join(f"'{f}'" for f in G.LOW_QUALITY) + "]"
+POOR = "[" + ", ".join(f"'{f}'" for f in G.OCR_POOR) + "]"
+
+
+@query("MTH-05", B.with_views("ocr_pages", f"""SELECT doc_id, CASE {METHOD} WHEN 'ocr' THEN CASE WHEN list_contains(flags, 'ocr_failed') OR chars = 0 THEN 'ocr_failed'
+    WHEN conf >= 80 AND NOT list_has_any(flags, {POOR}) THEN 'ocr_high_confidence' WHEN conf >= 50 AND NOT list_has_any(flags, ['ocr_suspected_garbled_text', 'ocr_not_better_than_pdf_text']) THEN 'ocr_medium_confidence'
+    WHEN list_has_any(flags, {POOR}) THEN 'ocr_low_confidence' WHEN chars >= greatest(pdf_chars, 80) THEN 'ocr_medium_confidence' ELSE 'ocr_low_confidence' END
+  WHEN 'pdf_text' THEN CASE WHEN list_has_any(list_concat(flags, page_flags), {LOWEST}) THEN 'pdf_text_low_confidence' ELSE 'pdf_text_high_confidence' END ELSE 'other_or_unknown' END AS bucket FROM ocr_pages"""))
 def mth05(spark, sf_dir):
-    none = F.lit(None).cast("double")
-    return B.flagged(spark, sf_dir).select("doc_id", G.confidence_bucket(F.lit("pdf_text"), F.col("flags"), none, F.lit(0), F.col("chars")).alias("bucket"))
+    """Each way that a page's text was got, with the flags of that way."""
+    k = F.col("doc_id") % 3
+    method = F.when(k == 0, "pdf_text").when(k == 1, "ocr").otherwise("vision")
+    flags = F.when(k == 0, F.concat("flags", "page_flags")).otherwise(F.col("flags"))
+    return B.ocr_pages(spark, sf_dir).select("doc_id", G.confidence_bucket(method, flags, F.col("conf"), F.col("chars"), F.col("pdf_chars")).alias("bucket"))
 
 
-@query("MTH-07", B.with_views("flagged", """SELECT doc_id, array_to_string(list_filter(['ocr_attempted', CASE WHEN n > 0 THEN 'ocr_succeeded' ELSE 'ocr_failed' END, CASE WHEN n > 0 AND n < 40 THEN 'ocr_low_text_density' END,
-  CASE WHEN n > 0 AND conf < 55 THEN 'ocr_low_confidence' END, CASE WHEN n >= 40 AND alpha < 0.35 THEN 'ocr_suspected_garbled_text' END, CASE WHEN n >= 40 AND symbol > 0.35 THEN 'ocr_high_symbol_ratio' END,
-  CASE WHEN n >= 80 AND newline > 0.12 THEN 'ocr_high_whitespace_noise' END, CASE WHEN n > 0 AND form THEN 'ocr_possible_table_or_form_content' END, CASE WHEN n > 0 AND conf < 45 AND n < greatest(p, 80) THEN 'ocr_possible_handwriting' END,
-  CASE WHEN n > p + 50 THEN 'ocr_improved_over_pdf_text' WHEN n > 0 THEN 'ocr_not_better_than_pdf_text' END, CASE WHEN n > 0 AND form THEN 'llm_markdown_recommended' END,
-  CASE WHEN n = 0 OR n < 40 OR conf < 55 OR (n >= 40 AND alpha < 0.35) OR (conf < 45 AND n < greatest(p, 80)) THEN 'llm_repair_recommended' END], lambda x: x IS NOT NULL), ',') AS flags
-  FROM (SELECT *, chars AS n, doc_id % 100 AS conf, doc_id % 7 * 400 AS p, len(list_filter(w, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= greatest(1, length(x) // 2))) / greatest(len(w), 1) > 0.3 AS form
-    FROM (SELECT *, list_filter(regexp_split_to_array(norm, '\\s+'), lambda x: x <> '') AS w FROM flagged))"""))
+@query("MTH-07", B.with_views("ocr_pages", "SELECT doc_id, array_to_string(flags, ',') AS flags FROM ocr_pages"))
 def mth07(spark, sf_dir):
-    no = F.lit(False)
-    return B.flagged(spark, sf_dir).select("doc_id", F.array_join(G.ocr_signals(F.col("norm"), F.col("doc_id") % 100, F.col("doc_id") % 7 * 400, no, no), ",").alias("flags"))
+    return B.ocr_pages(spark, sf_dir).select("doc_id", F.array_join("flags", ",").alias("flags"))
 
 
 @query("COE-10", B.with_views("notes", "SELECT doc, k AS clause, c AS citation, k * 100 + c AS ordinal FROM notes, (SELECT unnest(range(2)) AS k), (SELECT unnest(range(3)) AS c) WHERE change IS NOT NULL"))

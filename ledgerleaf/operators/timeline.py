@@ -89,24 +89,67 @@ def stm01(spark, sf_dir):
     return replay(items, sample_cursors(items))
 
 
+@query("STM-02", B.with_views("items", """SELECT thread_id, CASE WHEN cursor > last THEN 'reset' WHEN cursor < last THEN 'items_appended' ELSE 'thread_updated' END AS event, greatest(cursor, last) * CAST(cursor <= last AS INTEGER) + last * CAST(cursor > last AS INTEGER) AS cursor_after,
+  (SELECT count(*) FROM items i WHERE i.thread_id = c.thread_id AND i.seq > CASE WHEN cursor > last THEN -1 ELSE cursor END) AS items FROM (SELECT thread_id, max(seq) AS last, CASE thread_id % 4 WHEN 1 THEN 1 WHEN 2 THEN max(seq) WHEN 3 THEN 999999999 END AS cursor FROM items GROUP BY thread_id) c WHERE cursor IS NOT NULL"""))
+def stm02(spark, sf_dir):
+    """What a live connection gets next: the rules of STM-01 for those that have a cursor."""
+    items = B.items(spark, sf_dir)
+    return replay(items, sample_cursors(items).where("cursor is not null"))
+
+
+def heartbeats(replayed: DataFrame) -> DataFrame:
+    """STM-03: a keepalive for connections that get no new items; it leaves their cursor where it is."""
+    return replayed.where("event = 'thread_updated'").select("thread_id", F.lit("heartbeat").alias("event"), F.col("cursor_after").alias("cursor"))
+
+
+@query("STM-03", B.with_views("items", "SELECT thread_id, 'heartbeat' AS event, max(seq) AS cursor FROM items WHERE thread_id % 4 = 2 GROUP BY thread_id"))
+def stm03(spark, sf_dir):
+    items = B.items(spark, sf_dir)
+    return heartbeats(replay(items, sample_cursors(items)))
+
+
 STALE_BEFORE = 1704200000
 
 
-def claimable(turns: DataFrame, me: str, stale_before: int) -> DataFrame:
-    """STM-07: turns that `me` may claim: free, its own, or stale and without a fresh call or tool of the thread (JOI-07)."""
-    live = lambda phase: turns.where((F.col("phase") == phase) & (F.col("status") == "active") & (F.col("beat") >= stale_before)).select("thread_id").distinct().withColumn(phase, F.lit(True))
-    t = turns.where(F.col("status").isin("queued", "active")).join(live("executing_model"), "thread_id", "left").join(live("executing_tools"), "thread_id", "left")
-    busy: Column = ((F.col("phase") == "executing_model") & F.coalesce("executing_model", F.lit(False))) | ((F.col("phase") == "executing_tools") & F.coalesce("executing_tools", F.lit(False)))
-    return t.where(F.col("worker").isNull() | (F.col("worker") == me) | ((F.col("beat") < stale_before) & ~busy)).drop("executing_model", "executing_tools")
+def live_turns(calls: DataFrame, stale_before: int) -> DataFrame:
+    """Turns with a running call whose heartbeat is fresh."""
+    return calls.where((F.col("status") == "running") & (F.col("beat") >= stale_before)).select("turn_id").distinct()
+
+
+def claimable(turns: DataFrame, model_calls: DataFrame, tool_calls: DataFrame, me: str, stale_before: int) -> DataFrame:
+    """JOI-07: turns that `me` may claim: free, its own, or stale and without a fresh call of the turn in its phase."""
+    model = live_turns(model_calls, stale_before).withColumn("in_model", F.lit(True))
+    tool = live_turns(tool_calls, stale_before).withColumn("in_tool", F.lit(True))
+    t = turns.where(F.col("status").isin("queued", "active")).join(model, "turn_id", "left").join(tool, "turn_id", "left")
+    busy: Column = ((F.col("phase") == "executing_model") & F.coalesce("in_model", F.lit(False))) | ((F.col("phase") == "executing_tools") & F.coalesce("in_tool", F.lit(False)))
+    return t.where(F.col("worker").isNull() | (F.col("worker") == me) | ((F.col("beat") < stale_before) & ~busy)).drop("in_model", "in_tool")
+
+
+ME = "worker_3"
+CLAIMABLE = f"""SELECT * FROM claims c WHERE status IN ('queued', 'active') AND (worker IS NULL OR worker = '{ME}' OR (beat < {STALE_BEFORE}
+  AND NOT (phase = 'executing_model' AND EXISTS (SELECT 1 FROM model_calls x WHERE x.turn_id = c.turn_id AND x.status = 'running' AND x.beat >= {STALE_BEFORE}))
+  AND NOT (phase = 'executing_tools' AND EXISTS (SELECT 1 FROM tool_calls x WHERE x.turn_id = c.turn_id AND x.status = 'running' AND x.beat >= {STALE_BEFORE}))))"""
 
 
-CLAIMABLE = f"""SELECT * FROM claims c WHERE status IN ('queued', 'active') AND (worker IS NULL OR worker = 'worker_3' OR (beat < {STALE_BEFORE} AND NOT (phase IN ('executing_model', 'executing_tools')
-  AND EXISTS (SELECT 1 FROM claims x WHERE x.thread_id = c.thread_id AND x.phase = c.phase AND x.status = 'active' AND x.beat >= {STALE_BEFORE}))))"""
+def runnable(spark, sf_dir: str) -> DataFrame:
+    return claimable(B.claims(spark, sf_dir), B.turn_calls(spark, sf_dir, False), B.turn_calls(spark, sf_dir, True), ME, STALE_BEFORE)
 
 
-@query("STM-07", B.with_views("claims", f"SELECT turn_id, thread_id, phase FROM ({CLAIMABLE})"))
+@query("JOI-07", B.with_views("claims model_calls tool_calls", f"SELECT turn_id, thread_id, phase FROM ({CLAIMABLE})"))
+def joi07(spark, sf_dir):
+    return runnable(spark, sf_dir).select("turn_id", "thread_id", "phase")
+
+
+@query("STM-07", B.with_views("claims model_calls tool_calls", f"SELECT turn_id, thread_id, phase, '{ME}' AS claimed_by, {STALE_BEFORE} + 30 AS claimed_at FROM ({CLAIMABLE}) ORDER BY queued_at, turn_id LIMIT 1"))
 def stm07(spark, sf_dir):
-    return claimable(B.claims(spark, sf_dir), "worker_3", STALE_BEFORE).select("turn_id", "thread_id", "phase")
+    """The next turn, as claimed: the one that waits longest."""
+    return runnable(spark, sf_dir).orderBy("queued_at", "turn_id").limit(1).select("turn_id", "thread_id", "phase", F.lit(ME).alias("claimed_by"), F.lit(STALE_BEFORE + 30).alias("claimed_at"))
+
+
+@query("STM-07-threads", B.with_views("claims model_calls tool_calls", f"SELECT thread_id, arg_min(turn_id, (queued_at, turn_id)) AS turn_id FROM ({CLAIMABLE}) GROUP BY thread_id"))
+def stm07_threads(spark, sf_dir):
+    """The same for workers bound to one thread each: the next turn of every thread, in one pass."""
+    return runnable(spark, sf_dir).groupBy("thread_id").agg(F.min_by("turn_id", F.struct("queued_at", "turn_id")).alias("turn_id"))
 
 
 @query("FLT-30", B.with_views("claims", "SELECT turn_id, status FROM claims WHERE status IN ('queued', 'active') ORDER BY queued_at, turn_id LIMIT 25"))
@@ -119,12 +162,23 @@ def stm11(spark, sf_dir):
     return B.claims(spark, sf_dir).where((F.col("status") == "active") & F.col("worker").isNotNull() & (F.col("beat") < STALE_BEFORE)).select("turn_id", "worker")
 
 
-@query("JOI-05", B.with_views("claims", f"SELECT a.turn_id AS stale_turn, b.turn_id AS queued_turn FROM claims a JOIN claims b ON a.thread_id = b.thread_id WHERE a.status = 'active' AND a.beat < {STALE_BEFORE} AND b.status = 'queued' AND b.queued_at BETWEEN a.queued_at AND a.queued_at + 3600"))
+STALE_CALLS = f"SELECT x.call_id, x.turn_id, c.thread_id FROM %s x JOIN claims c ON c.turn_id = x.turn_id WHERE x.status = 'running' AND x.beat < {STALE_BEFORE} AND c.phase = '%s' AND c.status = 'active'"
+
+
+def stale_calls(calls: DataFrame, turns: DataFrame, phase: str, stale_before: int) -> DataFrame:
+    """Running calls without a fresh heartbeat whose turn is active and still in that phase."""
+    t = turns.where((F.col("status") == "active") & (F.col("phase") == phase)).select("turn_id", "thread_id")
+    return calls.where((F.col("status") == "running") & (F.col("beat") < stale_before)).join(t, "turn_id").select("call_id", "turn_id", "thread_id")
+
+
+@query("JOI-05", B.with_views("claims tool_calls", STALE_CALLS % ("tool_calls", "executing_tools")))
 def joi05(spark, sf_dir):
-    c = B.claims(spark, sf_dir)
-    a = c.where((F.col("status") == "active") & (F.col("beat") < STALE_BEFORE)).select("thread_id", F.col("turn_id").alias("stale_turn"), F.col("queued_at").alias("since"))
-    b = c.where("status = 'queued'").select("thread_id", F.col("turn_id").alias("queued_turn"), "queued_at")
-    return a.join(b, "thread_id").where("queued_at between since and since + 3600").select("stale_turn", "queued_turn")
+    return stale_calls(B.turn_calls(spark, sf_dir, True), B.claims(spark, sf_dir), "executing_tools", STALE_BEFORE)
+
+
+@query("JOI-06", B.with_views("claims model_calls", STALE_CALLS % ("model_calls", "executing_model")))
+def joi06(spark, sf_dir):
+    return stale_calls(B.turn_calls(spark, sf_dir, False), B.claims(spark, sf_dir), "executing_model", STALE_BEFORE)
 
 
 @query("JOI-16", B.with_views("claims", "SELECT t.thread_id, a.phase AS active_phase, l.phase AS last_phase FROM (SELECT thread_id, max(turn_id) FILTER (status = 'active') AS active_turn, max(turn_id) AS last_turn FROM claims GROUP BY thread_id) t LEFT JOIN claims a ON t.active_turn = a.turn_id LEFT JOIN claims l ON t.last_turn = l.turn_id"))

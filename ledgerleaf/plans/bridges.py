@@ -111,8 +111,32 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def turn_calls(spark: SparkSession, sf_dir: str, tools: bool) -> DataFrame:
+    """Events as model calls, or tool calls, of the turns that are in that phase: four calls a turn."""
+    e, k = read(spark, sf_dir, "events").select("event_id", "ts"), F.col("event_id")
+    turn = k - k % 4 + int(tools)
+    return e.select(k.alias("call_id"), turn.alias("turn_id"), F.when(k % 3 == 1, "running").otherwise("completed").alias("status"), F.when(k % 7 != 0, T.seconds(F.col("ts"))).alias("beat"))
+
+
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the flags that a recogniser's run leaves; some images are blank or hold little."""
+    p, k = flagged(spark, sf_dir), F.col("doc_id")
+    return p.select("doc", "page", "doc_id", "chars", (k % 100).alias("conf"), (k % 7 * 400).alias("pdf_chars"), G.ocr_signals(F.col("norm"), k % 100, k % 7 * 400, k % 5 < 2, k % 3 == 0).alias("flags"), F.col("flags").alias("page_flags"))
+
+
 #: The same views for DuckDB; a query names those it needs.
 SQL = {
+    "model_calls": """SELECT event_id AS call_id, event_id - event_id % 4 AS turn_id, CASE event_id % 3 WHEN 1 THEN 'running' ELSE 'completed' END AS status, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) // 1000000 END AS beat FROM events""",
+    "tool_calls": """SELECT event_id AS call_id, event_id - event_id % 4 + 1 AS turn_id, CASE event_id % 3 WHEN 1 THEN 'running' ELSE 'completed' END AS status, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) // 1000000 END AS beat FROM events""",
+    "ocr_pages": r"""SELECT doc, page, doc_id, chars, conf, p AS pdf_chars, flags AS page_flags, list_filter(['ocr_attempted', CASE WHEN low THEN 'likely_low_information_page' END, CASE WHEN low THEN 'skip_llm_repair' END, CASE WHEN blank THEN 'likely_blank_page' END,
+        CASE WHEN blank AND NOT low THEN 'skip_llm_repair' END, CASE WHEN n > 0 THEN 'ocr_succeeded' ELSE 'ocr_failed' END, CASE WHEN n > 0 AND n < 40 THEN 'ocr_low_text_density' END,
+        CASE WHEN n > 0 AND conf < 55 THEN 'ocr_low_confidence' END, CASE WHEN n >= 40 AND alpha < 0.35 THEN 'ocr_suspected_garbled_text' END, CASE WHEN n >= 40 AND symbol > 0.35 THEN 'ocr_high_symbol_ratio' END,
+        CASE WHEN n >= 80 AND newline > 0.12 THEN 'ocr_high_whitespace_noise' END, CASE WHEN n > 0 AND form THEN 'ocr_possible_table_or_form_content' END, CASE WHEN n > 0 AND conf < 45 AND n < greatest(p, 80) THEN 'ocr_possible_handwriting' END,
+        CASE WHEN n > p + 50 THEN 'ocr_improved_over_pdf_text' WHEN n > 0 THEN 'ocr_not_better_than_pdf_text' END, CASE WHEN n > 0 AND form THEN 'llm_markdown_recommended' END,
+        CASE WHEN (n = 0 AND NOT blank AND NOT low) OR (n > 0 AND (n < 40 OR conf < 55 OR (n >= 40 AND alpha < 0.35) OR (conf < 45 AND n < greatest(p, 80)))) THEN 'llm_repair_recommended' END], lambda x: x IS NOT NULL) AS flags
+        FROM (SELECT *, chars AS n, chars < 15 AND doc_id % 5 < 2 AS blank, chars < 15 AND doc_id % 3 = 0 AS low, doc_id % 100 AS conf, doc_id % 7 * 400 AS p,
+            len(list_filter(w, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= greatest(1, length(x) // 2))) / greatest(len(w), 1) > 0.3 AS form
+            FROM (SELECT *, list_filter(regexp_split_to_array(norm, '\s+'), lambda x: x <> '') AS w FROM flagged))""",
     "pages": """SELECT doc_id // 4 AS doc, doc_id % 4 + 1 AS page, doc_id, coalesce(text, '') AS content,
         concat_ws('_', source, lang, (doc_id // 4) || '.pdf') AS filename, lang, source, doc_id % 6 = 0 AS images FROM documents""",
     "contracts": """SELECT doc, arg_min(filename, page) AS filename, count(*) AS page_count, CAST(sum(length(content)) AS BIGINT) AS size_bytes, arg_min(lang, page) AS lang FROM pages GROUP BY doc""",
@@ -147,7 +171,7 @@ SQL = {
         CASE event_id % 4 WHEN 0 THEN 'executing_model' WHEN 1 THEN 'executing_tools' ELSE 'assembling_context' END AS phase, CASE WHEN event_id % 5 <> 0 THEN 'worker_' || (event_id % 7) END AS worker,
         CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) // 1000000 END AS beat, epoch_us(ts) // 1000000 AS queued_at FROM events""",
 }
-NEEDS = {"contracts": ["pages"], "norm": ["pages"], "ratios": ["norm"], "signals": ["ratios"], "flagged": ["signals"], "variants": ["pages"], "best": ["variants"], "parties": ["contracts"], "notes": ["classification"]}
+NEEDS = {"ocr_pages": ["flagged"], "contracts": ["pages"], "norm": ["pages"], "ratios": ["norm"], "signals": ["ratios"], "flagged": ["signals"], "variants": ["pages"], "best": ["variants"], "parties": ["contracts"], "notes": ["classification"]}
 
 
 def with_views(names: str, select: str, **more: str) -> str:
