@@ -93,7 +93,7 @@ def first_text(*cs: Column) -> Column:
 
 
 def bucket_label(c: Column) -> Column:
-    return F.when(c.isNull(), "(null)").when(strip(c) == "", "(blank)").otherwise(strip(c))
+    return F.when(c.isNull(), "(null)").otherwise(F.coalesce(F.nullif(strip(c), F.lit("")), F.lit("(blank)")))
 
 
 def slug(c: Column) -> Column:

@@ -308,13 +308,13 @@ def reconcile(expected: DataFrame, loaded: DataFrame, keys: list[str], value: st
 
 
 def _loaded(v: DataFrame) -> DataFrame:
-    """What the audit finds: some rows lost, some altered, some added."""
-    kept = v.where("(doc + page) % 9 != 0").withColumn("content", F.when(F.col("doc") % 13 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    """What the audit finds: some rows and documents lost, some altered, some added."""
+    kept = v.where("(doc + page) % 9 != 0 and doc % 19 != 4").withColumn("content", F.when(F.col("doc") % 13 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     return kept.unionByName(v.where("doc % 17 = 0 and priority = 5").withColumn("representation", F.lit("extra")))
 
 
 AUDIT = {
-    "loaded": "SELECT doc, page, representation, CASE WHEN doc % 13 = 0 THEN content || '!' ELSE content END AS content FROM variants WHERE (doc + page) % 9 <> 0 UNION ALL SELECT doc, page, 'extra', content FROM variants WHERE doc % 17 = 0 AND priority = 5",
+    "loaded": "SELECT doc, page, representation, CASE WHEN doc % 13 = 0 THEN content || '!' ELSE content END AS content FROM variants WHERE (doc + page) % 9 <> 0 AND doc % 19 <> 4 UNION ALL SELECT doc, page, 'extra', content FROM variants WHERE doc % 17 = 0 AND priority = 5",
     "diff": """SELECT coalesce(e.doc, w.doc) AS doc, coalesce(e.page, w.page) AS page, coalesce(e.representation, w.representation) AS representation,
       CASE WHEN w.doc IS NULL THEN 'missing' WHEN e.doc IS NULL THEN 'unexpected' WHEN e.content IS DISTINCT FROM w.content THEN 'mismatched' END AS issue
       FROM variants e FULL JOIN loaded w ON e.doc = w.doc AND e.page = w.page AND e.representation = w.representation""",

@@ -21,8 +21,13 @@ LABELLED = {"labelled": "SELECT line, gate, " + ", ".join(LABEL.format(c) for c
 
 @query("AGG-19", B.with_views("purchases", "SELECT grouping_id(buyer, seller, category, gate) AS level, buyer, seller, category, gate, count(*) AS n FROM labelled GROUP BY GROUPING SETS ((buyer), (seller), (category), (buyer, seller), (gate))", **LABELLED))
 def agg19(spark, sf_dir):
-    labelled(spark, sf_dir).createOrReplaceTempView("labelled_purchases")
-    return spark.sql("SELECT grouping_id(buyer, seller, category, gate) AS level, buyer, seller, category, gate, count(*) AS n FROM labelled_purchases GROUP BY GROUPING SETS ((buyer), (seller), (category), (buyer, seller), (gate))")
+    """Raw keys are counted first, in two sets; labels and the five levels are made from these counts."""
+    cols = ("buyer", "seller", "category", "gate")
+    raw = B.purchases(spark, sf_dir).select(*cols).groupingSets([["buyer", "seller"], ["category", "gate"]], *cols).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    shown = [T.bucket_label(F.col(c)).alias(c) for c in cols[:3]]
+    pairs = raw.where("g = 3").select(*shown[:2], "n").groupingSets([["buyer"], ["seller"], ["buyer", "seller"]], "buyer", "seller").agg((F.grouping_id() * 4 + 3).alias("level"), F.sum("n").alias("n"))
+    kinds = raw.where("g = 12").select(shown[2], "gate", "n").groupingSets([["category"], ["gate"]], "category", "gate").agg((F.grouping_id() + 12).alias("level"), F.sum("n").alias("n"))
+    return pairs.unionByName(kinds, allowMissingColumns=True).select("level", *cols, "n")
 
 
 @query("AGG-19-missing", B.with_views("purchases", "SELECT CAST(count_if(buyer IS NULL) AS BIGINT) AS buyer, CAST(count_if(seller IS NULL) AS BIGINT) AS seller, CAST(count_if(category IS NULL) AS BIGINT) AS category FROM purchases"))
@@ -30,9 +35,14 @@ def missing(spark, sf_dir):
     return B.purchases(spark, sf_dir).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("buyer", "seller", "category")])
 
 
-def top(rows: DataFrame, n: int, *keys: str, within: tuple[str, ...] = ()) -> DataFrame:
-    """WIN-04: the most frequent keys, ties by name; within groups if given. Counted before it is ranked."""
-    counts = rows.groupBy(*within, *keys).agg(F.count("*").alias("n"))
+def counted(spark, sf_dir: str, *keys: str) -> DataFrame:
+    """How many purchases each labelled key has: raw keys are counted before they are labelled."""
+    raw = B.purchases(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n"))
+    return raw.select(*[T.bucket_label(F.col(k)).alias(k) for k in keys], "n").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def top(counts: DataFrame, n: int, *keys: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """WIN-04: of counted keys the most frequent, ties by name; within groups if given."""
     by: list[Column] = [F.desc("n"), *map(F.col, keys)]
     if not within:
         return counts.orderBy(*by).limit(n)
@@ -41,17 +51,17 @@ def top(rows: DataFrame, n: int, *keys: str, within: tuple[str, ...] = ()) -> Da
 
 @query("WIN-04", B.with_views("purchases", "SELECT buyer, count(*) AS n FROM labelled GROUP BY buyer ORDER BY n DESC, buyer LIMIT 20", **LABELLED))
 def win04(spark, sf_dir):
-    return top(labelled(spark, sf_dir), 20, "buyer")
+    return top(counted(spark, sf_dir, "buyer"), 20, "buyer")
 
 
 @query("WIN-04-pairs", B.with_views("purchases", "SELECT buyer || ' -> ' || seller AS pair, n FROM (SELECT buyer, seller, count(*) AS n FROM labelled GROUP BY ALL ORDER BY n DESC, buyer, seller LIMIT 25)", **LABELLED))
 def win04_pairs(spark, sf_dir):
-    return top(labelled(spark, sf_dir), 25, "buyer", "seller").select(F.concat("buyer", F.lit(" -> "), "seller").alias("pair"), "n")
+    return top(counted(spark, sf_dir, "buyer", "seller"), 25, "buyer", "seller").select(F.concat("buyer", F.lit(" -> "), "seller").alias("pair"), "n")
 
 
 @query("WIN-04-nested", B.with_views("purchases", "SELECT category, seller, n FROM (SELECT category, seller, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, seller) AS r FROM labelled GROUP BY category, seller) WHERE r <= 10", **LABELLED))
 def win04_nested(spark, sf_dir):
-    return top(labelled(spark, sf_dir), 10, "seller", within=("category",))
+    return top(counted(spark, sf_dir, "category", "seller"), 10, "seller", within=("category",))
 
 
 @query("WIN-05", B.with_views("purchases", "SELECT category, string_agg(line, ',' ORDER BY line) AS examples FROM (SELECT category, line, row_number() OVER (PARTITION BY category ORDER BY line) AS r FROM labelled) WHERE r <= 5 GROUP BY category", **LABELLED))

@@ -15,6 +15,9 @@ from ..functions import text as T
 #: representation, priority, divisor of the page id at which it exists, divisor at which it is blank
 REPRESENTATIONS = (("repair_markdown", 1, 11, 22), ("markdown", 2, 5, 10), ("vision_markdown", 3, 3, 9), ("ocr_text", 4, 2, 14), ("text", 5, 1, 97))
 
+#: What some pages hold instead of their text, as a bad scan would give; others hold nothing.
+GARBLED = "#7 |~ 41% ^^ 9/3 |" * 6
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +30,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc.alias("doc"),
         (F.col("doc_id") % 4 + 1).alias("page"),
         "doc_id",
-        F.coalesce("text", F.lit("")).alias("content"),
+        F.when(F.col("doc_id") % 23 == 0, "").when(F.col("doc_id") % 29 == 0, GARBLED).otherwise(F.coalesce("text", F.lit(""))).alias("content"),
         F.concat_ws("_", "source", "lang", F.concat(doc.cast("string"), F.lit(".pdf"))).alias("filename"),
         "lang",
         "source",
@@ -46,7 +49,7 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.with_ratios(p, "norm").withColumn("chars", F.length("norm"))
     p = p.withColumn("flags", G.page_signals(F.col("norm"), F.col("images"), (F.col("alpha"), F.col("symbol"), F.col("newline"))))
     path = lambda k, name: F.when(F.col("doc_id") % k == 0, F.concat(F.lit(f"{name}/"), F.col("doc_id").cast("string")))
-    return p.select("doc", "page", "doc_id", "filename", "norm", "chars", "flags", "images", path(2, "ocr").alias("ocr_path"), path(5, "md").alias("markdown_path"), path(11, "repair").alias("repair_path"), path(3, "vision").alias("vision_path"), path(6, "image").alias("image_path"))
+    return p.select("doc", "page", "doc_id", "filename", "norm", "chars", "flags", "images", path(2, "ocr").alias("ocr_path"), path(5, "md").alias("markdown_path"), path(11, "repair").alias("repair_path"), path(9, "vision").alias("vision_path"), path(6, "image").alias("image_path"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +140,9 @@ SQL = {
         FROM (SELECT *, chars AS n, chars < 15 AND doc_id % 5 < 2 AS blank, chars < 15 AND doc_id % 3 = 0 AS low, doc_id % 100 AS conf, doc_id % 7 * 400 AS p,
             len(list_filter(w, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= greatest(1, length(x) // 2))) / greatest(len(w), 1) > 0.3 AS form
             FROM (SELECT *, list_filter(regexp_split_to_array(norm, '\s+'), lambda x: x <> '') AS w FROM flagged))""",
-    "pages": """SELECT doc_id // 4 AS doc, doc_id % 4 + 1 AS page, doc_id, coalesce(text, '') AS content,
-        concat_ws('_', source, lang, (doc_id // 4) || '.pdf') AS filename, lang, source, doc_id % 6 = 0 AS images FROM documents""",
+    "pages": """SELECT doc_id // 4 AS doc, doc_id % 4 + 1 AS page, doc_id,
+        CASE WHEN doc_id % 23 = 0 THEN '' WHEN doc_id % 29 = 0 THEN '%s' ELSE coalesce(text, '') END AS content,
+        concat_ws('_', source, lang, (doc_id // 4) || '.pdf') AS filename, lang, source, doc_id % 6 = 0 AS images FROM documents""".replace("%s", GARBLED),
     "contracts": """SELECT doc, arg_min(filename, page) AS filename, count(*) AS page_count, CAST(sum(length(content)) AS BIGINT) AS size_bytes, arg_min(lang, page) AS lang FROM pages GROUP BY doc""",
     "norm": r"""SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS norm FROM pages""",
     "ratios": r"""SELECT *, length(norm) AS chars, length(regexp_replace(norm, '[\s\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g')) AS solid,
@@ -153,7 +157,7 @@ SQL = {
         CASE WHEN contains(norm, chr(9)) OR contains(norm, '  ') OR contains(norm, '|') THEN 'possible_table_or_form_content' END,
         CASE WHEN chars = 0 OR (alpha < 0.35 AND chars >= 40) THEN 'ocr_recommended' END], lambda x: x IS NOT NULL) AS flags,
         CASE WHEN doc_id % 2 = 0 THEN 'ocr/' || doc_id END AS ocr_path, CASE WHEN doc_id % 5 = 0 THEN 'md/' || doc_id END AS markdown_path,
-        CASE WHEN doc_id % 11 = 0 THEN 'repair/' || doc_id END AS repair_path, CASE WHEN doc_id % 3 = 0 THEN 'vision/' || doc_id END AS vision_path,
+        CASE WHEN doc_id % 11 = 0 THEN 'repair/' || doc_id END AS repair_path, CASE WHEN doc_id % 9 = 0 THEN 'vision/' || doc_id END AS vision_path,
         CASE WHEN doc_id % 6 = 0 THEN 'image/' || doc_id END AS image_path FROM signals""",
     "variants": " UNION ALL ".join(f"SELECT doc, page, '{n}' AS representation, {p} AS priority, CASE WHEN doc_id % {b} = 0 THEN '' ELSE content END AS content FROM pages WHERE doc_id % {e} = 0" for n, p, e, b in REPRESENTATIONS),
     "best": "SELECT * FROM variants WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY doc, page ORDER BY priority, representation) = 1",
