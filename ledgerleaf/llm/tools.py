@@ -3,7 +3,7 @@
 Messages are rows (conv_id, turn, kind, call_id, name, body): a `call` has a tool's name and its arguments as JSON, a
 `result` what came back, a `message` a role as its name and text. Calls and results are hash-joined by conversation and
 identifier, through one row for each identifier, so repeated identifiers can't multiply. Calls whose arguments refer to
-other calls (`{"$ref": "identifier"}` as a value) come after the results of those: each round of joins takes out the calls that
+other calls (`{"$ref": "identifier"}` as a value, nested or not) come after the results of those: each round of joins takes out the calls that
 wait for none that is left, so chains of any depth are ordered and only true cycles stay. Arguments are parsed, validated against the tools' schemas and written as canonical JSON (keys sorted,
 no spaces, UTF-8). One row for each message comes back, ordered in its conversation by (level, at, sub, turn); no conversation
 is ever gathered in one place.
@@ -33,7 +33,7 @@ COMPACT = 32
 MESSAGE = "conv_id, turn, kind, call_id, name, body"
 
 #: The tool that the query reads a chat's turns as: a user's turn calls it, the assistant's next turn is its result.
-REPLY: Schemas = {"reply": {"n_chars": ("integer", True), "prompt": ("string", True), "turn": ("integer", True)}}
+REPLY: Schemas = {"reply": {"context": ("string", False), "n_chars": ("integer", True), "prompt": ("string", True), "turn": ("integer", True)}}
 
 
 def canonical_json(value: object) -> str:
@@ -58,11 +58,20 @@ def fits(arguments: object, schema: dict[str, tuple[str, bool]] | None) -> bool:
 
 
 def references(body: str | None) -> list[str]:
+    """Identifiers of all `{"$ref": identifier}` in the arguments, however deep they are nested."""
     try:
-        args = json.loads(body or "")
-    except ValueError:
+        todo, out = [json.loads(body or "")], []
+    except (ValueError, RecursionError):
         return []
-    return [v["$ref"] for v in args.values() if isinstance(v, dict) and set(v) == {"$ref"} and isinstance(v["$ref"], str)] if isinstance(args, dict) else []
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if set(v) == {"$ref"} and isinstance(v["$ref"], str):
+                out.append(v["$ref"])
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return sorted(set(out))
 
 
 def _serialise(schemas: Schemas):
@@ -71,7 +80,7 @@ def _serialise(schemas: Schemas):
             try:
                 args = json.loads(body or "")
                 good = fits(args, schemas.get(name))
-            except ValueError:
+            except (ValueError, RecursionError):
                 args, good = body, False
             return canonical_json({"role": "assistant", "tool_calls": [{"function": {"arguments": args, "name": name}, "id": call_id, "type": "function"}]}), good
         if kind == "result":
@@ -138,18 +147,29 @@ def format_chats(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
 
 def from_turns(chats: DataFrame) -> DataFrame:
-    """A chat's turns as tool use: a user's turn calls `reply`, an assistant's turn is the result of the call a turn before."""
-    text = F.coalesce("text", F.lit(""))
-    call_id = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), turn)
-    args = F.to_json(F.struct(F.length(text).alias("n_chars"), text.alias("prompt"), F.col("turn").alias("turn")))
+    """A chat's turns as tool use: a user's turn calls `reply`, an assistant's turn is the result of the call a turn before.
+
+    Calls refer to the call two turns before, three times in a row; to one that never comes in every 13th chat; the first
+    two refer to each other in every 11th. In every 7th chat two calls share an identifier. Lengths are texts in every
+    5th chat, and some prompts are missing in every other 5th, so their arguments don't fit.
+    """
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text, pair = F.coalesce("text", F.lit("")), F.floor(turn / 2)
+    shared = F.coalesce(conv % 7 == 3, F.lit(False))
+    call_id = lambda t: F.concat(F.lit("c"), conv.cast("string"), F.lit("_"), F.when(shared, t - t % 4).otherwise(t).cast("string"))
+    follows = pair % 4 != 0
+    ref = F.when(~shared, F.when((conv % 13 == 7) & follows, F.concat(F.lit("c"), conv.cast("string"), F.lit("_gone"))).when((conv % 11 == 5) & (pair == 0), call_id(turn + 2)).when(follows, call_id(turn - 2)))
+    context = F.when(ref.isNotNull(), F.struct(ref.alias("$ref"))).alias("context")
+    prompt = F.when(~F.coalesce((conv % 5 == 2) & (pair % 2 == 1), F.lit(False)), text).alias("prompt")
+    args = lambda kind: F.to_json(F.struct(context, F.length(text).cast(kind).alias("n_chars"), prompt, turn.alias("turn")))
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     return chats.select(
         "conv_id",
         "turn",
         F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
-        F.when(user, call_id(F.col("turn"))).when(assistant, call_id(F.col("turn") - 1)).alias("call_id"),
+        F.when(user, call_id(turn)).when(assistant, call_id(turn - 1)).alias("call_id"),
         F.when(user, "reply").when(assistant, None).otherwise(F.col("role")).alias("name"),
-        F.when(user, args).otherwise(text).alias("body"),
+        F.when(user, F.when(conv % 5 == 1, args("string")).otherwise(args("long"))).otherwise(text).alias("body"),
     )
 
 
@@ -157,26 +177,33 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(from_turns(table(spark, sf_dir, "conversations")), REPLY)
 
 
-OP9_SQL = """
-WITH m AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+_ID = "'c' || conv_id || '_' || CASE WHEN conv_id % 7 = 3 THEN {t} - {t} % 4 ELSE {t} END".format
+OP9_SQL = f"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, turn // 2 AS pair,
     CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-    CASE role WHEN 'user' THEN 'c' || conv_id || '_' || turn WHEN 'assistant' THEN 'c' || conv_id || '_' || (turn - 1) END AS call_id
+    CASE role WHEN 'user' THEN {_ID(t='turn')} WHEN 'assistant' THEN {_ID(t='(turn - 1)')} END AS call_id,
+    CASE WHEN role = 'user' AND conv_id % 7 <> 3 THEN CASE WHEN conv_id % 13 = 7 AND turn // 2 % 4 <> 0 THEN 'c' || conv_id || '_gone' WHEN conv_id % 11 = 5 AND turn // 2 = 0 THEN {_ID(t='(turn + 2)')} WHEN turn // 2 % 4 <> 0 THEN {_ID(t='(turn - 2)')} END END AS ref
   FROM conversations),
 o AS (
   SELECT conv_id, call_id, min(CASE WHEN kind = 'call' THEN turn END) AS call_turn, min(CASE WHEN kind = 'result' THEN turn END) AS result_turn
-  FROM m WHERE kind <> 'message' GROUP BY ALL)
+  FROM m WHERE kind <> 'message' GROUP BY ALL),
+w AS (SELECT DISTINCT conv_id, call_id, ref FROM m WHERE ref IS NOT NULL),
+d AS (
+  SELECT conv_id, call_id, 1 AS level FROM w WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.conv_id = w.conv_id AND x.call_id = w.ref)
+  UNION ALL SELECT w.conv_id, w.call_id, d.level + 1 FROM w JOIN d ON w.conv_id = d.conv_id AND w.ref = d.call_id),
+lv AS (SELECT w.conv_id, w.call_id, coalesce(max(d.level), -1) AS depth FROM w LEFT JOIN d ON w.conv_id = d.conv_id AND w.call_id = d.call_id GROUP BY ALL)
 SELECT m.conv_id, m.turn, kind, m.call_id,
-  CASE WHEN kind = 'message' THEN 'message'
+  CASE WHEN kind = 'message' THEN 'message' WHEN depth < 0 THEN 'cycle' WHEN (kind = 'call' AND m.turn > call_turn) OR (kind = 'result' AND m.turn > result_turn) THEN 'repeated'
        WHEN kind = 'call' THEN CASE WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END
        ELSE CASE WHEN call_turn IS NULL THEN 'no_call' ELSE 'linked' END END AS status,
-  0 AS level, CASE WHEN kind = 'result' THEN greatest(m.turn, call_turn) ELSE m.turn END AS at,
+  coalesce(depth, 0) AS level, CASE WHEN kind = 'result' THEN greatest(m.turn, call_turn) ELSE m.turn END AS at,
   CASE WHEN kind = 'result' THEN 1 ELSE 0 END AS sub,
-  CASE WHEN kind = 'call' THEN true END AS valid,
+  CASE WHEN kind = 'call' THEN NOT coalesce(m.conv_id % 5 = 1 OR (m.conv_id % 5 = 2 AND pair % 2 = 1), false) END AS valid,
   CASE kind
-    WHEN 'call' THEN '{"role":"assistant","tool_calls":[{"function":{"arguments":{"n_chars":' || length(text) || ',"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || m.turn
-      || '},"name":"reply"},"id":"' || m.call_id || '","type":"function"}]}'
-    WHEN 'result' THEN '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || m.call_id || '"}'
-    ELSE '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}' END AS json
-FROM m LEFT JOIN o ON m.conv_id = o.conv_id AND m.call_id = o.call_id
+    WHEN 'call' THEN '{{"role":"assistant","tool_calls":[{{"function":{{"arguments":{{' || coalesce('"context":{{"$ref":"' || ref || '"}},', '') || '"n_chars":' || CASE WHEN m.conv_id % 5 = 1 THEN '"' || length(text) || '"' ELSE CAST(length(text) AS VARCHAR) END
+      || CASE WHEN m.conv_id % 5 = 2 AND pair % 2 = 1 THEN '' ELSE ',"prompt":' || CAST(to_json(text) AS VARCHAR) END || ',"turn":' || m.turn || '}},"name":"reply"}},"id":"' || m.call_id || '","type":"function"}}]}}'
+    WHEN 'result' THEN '{{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || m.call_id || '"}}'
+    ELSE '{{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}}' END AS json
+FROM m LEFT JOIN o ON m.conv_id = o.conv_id AND m.call_id = o.call_id LEFT JOIN lv ON m.conv_id = lv.conv_id AND m.call_id = lv.call_id
 """

@@ -547,6 +547,23 @@ def test_tools(spark):
     assert [r.status for r in tools.format_chats(tools.from_turns(chats), tools.REPLY).orderBy(F.col("conv_id").asc_nulls_last(), "turn").collect()] == ["linked", "linked", "message", "no_result"]
 
 
+def test_tools_with_repeated_rows_null_turns_and_nested_references(spark):
+    deep = json.dumps({"a": [{"b": {"$ref": "c1"}}, [[{"$ref": "c2"}]]], "c": {"$ref": 5}})
+    assert tools.references(deep) == ["c1", "c2"] and tools.references("[" * 100_000) == [] and tools.references(None) == []
+    rows = [(1, 1, "call", "c1", "f", "{}")] * 3 + [(1, 2, "call", "c2", "f", deep.replace("c2", "c1"))] * 2 + [(1, None, "result", "c1", None, "r"), (1, None, "call", None, "f", None), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, kind string, call_id string, name string, body string")
+    got = tools.format_chats(df, {"f": {}}).collect()
+    assert len(got) == len(rows)
+    of = lambda c: [(r.status, r.level, r.valid) for r in got if r.call_id == c and r.kind == "call"]
+    assert of("c1") == [("no_result", 0, True)] * 3 and of("c2") == [("no_result", 1, False)] * 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_chat_query_meets_every_case(spark):
+    rows = tools.op9_chat_format(spark, "/root/testdata/sf0.01").select("status", "level", "valid").distinct().collect()
+    assert {"linked", "cycle", "repeated", "message"} <= {r.status for r in rows} and {-1, 0, 1, 2} <= {r.level for r in rows} and {True, False, None} == {r.valid for r in rows}
+
+
 def test_long_chains_of_calls_are_no_cycles(spark):
     n = tools.COMPACT + 3
     body = lambda i: json.dumps({"a": {"$ref": f"c{i - 1}"}} if i else {"a": 1})
