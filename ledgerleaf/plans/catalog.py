@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from ..operators import artifacts, chat, mart, notes, pages, queue, records, reports, timeline  # noqa: F401
+    from ..operators import artifacts, chat, mart, notes, pages, queue, records, reports, timeline, transitions  # noqa: F401
