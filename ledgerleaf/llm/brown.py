@@ -30,6 +30,7 @@ from itertools import count, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,11 @@ CLASSES = 32
 SWEEPS = 8
 MIX = 0.7
 ENDINGS = (4, 3, 2, 1)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
+#: Tokens that are scored at once.
+SCORED = 250_000
+#: A cell and its count, as they are sent.
+CELL = np.dtype([("cell", "<u2"), ("n", "<u4")])
 CACHE = 300_000
 MARKS = b".,;:!?\"'()[]|%$#&*"
 
@@ -153,6 +158,16 @@ def words_of(data: bytes | None) -> list[bytes]:
     return (data or b"").lower().split()
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed: most of the upper planes is zero."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _blocks(block_bytes: int):
     """Rows of documents (doc_id, held_out, text) to rows of blocks; a text ends with token 0, the end."""
 
@@ -165,7 +180,7 @@ def _blocks(block_bytes: int):
             n = np.bincount(flat[np.repeat(~np.array(held, bool), lens)], minlength=len(ids) + 1)
             words = pa.array([END.encode(), *ids], pa.binary()).cast(pa.string())
             listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            cols = [listed(pa.concat_arrays(docs)), listed(pa.array(held, pa.bool_())), listed(pa.array(lens)), pa.array([flat.astype("<u4").tobytes()], pa.binary()), listed(words), listed(pa.array(n.astype(np.int64)))]
+            cols = [listed(pa.concat_arrays(docs)), listed(pa.array(held, pa.bool_())), listed(pa.array(lens)), pa.array([packed(flat.astype("<u4"))], pa.binary()), listed(words), listed(pa.array(n.astype(np.int64)))]
             return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lens", "tokens", "words", "n"])
 
         for batch in batches:
@@ -191,7 +206,7 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
         lens = row["lens"].values.to_numpy()
         held = row["held_out"].values.to_numpy(zero_copy_only=False).astype(bool)
-        yield np.frombuffer(row["tokens"].as_py(), "<u4"), np.repeat(np.arange(len(lens)), lens), np.repeat(held, lens), row
+        yield unpacked(row["tokens"].as_py(), "<u4"), np.repeat(np.arange(len(lens)), lens), np.repeat(held, lens), row
 
 
 def _matrix_rows(m: np.ndarray) -> pa.RecordBatch:
@@ -226,14 +241,19 @@ def head_bigrams(blocks: DataFrame, head: list[bytes]) -> np.ndarray:
     return _sum_matrix(blocks.select("held_out", "lens", "tokens", "words").mapInArrow(run, "a int, b int, n long"), size)
 
 
-def _listed(word: pa.Array, owner: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """One row for each word with its cells; `owner` rises from 0 without gaps."""
-    ends = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(word)))].astype(np.int32))
-    return pa.RecordBatch.from_arrays([word, pa.ListArray.from_arrays(ends, pa.array(cell.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64)))], ["word", "cell", "n"])
+def cells_of(tokens: np.ndarray, doc: np.ndarray, held: np.ndarray, head: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, cell, n) in order: what stands beside each word of a block's list outside the head; `head`: each word's class there, else -1."""
+    of = head[tokens]
+    ok = ~held[:-1] & (doc[1:] == doc[:-1])
+    own = (of < 0) & (tokens > 0)
+    after, before = ok & own[:-1] & (of[1:] >= 0), ok & own[1:] & (of[:-1] >= 0)
+    keys = np.r_[tokens[:-1][after] * np.int64(2 * k) + of[1:][after], tokens[1:][before] * np.int64(2 * k) + k + of[:-1][before]]
+    key, n = np.unique(keys.astype(np.int64), return_counts=True)
+    return key // (2 * k), key % (2 * k), n
 
 
 def neighbours(blocks: DataFrame, classes: Classes) -> DataFrame:
-    """word, cell, n (lists): in each block, how often head words of each class stand beside each other word; cells as in `gains`."""
+    """word, cells (packed `CELL`s): in each block, how often head words of each class stand beside each other word; cells as in `gains`."""
     sent, k = blocks.sparkSession.sparkContext.broadcast({w.decode(errors="surrogateescape"): c for w, c in classes.head.items()}), classes.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,47 +261,55 @@ def neighbours(blocks: DataFrame, classes: Classes) -> DataFrame:
         for batch in batches:
             for tokens, doc, held, row in rows_of(batch):
                 words = row["words"].values
-                of = np.fromiter(map(get, words.to_pylist(), repeat(-1)), np.int64, len(words))[tokens]
-                ok = ~held[:-1] & (doc[1:] == doc[:-1])
-                own = (of < 0) & (tokens > 0)
-                after, before = ok & own[:-1] & (of[1:] >= 0), ok & own[1:] & (of[:-1] >= 0)
-                keys = np.r_[tokens[:-1][after] * (2 * k) + of[1:][after], tokens[1:][before] * (2 * k) + k + of[:-1][before]].astype(np.int64)
-                cell, n = np.unique(keys, return_counts=True)
+                word, cell, n = cells_of(tokens, doc, held, np.fromiter(map(get, words.to_pylist(), repeat(-1)), np.int64, len(words)), k)
                 if len(cell):
-                    found, owner = np.unique(cell // (2 * k), return_inverse=True)
-                    out = _listed(words.take(pa.array(found)), owner, cell % (2 * k), n)
+                    found, begins = np.unique(word, return_index=True)
+                    packed = np.zeros(len(cell), CELL)
+                    packed["cell"], packed["n"] = cell, n
+                    ends = pa.py_buffer((np.r_[begins, len(cell)] * CELL.itemsize).astype(np.int32).tobytes())
+                    lists = pa.Array.from_buffers(pa.binary(), len(found), [None, ends, pa.py_buffer(packed.tobytes())])
+                    out = pa.RecordBatch.from_arrays([words.take(pa.array(found)), lists], ["word", "cells"])
                     yield from (out.slice(s, 10_000) for s in range(0, out.num_rows, 10_000))
 
-    return blocks.select("held_out", "lens", "tokens", "words").mapInArrow(run, "word string, cell array<int>, n array<long>")
+    return blocks.select("held_out", "lens", "tokens", "words").mapInArrow(run, "word string, cells binary")
+
+
+def best_classes(t: np.ndarray, owner: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of greatest gain of each word; `owner` rises from 0 without gaps."""
+    out = []
+    for s in range(0, int(owner[-1]) + 1 if len(owner) else 0, 2_000):
+        a, b = np.searchsorted(owner, (s, s + 2_000))
+        out.append(gains(t, owner[a:b] - s, cell[a:b], n[a:b].astype(float)).argmax(1))
+    return np.concatenate([*out, np.zeros(0, np.int64)])
 
 
 def assign(beside: DataFrame, t: np.ndarray) -> DataFrame:
     """word, class: the class of greatest gain for each word of `neighbours`. A word's rows stream by in order; only their sum is held."""
     sent, cells = beside.sparkSession.sparkContext.broadcast(t), 2 * len(t)
 
-    def summed(rows: pa.RecordBatch) -> pa.RecordBatch:
-        word = rows.column(0)
-        new = np.r_[True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]
-        lists = rows.column(1).value_lengths().to_numpy()
-        key = np.repeat(np.cumsum(new) - 1, lists) * cells + rows.column(1).flatten().to_numpy()
-        cell, at = np.unique(key, return_inverse=True)
-        return _listed(word.filter(pa.array(new)), cell // cells, cell % cells, np.bincount(at, rows.column(2).flatten().to_numpy()))
-
-    def best(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in (rows.slice(s, 2_000) for s in range(0, rows.num_rows, 2_000)):
-            word = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy())
-            found = gains(sent.value, word, part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy().astype(float)).argmax(1)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.int32))], ["word", "class"])
+    def best(words: pa.Array, *found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of = best_classes(sent.value, *found).astype(np.int32)
+        yield from (pa.RecordBatch.from_arrays([words.slice(s, 10_000), pa.array(of[s : s + 10_000])], ["word", "class"]) for s in range(0, len(words), 10_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        held, none = pa.array([], pa.string()), np.zeros(0, np.int64)
+        held_cell, held_n = none, none
         for batch in batches:
-            if batch.num_rows:
-                rows = summed(batch if kept is None else pa.concat_batches([kept, batch]))
-                yield from best(rows.slice(0, rows.num_rows - 1))
-                kept = rows.slice(rows.num_rows - 1)  # the last word may go on in the next batch
-        if kept is not None:
-            yield from best(kept)
+            if not batch.num_rows:
+                continue
+            word, lists = pa.concat_arrays([held, batch.column(0)]), batch.column(1)
+            packed = np.frombuffer(b"".join(lists.to_pylist()), CELL)
+            size = pc.binary_length(lists).to_numpy() // CELL.itemsize
+            new = np.r_[True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]
+            of = np.cumsum(new) - 1
+            key = np.repeat(of, np.r_[[len(held_cell)] * len(held), size].astype(int)) * cells + np.r_[held_cell, packed["cell"].astype(np.int64)]
+            key, at = np.unique(key, return_inverse=True)
+            n, owner, cell = np.bincount(at, np.r_[held_n, packed["n"].astype(np.int64)]), key // cells, key % cells
+            words, last = word.filter(pa.array(new)), owner == of[-1]  # the last word may go on in the next batch
+            yield from best(words[:-1], owner[~last], cell[~last], n[~last])
+            held, held_cell, held_n = words[-1:], cell[last], n[last]
+        if len(held):
+            yield from best(held, np.zeros(len(held_cell), np.int64), held_cell, held_n)
 
     return beside.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, class int")
 
@@ -304,7 +332,7 @@ def transitions(coded: DataFrame, size: int, end: int) -> np.ndarray:
         m = np.zeros(size * size, np.int64)
         for batch in batches:
             for tokens, _, held, row in rows_of(batch):
-                of = (np.frombuffer(row["code"].as_py(), "<i8") % size)[tokens]
+                of = (unpacked(row["code"].as_py(), "<i8") % size)[tokens]
                 last = np.r_[end, of[:-1]]  # each text ends with an end
                 m += np.bincount((last * size + of)[~held], minlength=size * size)
         yield _matrix_rows(m.reshape(size, size))
@@ -325,7 +353,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     shape = f"doc_id array<{kind}>, held_out array<boolean>, lens array<int>, tokens binary, words array<string>, n array<long>"
     # written with its number: a block is known by it from here on
-    blocks = materialize(rows.mapInArrow(_blocks(block_bytes), shape).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = materialize(rows.mapInArrow(_blocks(block_bytes), shape).withColumn("block", F.monotonically_increasing_id()), "blocks", "zstd")
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "w")).select("block", "pos", "w.words", "w.n").withColumnRenamed("words", "word")
     counts = materialize(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -344,17 +372,19 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
 
     def encode(block: pa.Table, known: pa.Table) -> pa.Table:
         """The block with count * classes + class of each word of its list."""
-        c = known.column("c").fill_null(0).to_numpy()
-        code, pos = np.zeros(known.num_rows, "<i8"), known.column("pos").to_numpy()
-        code[pos] = c * size + class_of(sent.value, known.column("unseen").combine_chunks(), known.column("class").combine_chunks())
-        out = block.select(["doc_id", "held_out", "lens", "tokens"])
-        return out.append_column("code", pa.array([code.tobytes()], pa.binary()))
+        given, pos = known.column("code").combine_chunks(), known.column("pos").to_numpy()
+        none = np.flatnonzero(given.is_null().to_numpy(zero_copy_only=False))
+        code = np.zeros(known.num_rows, "<i8")
+        code[pos] = given.fill_null(0).to_numpy()
+        if len(none):  # words without a count have a class alone
+            code[pos[none]] = [sent.value.end if w == END else sent.value.of(w.encode()) for w in known.column("unseen").combine_chunks().take(pa.array(none)).to_pylist()]
+        return block.select(["doc_id", "held_out", "lens", "tokens"]).append_column("code", pa.array([packed(code)], pa.binary()))
 
     # of words with a class only the place goes on to the blocks
-    known = listed.select("block", "pos", "word").join(counts, "word", "left").select(F.col("block").alias("of"), "pos", "c", "class", F.when(F.col("class").isNull(), F.col("word")).otherwise("").alias("unseen"))
+    known = listed.select("block", "pos", "word").join(counts, "word", "left").select(F.col("block").alias("of"), "pos", (F.col("c") * size + F.col("class")).alias("code"), F.when(F.col("class").isNull(), F.col("word")).otherwise("").alias("unseen"))
     texts = blocks.select("block", "doc_id", "held_out", "lens", "tokens")
     coded = texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(encode, f"doc_id array<{kind}>, held_out array<boolean>, lens array<int>, tokens binary, code binary")
-    coded = materialize(coded, "coded")
+    coded = materialize(coded, "coded", "zstd")
     steps = transitions(coded, size, end)
     log_step = np.log(steps + 1) - np.log(steps.sum(1, keepdims=True) + size)
     model = sc.broadcast((log_step, np.log(steps.sum(0) + sizes + 1)))
@@ -363,16 +393,22 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         step, of = model.value
         for batch in batches:
             for at, _, _, row in rows_of(batch):
-                c, k = np.divmod(np.frombuffer(row["code"].as_py(), "<i8"), size)
+                c, k = np.divmod(unpacked(row["code"].as_py(), "<i8"), size)
                 seen = np.log(c + 1.0)
-                uni, word, now = (seen - np.log(tokens + vocabulary + 1))[at], (seen - of[k])[at], k[at]
-                last = np.r_[end, now[:-1]]
-                p = np.logaddexp(np.log(mix) + step[last, now] + word, np.log1p(-mix) + uni) if tokens else np.zeros(len(at))
+                uni, word = seen - np.log(tokens + vocabulary + 1), seen - of[k]
                 lens = row["lens"].values.to_numpy()
-                begins = np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)
-                total = lambda x: pa.array(np.add.reduceat(x, begins))  # noqa: E731, B023
-                cols = [row["doc_id"].values, row["held_out"].values, pa.array(lens.astype(np.int64)), total((c > 0)[at].astype(np.int64)), pa.array(np.full(len(lens), tokens, np.int64)), total(uni / np.log(10)), total(p / np.log(10))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                ends = np.cumsum(lens, dtype=np.int64)
+                cuts = np.r_[0, np.flatnonzero(np.diff(ends // SCORED)) + 1, len(lens)]
+                for lo, hi in zip(cuts[:-1], cuts[1:]):  # some documents at a time
+                    begin = ends[lo] - lens[lo]
+                    part = at[begin : ends[hi - 1]]
+                    now = k[part]
+                    last = np.r_[end, now[:-1]]  # each text ends with an end
+                    p = np.logaddexp(np.log(mix) + step[last, now] + word[part], np.log1p(-mix) + uni[part]) if tokens else np.zeros(len(part))
+                    begins = ends[lo:hi] - lens[lo:hi] - begin
+                    total = lambda x: pa.array(np.add.reduceat(x, begins))  # noqa: E731, B023
+                    cols = [row["doc_id"].values.slice(lo, hi - lo), row["held_out"].values.slice(lo, hi - lo), pa.array(lens[lo:hi].astype(np.int64)), total((c > 0)[part].astype(np.int64)), pa.array(np.full(hi - lo, tokens, np.int64)), total(uni[part] / np.log(10)), total(p / np.log(10))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
