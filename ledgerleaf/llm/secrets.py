@@ -86,25 +86,28 @@ def _free(spans: Column, base: Column) -> Column:
     return F.transform(clear, lambda q: F.struct(q["x"]["x"]["start"].alias("start"), q["x"]["x"]["rank"].alias("rank"), q["x"]["x"]["end"].alias("end")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rid, base and weak spans of every row. Runs of `HEX` of any length are found by the same start as those of the least length."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    text = F.col("text")
+def parts_of(text: Column) -> dict[str, Column]:
+    """Spans of each sort in a text that isn't null. Runs of `HEX` of any length are found by the same start as those of the least length."""
     low = F.lower(text)
     named = low.contains("pass") | low.contains("secret") | low.contains("token") | low.contains("api")
     long_run = text.rlike(r"[0-9a-f]{24}")
     ids = text.rlike(r"(?:AKIA|ASIA|AROA|AIDA)")
     # a greedy run of fewer characters than the least is dropped and holds no other, so the least length can stand in the pattern
-    return rows.select(
-        "doc_id",
-        F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.hex(F.xxhash64("text"))).alias("rid"),
-        _spans(text, ASSIGN, "assign", ASSIGN_LEAST, 2, named).alias("assign"),
-        _spans(text, r"AKIA[A-Z0-9]{16,}", "access", ACCESS_LEAST, 0, ids).alias("access"),
-        _spans(text, r"[0-9a-f]{24,}", "hex", HEX_LEAST, 0, long_run).alias("hex"),
-        _spans(text, WEAK_ID, "id", 0, 0, ids).alias("ids"),
-        _spans(text, WEAK_KEY, "key", 0, 0, text.rlike(r"[A-Za-z0-9+/]{40}")).alias("keys"),
-        _spans(text, ENDPOINT, "endpoint", 0, 0, text.contains("://")).alias("endpoints"),
-    )
+    return {
+        "assign": _spans(text, ASSIGN, "assign", ASSIGN_LEAST, 2, named),
+        "access": _spans(text, r"AKIA[A-Z0-9]{16,}", "access", ACCESS_LEAST, 0, ids),
+        "hex": _spans(text, r"[0-9a-f]{24,}", "hex", HEX_LEAST, 0, long_run),
+        "ids": _spans(text, WEAK_ID, "id", 0, 0, ids),
+        "keys": _spans(text, WEAK_KEY, "key", 0, 0, text.rlike(r"[A-Za-z0-9+/]{40}")),
+        "endpoints": _spans(text, ENDPOINT, "endpoint", 0, 0, text.contains("://")),
+    }
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, rid, base and weak spans of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rid = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.hex(F.xxhash64("text")))
+    return rows.select("doc_id", rid.alias("rid"), *[c.alias(name) for name, c in parts_of(F.col("text")).items()])
 
 
 def link(found: DataFrame, reach: int = 256) -> DataFrame:
@@ -143,20 +146,38 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
+def blanked(text: Column, spans: Column, mark: str) -> Column:
+    """The text with `mark` in place of its spans, of overlapping ones together."""
+
+    def clean(spans: Column) -> Column:
+        # what stays: from the furthest end of all spans before to the start of a span that begins there or later
+        reached = _before(spans, SPAN, 0, lambda s: s["end"], F.greatest)
+        gaps = F.transform(F.filter(reached, lambda p: p["x"]["start"] >= p["before"]), lambda p: F.struct(p["before"].alias("from"), p["x"]["start"].alias("to")))
+        # a substring is counted from the start of its text, so the text is first cut into as many parts as there are pieces
+        cut = F.transform(_let(gaps, _chunks), lambda c: F.struct(c.alias("gaps"), c[0]["from"].alias("at"), F.substring(text, c[0]["from"] + 1, F.element_at(c, -1)["to"] - c[0]["from"]).alias("part")))
+        joined = F.transform(cut, lambda c: F.array_join(F.transform(c["gaps"], lambda g: F.concat(F.substring(c["part"], g["from"] - c["at"] + 1, g["to"] - g["from"]), F.lit(mark))), ""))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(joined, ""), F.substring(text, end + 1, F.length(text)))
+
+    return _let(spans, lambda s: F.when(F.size(s) > 0, clean(s)).otherwise(text))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every secret span of the text replaced by `mark`; other texts and columns stay as they are."""
-    hits = find_secrets(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["rid"]).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
+    """`docs` with every secret span of the text replaced by `mark`; other texts and columns stay as they are.
+
+    Without an identifier and a bare secret nothing can be linked: such texts are redacted where they lie, by their
+    base spans. Only the others are joined with the spans that were found in them.
+    """
     text = F.col(text_col)
-    rid = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(F.coalesce(text, F.lit("")))))
-    # what stays: from the furthest end of all spans before to the start of a span that begins there or later
-    reached = _before(F.col("_spans"), SPAN, 0, lambda s: s["end"], F.greatest)
-    gaps = F.transform(F.filter(reached, lambda p: p["x"]["start"] >= p["before"]), lambda p: F.struct(p["before"].alias("from"), p["x"]["start"].alias("to")))
-    # a substring is counted from the start of its text, so the text is first cut into as many parts as there are pieces
-    cut = F.transform(_let(gaps, _chunks), lambda c: F.struct(c.alias("gaps"), c[0]["from"].alias("at"), F.substring(text, c[0]["from"] + 1, F.element_at(c, -1)["to"] - c[0]["from"]).alias("part")))
-    joined = F.transform(cut, lambda c: F.array_join(F.transform(c["gaps"], lambda g: F.concat(F.substring(c["part"], g["from"] - c["at"] + 1, g["to"] - g["from"]), F.lit(mark))), ""))
-    end = F.array_max(F.transform("_spans", lambda s: s["end"]))
-    clean = F.concat(F.array_join(joined, ""), F.substring(text, end + 1, F.length(text)))
-    return docs.withColumn("_rid", rid).join(hits, "_rid", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    full = F.coalesce(text, F.lit(""))
+    parts = parts_of(full)
+    linked = full.rlike(r"(?:AKIA|ASIA|AROA|AIDA)") | full.rlike(r"[A-Za-z0-9+/]{40}")
+    plain = docs.where(~linked).withColumn(text_col, blanked(text, F.array_sort(F.concat(parts["assign"], parts["hex"])), mark))
+    some = docs.where(linked)
+    hits = find_secrets(some, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["rid"]).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
+    rid = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(full)))
+    met = some.withColumn("_rid", rid).join(hits, "_rid", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), blanked(text, F.col("_spans"), mark)).otherwise(text))
+    return plain.select(*docs.columns).unionByName(met.select(*docs.columns))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
