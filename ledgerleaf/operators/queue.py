@@ -80,15 +80,16 @@ MAX_OPEN = 10_000
 
 
 def dispatch(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """STM-06: each event to the subscriptions whose thread, turn and kind it has; null is any.
+    """STM-06: each event to the subscriptions whose thread, turn and kind (as far as the subscriptions have these columns) it has; null is any.
 
     One equi-join for each combination of keys that occurs; subscriptions without any key get all events, from a list
     of checked length that goes along with each row.
     """
-    given = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), k) for k in KEYS]))
+    known = [k for k in KEYS if k in subscriptions.columns]
+    given = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), k) for k in known]))
     out = None
     for keys in (r["keys"] for r in subscriptions.select(given.alias("keys")).distinct().collect()):  # eight at most
-        s = subscriptions.where(" and ".join(f"{k} is {'not ' * (k in keys)}null" for k in KEYS)).select(*keys, "sub")
+        s = subscriptions.where(" and ".join(f"{k} is {'not ' * (k in keys)}null" for k in known)).select(*keys, "sub")
         if keys:
             one = events.join(s, keys)
         else:

@@ -156,3 +156,27 @@ def test_coe13_sends_lengths_not_texts(spark):
     plan = catalog.QUERIES["COE-13"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     collected = next(line for line in plan.splitlines() if "collect_list" in line)
     assert "content_text" not in collected and "chars" in collected
+
+
+def test_documents_are_chosen_or_refused(spark):
+    from ledgerleaf.operators import chat
+
+    rows = spark.range(20).withColumnRenamed("id", "doc")
+    ids = lambda df: sorted(r.doc for r in df.collect())
+    assert ids(chat.select_documents(rows, "doc", one=3)) == [3] and len(ids(chat.select_documents(rows, "doc"))) == 20
+    few = ids(chat.select_documents(rows, "doc", n=5, seed=1))
+    assert len(few) == 5 and few == ids(chat.select_documents(rows.repartition(7), "doc", n=5, seed=1)) != ids(chat.select_documents(rows, "doc", n=5, seed=2))
+    for wrong in ({"n": 0}, {"n": 21}):
+        with pytest.raises(ValueError):
+            chat.select_documents(rows, "doc", **wrong)
+    with pytest.raises(LookupError):
+        chat.select_documents(rows, "doc", one=99)
+
+
+def test_open_subscriptions_get_every_event(spark):
+    from ledgerleaf.operators import queue
+
+    events = spark.createDataFrame([(1, 5, 8, "a"), (2, None, None, None)], "event_id int, thread long, turn long, kind string")
+    subs = spark.createDataFrame([(1, None, None, None), (2, 5, None, None), (3, 5, 9, None), (4, None, 8, "a")], "sub int, thread long, turn long, kind string")
+    assert sorted(map(tuple, queue.dispatch(events, subs).collect())) == [(1, 1), (1, 2), (1, 4), (2, 1)]
+    assert queue.dispatch(events, subs.limit(0)).count() == 0
