@@ -28,6 +28,33 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == was
 
 
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_copies_leaks_and_secrets_by_brute_force(spark, tmp_path):
+    """Near-dedup, decontamination and redaction in a row, against plain code: what stays, and its texts."""
+    import random
+
+    item = " ".join(f"quiz{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(80))
+    base = [text() for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, base[i]) for i in range(10)] + [(200 + i, f"{text()} {item} {text()}") for i in range(5)] + [(300 + i, f"{text()} token=abcdef{i}") for i in range(5)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+    want = {i: t for i, t in rows if i < 100} | {i: t[: t.index("token=")] + "[SECRET]" for i, t in rows if i >= 300}
+    assert {r.doc_id: r.text for r in docs.collect()} == want and docs.count() == len(want)
+
+
 def test_last_stage_holds_the_tokens(spark):
     import zlib
 
