@@ -80,6 +80,55 @@ def coe15(spark, sf_dir):
     return tool_requests(B.read(spark, sf_dir, "events").select(k.alias("id"), F.to_json(made).alias("body")))
 
 
+OUTPUT = "array<struct<type:string,role:string,id:string,call_id:string,name:string,arguments:string,status:string,content:array<struct<text:string>>>>"
+
+
+def output_items(responses: DataFrame) -> DataFrame:
+    """COE-14: items (id, ordinal, item_id, item_type, role, name, content, arguments, status) of the output list in a response's JSON (id, body).
+
+    Messages hold their texts, blank ones left out; calls without a name are left out; whatever is neither message, call
+    nor reasoning is an event of a hosted tool.
+    """
+    o = responses.select("id", F.posexplode(F.from_json("body", OUTPUT)).alias("ordinal", "o")).select("id", "ordinal", *[F.col(f"o.{c}") for c in ("type", "role", "name", "arguments", "status", "content")])
+    kind = F.col("type")
+    texts = F.filter(F.transform("content", lambda c: T.strip(c["text"])), lambda t: F.coalesce(t != "", F.lit(False)))
+    said = F.when((kind == "message") & (F.size(texts) > 0), F.array_join(texts, "\n\n"))
+    call = kind == "function_call"
+    item_type = F.when(kind == "message", "message").when(call, "tool_call").when(kind == "reasoning", "reasoning").otherwise("hosted_tool_event")
+    o = o.where(~F.coalesce(call, F.lit(False)) | (F.coalesce("name", F.lit("")) != ""))
+    name = F.when(call, F.col("name")).when(kind != "message", kind)
+    return o.select("id", "ordinal", F.concat_ws(":", "id", F.col("ordinal").cast("string")).alias("item_id"), item_type.alias("item_type"), F.when(kind == "message", F.coalesce("role", F.lit("assistant"))).otherwise("assistant").alias("role"), name.alias("name"), said.alias("content"), F.when(call, F.coalesce("arguments", F.lit("{}"))).alias("arguments"), F.when(~kind.isin("message", "function_call"), F.col("status")).alias("status"))
+
+
+def _responses(spark, sf_dir: str) -> DataFrame:
+    """Answers of up to four parts of each sort."""
+    k = F.col("event_id")
+    sort = lambda j: F.element_at(F.array(*map(F.lit, ("message", "function_call", "reasoning", "web_search_call", "function_call"))), ((k + j) % 5 + 1).cast("int"))
+    parts = lambda j: F.array(F.struct(F.concat(F.lit(" a"), k.cast("string"), F.lit(" ")).alias("text")), F.struct(F.lit("  ").alias("text")), F.struct(F.when(k % 2 == 0, F.concat(F.lit("b"), j.cast("string"))).alias("text")))
+    one = lambda j: F.struct(sort(j).alias("type"), F.when((k + j) % 5 == 1, F.concat(F.lit("tool"), j.cast("string"))).alias("name"), F.when((k + j) % 5 == 1, F.concat(F.lit('{"k":'), k.cast("string"), F.lit("}"))).alias("arguments"), F.lit("done").alias("status"), F.when((k + j) % 5 == 0, parts(j)).alias("content"))
+    made = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda j: j < k % 5), one)
+    return B.read(spark, sf_dir, "events").select(k.alias("id"), F.to_json(made).alias("body"))
+
+
+_ITEMS = """SELECT event_id AS id, j AS ordinal, event_id || ':' || j AS item_id, ['message', 'tool_call', 'reasoning', 'hosted_tool_event'][s + 1] AS item_type, [NULL, 'tool' || j, 'reasoning', 'web_search_call'][s + 1] AS name,
+  CASE WHEN s = 0 THEN 'a' || event_id || CASE WHEN event_id % 2 = 0 THEN chr(10) || chr(10) || 'b' || j ELSE '' END END AS content, CASE WHEN s = 1 THEN '{"k":' || event_id || '}' END AS arguments, CASE WHEN s > 1 THEN 'done' END AS status
+  FROM (SELECT event_id, j, (event_id + j) % 5 AS s FROM events, range(4) r(j) WHERE j < event_id % 5) WHERE s < 4"""
+
+
+@query("COE-14", _ITEMS)
+def coe14(spark, sf_dir):
+    return output_items(_responses(spark, sf_dir)).drop("role")
+
+
+@query("JOI-15", f"SELECT item_id, name AS tool, arguments, 100 + row_number() OVER (PARTITION BY id ORDER BY ordinal) AS seq FROM ({_ITEMS}) QUALIFY item_type = 'tool_call'")
+def joi15(spark, sf_dir):
+    """Each requested call with the stored item that it came from, by the item's id."""
+    items = output_items(_responses(spark, sf_dir))
+    stored = items.select("item_id", (F.lit(100) + F.row_number().over(Window.partitionBy("id").orderBy("ordinal"))).cast("long").alias("seq"))
+    requests = items.where("item_type = 'tool_call'").select("item_id", F.col("name").alias("tool"), "arguments")
+    return requests.join(stored, "item_id")
+
+
 @query("JSN-07", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' END AS a, CASE event_id % 6 WHEN 3 THEN 'no object' WHEN 4 THEN 'no JSON' WHEN 5 THEN 'empty' END AS error FROM events""")
 def jsn07(spark, sf_dir):
     """The object that a model's answer holds: an object, its text, or a list of text parts; else what is wrong with it."""
