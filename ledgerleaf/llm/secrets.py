@@ -32,6 +32,8 @@ KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 WEAK_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}"
 WEAK_KEY = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
 ENDPOINT = r"https?://[^\s\"'<>]+"
+#: A run that a bare secret could be; looked for from the start of a run only.
+LONG_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}"
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
@@ -90,7 +92,7 @@ def parts_of(text: Column) -> dict[str, Column]:
     """Spans of each sort in a text that isn't null. Runs of `HEX` of any length are found by the same start as those of the least length."""
     low = F.lower(text)
     named = low.contains("pass") | low.contains("secret") | low.contains("token") | low.contains("api")
-    long_run = text.rlike(r"[0-9a-f]{24}")
+    long_run = text.rlike(r"(?<![0-9a-f])[0-9a-f]{24}")
     ids = text.rlike(r"(?:AKIA|ASIA|AROA|AIDA)")
     # a greedy run of fewer characters than the least is dropped and holds no other, so the least length can stand in the pattern
     return {
@@ -98,7 +100,7 @@ def parts_of(text: Column) -> dict[str, Column]:
         "access": _spans(text, r"AKIA[A-Z0-9]{16,}", "access", ACCESS_LEAST, 0, ids),
         "hex": _spans(text, r"[0-9a-f]{24,}", "hex", HEX_LEAST, 0, long_run),
         "ids": _spans(text, WEAK_ID, "id", 0, 0, ids),
-        "keys": _spans(text, WEAK_KEY, "key", 0, 0, text.rlike(r"[A-Za-z0-9+/]{40}")),
+        "keys": _spans(text, WEAK_KEY, "key", 0, 0, text.rlike(LONG_RUN)),
         "endpoints": _spans(text, ENDPOINT, "endpoint", 0, 0, text.contains("://")),
     }
 
@@ -171,7 +173,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     text = F.col(text_col)
     full = F.coalesce(text, F.lit(""))
     parts = parts_of(full)
-    linked = full.rlike(r"(?:AKIA|ASIA|AROA|AIDA)") | full.rlike(r"[A-Za-z0-9+/]{40}")
+    linked = full.rlike(r"(?:AKIA|ASIA|AROA|AIDA)") | full.rlike(LONG_RUN)
     plain = docs.where(~linked).withColumn(text_col, blanked(text, F.array_sort(F.concat(parts["assign"], parts["hex"])), mark))
     some = docs.where(linked)
     hits = find_secrets(some, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["rid"]).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
