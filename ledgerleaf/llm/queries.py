@@ -16,6 +16,7 @@ from .simhash import op10_simhash_dedup
 from .tools import OP9_SQL, op9_chat_format
 from .topk import OP1_SQL, op1_top_k
 from .url_filter import OP3_SQL, op3_url_filter
+from .whitening import op13_whiten
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +25,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_brown_lm, op3_url_filter, op4_language_id, op5_pii, op6_pack, op7_secret_scan, op8_decontaminate, op9_chat_format, op10_simhash_dedup, op11_source_divergence, op12_sentencepiece, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_brown_lm, op3_url_filter, op4_language_id, op5_pii, op6_pack, op7_secret_scan, op8_decontaminate, op9_chat_format, op10_simhash_dedup, op11_source_divergence, op12_sentencepiece, op13_whiten, pipeline)}
 SQL = {"op1_top_k": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_chat_format": OP9_SQL, "op11_source_divergence": OP11_SQL}
