@@ -515,7 +515,7 @@ def test_wand_finds_all_above_threshold():
 
 
 def test_tools(spark):
-    schemas = {"sum": {"a": ("integer", True), "b": ("number", False)}}
+    schemas = {"sum": {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "number"}}, "required": ["a"]}}
     call = lambda i, a: (1, i, "call", f"c{i}", "sum", json.dumps(a))
     rows = [
         (1, 0, "message", None, "user", "hi é"),
@@ -552,7 +552,7 @@ def test_tools_with_repeated_rows_null_turns_and_nested_references(spark):
     assert tools.references(deep) == ["c1", "c2"] and tools.references("[" * 100_000) == [] and tools.references(None) == []
     rows = [(1, 1, "call", "c1", "f", "{}")] * 3 + [(1, 2, "call", "c2", "f", deep.replace("c2", "c1"))] * 2 + [(1, None, "result", "c1", None, "r"), (1, None, "call", None, "f", None), (None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, kind string, call_id string, name string, body string")
-    got = tools.format_chats(df, {"f": {}}).collect()
+    got = tools.format_chats(df, {"f": {"type": "object", "properties": {}}}).collect()
     assert len(got) == len(rows)
     of = lambda c: [(r.status, r.level, r.valid) for r in got if r.call_id == c and r.kind == "call"]
     assert of("c1") == [("no_result", 0, True)] * 3 and of("c2") == [("no_result", 1, False)] * 2
@@ -561,7 +561,10 @@ def test_tools_with_repeated_rows_null_turns_and_nested_references(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_chat_query_meets_every_case(spark):
     rows = tools.op9_chat_format(spark, "/root/testdata/sf0.01").select("status", "level", "valid").distinct().collect()
-    assert {"linked", "cycle", "repeated", "message"} <= {r.status for r in rows} and {-1, 0, 1, 2} <= {r.level for r in rows} and {True, False, None} == {r.valid for r in rows}
+    assert {"linked", "cycle", "blocked", "repeated", "message"} <= {r.status for r in rows} and {-1, 0, 1, 2} <= {r.level for r in rows} and {True, False, None} == {r.valid for r in rows}
+
+
+MESSAGES = "conv_id long, turn long, kind string, call_id string, name string, body string"
 
 
 def test_long_chains_of_calls_are_no_cycles(spark):
@@ -569,9 +572,109 @@ def test_long_chains_of_calls_are_no_cycles(spark):
     body = lambda i: json.dumps({"a": {"$ref": f"c{i - 1}"}} if i else {"a": 1})
     rows = [(1, i, "call", f"c{i}", "sum", body(i)) for i in range(n)]
     rows += [(1, n, "call", "own", "sum", json.dumps({"a": {"$ref": "own"}})), (1, n + 1, "call", "behind", "sum", json.dumps({"a": {"$ref": "own"}}))]
-    got = tools.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, kind string, call_id string, name string, body string"), {})
-    got = {r.turn: (r.level, r.status) for r in got.collect()}
-    assert got == {i: (i, "no_result") for i in range(n)} | {n: (-1, "cycle"), n + 1: (-1, "cycle")}
+    for local in (tools.LOCAL, 5):
+        got = tools.format_chats(spark.createDataFrame(rows, MESSAGES), {}, local)
+        got = {r.turn: (r.level, r.status) for r in got.collect()}
+        assert got == {i: (i, "no_result") for i in range(n)} | {n: (-1, "cycle"), n + 1: (-1, "blocked")}
+
+
+def in_order(rows):
+    return [r.turn for r in sorted(rows, key=lambda r: (r["at"], r["level"], r["sub"], r["turn"]))]
+
+
+def test_a_chat_in_order_stays_so(spark):
+    """Question, three calls with results that need each other, the answer; and a call that comes before what it needs."""
+    ref = lambda c: json.dumps({"a": {"$ref": c}})
+    rows = [(1, 0, "message", None, "user", "q"), (1, 1, "call", "a", "f", "{}"), (1, 2, "result", "a", None, "1"), (1, 3, "call", "b", "f", ref("a")), (1, 4, "result", "b", None, "2"), (1, 5, "call", "c", "f", ref("b")), (1, 6, "result", "c", None, "3"), (1, 7, "message", None, "assistant", "so")]
+    early = [(2, 0, "call", "x", "f", ref("y")), (2, 1, "result", "x", None, "1"), (2, 2, "call", "y", "f", "{}"), (2, 3, "message", None, "user", "m"), (2, 4, "result", "y", None, "2"), (2, 5, "message", None, "user", "n")]
+    for local in (tools.LOCAL, 0):
+        got = tools.format_chats(spark.createDataFrame(rows + early, MESSAGES), {}, local).collect()
+        assert in_order([r for r in got if r.conv_id == 1]) == list(range(8))
+        assert in_order([r for r in got if r.conv_id == 2]) == [2, 3, 4, 0, 1, 5]
+
+
+def brute_order(edges):
+    """By definition: the calls that a call leads to tell cycles, what is stuck, levels and times."""
+    waits, times, met = {}, {}, {}
+    for c, r, turn, end, then in edges:
+        waits.setdefault(c, set()).add(r)
+        times[c], met[r] = (turn, end), then
+
+    def leads(c):
+        seen, todo = set(), [c]
+        while todo:
+            for r in waits.get(todo.pop(), ()):
+                if r not in seen:
+                    seen.add(r)
+                    todo.append(r)
+        return seen
+
+    to = {c: leads(c) for c in waits}
+    cyclic = {c for c in waits if c in to[c]}
+
+    def done(r):
+        if r not in waits:
+            return 0, met[r]
+        level, ready = solve(r)
+        return level, max(t for t in (ready, times[r][1]) if t is not None)
+
+    def solve(c):
+        before = [done(r) for r in waits[c]]
+        return 1 + max(b[0] for b in before), max(t for t in (times[c][0], *[b[1] for b in before]) if t is not None)
+
+    out = {}
+    for c in waits:
+        out[c] = (-1, times[c][0], "cycle") if c in cyclic else (-1, times[c][0], "blocked") if to[c] & cyclic else (*solve(c), None)
+    return out
+
+
+def test_order_like_its_definition_in_one_task_and_by_joins(spark):
+    rng, every, rows = random.Random(9), {}, []
+    for conv in range(25):
+        n = rng.randrange(2, 14)
+        calls = {f"c{i}": (rng.randrange(50), rng.choice([None, rng.randrange(60)])) for i in range(n)}
+        pairs = {(f"c{rng.randrange(n)}", f"c{rng.randrange(n + 2)}") for _ in range(rng.randrange(1, n + 4))}
+        met = {c: max(t for t in v if t is not None) for c, v in calls.items()}
+        edges = [(a, b, *calls[a], met.get(b)) for a, b in sorted(pairs)]
+        every[conv] = brute_order(edges)
+        assert {c: tuple(v) for c, *v in tools.order(edges)} == every[conv]
+        rows += [(conv, *e) for e in edges]
+    assert {s for v in every.values() for *_, s in v.values()} == {None, "cycle", "blocked"}
+    frame = spark.createDataFrame(rows, "conv_id long, call_id string, ref string, turn long, end long, met long")
+    got = {}
+    for r in tools._rounds(frame).collect():
+        got.setdefault(r.conv_id, {})[r.call_id] = (r.level, r.ready, r.state)
+    assert got == every
+
+
+def test_arguments_against_nested_schemas():
+    schema = {
+        "type": "object",
+        "properties": {
+            "n": {"type": ["integer", "null"], "minimum": 1, "maximum": 5},
+            "tags": {"type": "array", "items": {"type": "string", "minLength": 2, "maxLength": 3}, "minItems": 1, "maxItems": 2},
+            "in": {"type": "object", "properties": {"k": {"enum": ["a", 1, None]}}, "required": ["k"], "additionalProperties": {"type": "number"}},
+            "any": {},
+            "shut": {"type": "object", "additionalProperties": False},
+        },
+        "required": ["in", "n"],
+    }
+    fits = [{"n": 1, "in": {"k": "a"}}, {"n": None, "in": {"k": 1, "x": 2.5}, "tags": ["ab"], "any": [{"deep": True}], "shut": {}}, {"n": {"$ref": "c"}, "in": {"$ref": "c"}}, {"$ref": "c"}]
+    assert all(tools.violations(v, schema) == [] for v in fits)
+    wrong = {"n": 9, "tags": ["a", "abcd", 5], "in": {"x": "t"}, "more": 1, "shut": {"a": 1}}
+    assert tools.violations(wrong, schema) == ["$.in.k: required", "$.in.x: type", "$.more: unknown", "$.n: maximum", "$.shut.a: unknown", "$.tags: maxItems", "$.tags[0]: minLength", "$.tags[1]: maxLength", "$.tags[2]: type"]
+    assert tools.violations({"n": True, "in": {"k": True}, "tags": []}, schema) == ["$.in.k: enum", "$.n: type", "$.tags: minItems"]
+    assert tools.violations([], schema) == ["$: type"] and tools.violations({}, None) == ["$: tool"] and tools.violations({"n": 0, "in": {"k": None}}, schema) == ["$.n: minimum"]
+
+
+def test_broken_json_ends_no_job(spark):
+    bodies = ['{"q":"\\ud83d"}', '{"q":{"$ref":"\\ud83d"}}', '{"q":NaN}', '{"q":[1e999]}', '{"q":-Infinity}', '{"q":', "", None, "[" * 50_000, '{"q":' + "9" * 6_000 + "}", '{"\\udc00":1,"q":"é😀"}', '{"q":"\\ud83d\\ude00"}']
+    rows = [(1, i, "call", f"c{i}", "f", b) for i, b in enumerate(bodies)]
+    got = sorted(tools.format_chats(spark.createDataFrame(rows, MESSAGES), {"f": {"type": "object", "properties": {"q": {"type": "string"}}}}).collect(), key=lambda r: r.turn)
+    assert [r.valid for r in got] == [True, True, *[False] * 8, False, True]
+    assert [r.problems for r in got[2:10]] == ["$: json"] * 8 and got[10].problems == "$.\\udc00: unknown"
+    assert '"arguments":{"q":"\\ud83d"}' in got[0].json and '"arguments":"{\\"q\\":NaN}"' in got[2].json and '"q":"😀"' in got[11].json
+    assert all(json.loads(r.json)["role"] == "assistant" for r in got)
 
 
 def print_of(text):
