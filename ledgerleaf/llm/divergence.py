@@ -1,19 +1,22 @@
 """Source divergence audit: how far each source's words stray from the other sources and from their language.
 
-A task counts the terms of its texts in byte tries, one for each language: a radix trie whose edges hold runs of bytes
-and whose leaves hold how many documents have the term and one counter for each source. A trie that has `ENTRIES`
-counters is written as its leaves in byte order, and a new one is begun. Ranges of prefixes (cut by Spark's range
-partitioning at sampled places) bring equal terms together; a range's task merges its leaves in a trie of its own, which
-it walks and frees every `MERGED` terms, and keeps the terms that enough documents hold. A last walk over the kept terms,
-in UTF-8 order, streams two things at once: sums of f for each pair of sources, and the best terms of each group, where
-of equal values the term met first stands first.
+A task counts the terms of its texts and builds a byte trie of them for each language, a radix trie in preorder: a leaf's
+path leaves that of the leaf before after `shared` bytes and goes on by an edge of its own, and the leaf has how many
+documents hold the term and a counter for each source that does. At `ENTRIES` counters the tries are written, in pieces
+of `PIECE` leaves, and new ones begun. Places sampled from the written pieces cut the terms into ranges of prefixes.
+Pieces are cut where a range ends, so each range's pieces meet in one task, which merges them, `MERGED` leaves at a time,
+and keeps the terms that enough documents hold. A last walk over the kept terms, in UTF-8 order, streams two things at
+once: sums of f for each pair of sources, and the best terms of each group, where of equal values the term met first
+stands first.
 
 Terms are UTF-8 bytes without ASCII other than letters; A-Z alone are lower-cased, so each is what the same pattern over
 code points gives. p = 1 + floor(unit * (count + 1) / (N + V)), f = floor((p - q)^2 / q), in whole numbers throughout
 (longs; Python's integers where a count is too large for them).
 
-Memory: a trie, and sums for at most `CELLS` pairs of sources at a time; languages, or bands of one language's sources,
-beyond that go in further passes over the kept terms. No source is a shuffle key before its terms are counted.
+Memory: the counters of a task; a range's distinct terms, and there are `RANGES` ranges for each shuffle partition; sums
+for at most `CELLS` pairs of sources at a time; languages, or bands of one language's sources, beyond that go in further
+passes over the kept terms. No source is a shuffle key before its terms are counted, and a term comes to its range once
+for each piece, however frequent it is.
 
 Defined results: null text, lang and source are empty strings; repeated rows count each as a document; a language none
 of whose terms is kept has value 0 for every pair and no terms; an empty table gives no rows; extra columns are ignored.
@@ -21,11 +24,13 @@ of whose terms is kept has value 0 for every pair and no terms; an empty table g
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +40,11 @@ MIN_DOCS = 3
 TOP = 200
 UNIT = 1_000_000_000
 ENTRIES = 600_000
-MERGED = 20_000
+PIECE = 4_096
+MERGED = 500_000
+RANGES = 4
+#: Pieces of tries that the ends of ranges are chosen from, and bytes of a term that an end keeps.
+SAMPLE, PREFIX = 20_000, 32
 #: Pairs of sources, and sources, that one pass holds sums and totals for.
 CELLS = 4_000_000
 GROUPS = 200_000
@@ -44,130 +53,175 @@ SLICE = 1 << 20
 
 #: ASCII letters in lower case, other ASCII as blanks, bytes of longer characters as they are.
 FOLD = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-LEAVES = "lang string, term binary, docs long, sources array<string>, counts array<long>"
+KEPT = "lang string, term binary, sources array<string>, counts array<long>"
+PACKED = "lang string, first binary, last binary, sources array<string>, shared binary, sizes binary, edges binary, docs binary, width binary, who binary, counts binary"
 
 
 class Trie:
-    """A byte radix trie; a node is [edge, children by first byte, leaf]. A leaf maps sources to counts, and None to documents."""
-
-    def __init__(self):
-        self.root = [b"", {}, None]
-        self.size = 0
-
-    def leaf(self, term: bytes) -> dict:
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                node, at = child, len(term)
-                break
-            edge = child[0]
-            if term.startswith(edge, at):
-                node, at = child, at + len(edge)
-                continue
-            same = 1
-            while at + same < len(term) and edge[same] == term[at + same]:
-                same += 1
-            middle = [edge[:same], {edge[same]: child}, None]
-            child[0] = edge[same:]
-            node[1][term[at]] = middle
-            node, at = middle, at + same
-        if node[2] is None:
-            node[2] = defaultdict(int)
-            self.size += 1
-        return node[2]
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms and leaves in byte order, which is UTF-8 order."""
-        todo = [(b"", self.root)]
-        while todo:
-            before, node = todo.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            todo += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
-
-
-def _rows(lang: str, walk: Iterator[tuple[bytes, dict]], least: int = 0) -> Iterator[pa.RecordBatch]:
-    cols: list[list] = [[] for _ in range(4)]
-    names = ["lang", "term", "docs", "sources", "counts"]
-
-    def batch() -> pa.RecordBatch:
-        kinds = (pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-        out = pa.RecordBatch.from_arrays([pa.array([lang] * len(cols[0]), pa.string()), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names)
-        for c in cols:
-            c.clear()
-        return out
-
-    for term, leaf in walk:
-        docs = leaf.pop(None, 0)
-        if docs >= least:
-            for c, v in zip(cols, (term, docs, list(leaf), list(leaf.values()))):
-                c.append(v)
-            if len(cols[0]) >= 5_000:
-                yield batch()
-    if cols[0]:
-        yield batch()
-
-
-def _terms(text: str) -> Iterator[list[bytes]]:
+    """A radix trie in preorder: terms in byte order, and for each leaf its documents and the counters of `width` sources (`who`)."""
+
+    def __init__(self, sources: list[str], terms: list[bytes], docs: np.ndarray, width: np.ndarray, who: np.ndarray, counts: np.ndarray):
+        self.sources, self.terms, self.docs, self.width, self.who, self.counts = sources, terms, docs, width, who, counts
+
+    @classmethod
+    def of(cls, docs: Counter, occur: dict[str, Counter]) -> Trie:
+        """From the documents of each term and the counts of each source."""
+        terms, sources = sorted(docs), sorted(occur)
+        place = {t: i for i, t in enumerate(terms)}
+        leaf = np.concatenate([np.fromiter(map(place.__getitem__, occur[s]), np.int64, len(occur[s])) for s in sources])
+        counts = np.concatenate([np.fromiter(occur[s].values(), np.int64, len(occur[s])) for s in sources])
+        who = np.repeat(np.arange(len(sources)), [len(occur[s]) for s in sources])
+        order = np.argsort(leaf, kind="stable")
+        return cls(sources, terms, np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms)), np.bincount(leaf, minlength=len(terms)), who[order], counts[order])
+
+    def cut(self, a: int, b: int) -> Trie:
+        """Leaves a to b."""
+        ends = np.r_[0, np.cumsum(self.width)]
+        some = slice(ends[a], ends[b])
+        return Trie(self.sources, self.terms[a:b], self.docs[a:b], self.width[a:b], self.who[some], self.counts[some])
+
+    def pack(self, lang: str) -> tuple:
+        """A row of `PACKED`: of each term only the edge, what follows the bytes that it shares with the term before."""
+        most = min(64, max(map(len, self.terms)))
+        head = np.array(self.terms, f"S{most}").view(np.uint8).reshape(-1, most)
+        other = head[1:] != head[:-1]
+        shared = np.r_[0, np.where(other.any(1), other.argmax(1), most)] if len(head) > 1 else np.zeros(1, int)
+        edges = [t[k:] for t, k in zip(self.terms, shared.tolist())]
+        sizes = np.fromiter(map(len, edges), np.int64, len(edges))
+        data = [x.astype(k).tobytes() for x, k in ((shared, "u1"), (sizes, "<u4"), (self.docs, "<i8"), (self.width, "<u4"), (self.who, "<u4"), (self.counts, "<i8"))]
+        return lang, self.terms[0], self.terms[-1], self.sources, data[0], data[1], b"".join(edges), *data[2:]
+
+    @classmethod
+    def unpack(cls, sources: list[str], shared: bytes, sizes: bytes, edges: bytes, *rest: bytes) -> Trie:
+        terms, term, at = [], b"", 0
+        for k, n in zip(shared, np.frombuffer(sizes, "<u4").tolist()):
+            term = term[:k] + edges[at : at + n]
+            terms.append(term)
+            at += n
+        return cls(sources, terms, *(np.frombuffer(x, k).astype(np.int64) for x, k in zip(rest, ("<i8", "<u4", "<u4", "<i8"))))
+
+    @classmethod
+    def merge(cls, tries: list[Trie]) -> Trie:
+        """One trie of several: equal leaves become one, counters of the same source are added."""
+        sources = sorted({s for t in tries for s in t.sources})
+        place = {s: i for i, s in enumerate(sources)}
+        coded = pa.array([term for t in tries for term in t.terms], pa.binary()).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        leaf = rank[coded.indices.to_numpy()]
+        docs = np.zeros(len(order), np.int64)
+        np.add.at(docs, leaf, np.concatenate([t.docs for t in tries]))
+        who = np.concatenate([np.array([place[s] for s in t.sources], np.int64)[t.who] for t in tries])
+        key = np.repeat(leaf, np.concatenate([t.width for t in tries])) * len(sources) + who
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, counts = key[begins], np.add.reduceat(np.concatenate([t.counts for t in tries])[by], begins)
+        return cls(sources, coded.dictionary.take(pa.array(order)).to_pylist(), docs, np.bincount(key // len(sources), minlength=len(docs)), key % len(sources), counts)
+
+    def kept(self, lang: str, least: int) -> Iterator[pa.RecordBatch]:
+        """Rows of `KEPT` for the terms that at least so many documents hold."""
+        names = pa.array(self.sources, pa.string())
+        good = self.docs >= least
+        leaf = np.flatnonzero(good)
+        inside = np.repeat(good, self.width)
+        width, who, counts = self.width[good], self.who[inside], self.counts[inside]
+        ends = np.r_[0, np.cumsum(width)]
+        for i in range(0, len(leaf), 5_000):
+            j = min(i + 5_000, len(leaf))
+            offsets, some = pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), slice(ends[i], ends[j])
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (names.take(pa.array(who[some])), pa.array(counts[some]))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (j - i), pa.string()), pa.array([self.terms[k] for k in leaf[i:j]], pa.binary()), *lists], ["lang", "term", "sources", "counts"])
+
+
+def _terms(text: bytes) -> Iterator[list[bytes]]:
     """Lists of the terms of a text; a long text comes in slices that end between terms."""
     if len(text) <= SLICE:
-        yield text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+        yield text.translate(FOLD).split()
         return
     rest = b""
     for i in range(0, len(text), SLICE):
-        data = rest + text[i : i + SLICE].encode("utf-8", "surrogatepass").translate(FOLD)
+        data = rest + text[i : i + SLICE].translate(FOLD)
         cut = data.rfind(b" ") + 1
         rest = data[cut:]
         yield data[:cut].split()
     yield rest.split()
 
 
+def _rows(rows: list[tuple], ranges: list[int] | None = None) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 7]
+    names = [n.split()[0] for n in PACKED.split(", ")]
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    if ranges is not None:
+        cols, names = [pa.array(ranges, pa.int32()), *cols], ["range", *names]
+    return pa.RecordBatch.from_arrays(cols, names)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[str, Counter] = defaultdict(Counter)
-    occur: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    occur: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
 
     def spill() -> Iterator[pa.RecordBatch]:
         for lang in sorted(docs):
-            trie, leaves = Trie(), {}
-            for term, n in docs.pop(lang).items():
-                leaf = leaves[term] = trie.leaf(term)
-                leaf[None] = n
-            for key in [k for k in occur if k[0] == lang]:
-                for term, n in occur.pop(key).items():
-                    leaves[term][key[1]] = n
-            yield from _rows(lang, trie.walk())
+            if docs[lang]:
+                trie = Trie.of(docs[lang], occur[lang])
+                for i in range(0, len(trie.terms), PIECE):
+                    yield _rows([trie.cut(i, min(i + PIECE, len(trie.terms))).pack(lang)])
+        docs.clear()
+        occur.clear()
 
     for whole in batches:
         for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 seen: set[bytes] | None = None
                 for found in _terms(text):
-                    occur[lang, source].update(found)
+                    occur[lang][source].update(found)
                     seen = set(found) if seen is None else seen.union(found)
                 docs[lang].update(seen)
-            if sum(map(len, occur.values())) >= ENTRIES:
+            if sum(len(c) for sources in occur.values() for c in sources.values()) >= ENTRIES:
                 yield from spill()
     yield from spill()
 
 
+def _cut(ends: list[tuple[str, bytes]]):
+    """Gives pieces the number of their range of prefixes; a piece that goes on beyond a range is cut there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                lang, first, last, *packed = row
+                at, to = bisect_right(ends, (lang, first)), bisect_right(ends, (lang, last))
+                if at == to:
+                    yield _rows([row], [at])
+                    continue
+                trie, begin = Trie.unpack(*packed), 0
+                for k in range(at, to + 1):
+                    end = len(trie.terms) if k == to else bisect_right(trie.terms, False, key=lambda t: (lang, t) >= ends[k])  # noqa: B023
+                    if end > begin:
+                        yield _rows([trie.cut(begin, end).pack(lang)], [k])
+                    begin = end
+
+    return run
+
+
 def _merge(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, last, trie = None, None, Trie()
+        now, tries, size = None, [], 0
         for batch in batches:
-            for now, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != lang or (term != last and trie.size >= MERGED):
-                    if lang is not None:
-                        yield from _rows(lang, trie.walk(), min_docs)
-                    lang, trie = now, Trie()
-                last, leaf = term, trie.leaf(term)
-                leaf[None] += docs
-                for s, n in zip(sources, counts):
-                    leaf[s] += n
-        if lang is not None:
-            yield from _rows(lang, trie.walk(), min_docs)
+            for k, lang, _, _, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, lang) != now:
+                    if tries:
+                        yield from Trie.merge(tries).kept(now[1], min_docs)
+                    now, tries, size = (k, lang), [], 0
+                tries.append(Trie.unpack(*packed))
+                size += len(tries[-1].terms)
+                if size >= MERGED and len(tries) > 1:
+                    whole = Trie.merge(tries)
+                    # a range with that many distinct terms waits until half as many again have come
+                    tries, size = [whole], min(len(whole.terms), MERGED // 2)
+        if tries:
+            yield from Trie.merge(tries).kept(now[1], min_docs)
 
     return run
 
@@ -268,8 +322,12 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     spark = docs.sparkSession
     said: dict[str, Column] = {n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in (("lang", lang_col), ("source", source_col), ("text", text_col))}
     told = docs.select(*[c.alias(n) for n, c in said.items()])
-    leaves = materialize(told.mapInArrow(_count, LEAVES), "tries")
-    kept = materialize(leaves.repartitionByRange(partitions(spark), "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge(min_docs), LEAVES).drop("docs"), "terms")
+    tries = materialize(told.mapInArrow(_count, PACKED), "tries", "zstd")
+    places = tries.select("lang", "first").orderBy(F.xxhash64("lang", "first", F.monotonically_increasing_id())).limit(SAMPLE).collect()
+    places, ranges = sorted((r["lang"], bytes(r["first"])[:PREFIX]) for r in places), RANGES * partitions(spark)
+    ends = sorted({places[len(places) * i // ranges] for i in range(1, ranges)}) if places else []
+    pieces = tries.mapInArrow(_cut(ends), f"range int, {PACKED}").repartition(partitions(spark), "range").sortWithinPartitions("range", "lang")
+    kept = materialize(pieces.mapInArrow(_merge(min_docs), KEPT), "terms")
     pairs = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("c"))
     by_source = pairs.groupBy("lang", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("n"))
     groups = told.select("lang", "source").distinct()

@@ -54,18 +54,27 @@ def test_against_brute_force(spark):
 def test_small_bounds_give_the_same(spark, monkeypatch):
     """Tries written often, merged tries freed often, slices of texts, bands of sources, several passes and few terms a group."""
     rows = made(2) + [(906, "wordone wordtwo éé " * 300 + "Last", "en", "s1", 0, None, None)] * 3
-    for name, value in (("ENTRIES", 20), ("MERGED", 2), ("CELLS", 8), ("GROUPS", 5), ("SLICE", 50)):
+    for name, value in (("ENTRIES", 20), ("PIECE", 3), ("MERGED", 4), ("CELLS", 8), ("GROUPS", 5), ("SLICE", 50)):
         monkeypatch.setattr(dv, name, value)
-    assert [t for part in dv._terms(rows[-1][1]) for t in part] == rows[-1][1].lower().encode().split()
-    small = {n: getattr(dv, n) for n in ("ENTRIES", "MERGED", "SLICE")}
+    long = rows[-1][1]
+    assert [t for part in dv._terms(long.encode()) for t in part] == long.lower().encode().split()
+    small = {n: getattr(dv, n) for n in ("ENTRIES", "PIECE", "MERGED", "SLICE")}
 
-    def count(batches):
-        for name, value in small.items():
-            setattr(dv, name, value)
-        return original(batches)
+    def patched(name):
+        original = getattr(dv, name)
 
-    original = dv._count
-    monkeypatch.setattr(dv, "_count", count)
+        def make(*args):
+            def run(batches):
+                for k, v in small.items():
+                    setattr(dv, k, v)
+                yield from original(batches) if name == "_count" else original(*args)(batches)
+
+            return run
+
+        return make() if name == "_count" else make
+
+    for name in ("_count", "_cut", "_merge"):
+        monkeypatch.setattr(dv, name, patched(name))
     assert got(dv.divergence(spark.createDataFrame(rows, DOCS).repartition(3), top=4)) == brute(rows, top=4)
 
 
@@ -82,11 +91,24 @@ def test_shares_are_exact_beyond_longs():
     assert dv.share(np.array([counts]), np.array([total] * 3), 5).tolist() == [[1 + 10**9 * (c + 1) // (total + 5) for c in counts]]
 
 
-def test_trie():
+def test_tries_merge_cut_and_keep_their_terms():
     rng = random.Random(3)
-    terms = {bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randrange(1, 9))) for _ in range(500)}
-    trie = dv.Trie()
-    for t in sorted(terms, key=hash):
-        trie.leaf(t)["s"] += 1
-        trie.leaf(t)["s"] += 1
-    assert [(t, dict(leaf)) for t, leaf in trie.walk()] == [(t, {"s": 2}) for t in sorted(terms)] and trie.size == len(terms)
+    word = lambda: bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.choice([1, 2, 3, 9, 80])))
+    tries, docs, occur = [], Counter(), defaultdict(Counter)
+    for _ in range(5):
+        some = {s: Counter({word(): rng.randrange(1, 9) for _ in range(100)}) for s in rng.sample("xyz", 2)}
+        mine = Counter(t for c in some.values() for t in c)
+        docs.update(mine)
+        for s, c in some.items():
+            occur[s].update(c)
+        trie = dv.Trie.of(mine, some)
+        at = rng.randrange(1, len(trie.terms))
+        for part in (trie.cut(0, at), trie.cut(at, len(trie.terms))):
+            lang, first, last, *packed = part.pack("en")
+            back = dv.Trie.unpack(*packed)
+            assert back.terms == part.terms and (first, last) == (part.terms[0], part.terms[-1])
+            tries.append(back)
+    one = dv.Trie.merge([dv.Trie.merge(tries[:4]), *tries[4:]])
+    assert one.terms == sorted(docs) and one.docs.tolist() == [docs[t] for t in one.terms]
+    rows = [r for b in one.kept("en", 2) for r in b.to_pylist()]
+    assert [(r["term"], dict(zip(r["sources"], r["counts"]))) for r in rows] == [(t, {s: c[t] for s, c in occur.items() if c[t]}) for t in sorted(docs) if docs[t] >= 2]
