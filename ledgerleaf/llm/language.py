@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, free_name, table
 
 #: Families of common languages; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -181,8 +181,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """`docs` with the language and its score appended; columns of these names are replaced."""
-    rest = [c for c in docs.columns if c not in (lang_as, score_as)]
-    rows = docs.select(*rest).withColumn("_letters", has_letter(F.col(text_col)))
+    rest = [c for c in docs.columns if c.lower() not in (lang_as.lower(), score_as.lower())]
+    letters = free_name(rest, "letters")
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], has_letter(F.col(text_col)).alias(letters))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +195,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str
                 lang[none], score[none] = "und", 0
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*rest, lang_as, score_as])
 
-    schema = rows.drop("_letters").withColumns({lang_as: F.lit(""), score_as: F.lit(0.0)}).schema
+    schema = rows.drop(letters).withColumns({lang_as: F.lit(""), score_as: F.lit(0.0)}).schema
     return rows.mapInArrow(run, schema)
 
 

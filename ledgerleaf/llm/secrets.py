@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import as_row, materialize, table
 
 #: The patterns of the query's contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -176,10 +176,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     linked = full.rlike(r"(?:AKIA|ASIA|AROA|AIDA)") | full.rlike(LONG_RUN)
     plain = docs.where(~linked).withColumn(text_col, blanked(text, F.array_sort(F.concat(parts["assign"], parts["hex"])), mark))
     some = docs.where(linked)
-    hits = find_secrets(some, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["rid"]).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
+    hits = find_secrets(some, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["rid"]).select("rid", "spans")
     rid = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(full)))
-    met = some.withColumn("_rid", rid).join(hits, "_rid", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), blanked(text, F.col("_spans"), mark)).otherwise(text))
-    return plain.select(*docs.columns).unionByName(met.select(*docs.columns))
+    met = some.select(as_row(some), rid.alias("rid")).join(hits, "rid", "left")
+    was = F.col("row").getField(text_col)
+    now = F.when(F.col("spans").isNotNull(), blanked(was, F.col("spans"), mark)).otherwise(was)
+    return plain.unionByName(met.select(*[(now if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

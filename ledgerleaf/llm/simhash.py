@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import as_row, materialize, table
 
 SHINGLE = 3
 SEED = 42
@@ -228,9 +228,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counts = near_duplicates(docs, id_col, text_col).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("best")
     kept = materialize(counts.groupBy("root").agg(best).select("best.*"), "kept")
-    keys = kept.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_kept"))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (mark_of(text_col) == F.col("_kept"))
-    rest = docs.join(keys, same, "left_semi")
+    rows = docs.select(as_row(docs), F.col(id_col).alias("id"), mark_of(text_col).alias("own"))
+    rest = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")), "left_semi").select("row.*")
     return rest.dropDuplicates([id_col, text_col]) if kept.where("n > 1").limit(1).count() else rest
 
 
