@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import decontaminate, language, packing, secrets, simhash
-from ledgerleaf.llm.common import materialize, table
+from ledgerleaf.llm.common import free_name, materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters; one without a label gets the predicted language as its `lang`. Labels that were given stay."""
-    found = language.predict(docs.where(language.has_letter(F.col("text"))), language.fit(docs), lang_as="_lang_pred", score_as="_lang_score")
-    told = F.when((F.coalesce(F.trim("lang"), F.lit("")) == "") & (F.col("_lang_pred") != "und"), F.col("_lang_pred")).otherwise(F.col("lang"))
-    return found.withColumn("lang", told).select(*docs.columns)
+    guess, score = free_name(docs.columns, "guess"), free_name(docs.columns, "guess_score")
+    found = language.predict(docs.where(language.has_letter(F.col("text"))), language.fit(docs), lang_as=guess, score_as=score)
+    told = F.when((F.coalesce(F.trim("lang"), F.lit("")) == "") & (F.col(guess) != "und"), F.col(guess)).otherwise(F.col("lang"))
+    return found.withColumn("lang", told).drop(guess, score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
