@@ -352,9 +352,14 @@ def str26(spark, sf_dir):
     return B.classification(spark, sf_dir).join(B.parties(spark, sf_dir), "doc", "left").select("doc", F.translate("stage", "_", " ").alias("stage"), shown_party(raw).alias("party"))
 
 
-@query("STR-28", "SELECT doc_id, 'data:text/plain;base64,' || base64(encode(substr(coalesce(text, ''), 1, 30))) AS url FROM documents")
+def data_url(content: Column, kind: str) -> Column:
+    """STR-28: the whole content as a data URL; the line breaks that an encoder may add go."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(content), "\r\n", ""))
+
+
+@query("STR-28", "SELECT doc_id, 'data:text/plain;base64,' || base64(encode(coalesce(text, ''))) AS url FROM documents")
 def str28(spark, sf_dir):
-    return B.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode(F.substring(F.coalesce("text", F.lit("")), 1, 30), "UTF-8"))).alias("url"))
+    return B.read(spark, sf_dir, "documents").select("doc_id", data_url(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "text/plain").alias("url"))
 
 
 @query("AGG-02", B.with_views("contracts", "SELECT lang, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM contracts GROUP BY lang"))

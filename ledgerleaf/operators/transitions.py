@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..plans import bridges as B
 from ..plans.catalog import query
 from .mart import anti_upsert, result_page
-from .timeline import STALE_BEFORE, STALE_CALLS, append_items, stale_calls
+from .timeline import STALE_BEFORE, append_items
 
 
 def complete_calls(calls: DataFrame, items: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,28 +44,6 @@ def sib69_items(spark, sf_dir):
     return complete_calls(B.turn_calls(spark, sf_dir, True), B.items(spark, sf_dir), _results(spark, sf_dir))[1]
 
 
-@query("SIB-71", B.with_views("tool_calls", f"SELECT call_id, CASE WHEN status = 'running' AND beat < {STALE_BEFORE} THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' AND beat < {STALE_BEFORE} THEN 'stale' END AS error, CASE WHEN NOT coalesce(status = 'running' AND beat < {STALE_BEFORE}, false) THEN beat END AS beat FROM tool_calls"))
-def sib71(spark, sf_dir):
-    """Running calls without a fresh heartbeat fail, with a reason and without their heartbeat; the others stay."""
-    over = F.coalesce((F.col("status") == "running") & (F.col("beat") < STALE_BEFORE), F.lit(False))
-    return B.turn_calls(spark, sf_dir, True).select("call_id", F.when(over, "failed").otherwise(F.col("status")).alias("status"), F.when(over, "stale").alias("error"), F.when(~over, F.col("beat")).alias("beat"))
-
-
-@query("STM-14", B.with_views("claims tool_calls", f"SELECT turn_id, CASE WHEN n > 0 THEN 'failed' ELSE status END AS status, CASE WHEN n IS NULL THEN phase END AS phase, coalesce(n, 0) AS failed_calls FROM claims LEFT JOIN (SELECT turn_id, count(*) AS n FROM ({STALE_CALLS % ('tool_calls', 'executing_tools')}) GROUP BY turn_id) USING (turn_id)"))
-def stm14(spark, sf_dir):
-    """A turn fails with the first of its stale calls that can't be tried again: its phase goes, its failed calls are counted."""
-    turns = B.claims(spark, sf_dir)
-    stale = stale_calls(B.turn_calls(spark, sf_dir, True), turns, "executing_tools", STALE_BEFORE).groupBy("turn_id").agg(F.count("*").alias("n"))
-    return turns.join(stale, "turn_id", "left").select("turn_id", F.when(F.col("n") > 0, "failed").otherwise(F.col("status")).alias("status"), F.when(F.col("n").isNull(), F.col("phase")).alias("phase"), F.coalesce("n", F.lit(0)).alias("failed_calls"))
-
-
-@query("SIB-70", B.with_views("claims", "SELECT thread_id, max(CASE WHEN status = 'active' AND NOT (phase = 'executing_model' AND turn_id % 8 = 4) THEN turn_id END) AS active_turn, CAST(count_if(status = 'active' AND phase = 'executing_model' AND turn_id % 8 = 4) AS BIGINT) AS finished FROM claims GROUP BY thread_id"))
-def sib70(spark, sf_dir):
-    """Threads after some turns have ended: those are no longer their active turn."""
-    ends = (F.col("status") == "active") & (F.col("phase") == "executing_model") & (F.col("turn_id") % 8 == 4)
-    return B.claims(spark, sf_dir).groupBy("thread_id").agg(F.max(F.when((F.col("status") == "active") & ~ends, F.col("turn_id"))).alias("active_turn"), F.count_if(ends).alias("finished"))
-
-
 @query("SIB-65", B.with_views("claims", "SELECT thread_id, CASE WHEN active IS NULL OR active = wanted THEN wanted ELSE active END AS active, coalesce(active IS NULL OR active = wanted, false) AS moved FROM (SELECT thread_id, max(turn_id) FILTER (status = 'active' AND turn_id % 2 = 0) AS active, max(turn_id) FILTER (status = 'active') AS wanted FROM claims GROUP BY thread_id) WHERE wanted IS NOT NULL"))
 def sib65(spark, sf_dir):
     """A thread goes back to a turn only if it is idle or on that turn already."""
