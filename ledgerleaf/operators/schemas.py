@@ -116,6 +116,9 @@ def _quoted(text: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
+PARTS = "array<struct<pos:int,key:string,json:string,was:string>>"
+
+
 def strict(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """JSN-08: id, json: each schema with all names of an object's properties required and no others allowed, at every depth.
 
@@ -129,23 +132,25 @@ def strict(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     for depth in range(-1 if levels is None else levels, -1, -1):
         here = parent.where(F.col("depth") == depth)
         if below is not None:
-            up = below.groupBy("id", F.slice("at", 1, F.lit(depth)).alias("at")).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "json"))).alias("parts"))
+            up = below.groupBy("id", F.slice("at", 1, F.lit(depth)).alias("at")).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "json", "was"))).alias("parts"))
             here = here.join(up, ["id", "at"], "left")
         else:
-            here = here.withColumn("parts", F.lit(None).cast("array<struct<pos:int,key:string,json:string>>"))
+            here = here.withColumn("parts", F.lit(None).cast(PARTS))
         none = F.array().cast("array<struct<key:string,json:string>>")
-        own = F.transform(F.coalesce("parts", F.array().cast("array<struct<pos:int,key:string,json:string>>")), lambda x: F.struct(x["key"].alias("key"), x["json"].alias("json")))
+        parts = F.coalesce("parts", F.array().cast(PARTS))
+        own = F.transform(parts, lambda x: F.struct(x["key"].alias("key"), x["json"].alias("json")))
+        # what stands under the name of a reference stays as it is
+        alone = F.transform(F.filter(parts, lambda x: x["key"] == "$ref"), lambda x: F.struct(x["key"].alias("key"), x["was"].alias("json")))
         rest = F.filter(own, lambda x: F.col("properties").isNull() | ~x["key"].isin("required", "additionalProperties"))
         listed = F.concat(F.lit("["), F.array_join(F.transform("properties", _quoted), ","), F.lit("]"))
         added = F.when(F.col("properties").isNotNull(), F.array(F.struct(F.lit("additionalProperties").alias("key"), F.lit("false").alias("json")), F.struct(F.lit("required").alias("key"), listed.alias("json")))).otherwise(none)
-        members = F.when(F.col("ref"), F.filter(own, lambda x: x["key"] == "$ref")).otherwise(F.array_sort(F.concat(rest, added)))
+        members = F.when(F.col("ref"), alone).otherwise(F.array_sort(F.concat(rest, added)))
         text = (
             F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.array_join(F.transform(members, lambda x: F.concat(_quoted(x["key"]), F.lit(":"), x["json"])), ","), F.lit("}")))
             .when(F.col("kind") == "array", F.concat(F.lit("["), F.array_join(F.transform(own, lambda x: x["json"]), ","), F.lit("]")))
             .otherwise(F.col("json"))
         )
-        # what stands under the name of a reference isn't looked into
-        below = written(here.select("id", "at", "key", "pos", text.alias("json")), "strict")
+        below = written(here.select("id", "at", "key", "pos", text.alias("json"), F.col("json").alias("was")), "strict")
     made = docs.sparkSession.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, json string") if below is None else below.select("id", "json")
     return docs.select(F.col(id_col).alias("id")).join(made, "id", "left")
 
