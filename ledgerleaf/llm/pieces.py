@@ -2,14 +2,17 @@
 
 Where no piece crosses a whitespace marker (none has a marker after another character), a normalised text falls apart
 into chunks, each a run of markers and what follows up to the next, that can be segmented alone. Tasks cut their texts
-into blocks, bounded by distinct chunks and by characters, and write each block as a list of its distinct chunks and the
+into blocks, bounded by distinct chunks and by characters, and make of each block a list of its distinct chunks and the
 number of a chunk for each position. The lists, dealt by a hash of the chunk, come together in a table where every
-distinct chunk of the corpus is segmented once, and its ids decoded once. What the table gives goes back to the blocks,
-whose positions it is joined to; ids of a text are those of its chunks in order, and so is the decoded text.
+distinct chunk of the corpus is segmented once. Its ids go back to the blocks, whose positions they are joined to: ids of
+a text are those of its chunks in order, and so is the decoded text, which a block makes once for each of its chunks.
 
-So only lists of distinct chunks move twice and numbers once, texts never. A task holds one block, or `TABLE` chunks of
-the table (beyond that it is begun anew, and a chunk may be segmented again). Buckets grow with the shuffle partitions.
-A model whose pieces cross markers, or with marks of the user's own, has its texts encoded whole, where they lie.
+Two shuffles: to the table, and from it to the blocks. Lists of distinct chunks, then their ids, and the numbers move;
+texts never do. Numbers are small for frequent chunks (place in the bucket's list, by falling frequency, times the number
+of buckets, plus the bucket) and are packed by bytes of equal weight. A block is made again alike if its task is, as long
+as its rows come in the same order, as those of files do. A task holds one block, or `TABLE` chunks of the table (beyond that it is begun anew, and a chunk
+may be segmented again). Buckets grow with the shuffle partitions. A model whose pieces cross markers, or with marks of
+the user's own, has its texts encoded whole, where they lie.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded each; null ids stay null; an empty table
 gives no rows; only the id and text columns are used. Ids are those of the library without begin or end ids, and the
@@ -26,18 +29,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import partitions, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 CUT = re.compile(f"[^{MARK}](?={MARK})")
 #: A block ends after the text with which it has so many distinct chunks, or characters.
-VOCABULARY = 60_000
-CHARS = 12_000_000
+VOCABULARY = 600_000
+CHARS = 24_000_000
 TABLE = 1_000_000
 #: Characters of a long text that are cut into chunks at a time.
 SLICE = 1 << 20
@@ -87,6 +91,32 @@ def _chunks(text: str) -> Iterator[list[str]]:
     yield CHUNK.findall(text, at)
 
 
+def _packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Compressed numbers, bytes of equal weight together."""
+    planes = np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack(items: list[bytes]) -> bytes:
+    """Compressed strings with their sizes."""
+    sizes, data = np.fromiter(map(len, items), "<u4", len(items)), b"".join(items)
+    planes = sizes.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(items).to_bytes(4, "little") + planes + data)
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:4], "little")
+    sizes = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").ravel()
+    ends = (np.cumsum(sizes, dtype=np.int64) + 4 + 4 * n).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends)]
+
+
 class _Numbers(dict):
     """Numbers words in the order in which they first come."""
 
@@ -96,25 +126,29 @@ class _Numbers(dict):
 
 
 def _blocks(path: str, buckets: int, key: pa.DataType):
-    vocabulary = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary())]))
+    names = ["to", "block", "bucket", "keys", "counts", "codes", "data"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(key), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal, first, made = _model(path)[0].normalize, TaskContext.get().partitionId() << 32, 0
         number, codes, counts, keys, size = _Numbers(), array("I"), [], [], 0
 
         def block() -> pa.RecordBatch:
-            words = [w.encode() for w in number]
-            of = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
-            order = np.argsort(of, kind="stable")
-            place = np.empty(len(of), np.uint32)
-            place[order] = np.arange(len(of))
-            lists = []
-            for some in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(of) else []:
-                held = [words[i] for i in some]
-                lists.append({"bucket": int(of[some[0]]), "words": b"".join(held), "sizes": np.array(list(map(len, held)), "<u4").tobytes()})
-            at = place[np.frombuffer(codes, np.uint32)].astype("<u2" if len(of) <= 1 << 16 else "<u4")
-            cols = [pa.array([first + made], pa.int64()), pa.array([keys], pa.list_(key)), *[pa.array([x], pa.binary()) for x in (np.array(counts, "<u4").tobytes(), at.tobytes())], pa.array([len(words)], pa.int32()), pa.array([lists], vocabulary)]
-            return pa.RecordBatch.from_arrays(cols, ["block", "keys", "counts", "codes", "distinct", "lists"])
+            # equal frequencies in the order of the words, which packs better
+            at, old = np.frombuffer(codes, np.uint32), list(number)
+            first_by = sorted(range(len(old)), key=old.__getitem__)
+            words, place = [old[i].encode() for i in first_by], np.empty(len(old), np.int64)
+            place[first_by] = np.arange(len(old))
+            at = place[at]
+            of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.lexsort((-np.bincount(at, minlength=len(words)), of))
+            begins = np.searchsorted(of[order], np.arange(buckets + 1))
+            code = np.empty(len(of), np.int64)
+            code[order] = (np.arange(len(of)) - begins[of[order]]) * buckets + of[order]
+            here = first + made
+            rows = [(here % buckets, here, -1, keys, _packed(np.array(counts, np.int64)), _packed(code[at]), None)]
+            rows += [(b, here, b, None, None, None, _pack([words[i] for i in order[begins[b] : begins[b + 1]]])) for b in range(buckets) if begins[b] < begins[b + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
@@ -135,72 +169,73 @@ def _blocks(path: str, buckets: int, key: pa.DataType):
     return run
 
 
-def _split(data: bytes, sizes: np.ndarray) -> list[bytes]:
-    ends = np.cumsum(sizes, dtype=np.int64).tolist()
-    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-
-
 def _segment(path: str, kind: str):
-    """Lists of chunks -> their ids and decoded texts; each distinct chunk goes through the library once."""
+    """Lists of chunks -> their ids; each distinct chunk goes through the library once. Rows of positions pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bare, known = _model(path)[1], {}
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                lists = [_split(w, np.frombuffer(s, "<u4")) for w, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                fresh = list({w for held in lists for w in held if w not in known})
-                ids = bare.encode([w.decode() for w in fresh], num_threads=1)
-                texts = bare.decode(ids, num_threads=1) if fresh else []
-                known.update(zip(fresh, ((np.array(i, kind).tobytes(), t.encode()) for i, t in zip(ids, texts))))
-                cols: list[list[bytes]] = [[] for _ in range(4)]
-                for held in lists:
-                    got = [known[w] for w in held]
-                    for j in range(2):
-                        cols[2 * j].append(b"".join(x[j] for x in got))
-                        cols[2 * j + 1].append(np.array([len(x[j]) for x in got], "<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.binary()) for c in cols]], ["block", "bucket", "ids", "id_sizes", "texts", "text_sizes"])
-                if len(known) > TABLE:
-                    known = {}
+            for batch in (whole.slice(i, 16) for i in range(0, whole.num_rows, 16)):
+                out = []
+                for data in batch.column(6).to_pylist():
+                    if data is None:
+                        out.append(None)
+                        continue
+                    held = _unpack(data)
+                    fresh = [w for w in held if w not in known]
+                    for i in range(0, len(fresh), 20_000):
+                        some = fresh[i : i + 20_000]
+                        known.update(zip(some, (np.array(x, kind).tobytes() for x in bare.encode([w.decode() for w in some], num_threads=1))))
+                    out.append(_pack([known[w] for w in held]))
+                    if len(known) > TABLE:
+                        known = {}
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:6], pa.array(out, pa.binary())], ["block", "bucket", "keys", "counts", "codes", "data"])
 
     return run
 
 
-def _join(kind: str, key: pa.DataType, prefix: int):
+def _surfaces(path: str) -> list[bytes]:
+    """What the library shows for each id: a byte, nothing for control marks, else the piece with blanks for markers."""
+    model = _model(path)[0]
+    shown = lambda i: bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode()
+    return [model.decode([i]).encode() if model.is_unknown(i) else shown(i) for i in range(model.vocab_size())]
+
+
+def _join(path: str, kind: str, key: pa.DataType, buckets: int):
     """Rows of one block after another, its positions first, then the table's lists by bucket: ids and text of each document."""
 
-    def texts(head: tuple, ids: list[bytes], shown: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys, counts, codes = head[0], np.frombuffer(head[1], "<u4").astype(np.int64), head[2]
-        at = np.frombuffer(codes, "<u2" if len(ids) <= 1 << 16 else "<u4")
-        ends = np.cumsum(counts)
-        i = 0
+    def texts(head: tuple, lists: dict[int, list[bytes]], surface: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys, counts, code = head[0], _unpacked(head[1]).astype(np.int64), _unpacked(head[2])
+        ids = [i for b in range(buckets) for i in lists.get(b, ())]
+        begins = np.cumsum([0, *[len(lists.get(b, ())) for b in range(buckets)]])
+        at = begins[code % buckets] + code // buckets
+        shown = [b"".join(map(surface.__getitem__, np.frombuffer(i, kind).tolist())) for i in ids]
+        ends, size, i = np.cumsum(counts), np.dtype(kind).itemsize, 0
         while i < len(keys):
-            begin = int(ends[i] - counts[i])
-            j = max(i + 1, int(np.searchsorted(ends, begin + 200_000, "right")))
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - counts[i] + 200_000, "right")))
             found, said = [], []
             for d in range(i, j):
                 some = at[ends[d] - counts[d] : ends[d]].tolist()
                 found.append(b"".join(map(ids.__getitem__, some)))
-                said.append(b"".join(map(shown.__getitem__, some))[prefix:])
-            size = np.dtype(kind).itemsize
+                said.append(b"".join(map(shown.__getitem__, some))[1:])  # without the marker that stands before every text
             offsets = np.cumsum([0, *[len(f) // size for f in found]], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(found), kind).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(keys[i:j], key), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(said, pa.binary()).cast(pa.string())], ["id", "ids", "decoded"])
             i = j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, ids, shown = None, None, [], []
+        now, head, lists, surface = None, None, {}, _surfaces(path)
         for whole in batches:
-            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
-                for block, bucket, keys, counts, codes, i, ns, t, nt in zip(*(c.to_pylist() for c in batch.columns)):
+            for batch in (whole.slice(i, 16) for i in range(0, whole.num_rows, 16)):
+                for block, bucket, keys, counts, codes, ids in zip(*(c.to_pylist() for c in batch.columns)):
                     if block != now and head is not None:
-                        yield from texts(head, ids, shown)
+                        yield from texts(head, lists, surface)
                     if bucket < 0:
-                        now, head, ids, shown = block, (keys, counts, codes), [], []
+                        now, head, lists = block, (keys, counts, codes), {}
                     else:
-                        ids += _split(i, np.frombuffer(ns, "<u4"))
-                        shown += _split(t, np.frombuffer(nt, "<u4"))
+                        lists[bucket] = _unpack(ids)
         if head is not None:
-            yield from texts(head, ids, shown)
+            yield from texts(head, lists, surface)
 
     return run
 
@@ -228,13 +263,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         return rows.mapInArrow(_whole(model), shape)
     buckets = buckets or 2 * partitions(spark)
     kind = "<u2" if _model(model)[0].vocab_size() <= 1 << 16 else "<u4"
-    lists = "array<struct<bucket: int, words: binary, sizes: binary>>"
-    blocks = materialize(rows.mapInArrow(_blocks(model, buckets, to_arrow_type(key)), f"block long, keys array<{key.simpleString()}>, counts binary, codes binary, distinct int, lists {lists}"), "blocks", "zstd")
-    wanted = blocks.select("block", F.explode("lists").alias("c")).select("block", "c.bucket", "c.words", "c.sizes")
-    segmented = wanted.repartition(buckets, "bucket").mapInArrow(_segment(model, kind), "block long, bucket int, ids binary, id_sizes binary, texts binary, text_sizes binary")
-    heads = blocks.select("block", F.lit(-1).alias("bucket"), "keys", "counts", "codes")
-    met = heads.unionByName(segmented, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "bucket")
-    return met.mapInArrow(_join(kind, to_arrow_type(key), 1), shape)
+    moved = f"block long, bucket int, keys array<{key.simpleString()}>, counts binary, codes binary, data binary"
+    blocks = rows.mapInArrow(_blocks(model, buckets, to_arrow_type(key)), f"to int, {moved}")
+    segmented = blocks.repartition(buckets, "to").mapInArrow(_segment(model, kind), moved)
+    met = segmented.repartition(4 * buckets, "block").sortWithinPartitions("block", "bucket")
+    return met.mapInArrow(_join(model, kind, to_arrow_type(key), buckets), shape)
 
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
