@@ -40,8 +40,8 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 CUT = re.compile(f"[^{MARK}](?={MARK})")
 #: A block ends after the text with which it has so many distinct chunks, or characters.
-VOCABULARY = 600_000
-CHARS = 24_000_000
+VOCABULARY = 800_000
+CHARS = 32_000_000
 TABLE = 1_000_000
 #: Characters of a long text that are cut into chunks at a time.
 SLICE = 1 << 20
@@ -102,19 +102,20 @@ def _unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _pack(items: list[bytes]) -> bytes:
-    """Compressed strings with their sizes."""
-    sizes, data = np.fromiter(map(len, items), "<u4", len(items)), b"".join(items)
-    planes = sizes.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(len(items).to_bytes(4, "little") + planes + data)
+def _pack(items: list[bytes], width: int = 1) -> bytes:
+    """Compressed strings with their sizes; `width`: bytes of the numbers that they are made of."""
+    sizes = np.fromiter(map(len, items), "<u4", len(items))
+    planes = [x.view(np.uint8).reshape(-1, w).T.tobytes() for x, w in ((sizes, 4), (np.frombuffer(b"".join(items), np.uint8), width))]
+    return zstandard.ZstdCompressor(level=1).compress(len(items).to_bytes(4, "little") + b"".join(planes))
 
 
-def _unpack(data: bytes) -> list[bytes]:
+def _unpack(data: bytes, width: int = 1) -> list[bytes]:
     data = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(data[:4], "little")
-    sizes = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").ravel()
-    ends = (np.cumsum(sizes, dtype=np.int64) + 4 + 4 * n).tolist()
-    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends)]
+    flat = lambda planes, w: np.ascontiguousarray(planes.reshape(w, -1).T)
+    ends = np.cumsum(flat(np.frombuffer(data, np.uint8, 4 * n, 4), 4).view("<u4").ravel(), dtype=np.int64).tolist()
+    whole = flat(np.frombuffer(data, np.uint8, -1, 4 + 4 * n), width).tobytes() if ends and ends[-1] else b""
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 class _Numbers(dict):
@@ -186,7 +187,7 @@ def _segment(path: str, kind: str):
                     for i in range(0, len(fresh), 20_000):
                         some = fresh[i : i + 20_000]
                         known.update(zip(some, (np.array(x, kind).tobytes() for x in bare.encode([w.decode() for w in some], num_threads=1))))
-                    out.append(_pack([known[w] for w in held]))
+                    out.append(_pack([known[w] for w in held], np.dtype(kind).itemsize))
                     if len(known) > TABLE:
                         known = {}
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:6], pa.array(out, pa.binary())], ["block", "bucket", "keys", "counts", "codes", "data"])
@@ -233,7 +234,7 @@ def _join(path: str, kind: str, key: pa.DataType, buckets: int):
                     if bucket < 0:
                         now, head, lists = block, (keys, counts, codes), {}
                     else:
-                        lists[bucket] = _unpack(ids)
+                        lists[bucket] = _unpack(ids, np.dtype(kind).itemsize)
         if head is not None:
             yield from texts(head, lists, surface)
 
