@@ -111,11 +111,11 @@ def stm03(spark, sf_dir):
 
 #: Events as items of their user's thread, which one connection follows from the first on; times in the query are longer than a live stream's.
 GATHER_MS, KEEP_MS = 3_600_000, 86_400_000
-WAKES = f"""w AS (SELECT user_id AS thread_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+WAKES = f"""w AS (SELECT user_id AS thread_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
 o AS (SELECT thread_id, min(ms) AS opened FROM w GROUP BY thread_id), z AS (SELECT max(ms) + {2 * KEEP_MS} AS till FROM w),
-a AS (SELECT thread_id, opened AS at, 0 AS n FROM o
-  UNION ALL SELECT thread_id, due, n + 1 FROM (SELECT a.thread_id, a.n, min(w.ms) + {GATHER_MS} AS due FROM a JOIN w ON w.thread_id = a.thread_id AND w.ms >= a.at GROUP BY a.thread_id, a.n)),
-e AS (SELECT thread_id, at, n, lead(at) OVER (PARTITION BY thread_id ORDER BY n) AS later, (SELECT count(*) FROM w WHERE w.thread_id = a.thread_id AND w.ms < a.at) AS cursor FROM a)"""
+a AS (SELECT thread_id, opened AS moment, 0 AS n FROM o
+  UNION ALL SELECT thread_id, due, n + 1 FROM (SELECT a.thread_id, a.n, min(w.ms) + {GATHER_MS} AS due FROM a JOIN w ON w.thread_id = a.thread_id AND w.ms >= a.moment GROUP BY a.thread_id, a.n)),
+e AS (SELECT thread_id, moment, n, lead(moment) OVER (PARTITION BY thread_id ORDER BY n) AS later, (SELECT count(*) FROM w WHERE w.thread_id = a.thread_id AND w.ms < a.moment) AS cursor FROM a)"""
 
 
 def event_wakes(spark, sf_dir: str) -> DataFrame:
@@ -126,13 +126,13 @@ def event_wakes(spark, sf_dir: str) -> DataFrame:
 
 
 @query("STM-04", f"""WITH RECURSIVE {WAKES}
-SELECT thread_id, at, CASE WHEN n = 0 THEN 'snapshot' ELSE 'items_appended' END AS event, cursor, cursor - coalesce(lag(cursor) OVER (PARTITION BY thread_id ORDER BY n), 0) AS items FROM e
-UNION ALL SELECT thread_id, at + k * {KEEP_MS}, 'heartbeat', cursor, 0 FROM e, z, unnest(range(1, CAST(ceil((coalesce(later, till + 1) - at) / {KEEP_MS}) AS BIGINT))) r(k)""")
+SELECT thread_id, moment AS at_ms, CASE WHEN n = 0 THEN 'snapshot' ELSE 'items_appended' END AS event, cursor, cursor - coalesce(lag(cursor) OVER (PARTITION BY thread_id ORDER BY n), 0) AS items FROM e
+UNION ALL SELECT thread_id, moment + k * {KEEP_MS}, 'heartbeat', cursor, 0 FROM e, z, unnest(range(1, CAST(ceil((coalesce(later, till + 1) - moment) / {KEEP_MS}) AS BIGINT))) r(k)""")
 def stm04(spark, sf_dir):
     """What the connections get: gathered answers, and keepalives until two of them after the last event."""
     wakes = event_wakes(spark, sf_dir)
     until = wakes.agg(F.max("ms")).first()[0]
-    return live.replay_all(wakes, (until or 0) + 2 * KEEP_MS, GATHER_MS, KEEP_MS).drop("conn")
+    return live.replay_all(wakes, (until or 0) + 2 * KEEP_MS, GATHER_MS, KEEP_MS).drop("conn").withColumnRenamed("at", "at_ms")
 
 
 STALE_BEFORE = 1704200000
