@@ -109,22 +109,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert len(found) == 1 and found[0].doc_id.startswith("my_deal__") and found[0].size == 3
     known = spark.createDataFrame([(found[0].doc_id,)], "doc_id string")
     assert files.inventory(spark, str(tmp_path / "raw"), known=known).count() == 0
-    for d, text in (("a", json.dumps({"doc_id": "a", "page_count": 1, "pages": [{"page_number": 1, "text_path": "t/a_1.txt"}, {"page_number": 2, "text_path": "t/none.txt"}]})), ("b", "{broken")):
-        (tmp_path / "m" / d).mkdir(parents=True)
-        (tmp_path / "m" / d / "manifest.json").write_text(text)
-    m = files.manifests(spark, str(tmp_path / "m")).cache()
-    assert m.where("_corrupt is null").count() == 1 and files.manifests(spark, str(tmp_path / "m"), ["a"]).count() == 1
-    (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "a_1.txt").write_text("  hello\n")
-    pages = {r.page_number: r.content for r in files.page_texts(spark, m.where("doc_id = 'a'"), str(tmp_path / "t")).collect()}
-    assert pages == {1: "hello", 2: None}
-    best = spark.createDataFrame([(1, 2, "text", "b ]]> c"), (1, 1, "ocr_text", "a")], "doc long, page int, representation string, content string")
-    sinks.write_documents(best, str(tmp_path / "xml"))
-    assert sorted((r.page, r.content) for r in files.xml_pages(spark, str(tmp_path / "xml")).collect()) == [(1, "a"), (2, "b ]]> c")]
     sinks.write_index(spark.createDataFrame([(1, None)], "doc long, buyer string"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().doc == "1"
-    sinks.write_split(best, "representation", str(tmp_path / "split"))
-    assert (tmp_path / "split" / "representation=text").is_dir()
 
 
 def test_delete_scope_keeps_nulls_and_repeats(spark):
