@@ -7,8 +7,8 @@ number of a chunk for each position. The lists, dealt by a hash of the chunk, co
 distinct chunk of the corpus is segmented once. Its ids go back to the blocks, whose positions they are joined to: ids of
 a text are those of its chunks in order, and so is the decoded text, which a block makes once for each of its chunks.
 
-Two shuffles: to the table, and from it to the blocks. Lists of distinct chunks, then their ids, and the numbers move;
-texts never do. Numbers are small for frequent chunks (place in the bucket's list, by falling frequency, times the number
+Two shuffles: to the table, and from it to the blocks. Lists of distinct chunks, then their ids, move, and the numbers
+once, beside the lists, to where their block's ids will come; texts never do. Numbers are small for frequent chunks (place in the bucket's list, by falling frequency, times the number
 of buckets, plus the bucket) and are packed by bytes of equal weight. A block is made again alike if its task is, as long
 as its rows come in the same order, as those of files do. A task holds one block, or `TABLE` chunks of the table (beyond that it is begun anew, and a chunk
 may be segmented again). Buckets grow with the shuffle partitions. A model whose pieces cross markers, or with marks of
@@ -21,6 +21,7 @@ decoded text is its `decode(ids)`.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from array import array
@@ -126,9 +127,8 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(path: str, buckets: int, key: pa.DataType):
-    names = ["to", "block", "bucket", "keys", "counts", "codes", "data"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(key), pa.binary(), pa.binary(), pa.binary()]
+def _blocks(path: str, buckets: int):
+    names, kinds = ["to", "block", "bucket", "data"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal, first, made = _model(path)[0].normalize, TaskContext.get().partitionId() << 32, 0
@@ -147,8 +147,8 @@ def _blocks(path: str, buckets: int, key: pa.DataType):
             code = np.empty(len(of), np.int64)
             code[order] = (np.arange(len(of)) - begins[of[order]]) * buckets + of[order]
             here = first + made
-            rows = [(here % buckets, here, -1, keys, _packed(np.array(counts, np.int64)), _packed(code[at]), None)]
-            rows += [(b, here, b, None, None, None, _pack([words[i] for i in order[begins[b] : begins[b + 1]]])) for b in range(buckets) if begins[b] < begins[b + 1]]
+            rows = [(here, here, -1, pickle.dumps((keys, _packed(np.array(counts, np.int64)), _packed(code[at]))))]
+            rows += [(-1 - b, here, b, _pack([words[i] for i in order[begins[b] : begins[b + 1]]])) for b in range(buckets) if begins[b] < begins[b + 1]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
         for whole in batches:
@@ -171,18 +171,14 @@ def _blocks(path: str, buckets: int, key: pa.DataType):
 
 
 def _segment(path: str, kind: str):
-    """Lists of chunks -> their ids; each distinct chunk goes through the library once. Rows of positions pass."""
+    """Lists of chunks -> their ids; each distinct chunk goes through the library once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bare, known = _model(path)[1], {}
         for whole in batches:
             for batch in (whole.slice(i, 16) for i in range(0, whole.num_rows, 16)):
                 out = []
-                for data in batch.column(6).to_pylist():
-                    if data is None:
-                        out.append(None)
-                        continue
-                    held = _unpack(data)
+                for held in map(_unpack, batch.column(3).to_pylist()):
                     fresh = [w for w in held if w not in known]
                     for i in range(0, len(fresh), 20_000):
                         some = fresh[i : i + 20_000]
@@ -190,7 +186,7 @@ def _segment(path: str, kind: str):
                     out.append(_pack([known[w] for w in held], np.dtype(kind).itemsize))
                     if len(known) > TABLE:
                         known = {}
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:6], pa.array(out, pa.binary())], ["block", "bucket", "keys", "counts", "codes", "data"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["to", "bucket", "ids"])
 
     return run
 
@@ -203,40 +199,31 @@ def _surfaces(path: str) -> list[bytes]:
 
 
 def _join(path: str, kind: str, key: pa.DataType, buckets: int):
-    """Rows of one block after another, its positions first, then the table's lists by bucket: ids and text of each document."""
-
-    def texts(head: tuple, lists: dict[int, list[bytes]], surface: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys, counts, code = head[0], _unpacked(head[1]).astype(np.int64), _unpacked(head[2])
-        ids = [i for b in range(buckets) for i in lists.get(b, ())]
-        begins = np.cumsum([0, *[len(lists.get(b, ())) for b in range(buckets)]])
-        at = begins[code % buckets] + code // buckets
+    """A block's positions and what the table gave for its lists: ids and text of each document."""
+    names, kinds = ["id", "ids", "decoded"], [key, pa.list_(pa.int32()), pa.string()]
+
+    def run(heads: pa.Table, lists: pa.Table) -> pa.Table:
+        surface, size, out = _surfaces(path), np.dtype(kind).itemsize, []
+        held = {b: _unpack(ids, size) for b, ids in zip(lists["bucket"].to_pylist(), lists["ids"].to_pylist())}
+        ids = [i for b in range(buckets) for i in held.get(b, ())]
+        begins = np.cumsum([0, *[len(held.get(b, ())) for b in range(buckets)]])
         shown = [b"".join(map(surface.__getitem__, np.frombuffer(i, kind).tolist())) for i in ids]
-        ends, size, i = np.cumsum(counts), np.dtype(kind).itemsize, 0
-        while i < len(keys):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] - counts[i] + 200_000, "right")))
-            found, said = [], []
-            for d in range(i, j):
-                some = at[ends[d] - counts[d] : ends[d]].tolist()
-                found.append(b"".join(map(ids.__getitem__, some)))
-                said.append(b"".join(map(shown.__getitem__, some))[1:])  # without the marker that stands before every text
-            offsets = np.cumsum([0, *[len(f) // size for f in found]], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(found), kind).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i:j], key), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(said, pa.binary()).cast(pa.string())], ["id", "ids", "decoded"])
-            i = j
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, lists, surface = None, None, {}, _surfaces(path)
-        for whole in batches:
-            for batch in (whole.slice(i, 16) for i in range(0, whole.num_rows, 16)):
-                for block, bucket, keys, counts, codes, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                    if block != now and head is not None:
-                        yield from texts(head, lists, surface)
-                    if bucket < 0:
-                        now, head, lists = block, (keys, counts, codes), {}
-                    else:
-                        lists[bucket] = _unpack(ids, np.dtype(kind).itemsize)
-        if head is not None:
-            yield from texts(head, lists, surface)
+        for keys, counts, codes in map(pickle.loads, heads["data"].to_pylist()):
+            code = _unpacked(codes)
+            at, counts = begins[code % buckets] + code // buckets, _unpacked(counts).astype(np.int64)
+            ends, i = np.cumsum(counts), 0
+            while i < len(keys):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] - counts[i] + 200_000, "right")))
+                found, said = [], []
+                for d in range(i, j):
+                    some = at[ends[d] - counts[d] : ends[d]].tolist()
+                    found.append(b"".join(map(ids.__getitem__, some)))
+                    said.append(b"".join(map(shown.__getitem__, some))[1:])  # without the marker that stands before every text
+                offsets = np.cumsum([0, *[len(f) // size for f in found]], dtype=np.int32)
+                values = pa.array(np.frombuffer(b"".join(found), kind).astype(np.int32))
+                out.append(pa.RecordBatch.from_arrays([pa.array(keys[i:j], key), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(said, pa.binary()).cast(pa.string())], names))
+                i = j
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds))))
 
     return run
 
@@ -264,11 +251,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         return rows.mapInArrow(_whole(model), shape)
     buckets = buckets or 2 * partitions(spark)
     kind = "<u2" if _model(model)[0].vocab_size() <= 1 << 16 else "<u4"
-    moved = f"block long, bucket int, keys array<{key.simpleString()}>, counts binary, codes binary, data binary"
-    blocks = rows.mapInArrow(_blocks(model, buckets, to_arrow_type(key)), f"to int, {moved}")
-    segmented = blocks.repartition(buckets, "to").mapInArrow(_segment(model, kind), moved)
-    met = segmented.repartition(4 * buckets, "block").sortWithinPartitions("block", "bucket")
-    return met.mapInArrow(_join(model, kind, to_arrow_type(key), buckets), shape)
+    blocks = rows.mapInArrow(_blocks(model, buckets), "to long, block long, bucket int, data binary").repartition("to")
+    # one exchange for both: the optimiser would move a plain condition, or fewer columns, below it and make the blocks twice
+    listed = (F.col("bucket") >= 0).cast("long") + F.floor(F.rand(0))
+    segmented = blocks.where(listed == 1).mapInArrow(_segment(model, kind), "to long, bucket int, ids binary")
+    return blocks.where(listed == 0).groupBy("to").cogroup(segmented.groupBy("to")).applyInArrow(_join(model, kind, to_arrow_type(key), buckets), shape)
 
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

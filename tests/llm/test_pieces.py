@@ -76,6 +76,13 @@ def test_crossing_pieces_are_found(tmp_path, library, spark):
     assert got["decoded"] == "out of the"
 
 
+def test_blocks_are_made_once(spark):
+    """Both the table and the join read one exchange."""
+    found = pieces.encode(spark.createDataFrame([(1, "a b", "", "")], DOCS), pieces.default_model())
+    assert len(found.collect()) == 1
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_table(spark):
     assert pieces.encode(spark.createDataFrame([], DOCS), pieces.default_model()).collect() == []
 
