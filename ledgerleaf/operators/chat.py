@@ -17,44 +17,87 @@ from .pages import ROUTED, routed
 
 
 def chat_items(spark, sf_dir: str) -> DataFrame:
-    """Lines of orders as items of a thread: messages, tool calls, results and reasoning; some share a model call."""
+    """Lines of orders as items of a thread: messages, tool calls, results and reasoning; some share a model call, some have a role that no model takes."""
     k, line = F.col("l_partkey"), F.col("l_linenumber")
     kind = F.when(k % 5 == 0, "message").when(k % 5 < 3, "tool_call").when(k % 5 == 3, "tool_result").otherwise("reasoning")
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return B.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("thread"), F.row_number().over(by).cast("long").alias("seq"), kind.alias("item_type"), F.when(k % 2 == 0, "user").otherwise("developer").alias("role"), F.when(k % 3 != 0, F.concat(F.lit("text "), k.cast("string"))).alias("content"), F.when(k % 7 != 0, F.col("l_suppkey") % 2).alias("model_call"), F.concat(F.lit("tool"), (k % 4).cast("string")).alias("name"))
-
-
-def provider_messages(items: DataFrame) -> DataFrame:
-    """JOI-14: messages (thread, seq, role, content, calls) of a thread's items; tool calls of one model call go out together, once.
-
-    They go with the first message or tool call of their model call; calls without a model call go alone. Reasoning has
-    no message. Items are (thread, seq, item_type, role, content, model_call, name).
+    said = lambda before, after="": F.concat(F.lit(before), k.cast("string"), F.lit(after))
+    rows = B.read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("thread"),
+        F.row_number().over(by).cast("long").alias("seq"),
+        kind.alias("item_type"),
+        F.when(k % 13 == 0, "tool").when(k % 4 == 0, "system").when(k % 2 == 0, "user").otherwise("developer").alias("role"),
+        F.when(k % 3 != 0, said("text ")).alias("content"),
+        F.when(k % 7 != 0, F.col("l_suppkey") % 2).alias("model_call"),
+        F.concat(F.lit("tool"), (k % 4).cast("string")).alias("name"),
+        said('{"q": "', '"}').alias("arguments"),
+        F.when(k % 4 == 0, said('{"ok": ', "}")).when(k % 4 == 1, "{}").alias("result"),
+        F.when(k % 6 == 3, said("call_")).when(k % 6 == 0, "").alias("tool_call_id"),
+        F.when(k % 9 == 3, said("p_")).alias("parent"),
+    )
+    return rows.withColumn("item_id", F.concat_ws("_", F.lit("i"), "thread", "seq"))
+
+
+#: The roles of messages that a model is sent.
+SENT_ROLES = ("user", "assistant", "system", "developer")
+
+
+def provider_messages(items: DataFrame, system_prompt: str = "") -> DataFrame:
+    """JOI-14: messages (thread, seq, role, content, tool_calls, tool_call_id) of a thread's items, as a model is sent them.
+
+    Calls of one model call go out together, once, as JSON in `tool_calls`: with the first message or call of their model
+    call; calls without a model call go alone. A result names its call (the one it was stored with, else its parent, else
+    itself) and holds its result's JSON, or its text where that is empty. Messages of other roles, and reasoning, aren't
+    sent; developers speak as the assistant. A prompt that isn't blank comes first in every thread, as number 0.
+    Items are (thread, seq, item_id, item_type, role, content, model_call, name, arguments, result, tool_call_id, parent).
     """
     at = ["thread", "model_call"]
-    groups = items.where("item_type = 'tool_call' and model_call is not null").groupBy(*at).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda c: F.concat_ws(":", c["seq"].cast("string"), c["name"])).alias("group"))
-    carries = F.col("item_type").isin("message", "tool_call") & F.col("model_call").isNotNull()
+    call, result, message = (F.col("item_type") == t for t in ("tool_call", "tool_result", "message"))
+    one = F.struct(F.col("item_id").alias("id"), F.lit("function").alias("type"), F.struct("name", "arguments").alias("function"))
+    groups = items.where(call & F.col("model_call").isNotNull()).groupBy(*at).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("call")))), lambda c: c["call"]).alias("group"))
+    sent = items.where((message & F.col("role").isin(*SENT_ROLES)) | call | result)
+    carries = ~result & F.col("model_call").isNotNull()
     first = F.min(F.when(carries, F.col("seq"))).over(Window.partitionBy(*at))
-    rows = items.where("item_type != 'reasoning'").withColumn("first", first).join(groups, at, "left")
-    call, result = F.col("item_type") == "tool_call", F.col("item_type") == "tool_result"
-    own = F.array(F.concat_ws(":", F.col("seq").cast("string"), F.col("name")))
-    calls = F.when(call & F.col("model_call").isNull(), own).when(carries & (F.col("seq") == F.col("first")), F.col("group"))
-    role = F.when(result, "tool").when(call | (F.col("role") == "developer"), "assistant").otherwise(F.col("role"))
-    out = rows.select("thread", "seq", role.alias("role"), F.when(call, "").otherwise(F.coalesce("content", F.lit(""))).alias("content"), calls.alias("calls"), call.alias("is_call"))
-    return out.where(~F.col("is_call") | F.col("calls").isNotNull()).drop("is_call")
-
-
-CHAT = """SELECT l_orderkey AS thread, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, CASE WHEN l_partkey % 5 = 0 THEN 'message' WHEN l_partkey % 5 < 3 THEN 'tool_call' WHEN l_partkey % 5 = 3 THEN 'tool_result' ELSE 'reasoning' END AS item_type,
-  CASE WHEN l_partkey % 2 = 0 THEN 'user' ELSE 'developer' END AS role, CASE WHEN l_partkey % 3 <> 0 THEN 'text ' || l_partkey END AS content, CASE WHEN l_partkey % 7 <> 0 THEN l_suppkey % 2 END AS model_call, 'tool' || (l_partkey % 4) AS name FROM lineitem"""
-
-
-@query("JOI-14", f"""WITH i AS ({CHAT}), g AS (SELECT thread, model_call, string_agg(seq || ':' || name, ',' ORDER BY seq) AS calls FROM i WHERE item_type = 'tool_call' AND model_call IS NOT NULL GROUP BY ALL),
-  f AS (SELECT thread, model_call, min(seq) AS first FROM i WHERE item_type IN ('message', 'tool_call') AND model_call IS NOT NULL GROUP BY ALL)
-  SELECT thread, seq, CASE WHEN item_type = 'tool_result' THEN 'tool' WHEN item_type = 'tool_call' OR role = 'developer' THEN 'assistant' ELSE role END AS role, CASE WHEN item_type = 'tool_call' THEN '' ELSE coalesce(content, '') END AS content, calls
-  FROM (SELECT i.*, CASE WHEN item_type = 'tool_call' AND i.model_call IS NULL THEN seq || ':' || name WHEN item_type IN ('message', 'tool_call') AND seq = first THEN g.calls END AS calls
-    FROM i LEFT JOIN g ON i.thread = g.thread AND i.model_call = g.model_call LEFT JOIN f ON i.thread = f.thread AND i.model_call = f.model_call WHERE item_type <> 'reasoning') WHERE item_type <> 'tool_call' OR calls IS NOT NULL""")
+    rows = sent.withColumn("first", first).join(groups, at, "left")
+    calls = F.when(call & F.col("model_call").isNull(), F.array(one)).when(carries & (F.col("seq") == F.col("first")), F.col("group"))
+    blank = lambda c: F.coalesce(F.translate(c, " \n\t", "").isin("", "{}", "null"), F.lit(True))
+    text = F.coalesce("content", F.lit(""))
+    answer = F.when(blank(F.col("result")), F.to_json(F.struct(text.alias("text")))).otherwise(F.col("result"))
+    named = lambda c: F.nullif(F.col(c), F.lit(""))
+    out = rows.select(
+        "thread",
+        "seq",
+        F.when(result, "tool").when(call | (F.col("role") == "developer"), "assistant").otherwise(F.col("role")).alias("role"),
+        F.when(result, answer).when(call, "").otherwise(text).alias("content"),
+        F.to_json(calls).alias("tool_calls"),
+        F.when(result, F.coalesce(named("tool_call_id"), named("parent"), "item_id")).alias("tool_call_id"),
+        call.alias("is_call"),
+    )
+    out = out.where(~F.col("is_call") | F.col("tool_calls").isNotNull()).drop("is_call")
+    if not system_prompt.strip():
+        return out
+    none = F.lit(None).cast("string")
+    prompt = items.select("thread").distinct().select("thread", F.lit(0).cast("long").alias("seq"), F.lit("system").alias("role"), F.lit(system_prompt.strip()).alias("content"), none.alias("tool_calls"), none.alias("tool_call_id"))
+    return prompt.unionByName(out)
+
+
+CHAT = """SELECT *, 'i_' || thread || '_' || seq AS item_id FROM (SELECT l_orderkey AS thread, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, CASE WHEN l_partkey % 5 = 0 THEN 'message' WHEN l_partkey % 5 < 3 THEN 'tool_call' WHEN l_partkey % 5 = 3 THEN 'tool_result' ELSE 'reasoning' END AS item_type,
+  CASE WHEN l_partkey % 13 = 0 THEN 'tool' WHEN l_partkey % 4 = 0 THEN 'system' WHEN l_partkey % 2 = 0 THEN 'user' ELSE 'developer' END AS role, CASE WHEN l_partkey % 3 <> 0 THEN 'text ' || l_partkey END AS content, CASE WHEN l_partkey % 7 <> 0 THEN l_suppkey % 2 END AS model_call, 'tool' || (l_partkey % 4) AS name,
+  '{"q": "' || l_partkey || '"}' AS arguments, CASE l_partkey % 4 WHEN 0 THEN '{"ok": ' || l_partkey || '}' WHEN 1 THEN '{}' END AS result, CASE l_partkey % 6 WHEN 3 THEN 'call_' || l_partkey WHEN 0 THEN '' END AS tool_call_id, CASE WHEN l_partkey % 9 = 3 THEN 'p_' || l_partkey END AS parent FROM lineitem)"""
+_CALL = """'{"id":"' || item_id || '","type":"function","function":{"name":"' || name || '","arguments":' || CAST(to_json(arguments) AS VARCHAR) || '}}'"""
+
+
+@query("JOI-14", f"""WITH i AS ({CHAT}), s AS (SELECT * FROM i WHERE item_type IN ('tool_call', 'tool_result') OR (item_type = 'message' AND role <> 'tool')),
+  g AS (SELECT thread, model_call, '[' || string_agg({_CALL}, ',' ORDER BY seq) || ']' AS calls FROM i WHERE item_type = 'tool_call' AND model_call IS NOT NULL GROUP BY ALL),
+  f AS (SELECT thread, model_call, min(seq) AS first FROM s WHERE item_type <> 'tool_result' AND model_call IS NOT NULL GROUP BY ALL)
+  SELECT thread, seq, CASE WHEN item_type = 'tool_result' THEN 'tool' WHEN item_type = 'tool_call' OR role = 'developer' THEN 'assistant' ELSE role END AS role,
+    CASE WHEN item_type = 'tool_result' THEN CASE WHEN coalesce(result, '{{}}') = '{{}}' THEN '{{"text":"' || coalesce(content, '') || '"}}' ELSE result END WHEN item_type = 'tool_call' THEN '' ELSE coalesce(content, '') END AS content, calls AS tool_calls,
+    CASE WHEN item_type = 'tool_result' THEN coalesce(nullif(tool_call_id, ''), parent, item_id) END AS tool_call_id
+  FROM (SELECT s.*, CASE WHEN item_type = 'tool_call' AND s.model_call IS NULL THEN '[' || {_CALL} || ']' WHEN item_type <> 'tool_result' AND seq = first THEN g.calls END AS calls
+    FROM s LEFT JOIN g ON s.thread = g.thread AND s.model_call = g.model_call LEFT JOIN f ON s.thread = f.thread AND s.model_call = f.model_call) WHERE item_type <> 'tool_call' OR calls IS NOT NULL
+  UNION ALL SELECT DISTINCT thread, 0, 'system', 'Be brief.', NULL, NULL FROM i""")
 def joi14(spark, sf_dir):
-    m = provider_messages(chat_items(spark, sf_dir))
-    return m.withColumn("calls", F.array_join("calls", ","))
+    return provider_messages(chat_items(spark, sf_dir), " Be brief.\n")
 
 
 def tool_requests(responses: DataFrame) -> DataFrame:

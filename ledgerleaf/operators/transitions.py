@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.documents import json_kind
 from ..plans import bridges as B
 from ..plans.catalog import query
 from .mart import anti_upsert, result_page
@@ -118,24 +119,64 @@ def sib48(spark, sf_dir):
 MOST = 60
 
 
-def attempts(dumps: DataFrame, most: int) -> DataFrame:
-    """AGG-21: usage of the attempts of each run from their dumped responses (run, attempt, body); a budget is used up where all of it went into reasoning and nothing was said."""
-    usage_of = lambda path: F.get_json_object("body", f"$.response.usage.{path}").try_cast("long")
-    said = F.coalesce(F.get_json_object("body", "$.response.choices[0].message.content"), F.lit(""))
-    a = dumps.where(F.get_json_object("body", "$.response.usage").isNotNull()).select("run", said.alias("said"), usage_of("prompt_tokens").alias("prompt"), usage_of("completion_tokens").alias("completion"), usage_of("completion_tokens_details.reasoning_tokens").alias("reasoning"))
-    out = (F.col("completion") >= most) & (F.col("reasoning") >= most) & (F.col("said") == "")
-    return a.groupBy("run").agg(F.count("*").alias("attempts"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt", "completion", "reasoning")], F.coalesce(F.bool_or(out), F.lit(False)).alias("exhausted"))
+def attempts(dumps: DataFrame) -> DataFrame:
+    """AGG-21: a record for each dumped response (run, attempt, body) that tells its usage: tokens, length of what was said, what the provider's headers leave.
 
-
-@query("AGG-21", f"SELECT user_id AS run, count(*) AS attempts, CAST(sum(event_id % 1000) AS BIGINT) AS prompt, CAST(sum(event_id % 97) AS BIGINT) AS completion, CAST(coalesce(sum(CASE WHEN event_id % 3 <> 0 THEN event_id % 89 END), 0) AS BIGINT) AS reasoning, coalesce(bool_or(event_id % 97 >= {MOST} AND event_id % 3 <> 0 AND event_id % 89 >= {MOST} AND event_id % 5 = 0), false) AS exhausted FROM events WHERE event_id % 11 <> 0 GROUP BY user_id")
-def agg21(spark, sf_dir):
-    """Some dumps hold no usage, some no reasoning, some say nothing."""
+    Tokens count only as whole numbers; what is a text or has a fraction is null. Dumps that aren't JSON, or hold no usage, have no record.
+    """
+    node = F.try_parse_json("body")
+    part = lambda path, kind="variant": F.try_variant_get("node", path, kind)
+    tokens = lambda path: F.when((json_kind(part(f"$.response.usage.{path}")) == "number") & (part(f"$.response.usage.{path}", "decimal(38,9)") % 1 == 0), part(f"$.response.usage.{path}", "long"))
+    text = lambda path: F.when(json_kind(part(path)) == "string", part(path, "string"))
+    rows = dumps.select("run", "attempt", node.alias("node")).where(json_kind(part("$.response.usage")) == "object")
+    return rows.select(
+        "run",
+        "attempt",
+        tokens("prompt_tokens").alias("prompt_tokens"),
+        tokens("completion_tokens").alias("completion_tokens"),
+        tokens("completion_tokens_details.reasoning_tokens").alias("reasoning_tokens"),
+        tokens("total_tokens").alias("total_tokens"),
+        F.length(F.coalesce(text("$.response.choices[0].message.content"), F.lit(""))).alias("content_length"),
+        text("$.headers['x-ratelimit-remaining-tokens']").alias("rate_limit_remaining_tokens"),
+        text("$.headers['x-ratelimit-reset-tokens']").alias("rate_limit_reset_tokens"),
+        text("$.headers['x-request-id']").alias("request_id"),
+    )
+
+
+TOKENS = ("prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens")
+
+
+def usage_of_runs(records: DataFrame, most: int) -> DataFrame:
+    """AGG-21: the attempts of each run added up; its budget is used up where all of it went into reasoning and nothing was said."""
+    out = (F.col("completion_tokens") >= most) & (F.col("reasoning_tokens") >= most) & (F.col("content_length") == 0)
+    return records.groupBy("run").agg(F.count("*").alias("attempts"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS], F.coalesce(F.bool_or(out), F.lit(False)).alias("exhausted"))
+
+
+def _dumps(spark, sf_dir: str) -> DataFrame:
+    """Some dumps hold no usage, some no reasoning or a text for it, some say nothing, some have no headers or are cut off."""
     k = F.col("event_id")
     details = F.when(k % 3 != 0, F.struct((k % 89).alias("reasoning_tokens")))
-    used = F.when(k % 11 != 0, F.struct((k % 1000).alias("prompt_tokens"), (k % 97).alias("completion_tokens"), details.alias("completion_tokens_details")))
+    total = F.when(k % 8 != 0, (k % 1000) + (k % 97))
+    used = F.when(k % 11 != 0, F.struct((k % 1000).alias("prompt_tokens"), (k % 97).alias("completion_tokens"), details.alias("completion_tokens_details"), total.alias("total_tokens")))
     choices = F.array(F.struct(F.struct(F.when(k % 5 != 0, "text").alias("content")).alias("message")))
-    body = F.to_json(F.struct(F.struct(used.alias("usage"), choices.alias("choices")).alias("response")))
-    return attempts(B.read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), k.alias("attempt"), body.alias("body")), MOST)
+    headers = F.when(k % 6 != 0, F.struct((k % 7).cast("string").alias("x-ratelimit-remaining-tokens"), F.concat(k.cast("string"), F.lit("ms")).alias("x-ratelimit-reset-tokens"), F.when(k % 2 == 0, F.concat(F.lit("req_"), k.cast("string"))).alias("x-request-id")))
+    body = F.to_json(F.struct(F.struct(used.alias("usage"), choices.alias("choices")).alias("response"), headers.alias("headers")))
+    body = F.when(k % 29 == 0, F.substring(body, F.lit(1), F.length(body) - 1)).when(k % 31 == 0, F.replace(body, F.lit('"prompt_tokens":'), F.lit('"prompt_tokens":"x","was":'))).otherwise(body)
+    return B.read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), k.alias("attempt"), body.alias("body"))
+
+
+_RECORDS = """SELECT user_id AS run, event_id AS attempt, CASE WHEN event_id % 31 <> 0 THEN event_id % 1000 END AS prompt_tokens, event_id % 97 AS completion_tokens, CASE WHEN event_id % 3 <> 0 THEN event_id % 89 END AS reasoning_tokens, CASE WHEN event_id % 8 <> 0 THEN event_id % 1000 + event_id % 97 END AS total_tokens, CASE WHEN event_id % 5 <> 0 THEN 4 ELSE 0 END AS content_length,
+  CASE WHEN event_id % 6 <> 0 THEN CAST(event_id % 7 AS VARCHAR) END AS rate_limit_remaining_tokens, CASE WHEN event_id % 6 <> 0 THEN event_id || 'ms' END AS rate_limit_reset_tokens, CASE WHEN event_id % 6 <> 0 AND event_id % 2 = 0 THEN 'req_' || event_id END AS request_id FROM events WHERE event_id % 11 <> 0 AND event_id % 29 <> 0"""
+
+
+@query("AGG-21", f"SELECT run, count(*) AS attempts, {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in TOKENS)}, coalesce(bool_or(completion_tokens >= {MOST} AND reasoning_tokens >= {MOST} AND content_length = 0), false) AS exhausted FROM ({_RECORDS}) GROUP BY run")
+def agg21(spark, sf_dir):
+    return usage_of_runs(attempts(_dumps(spark, sf_dir)), MOST)
+
+
+@query("AGG-21-attempts", _RECORDS)
+def agg21_attempts(spark, sf_dir):
+    return attempts(_dumps(spark, sf_dir))
 
 
 # ---- small rules
