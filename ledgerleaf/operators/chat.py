@@ -272,13 +272,22 @@ def mth16(spark, sf_dir):
     return B.claims(spark, sf_dir).select("turn_id", relative_time(s).alias("said"))
 
 
+#: Fixed value: the longest delay that may be asked for, in milliseconds.
+LONGEST_MS = 5_000
+
+
+def delay_of(asked: Column) -> Column:
+    """MTH-18: a delay that was asked for: whole numbers from 1 up to the bound, nothing else."""
+    text = F.trim(asked)
+    n = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+    return F.least(F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)), F.lit(LONGEST_MS))
+
+
 @query("MTH-18", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN least(event_id % 9000, 5000) ELSE 0 END AS delay FROM events")
 def mth18(spark, sf_dir):
-    """A delay that was asked for: whole numbers from 1 up to the bound, nothing else."""
     k = F.col("event_id")
-    asked = F.trim(F.when(k % 5 == 0, F.concat(F.lit(" "), (k % 9000).cast("string"))).when(k % 5 == 1, "-5").when(k % 5 == 2, "1.5").when(k % 5 == 3, "soon").otherwise(""))
-    n = F.when(asked.rlike(r"^[+-]?\d+$"), asked.try_cast("long"))
-    return B.read(spark, sf_dir, "events").select("event_id", F.least(F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)), F.lit(5000)).alias("delay"))
+    asked = F.when(k % 5 == 0, F.concat(F.lit(" "), (k % 9000).cast("string"))).when(k % 5 == 1, "-5").when(k % 5 == 2, "1.5").when(k % 5 == 3, "soon").otherwise("")
+    return B.read(spark, sf_dir, "events").select("event_id", delay_of(asked).alias("delay"))
 
 
 # ---- selectors and samples

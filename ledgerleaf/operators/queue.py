@@ -63,14 +63,18 @@ def stm08(spark, sf_dir):
     return claimable(B.claims(spark, sf_dir).where(one), *calls, ME, STALE_BEFORE).select("turn_id", "thread_id")
 
 
+def cursor_of(asked: Column, seen: Column) -> Column:
+    """STM-05: the cursor asked for, else that of the last event seen, else none; what is no number from 0 counts as not given."""
+    number = lambda c: F.when(c.try_cast("long") >= 0, c.try_cast("long"))
+    return F.coalesce(number(asked), number(seen))
+
+
 @query("STM-05", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 AND event_id % 5 > 0 THEN event_id % 5 END, CASE WHEN event_id % 2 = 0 THEN event_id END) AS cursor FROM events")
 def stm05(spark, sf_dir):
-    """The cursor asked for, else that of the last event seen, else none; what is no number from 0 counts as not given."""
     k = F.col("event_id")
     asked = F.when((k % 3 == 0) & (k % 5 > 0), (k % 5).cast("string")).when(k % 3 == 1, "-7").otherwise("x")
     seen = F.when(k % 2 == 0, k.cast("string")).otherwise("")
-    number = lambda c: F.when(c.try_cast("long") >= 0, c.try_cast("long"))
-    return B.read(spark, sf_dir, "events").select("event_id", F.coalesce(number(asked), number(seen)).alias("cursor"))
+    return B.read(spark, sf_dir, "events").select("event_id", cursor_of(asked, seen).alias("cursor"))
 
 
 SUBSCRIPTIONS = [(1, 3, None, None), (2, None, None, "error"), (3, 5, None, "purchase"), (4, 7, None, "signup"), (5, None, 44, None), (6, None, 45, "error"), (7, None, None, None), (8, 5, 46, None)]
@@ -112,21 +116,35 @@ def stm06(spark, sf_dir):
     return dispatch(e, s)
 
 
+def last_heartbeats(claims: DataFrame) -> DataFrame:
+    """STM-15: thread_id, worker, beat: the latest heartbeat of each worker in each thread; rows without a worker have none."""
+    return claims.where("worker is not null").groupBy("thread_id", "worker").agg(F.max("beat").alias("beat"))
+
+
 @query("STM-15", B.with_views("claims", "SELECT thread_id, worker, max(beat) AS beat FROM claims WHERE worker IS NOT NULL GROUP BY thread_id, worker"))
 def stm15(spark, sf_dir):
-    return B.claims(spark, sf_dir).where("worker is not null").groupBy("thread_id", "worker").agg(F.max("beat").alias("beat"))
+    return last_heartbeats(B.claims(spark, sf_dir))
+
+
+def next_turns(turns: DataFrame) -> DataFrame:
+    """STM-16: thread_id, idle, next_turn: a thread takes its next turn only while no turn of it is active."""
+    return turns.groupBy("thread_id").agg((F.count_if(F.col("status") == "active") == 0).alias("idle"), F.min(F.when(F.col("status") == "queued", F.col("turn_id"))).alias("next_turn"))
 
 
 @query("STM-16", B.with_views("claims", "SELECT thread_id, count_if(status = 'active') = 0 AS idle, min(CASE WHEN status = 'queued' THEN turn_id END) AS next_turn FROM claims GROUP BY thread_id"))
 def stm16(spark, sf_dir):
-    """A thread takes its next turn only while no turn of it is active."""
-    return B.claims(spark, sf_dir).groupBy("thread_id").agg((F.count_if(F.col("status") == "active") == 0).alias("idle"), F.min(F.when(F.col("status") == "queued", F.col("turn_id"))).alias("next_turn"))
+    return next_turns(B.claims(spark, sf_dir))
+
+
+def phase_steps(turns: DataFrame) -> DataFrame:
+    """STM-17: was, phase, n: how often one phase followed another from a thread's turn to its next."""
+    before = F.lag("phase").over(Window.partitionBy("thread_id").orderBy("turn_id"))
+    return turns.select("phase", before.alias("was")).where("was is not null").groupBy("was", "phase").agg(F.count("*").alias("n"))
 
 
 @query("STM-17", B.with_views("claims", "SELECT was, phase, count(*) AS n FROM (SELECT phase, lag(phase) OVER (PARTITION BY thread_id ORDER BY turn_id) AS was FROM claims) WHERE was IS NOT NULL GROUP BY ALL"))
 def stm17(spark, sf_dir):
-    w = Window.partitionBy("thread_id").orderBy("turn_id")
-    return B.claims(spark, sf_dir).select("phase", F.lag("phase").over(w).alias("was")).where("was is not null").groupBy("was", "phase").agg(F.count("*").alias("n"))
+    return phase_steps(B.claims(spark, sf_dir))
 
 
 @query("STM-21", B.with_views("items", "SELECT thread_id, count(*) AS items FROM items WHERE thread_id % 5 <> 0 GROUP BY thread_id"))
@@ -137,13 +155,17 @@ def stm21(spark, sf_dir):
     return items.join(gone, "thread_id", "left_anti").groupBy("thread_id").agg(F.count("*").alias("items"))
 
 
+def stale_actions(stale: DataFrame, tools: DataFrame) -> DataFrame:
+    """SIB-72: call_id, action: stale calls (call_id, tool) are tried again if their tool (tool, retry_on_stale) is unknown or allows it; else their turn fails."""
+    return stale.join(tools, "tool", "left").select("call_id", F.when(F.coalesce("retry_on_stale", F.lit(True)), "retry").otherwise("fail_turn").alias("action"))
+
+
 @query("SIB-72", B.with_views("claims", f"SELECT call_id, CASE WHEN call_id % 3 = 0 OR call_id % 4 = 2 THEN 'retry' ELSE 'fail_turn' END AS action FROM tools WHERE status = 'active' AND beat < {STALE_BEFORE}", tools=TOOLS))
 def sib72(spark, sf_dir):
-    """Stale tools are tried again if their definition is unknown or allows it; else their turn fails."""
     known = spark.createDataFrame([("search", False), ("page", True)], "tool string, retry_on_stale boolean")
     tool = F.when(F.col("call_id") % 3 == 0, "gone").when(F.col("call_id") % 4 == 2, "page").otherwise("search")
     stale = calls(spark, sf_dir, "executing_tools").where((F.col("status") == "active") & (F.col("beat") < STALE_BEFORE)).select("call_id", tool.alias("tool"))
-    return stale.join(known, "tool", "left").select("call_id", F.when(F.coalesce("retry_on_stale", F.lit(True)), "retry").otherwise("fail_turn").alias("action"))
+    return stale_actions(stale, known)
 
 
 @query("WIN-02", B.with_views("claims", "SELECT thread_id, max(call_id) AS call_id, arg_max(status, call_id) AS status FROM calls GROUP BY thread_id", calls=CALLS))

@@ -45,18 +45,28 @@ def sib69_items(spark, sf_dir):
     return complete_calls(B.turn_calls(spark, sf_dir, True), B.items(spark, sf_dir), _results(spark, sf_dir))[1]
 
 
+def recover_threads(threads: DataFrame) -> DataFrame:
+    """SIB-65: threads (thread_id, active, wanted) go back to the wanted turn only if they are idle or on that turn already; `moved` tells."""
+    free = F.col("active").isNull() | (F.col("active") == F.col("wanted"))
+    return threads.select("thread_id", F.when(free, F.col("wanted")).otherwise(F.col("active")).alias("active"), free.alias("moved"))
+
+
 @query("SIB-65", B.with_views("claims", "SELECT thread_id, CASE WHEN active IS NULL OR active = wanted THEN wanted ELSE active END AS active, coalesce(active IS NULL OR active = wanted, false) AS moved FROM (SELECT thread_id, max(turn_id) FILTER (status = 'active' AND turn_id % 2 = 0) AS active, max(turn_id) FILTER (status = 'active') AS wanted FROM claims GROUP BY thread_id) WHERE wanted IS NOT NULL"))
 def sib65(spark, sf_dir):
-    """A thread goes back to a turn only if it is idle or on that turn already."""
     t = B.claims(spark, sf_dir).where("status = 'active'").groupBy("thread_id").agg(F.max(F.when(F.col("turn_id") % 2 == 0, F.col("turn_id"))).alias("active"), F.max("turn_id").alias("wanted"))
-    free = F.col("active").isNull() | (F.col("active") == F.col("wanted"))
-    return t.select("thread_id", F.when(free, F.col("wanted")).otherwise(F.col("active")).alias("active"), free.alias("moved"))
+    return recover_threads(t)
+
+
+def queue_turns(turns: DataFrame, new: DataFrame) -> DataFrame:
+    """SIB-62: new turns (turn_id, thread_id) join the others as queued; a turn that is there already stays as it is."""
+    fresh = new.join(turns.select("turn_id"), "turn_id", "left_anti").dropDuplicates(["turn_id"])
+    return turns.unionByName(fresh.select("turn_id", "thread_id", F.lit("queued").alias("status")))
 
 
 @query("SIB-62", B.with_views("claims", "SELECT turn_id, thread_id, status FROM claims UNION ALL SELECT turn_id + 1000000, thread_id, 'queued' FROM claims WHERE turn_id % 50 = 7"))
 def sib62(spark, sf_dir):
     c = B.claims(spark, sf_dir).select("turn_id", "thread_id", "status")
-    return c.unionByName(c.where("turn_id % 50 = 7").select((F.col("turn_id") + 1_000_000).alias("turn_id"), "thread_id", F.lit("queued").alias("status")))
+    return queue_turns(c, c.where("turn_id % 50 = 7").select((F.col("turn_id") + 1_000_000).alias("turn_id"), "thread_id"))
 
 
 THREADS = "SELECT thread_id, 'Thread  ' || thread_id AS title, 1 AS updated_at FROM items GROUP BY thread_id"
@@ -74,12 +84,17 @@ def sib64(spark, sf_dir):
     return anti_upsert(t, changed.withColumn("updated_at", F.lit(2)), ["thread_id"])
 
 
+def rename_threads(threads: DataFrame, asked: DataFrame) -> DataFrame:
+    """SIB-61: threads with the titles asked for (thread_id, title), in one line; a blank one changes nothing."""
+    titles = asked.select("thread_id", F.nullif(T.clean(F.col("title")), F.lit("")).alias("new"))
+    return threads.join(titles, "thread_id", "left").withColumn("title", F.coalesce("new", "title")).drop("new")
+
+
 @query("SIB-61", B.with_views("items", "SELECT thread_id, CASE WHEN thread_id % 4 = 0 THEN 'New title ' || thread_id ELSE title END AS title FROM t", t=THREADS))
 def sib61(spark, sf_dir):
-    """A title is stored in one line; a blank one changes nothing."""
     k = F.col("thread_id")
-    asked = threads(spark, sf_dir).select("thread_id", T.clean(F.when(k % 4 == 0, F.concat(F.lit("  New \n title "), k.cast("string"))).otherwise(" ")).alias("asked"))
-    return threads(spark, sf_dir).join(asked, "thread_id", "left").select("thread_id", F.coalesce("asked", "title").alias("title"))
+    asked = threads(spark, sf_dir).select("thread_id", F.when(k % 4 == 0, F.concat(F.lit("  New \n title "), k.cast("string"))).otherwise(" ").alias("title"))
+    return rename_threads(threads(spark, sf_dir), asked).select("thread_id", "title")
 
 
 @query("SIB-58", B.with_views("claims", "SELECT turn_id, status FROM claims WHERE thread_id = (SELECT min(thread_id) FROM claims) ORDER BY queued_at DESC, turn_id DESC LIMIT 10 OFFSET 10"))
@@ -197,19 +212,31 @@ def mth03(spark, sf_dir):
     return best_variant(B.variants(spark, sf_dir)).select("doc", "page", T.inventory_tokens(F.col("content")).alias("tokens"))
 
 
+#: Fixed value: seconds after its last use at which a session is refreshed.
+REFRESH_S = 900
+
+
+def due_for_refresh(used: Column, now: Column | int) -> Column:
+    """MTH-14: whether a session is refreshed: 15 minutes after its last use, not before; without one it isn't."""
+    return F.coalesce((F.lit(now) if isinstance(now, int) else now) - used >= REFRESH_S, F.lit(False))
+
+
 @query("MTH-14", f"SELECT event_id, {STALE_BEFORE} - (epoch_us(ts) // 1000000 + event_id % 5 * 86400) >= 900 AS refresh FROM events")
 def mth14(spark, sf_dir):
-    """Sessions are refreshed 15 minutes after their last use, not before."""
-    idle = F.lit(STALE_BEFORE) - (T.seconds(F.col("ts")) + F.col("event_id") % 5 * 86400)
-    return B.read(spark, sf_dir, "events").select("event_id", (idle >= 900).alias("refresh"))
+    used = T.seconds(F.col("ts")) + F.col("event_id") % 5 * 86400
+    return B.read(spark, sf_dir, "events").select("event_id", due_for_refresh(used, STALE_BEFORE).alias("refresh"))
+
+
+def counted(body: Column, path: str) -> Column:
+    """SIB-27: a count from a JSON text; missing, null or no number counts as 0."""
+    return F.coalesce(F.get_json_object(body, path).try_cast("long"), F.lit(0))
 
 
 @query("SIB-27", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 97 ELSE 0 END AS tokens FROM events")
 def sib27(spark, sf_dir):
-    """Usage that is missing, null or no number counts as 0."""
     k = F.col("event_id")
     body = F.when(k % 4 == 0, F.concat(F.lit('{"totals": {"tokens": '), (k % 97).cast("string"), F.lit("}}"))).when(k % 4 == 1, '{"totals": {"tokens": null}}').when(k % 4 == 2, '{"totals": {"tokens": "many"}}')
-    return B.read(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object(body, "$.totals.tokens").try_cast("long"), F.lit(0)).alias("tokens"))
+    return B.read(spark, sf_dir, "events").select("event_id", counted(body, "$.totals.tokens").alias("tokens"))
 
 
 @query("SIB-34", B.with_views("flagged variants", "SELECT f.doc, f.page, coalesce(v.representation, 'missing') AS representation, length(coalesce(v.content, '')) AS chars, (length(coalesce(v.content, '')) + 3) // 4 AS tokens FROM flagged f LEFT JOIN (SELECT doc, page, arg_min(representation, priority) AS representation, arg_min(content, priority) AS content FROM variants WHERE representation <> 'text' OR doc % 6 <> 1 GROUP BY doc, page) v ON f.doc = v.doc AND f.page = v.page"))
@@ -220,24 +247,33 @@ def sib34(spark, sf_dir):
     return B.pages(spark, sf_dir).select("doc", "page").join(v, ["doc", "page"], "left").select("doc", "page", F.coalesce("representation", F.lit("missing")).alias("representation"), F.length(content).alias("chars"), T.inventory_tokens(content).alias("tokens"))
 
 
+def document_path(artifacts: Column) -> Column:
+    """SIB-36: the first artifact of a list that is XML and has the place of the assembled document; null without one."""
+    fit = F.filter(artifacts, lambda a: (a["kind"] == "xml") & a["path"].endswith("/derived/normalized_document.xml"))
+    return F.get(F.transform(fit, lambda a: a["path"]), F.lit(0))
+
+
 @query("SIB-36", "SELECT l_orderkey AS o, min(CASE WHEN l_partkey % 3 = 0 AND l_suppkey % 4 = 1 THEN lpad(CAST(l_linenumber AS VARCHAR), 6, '0') || '/derived/normalized_document.xml' END) AS path FROM lineitem GROUP BY l_orderkey")
 def sib36(spark, sf_dir):
-    """The first artifact of a list that is XML and has the place of the assembled document; null without one."""
     made = F.struct(F.lpad(F.col("l_linenumber").cast("string"), 6, "0").alias("place"), F.when(F.col("l_partkey") % 3 == 0, "xml").otherwise("json").alias("kind"), F.when(F.col("l_suppkey") % 4 == 1, "derived/normalized_document.xml").otherwise("derived/other.xml").alias("tail"))
     lists = B.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_list(made)).alias("a"))
-    fit = F.filter("a", lambda x: (x["kind"] == "xml") & x["tail"].endswith("derived/normalized_document.xml"))
-    return lists.select("o", F.get(F.transform(fit, lambda x: F.concat_ws("/", x["place"], x["tail"])), F.lit(0)).alias("path"))
+    listed = F.transform("a", lambda a: F.struct(a["kind"].alias("kind"), F.concat_ws("/", a["place"], a["tail"]).alias("path")))
+    return lists.select("o", document_path(listed).alias("path"))
+
+
+def valid_notes(pages: DataFrame) -> DataFrame:
+    """SIB-54: of pages with a stored note (doc, filename, page, body) those whose note can be read and names the document, file and page that it is for."""
+    n = pages.withColumn("n", F.from_json("body", "doc long, filename string, page long"))
+    same = F.coalesce((F.col("n.doc") == F.col("doc")) & (F.col("n.filename") == F.col("filename")) & (F.col("n.page") == F.col("page")), F.lit(False))
+    return n.where(same).drop("n")
 
 
 @query("SIB-54", B.with_views("pages", "SELECT doc, page FROM pages WHERE doc % 5 <> 0 AND page % 4 <> 3 AND doc_id % 9 <> 2"))
 def sib54(spark, sf_dir):
-    """Notes that are there already count only if they can be read and name the document, file and page that they are for."""
     k = F.col("doc_id")
     note = F.struct(F.when(F.col("doc") % 5 == 0, F.col("doc") + 1).otherwise(F.col("doc")).alias("doc"), "filename", F.when(F.col("page") % 4 == 3, F.col("page") + 1).otherwise(F.col("page")).alias("page"))
     p = B.pages(spark, sf_dir).select("doc_id", "doc", "page", "filename", F.when(k % 9 == 2, "{broken").otherwise(F.to_json(note)).alias("body"))
-    n = p.withColumn("n", F.from_json("body", "doc long, filename string, page long"))
-    same = F.coalesce((F.col("n.doc") == F.col("doc")) & (F.col("n.filename") == F.col("filename")) & (F.col("n.page") == F.col("page")), F.lit(False))
-    return n.where(same).select("doc", "page")
+    return valid_notes(p).select("doc", "page")
 
 
 @query("SRC-05", B.with_views("contracts", "SELECT doc, filename, 'in/' || filename AS path, page_count, size_bytes, CASE WHEN doc % 37 = 0 THEN 'failed' ELSE 'completed' END AS status, 'out/' || doc || '/manifest.json' AS manifest FROM contracts"))
