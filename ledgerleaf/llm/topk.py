@@ -3,8 +3,8 @@
 Candidates are dealt to shards of about `shard_rows` vectors by a hash of the id, so equal vectors spread evenly; each
 shard becomes a ball tree, one row of a written table. Queries are packed into blocks, one row each; blocks grow with the
 root of the number of queries, up to `BLOCK_BYTES`, since every block costs another pass of the trees. A task takes one
-block and streams the trees past it: nodes are visited by falling upper bound of the inner product, and the k-th score
-found so far, shared over all shards of the block, prunes what follows. Memory is one block and one tree.
+block and streams the trees past it: nodes are visited best first, by falling upper bound of the inner product, and the
+k-th score found so far, shared over all shards of the block, prunes what follows. Memory is one block and one tree.
 
 Components are integers (floor of `scale` times the value), so scores are exact: bounds are widened for rounding and
 leaves are scored in double precision, where all products and sums are whole numbers below 2**53; beyond that in longs.
@@ -80,27 +80,24 @@ class Search:
         return (bound > kth) | (kth == NONE) | ((bound == kth) & (least < self.id[rows, -1]))
 
     def visit(self, t: dict) -> None:
+        """Best first: for each query, leaves by falling bound, a leaf's being the least on its way from the root, until none can reach the k-th score found so far."""
         q = self.q.astype(float)
-        rows, node, leaves = np.arange(len(q)), np.zeros(len(q), int), []
-        while len(rows):
-            reach = np.einsum("ij,ij->i", q[rows], t["centre"][node]) + self.norm[rows] * t["radius"][node]
-            slack = 1e-9 * self.norm[rows] * (np.sqrt((t["centre"][node] ** 2).sum(1)) + t["radius"][node]) + 1e-6
-            bound = np.floor(reach + slack)
-            ok = self._may(rows, bound, t["least"][node])
-            rows, node, bound = rows[ok], node[ok], bound[ok]
-            leaf = t["left"][node] < 0
-            leaves.append((rows[leaf], node[leaf], bound[leaf]))
-            rows, node = np.r_[rows[~leaf], rows[~leaf]], np.r_[t["left"][node[~leaf]], t["right"][node[~leaf]]]
-        rows, node, bound = (np.concatenate(c) for c in zip(*leaves))
-        order = np.lexsort((-bound, rows))
-        rows, node, bound = rows[order], node[order], bound[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
-        rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-        for r in range(rank.max(initial=-1) + 1):
-            now = np.flatnonzero(rank == r)
-            now = now[self._may(rows[now], bound[now], t["least"][node[now]])]
+        reach = q @ t["centre"].T + self.norm[:, None] * t["radius"]
+        slack = 1e-9 * self.norm[:, None] * (np.sqrt((t["centre"] ** 2).sum(1)) + t["radius"]) + 1e-6
+        bound = np.floor(reach + slack)
+        for node in np.flatnonzero(t["left"] >= 0):  # nodes stand before their children
+            for child in (t["left"][node], t["right"][node]):
+                bound[:, child] = np.minimum(bound[:, child], bound[:, node])
+        leaves = np.flatnonzero(t["left"] < 0)
+        order = np.argsort(-bound[:, leaves], axis=1, kind="stable")
+        for r in range(len(leaves)):
+            node = leaves[order[:, r]]
+            best = bound[np.arange(len(q)), node]
+            if not ((best >= self.score[:, -1]) | (self.score[:, -1] == NONE)).any():
+                break
+            now = np.flatnonzero(self._may(np.arange(len(q)), best, t["least"][node]))
             for leaf in np.unique(node[now]):
-                self._take(rows[now[node[now] == leaf]], t["ids"][t["start"][leaf] : t["end"][leaf]], t["x"][t["start"][leaf] : t["end"][leaf]])
+                self._take(now[node[now] == leaf], t["ids"][t["start"][leaf] : t["end"][leaf]], t["x"][t["start"][leaf] : t["end"][leaf]])
 
     def _take(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         q = self.q[rows]
