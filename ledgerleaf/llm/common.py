@@ -2,39 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`. Only a session in one process may go without."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ledgerleaf-"))
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back.
-
-    It cuts the lineage: a lost executor costs a reread of a file, not another run of what made it.
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.shared import shared_dir  # noqa: F401
+from ..plans.shared import written as materialize  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
