@@ -16,9 +16,11 @@ Each item has its own threshold: the least score that a passage can have which p
 own score less its heaviest terms, as many as may be missing. So no verified pair is lost before the check. Weights are
 divided by that threshold, which makes it 1 for all.
 
-Block-max WAND in two steps. First, for all passages of a batch at once, the sums of each term's block maxima give an
-upper bound for each block of items; a block below the threshold is skipped. What is left runs WAND over the postings,
-with the same block maxima, and returns every item at or above the threshold.
+A search has three steps. An item whose copy may lack `lost` terms at most holds at least `sure` of its `lost + sure`
+rarest ones in any passage that passes, so only these few postings of each item are read for all passages of a batch at
+once, and items that reach that count are candidates: what is read grows with the matches of rare terms, not with the
+list. Then each term's block maxima bound the blocks of the candidates; a block below the threshold is skipped. What is
+left runs WAND over the postings, with the same block maxima, and returns every candidate at or above the threshold.
 
 Defined results: a null or blank text or item matches nothing; repeated rows and items each get their rows; either
 table may be empty; other columns of `docs` pass through `clean` untouched and don't matter elsewhere.
@@ -46,14 +48,16 @@ WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 OVERLAP, SHINGLE, SHORT = 0.8, 5, 10
 BLOCK = 8
-#: Bounds of a part: the block maxima of a loaded index are a dense table of terms and blocks, some 60 MB for so many.
+#: Terms of an item that are counted beyond those that a copy may lack.
+SURE = 8
+#: Bounds of a part.
 MAX_ITEMS, MAX_WORDS = 4_096, 400_000
 #: Bytes of written indexes that are sent to the tasks at once.
 PASS_BYTES = 128 << 20
-#: Words of a batch that are scored at once.
-CHUNK = 400_000
-#: Cells (words of a passage times blocks) whose bounds are summed at once.
-CELLS = 1 << 24
+#: Words of a batch that are scored at once; with several indexes each is loaded once for so many words.
+CHUNK = 1_000_000
+#: Cells (passages times items) that are counted at once.
+CELLS = 1 << 22
 
 
 def words_of(text: str) -> list[str]:
@@ -66,6 +70,12 @@ def question_answer(text: str) -> list[str]:
     return [text[:at], text[at:]] if words_of(text[:at]) and words_of(text[at:]) else [text]
 
 
+def _groups(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Runs of equal keys, and the values of each."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    return key[first], np.split(value, first[1:]) if len(key) else []
+
+
 def shingles(words: list[str], k: int = SHINGLE) -> list[tuple[str, ...]]:
     return [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
 
@@ -101,7 +111,7 @@ class Item:
 
 
 class Index:
-    """Postings by term in item order, with weights over the item's threshold, and each term's maximum in each block.
+    """Postings by term in item order, with weights over the item's threshold, and each term's maximum in each block that it is in.
 
     `n`, `mean`, `width` and `df` are those of the whole list; without them the given items are the list.
     """
@@ -110,43 +120,90 @@ class Index:
         words = [words_of(t) for t in texts]
         df = df or Counter(t for w in words for t in set(w))
         n, mean = n or len(texts), mean or sum(map(len, words)) / max(1, len(words))
-        self.ids, self.items = ids, [Item(t, overlap) for t in texts]
+        self.ids, self.texts, self.overlap = ids, texts, overlap
         self.half = math.ceil(1.25 * (longest or max(map(len, words), default=1)))
         self.terms = {t: k for k, t in enumerate(sorted({t for w in words for t in w}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        self.share = []  # of its own score that an item's threshold is
-        for d, (w, item) in enumerate(zip(words, self.items)):
-            tf = Counter(w)
+        rare: list[list[int]] = [[] for _ in self.terms]
+        self.share, self.sure = [], np.ones(len(texts), np.int32)  # of its own score that an item's threshold is
+        for d, (w, text) in enumerate(zip(words, texts)):
+            tf, lost = Counter(w), Item(text, overlap).lost
             raw = {t: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
             own, heaviest = sum(raw.values()), sorted(raw.values(), reverse=True)
-            least = max(own - sum(heaviest[: item.lost]), own / 100)
+            least = max(own - sum(heaviest[:lost]), own / 100)
             self.share.append(least / own)
             for t, x in raw.items():
                 postings[self.terms[t]].append((d, x / least))
+            self.sure[d] = max(1, min(SURE, len(tf) - lost))
+            for t in sorted(tf, key=lambda t: (df[t], t))[: lost + int(self.sure[d])]:
+                rare[self.terms[t]].append(d)
         self.blocks = max(1, -(-len(texts) // BLOCK))
-        self.begin = array("q", np.r_[0, np.cumsum([len(p) for p in postings], dtype=np.int64)].astype(np.int64).tolist())
+        begins = lambda lists: np.r_[0, np.cumsum([len(x) for x in lists], dtype=np.int64)].astype(np.int64)
+        self.begin = array("q", begins(postings).tolist())
         self.item = array("i", [d for p in postings for d, _ in p])
         self.weight = array("d", [x for p in postings for _, x in p])
+        self.rare_begin, self.rare = begins(rare), np.array([d for x in rare for d in x], np.int64)
         self.ready()
 
     def ready(self) -> Index:
+        """What is made when an index is loaded: the block maxima, a list for each term."""
         term = np.repeat(np.arange(len(self.terms)), np.diff(self.begin))
-        self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
-        np.maximum.at(self.block_max, (term, np.array(self.item, int) // BLOCK), np.nextafter(np.array(self.weight, np.float32), np.float32(np.inf)))
-        self.peak = self.block_max.max(axis=1).tolist() if len(self.terms) else []
+        block, weight = np.array(self.item, np.int64) // BLOCK, np.nextafter(np.array(self.weight, np.float32), np.float32(np.inf))
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.max_block, self.max = block[first], (np.maximum.reduceat(weight, first) if len(first) else weight).astype(float)
+        self.max_begin = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+        self.peak = np.maximum.reduceat(self.max, self.max_begin[:-1]).tolist() if len(first) else []
+        self.made: dict[int, Item] = {}
         return self
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("block_max", "peak")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("max_block", "max", "max_begin", "peak", "made")}
+
+    def held(self, item: int, words: set[str], grams: Callable[[int], set]) -> tuple[float, float] | None:
+        if item not in self.made:
+            if len(self.made) > 10_000:
+                self.made.clear()
+            self.made[item] = Item(self.texts[item], self.overlap)
+        return self.made[item].held(words, grams)
+
+    def maxima(self, terms: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The maximum of each term in each of the blocks, 0 where it isn't in one."""
+        counts = self.max_begin[terms + 1] - self.max_begin[terms]
+        at = np.arange(int(counts.sum())) + np.repeat(self.max_begin[terms] - np.r_[0, np.cumsum(counts)[:-1]], counts)
+        k = np.searchsorted(blocks, self.max_block[at])
+        here = blocks[np.minimum(k, len(blocks) - 1)] == self.max_block[at]
+        out = np.zeros((len(terms), len(blocks)))
+        out[np.repeat(np.arange(len(terms)), counts)[here], k[here]] = self.max[at[here]]
+        return out
 
-    def wand(self, terms: list[int], blocks: Iterable[int]) -> list[tuple[int, float]]:
-        """(item, score) of all items at or above the threshold, in the given blocks; scores are over the thresholds."""
-        blocks, item, weight, begin = sorted(blocks), self.item, self.weight, self.begin
+    def candidates(self, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(passage, items) of the passages that hold enough of some items' rarest terms; rows in the order of the passages."""
+        step, size = max(1, CELLS // len(self.texts)), len(self.texts)
+        first = int(passage[0])
+        cuts = np.searchsorted(passage, np.arange(first, int(passage[-1]) + 1 + step, step))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            begin = self.rare_begin[term[a:b]]
+            counts = self.rare_begin[term[a:b] + 1] - begin
+            at = np.arange(int(counts.sum())) + np.repeat(begin - np.r_[0, np.cumsum(counts)[:-1]], counts)
+            low = int(passage[a])
+            cell = np.repeat(passage[a:b] - low, counts) * size + self.rare[at]
+            rows, items = np.nonzero(np.bincount(cell, minlength=(int(passage[b - 1]) - low + 1) * size).reshape(-1, size) >= self.sure)
+            for r, some in zip(*_groups(rows, items)):
+                yield low + int(r), some
+
+    def wand(self, terms: list[int], items: list[int]) -> list[tuple[int, float]]:
+        """(item, score) of all of the given items (in order) at or above the threshold; scores are over the thresholds."""
+        item, weight, begin = self.item, self.weight, self.begin
+        blocks = sorted({i // BLOCK for i in items})
+        place = {block: k for k, block in enumerate(blocks)}
+        top = self.maxima(np.array(terms, np.int64), np.array(blocks, np.int64)).tolist() if items else []
         cursors, out, slack = [], [], 1 - 1e-5
-        for t in terms if blocks else ():
-            at = bisect_left(item, blocks[0] * BLOCK, begin[t], begin[t + 1])
+        for j, t in enumerate(terms if items else ()):
+            at = bisect_left(item, items[0], begin[t], begin[t + 1])
             if at < begin[t + 1]:
-                cursors.append([item[at], at, t])
+                cursors.append([item[at], at, t, top[j]])
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, None
@@ -157,14 +214,14 @@ class Index:
                     break
             if pivot is None:
                 break
-            block = pivot // BLOCK
-            k = bisect_left(blocks, block)
-            if k == len(blocks):
+            n = bisect_left(items, pivot)
+            if n == len(items):
                 break
-            to = pivot
-            if blocks[k] > block:
-                to = blocks[k] * BLOCK
-            elif sum(float(self.block_max[c[2], block]) for c in cursors if c[0] <= pivot or c[0] // BLOCK == block) < slack:
+            to, block = pivot, pivot // BLOCK
+            k = place.get(block)
+            if items[n] > pivot:
+                to = items[n]
+            elif sum(c[3][k] for c in cursors if c[0] <= pivot or c[0] // BLOCK == block) < slack:
                 to = (block + 1) * BLOCK
             elif cursors[0][0] == pivot:
                 score = sum(weight[c[1]] for c in cursors if c[0] == pivot)
@@ -197,22 +254,21 @@ class Index:
         if not len(keys):
             return
         passage, term = keys // size, keys % size
-        starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-        ends = np.r_[starts[1:], len(keys)]
-        step = max(1, CELLS // (self.blocks * 2 * half))
-        for lo in range(0, len(starts), step):
-            hi = min(lo + step, len(starts))
-            bounds = np.add.reduceat(self.block_max[term[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
-            for i in np.flatnonzero(bounds.max(axis=1) >= 1 - 1e-4):
-                a, b = starts[lo + i], ends[lo + i]
-                d, words, s = owners[passage[a]]
-                words, made = words[s : s + 2 * half], {}
-                grams = lambda k: made.get(k) or made.setdefault(k, set(shingles(words, k)))  # noqa: E731, B023
-                for item, score in self.wand(term[a:b].tolist(), np.flatnonzero(bounds[i] >= 1 - 1e-4).tolist()):
-                    shares = self.items[item].held(grams(1) and {g[0] for g in grams(1)}, grams)
-                    if shares:
-                        got = (score * self.share[item], *shares)
-                        found[d][item] = max(found[d].get(item, got), got)
+        for p, items in self.candidates(passage, term):
+            a, b = np.searchsorted(passage, (p, p + 1))
+            blocks, of = np.unique(items // BLOCK, return_inverse=True)
+            items = items[(self.maxima(term[a:b], blocks).sum(0) >= 1 - 1e-4)[of]]
+            if not len(items):
+                continue
+            d, words, s = owners[p]
+            words, made = words[s : s + 2 * half], {}
+            grams = lambda k: made.get(k) or made.setdefault(k, set(shingles(words, k)))  # noqa: E731, B023
+            for item, score in self.wand(term[a:b].tolist(), items.tolist()):
+                shares = self.held(item, grams(1) and {g[0] for g in grams(1)}, grams)
+                if shares:
+                    got = (score * self.share[item], *shares)
+                    found[d][item] = max(found[d].get(item, got), got)
+
 
 def hits(indexes: list[Index | bytes], docs: list[str | None]) -> list[list[tuple[pa.Array, int, tuple[float, float, float]]]]:
     """For each text the verified (ids, place in ids, (score, question overlap, answer overlap)), index by index in order."""
