@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from ..operators import artifacts, blocks, chat, mart, notes, pages, queue, records, reports, schemas, stages, stored, timeline, transitions  # noqa: F401
+    from ..operators import artifacts, blocks, chat, mart, notes, page_runs, pages, queue, records, reports, schemas, stages, stored, timeline, transitions  # noqa: F401
