@@ -30,7 +30,7 @@ RADIUS = 3
 #: Nodes that make the top tree, and those for each shard where there are many: what the driver sees, not what is searched.
 SAMPLE = 20_000
 PER_SHARD = 16
-SHARD_ROWS = 8_192
+SHARD_ROWS = 32_768
 #: At most 131,072 shards, so the top tree is made from two million fingerprints (16 MB) at most.
 MAX_DEPTH = 17
 LEAF = 256
