@@ -147,7 +147,7 @@ def _run_queries(one: str, corpus: str, run, sql: str, path: str) -> None:
             """Every page after the run."""
             return run(spark, sf_dir).select("doc", "page", F.col(path).alias("path"), F.array_join("flags", ",").alias("flags"), F.array_join("warnings", ",").alias("warnings"), "outcome")
 
-    @query(corpus, B.with_views("flagged", "SELECT count(DISTINCT doc) FILTER (outcome <> 'skipped') AS candidate_documents, count(DISTINCT doc) FILTER (outcome = 'processed') AS processed_documents, count_if(outcome = 'processed') AS processed_pages, count_if(outcome = 'failed') AS failed_pages FROM r", r=sql))
+    @query(corpus, B.with_views("flagged", "SELECT count(DISTINCT doc) FILTER (outcome <> 'skipped') AS candidate_documents, count(DISTINCT doc) FILTER (outcome = 'processed') AS processed_documents, count(*) FILTER (outcome = 'processed') AS processed_pages, count(*) FILTER (outcome = 'failed') AS failed_pages FROM r", r=sql))
     def counts(spark, sf_dir):
         return run_counts(run(spark, sf_dir))
 

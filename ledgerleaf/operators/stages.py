@@ -189,7 +189,7 @@ def _stage_queries(stage: str, ran: str, applied: str) -> None:
         staged = got.staged.select("doc", F.lit("staged").alias("outcome"), "result", F.lit(None).cast("string").alias("error"))
         return staged.unionByName(got.failures.select("doc", F.lit("failed").alias("outcome"), F.lit(None).cast("string").alias("result"), "error"))
 
-    @query(f"{ran}-report", B.with_views(VIEWS, "SELECT count(*) AS selected, count_if(error IS NULL) AS succeeded, count_if(error IS NOT NULL) AS failed FROM r", r=_run_sql(rule, False)))
+    @query(f"{ran}-report", B.with_views(VIEWS, "SELECT count(*) AS selected, count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed FROM r", r=_run_sql(rule, False)))
     def report(spark, sf_dir):
         return sample_run(spark, sf_dir, rule, False)[1].report
 
@@ -205,7 +205,7 @@ def _stage_queries(stage: str, ran: str, applied: str) -> None:
             after = apply_run(before, got.staged, force)
             return after.canonical.join(after.outcomes, "doc", "left").select("doc", "result", F.coalesce("outcome", F.lit("kept")).alias("outcome"))
 
-    @query(f"{applied}-report", B.with_views(VIEWS, f"SELECT count(*) AS seen, count_if(NOT skip) AS applied, count_if(skip) AS skipped FROM (SELECT coalesce({rule.done}, false) AS skip FROM r JOIN i USING (doc) WHERE error IS NULL)", i=INPUTS, r=_run_sql(rule, True)))
+    @query(f"{applied}-report", B.with_views(VIEWS, f"SELECT count(*) AS seen, count(*) FILTER (NOT skip) AS applied, count(*) FILTER (skip) AS skipped FROM (SELECT coalesce({rule.done}, false) AS skip FROM r JOIN i USING (doc) WHERE error IS NULL)", i=INPUTS, r=_run_sql(rule, True)))
     def apply_report(spark, sf_dir):
         before, got = sample_run(spark, sf_dir, rule, True)
         return apply_run(before, got.staged).report
@@ -311,7 +311,7 @@ def udf21(spark, sf_dir):
     return changed_documents(notes, refresh_notes(notes, pages, _made()))
 
 
-@query("SIB-53", B.with_views("pages best", f"SELECT count(DISTINCT doc) AS documents, count(*) AS pages, count_if({_REUSED}) AS reused, count_if(NOT ({_REUSED})) AS generated FROM q", q=_PAGES))
+@query("SIB-53", B.with_views("pages best", f"SELECT count(DISTINCT doc) AS documents, count(*) AS pages, count(*) FILTER ({_REUSED}) AS reused, count(*) FILTER (NOT ({_REUSED})) AS generated FROM q", q=_PAGES))
 def sib53(spark, sf_dir):
     """The report of a run over page notes."""
     pages = page_contents(spark, sf_dir)
