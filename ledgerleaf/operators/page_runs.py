@@ -91,6 +91,52 @@ def reported_targets(reports: DataFrame) -> DataFrame:
     return reports.select("run", F.explode(body["targets"]).alias("t")).select("run", F.col("t.doc_id").alias("doc"), F.col("t.page_number").alias("page"))
 
 
+def there(rows: DataFrame, files: DataFrame, **paths: str) -> DataFrame:
+    """`rows` with a boolean for each name in `paths`: whether the file that the column names is among `files` (path); no path is no file."""
+    known = files.select("path").distinct()
+    for name, column in paths.items():
+        met = known.select(F.col("path").alias("_path"), F.lit(True).alias("_there"))
+        rows = rows.join(met, F.col(column) == F.col("_path"), "left").withColumn(name, F.coalesce("_there", F.lit(False))).drop("_path", "_there")
+    return rows
+
+
+def complete_pages(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """SIB-05: pages (text_path, image_path, flags) with `complete`: the text is there, and the image too where flags ask for one."""
+    asks = G.any_of(F.col("flags"), "image_render_recommended", "ocr_recommended")
+    return there(pages, files, _text="text_path", _image="image_path").withColumn("complete", F.col("_text") & (~F.coalesce(asks, F.lit(False)) | F.col("_image"))).drop("_text", "_image")
+
+
+def pending_images(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """SIB-08: pages whose image is pending and there, and whose validated copy, if one is named, isn't."""
+    found = there(pages.where(orientation_pending()), files, _image="image_path", _valid="valid_path")
+    return found.where("_image and not _valid").drop("_image", "_valid")
+
+
+#: Fixed value: what an assembled document is called among a document's artifacts.
+ASSEMBLED = "Canonical normalized document assembled from the best available page representation."
+
+
+def assembled_report(documents: DataFrame) -> DataFrame:
+    """SIB-39: doc, filename, path: the first XML artifact of each document (doc, filename, artifacts) that is called the assembled one; null without."""
+    fits = F.filter("artifacts", lambda a: (a["kind"] == "xml") & (a["description"] == ASSEMBLED))
+    return documents.select("doc", "filename", F.get(F.transform(fits, lambda a: a["path"]), F.lit(0)).alias("path"))
+
+
+def flat_export(candidates: DataFrame, files: DataFrame, names: Sequence[str], folder: str) -> DataFrame:
+    """SNK-16: candidates (doc, page, and a path column for each name) with `linked`: for each artifact that is there the flat name it is exported by."""
+    found = there(candidates, files, **{f"_{n}": n for n in names})
+    flat = lambda n: F.concat(F.lit(f"{folder}/"), F.concat_ws("__", "doc", F.concat(F.lit("p"), F.lpad(F.col("page").cast("string"), 4, "0")), F.lit(n)))
+    linked = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(f"_{n}"), F.struct(F.lit(n).alias("key"), flat(n).alias("value"))) for n in names])))
+    return found.withColumn("linked", linked).drop(*[f"_{n}" for n in names])
+
+
+def triage(images: DataFrame) -> DataFrame:
+    """SIB-32 with UDF-24: images (mean, var, white, black) with what they are taken for, and `keep`: those that hold enough. The bounds."""
+    blank = (F.col("mean") >= 248) & (F.col("var") <= 12) & (F.col("white") >= 0.985)
+    low = ((F.col("var") <= 12) & (F.col("white") >= 0.985)) | ((F.col("black") >= 0.97) & (F.col("mean") <= 20) & (F.col("var") <= 150))
+    return images.withColumns({"likely_blank": blank, "likely_low_information": low, "keep": ~low})
+
+
 # ---- over the test tables
 
 PAGES = "SELECT doc, page, doc_id, filename, flags, CASE WHEN doc_id % 10 = 1 THEN ['old'] ELSE CAST([] AS VARCHAR[]) END AS warnings, ocr_path, markdown_path, repair_path, vision_path, image_path FROM flagged"
@@ -262,3 +308,46 @@ def _usage_query(name: str, every: int) -> None:
 
 _usage_query("SIB-31", 4)
 _usage_query("SIB-51", 7)
+
+
+def stored_files(spark, sf_dir: str) -> DataFrame:
+    """What a listing of the artifact folders might give."""
+    k = F.col("doc_id")
+    kinds = F.array(F.when(k % 5 != 0, F.concat(F.lit("text/"), k.cast("string"))), F.when(k % 4 != 1, F.concat(F.lit("image/"), k.cast("string"))), F.when(k % 24 == 0, F.concat(F.lit("valid/"), k.cast("string"))), F.when(k % 3 == 0, F.concat(F.lit("md/"), k.cast("string"))))
+    return B.read(spark, sf_dir, "documents").select(F.explode(F.array_compact(kinds)).alias("path"))
+
+
+@query("SIB-05", B.with_views("flagged", "SELECT doc, page, doc_id % 10 <> 7 AND doc_id % 5 <> 0 AND (NOT list_has_any(flags, ['image_render_recommended', 'ocr_recommended']) OR (doc_id % 6 = 0 AND doc_id % 4 <> 1)) AS complete FROM flagged"))
+def sib05(spark, sf_dir):
+    """Some pages name no text, some files are missing."""
+    k = F.col("doc_id")
+    pages = B.flagged(spark, sf_dir).select("doc", "page", "flags", "image_path", F.when(k % 10 != 7, F.concat(F.lit("text/"), k.cast("string"))).alias("text_path"))
+    return complete_pages(pages, stored_files(spark, sf_dir)).select("doc", "page", "complete")
+
+
+@query("SIB-08", B.with_views("flagged", f"SELECT doc, page FROM o WHERE {PENDING} AND doc_id % 4 <> 1 AND NOT (valid_path IS NOT NULL AND doc_id % 24 = 0)", o=ORIENTED))
+def sib08(spark, sf_dir):
+    return pending_images(oriented(spark, sf_dir), stored_files(spark, sf_dir)).select("doc", "page")
+
+
+@query("SNK-16", B.with_views("flagged", "SELECT doc, page, CASE WHEN doc_id % 6 = 0 AND doc_id % 4 <> 1 THEN 'out/' || doc || '__p' || lpad(CAST(page AS VARCHAR), 4, '0') || '__image_path' END AS image, CASE WHEN doc_id % 15 = 0 THEN 'out/' || doc || '__p' || lpad(CAST(page AS VARCHAR), 4, '0') || '__markdown_path' END AS markdown FROM flagged WHERE image_path IS NOT NULL OR markdown_path IS NOT NULL"))
+def snk16(spark, sf_dir):
+    """Pages with an image or markdown, and by which flat names those that are there go out."""
+    pages = all_pages(spark, sf_dir).where("image_path is not null or markdown_path is not null").select("doc", "page", "image_path", "markdown_path")
+    out = flat_export(pages, stored_files(spark, sf_dir), ("image_path", "markdown_path"), "out")
+    return out.select("doc", "page", F.col("linked")["image_path"].alias("image"), F.col("linked")["markdown_path"].alias("markdown"))
+
+
+@query("SIB-39", f"""SELECT o AS doc, 'f' || o AS filename, min(CASE WHEN l_partkey % 3 = 0 AND l_suppkey % 4 = 1 THEN lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '.xml' END) AS path FROM (SELECT l_orderkey AS o, * FROM lineitem) GROUP BY o""")
+def sib39(spark, sf_dir):
+    """An order's lines are its artifacts."""
+    made = F.struct(F.concat(F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit(".xml")).alias("path"), F.when(F.col("l_partkey") % 3 == 0, "xml").otherwise("json").alias("kind"), F.when(F.col("l_suppkey") % 4 == 1, ASSEMBLED).otherwise("another").alias("description"))
+    docs = B.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(made)).alias("artifacts"))
+    return assembled_report(docs.withColumn("filename", F.concat(F.lit("f"), F.col("doc").cast("string"))))
+
+
+@query("SIB-32", "SELECT count(*) AS selected, count(*) FILTER (NOT low) AS kept, count(*) FILTER (low) AS filtered, count(*) FILTER (blank) AS blank FROM (SELECT mean >= 248 AND var <= 12 AND white >= 0.985 AS blank, (var <= 12 AND white >= 0.985) OR (black >= 0.97 AND mean <= 20 AND var <= 150) AS low FROM (SELECT event_id % 256 AS mean, event_id % 30 AS var, event_id % 1000 / 1000 AS white, event_id % 7 / 6 AS black FROM events))")
+def sib32(spark, sf_dir):
+    """The report of a triage: events stand for images' profiles."""
+    images = B.read(spark, sf_dir, "events").selectExpr("event_id % 256 as mean", "event_id % 30 as var", "event_id % 1000 / 1000D as white", "event_id % 7 / 6D as black")
+    return triage(images).agg(F.count("*").alias("selected"), F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("filtered"), F.count_if("likely_blank").alias("blank"))

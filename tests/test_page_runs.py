@@ -63,3 +63,12 @@ def test_usage_and_reports(spark):
     assert [tuple(r) for r in R.usage_totals(some).collect()] == [(2, 1, 7, 6, 10)] and R.usage_totals(some.where("doc = 2")).count() == 0
     reports = spark.createDataFrame([(1, '{"targets":[{"doc_id":5,"page_number":2},{"doc_id":6,"page_number":1}]}'), (2, "{cut"), (3, None), (4, "{}")], "run int, body string")
     assert rows(R.reported_targets(reports), "run", "doc", "page") == [(1, 5, 2), (1, 6, 1)]
+
+
+def test_files_that_are_there(spark):
+    files = spark.createDataFrame([("t/1",), ("t/1",), ("i/1",), (None,)], "path string")
+    shape = "doc int, page int, text_path string, image_path string, flags array<string>"
+    some = spark.createDataFrame([(1, 1, "t/1", None, []), (1, 2, "t/1", "i/1", ["ocr_recommended"]), (1, 3, "t/1", "i/2", ["ocr_recommended"]), (1, 4, None, "i/1", []), (1, 5, "t/2", None, None)], shape)
+    assert rows(R.complete_pages(some, files), "page", "complete") == [(1, True), (2, True), (3, False), (4, False), (5, False)]
+    out = R.flat_export(some, files, ("text_path", "image_path"), "out")
+    assert out.count() == 5 and {r.page: r.linked for r in out.collect()}[2] == {"text_path": "out/1__p0002__text_path", "image_path": "out/1__p0002__image_path"}
