@@ -169,6 +169,10 @@ def test_url_filter(spark):
     assert ways[0] == ways[1] and [(r.rule, r.verdict, r.listed, r["count"]) for r in ways[0]] == [(None, "block", True, 2000), ("com/en/", "block", False, 2000)]
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
     assert url_filter.filter_urls(pages, listed.limit(0)).where("listed").count() == 0
+    # endings are cut at the very end only, not before a last line end
+    ends = spark.createDataFrame([(i, "http://x.org/p" + e) for i, e in enumerate((".html/", "/", ".html\n", "/\n", "\u2028", ".html\r\n"))], "page_id long, url string")
+    assert [r.listed for r in url_filter.filter_urls(ends, listed).orderBy("page_id").collect()] == [True, True, False, False, False, False]
+    assert [r.canonical for r in url_filter.filter_urls(ends, listed).orderBy("page_id").collect()][2:4] == ["x.org/p.html\n", "x.org/p/\n"]
 
 
 def test_language(spark):
