@@ -166,3 +166,16 @@ def test_open_subscriptions_get_every_event(spark):
     subs = spark.createDataFrame([(1, None, None, None), (2, 5, None, None), (3, 5, 9, None), (4, None, 8, "a")], "sub int, thread long, turn long, kind string")
     assert sorted(map(tuple, queue.dispatch(events, subs).collect())) == [(1, 1), (1, 2), (1, 4), (2, 1)]
     assert queue.dispatch(events, subs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["FLT-07", "FLT-08", "FLT-09", "FLT-10", "FLT-11", "FLT-16", "FLT-19", "FLT-34", "SIB-15", "SIB-16", "SIB-17", "SIB-24", "MTH-05", "MTH-07", "AGG-09", "AGG-10", "AGG-12", "SET-06"])
+def test_texts_are_normalised_once(spark, name):
+    """Filters on flags don't move beneath them with copies of what they are made of: a scan's texts are normalised once."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\r\n?") == plan.count("Relation [") <= 4
+
+
+def test_numeric_tokens(spark):
+    texts = ["", "a 1", "12 34a a1", " 1\n", "a1b2 abc12 abcd1", "x", "1-2 3"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.numeric_token_ratio(F.col("t"))).collect()] == [0.0, 0.5, 1.0, 1.0, 2 / 3, 0.0, 1.0]
