@@ -179,3 +179,18 @@ def test_numeric_tokens(spark):
     texts = ["", "a 1", "12 34a a1", " 1\n", "a1b2 abc12 abcd1", "x", "1-2 3"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(T.numeric_token_ratio(F.col("t"))).collect()] == [0.0, 0.5, 1.0, 1.0, 2 / 3, 0.0, 1.0]
+
+
+def test_replay_keeps_threads_whole(spark):
+    """Rows of a thread meet in one task, also where both sides of the union are dealt by thread and merged by size."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(was, ("4k", "1k", "false", "50")):
+            spark.conf.set(k, v)
+        got = catalog.QUERIES["STM-04"](spark, SF).groupBy("event").sum("items").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    found = {r.event: r[1] for r in got}
+    assert found["snapshot"] == found["heartbeat"] == 0
+    assert found["items_appended"] == spark.read.parquet(f"{SF}/events.parquet").count()
