@@ -169,7 +169,8 @@ def joi15(spark, sf_dir):
     items = output_items(_responses(spark, sf_dir))
     stored = items.select("item_id", (F.lit(100) + F.row_number().over(Window.partitionBy("id").orderBy("ordinal"))).cast("long").alias("seq"))
     requests = items.where("item_type = 'tool_call'").select("item_id", F.col("name").alias("tool"), "arguments")
-    return requests.join(stored, "item_id")
+    # both sides grow with the responses, and their size as guessed from the files is far too small: never broadcast
+    return requests.join(stored.hint("merge"), "item_id")
 
 
 @query("JSN-07", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' END AS a, CASE event_id % 6 WHEN 3 THEN 'no object' WHEN 4 THEN 'no JSON' WHEN 5 THEN 'empty' END AS error FROM events""")

@@ -201,3 +201,8 @@ def test_new_turns_are_all_appended(spark):
     new = spark.createDataFrame([(2, 5), (3, 6), (3, 6)], "turn_id long, thread_id long")
     assert sorted(map(tuple, transitions.append_turns(old, new).collect())) == [(1, 5, "active"), (2, 5, "queued"), (2, 5, "queued"), (3, 6, "queued"), (3, 6, "queued")]
     assert sorted(map(tuple, transitions.queue_turns(old, new).collect())) == [(1, 5, "active"), (2, 5, "queued"), (3, 6, "queued")]
+
+
+def test_stored_items_are_not_broadcast(spark):
+    plan = catalog.QUERIES["JOI-15"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
