@@ -30,7 +30,9 @@ def _kind(node: Column) -> Column:
 
 def nodes(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """All nodes of the JSON texts, with their kind."""
-    level = docs.select(F.col(id_col).alias("id"), F.try_parse_json(json_col).alias("node")).where("node is not null")
+    # dealt anew: a few small files hold very many texts, and the rounds would stay on the tasks that read them
+    texts = docs.select(F.col(id_col).alias("id"), F.col(json_col).alias("json")).repartition(F.xxhash64("id", "json"))
+    level = B.once(texts, node=F.try_parse_json("json")).where("node is not null")
     level = level.select("id", F.array().cast("array<string>").alias("at"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("pos"), "node")
     out, depth = None, 0
     while True:
@@ -126,7 +128,8 @@ def strict(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """
     found = nodes(docs, id_col, json_col)
     rules = _strict(found).select("id", "at", F.array_contains("names", "$ref").alias("ref"), F.when(F.size("properties") > 0, F.array_sort("properties")).alias("properties"))
-    parent = found.select("id", "at", "depth", "key", "pos", "kind", "json").join(rules, ["id", "at"], "left")
+    # written once: each level reads its own nodes, and the rules aren't made again for every one
+    parent = written(found.select("id", "at", "depth", "key", "pos", "kind", "json").join(rules, ["id", "at"], "left"), "rules")
     levels = parent.agg(F.max("depth")).first()[0]
     below = None
     for depth in range(-1 if levels is None else levels, -1, -1):
