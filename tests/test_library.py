@@ -206,3 +206,16 @@ def test_new_turns_are_all_appended(spark):
 def test_stored_items_are_not_broadcast(spark):
     plan = catalog.QUERIES["JOI-15"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["AGG-12"])
+def test_pages_are_read_once(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
+def test_rollup_of_alike_pages(spark):
+    """A row that stands for several pages counts as that many."""
+    alike = spark.createDataFrame([(1, ["suspected_scanned_page"], 2), (1, [], 3), (2, ["suspected_scanned_page"], 3), (2, [], 3)], "doc int, flags array<string>, n int")
+    got = {r.doc: r.f for r in alike.groupBy("doc").agg(G.document_rollup(pages=F.col("n")).alias("f")).collect()}
+    assert "mostly_image_based" not in got[1] and "mostly_image_based" in got[2] and "has_scanned_pages" in got[1]
