@@ -148,8 +148,9 @@ def set05(spark, sf_dir):
 
 @query("SET-06", B.with_views("flagged", f"SELECT doc, page FROM ({ROUTED}) WHERE markdown UNION ALL SELECT doc, page FROM ({ROUTED}) WHERE vision"))
 def set06(spark, sf_dir):
-    r = routed(spark, sf_dir)
-    return r.where("markdown").select("doc", "page").unionByName(r.where("vision").select("doc", "page"))
+    """In one pass: a page that is a candidate for both comes twice."""
+    picks = F.array_compact(F.array(F.when(F.col("markdown"), 1), F.when(F.col("vision"), 1)))
+    return routed(spark, sf_dir).select("doc", "page", F.explode(picks).alias("pick")).drop("pick")
 
 
 @query("STR-14", B.with_views("classification", "SELECT doc, CASE stage WHEN 'active_change' THEN 'Active Change' WHEN 'contracting' THEN 'Contracting' ELSE 'Compliance' END AS label FROM classification"))
