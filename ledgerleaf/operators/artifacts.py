@@ -63,7 +63,7 @@ PENDING = "image_path IS NOT NULL AND NOT (valid_path IS NOT NULL AND rotation I
 
 def oriented(spark, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    return B.flagged(spark, sf_dir).select("doc", "page", "doc_id", "image_path", F.when(k % 12 == 0, F.concat(F.lit("valid/"), k.cast("string"))).alias("valid_path"), F.when(k % 5 != 0, k % 4 * 90).alias("rotation"), F.when(k % 7 != 0, "osd").alias("method"))
+    return B.flagged(spark, sf_dir).select("doc", "page", "doc_id", "flags", "image_path", F.when(k % 12 == 0, F.concat(F.lit("valid/"), k.cast("string"))).alias("valid_path"), F.when(k % 5 != 0, k % 4 * 90).alias("rotation"), F.when(k % 7 != 0, "osd").alias("method"))
 
 
 def orientation_pending() -> Column:

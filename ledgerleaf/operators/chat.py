@@ -332,8 +332,7 @@ def flt13(spark, sf_dir):
 def flt34(spark, sf_dir):
     """Images that are still to be turned, but for blank ones and pages marked as such."""
     blank = F.col("doc_id") % 12 == 6
-    flags = B.flagged(spark, sf_dir).select("doc", "page", "flags")
-    return oriented(spark, sf_dir).join(flags, ["doc", "page"]).where(orientation_pending() & ~(blank | G.any_of(F.col("flags"), *G.SKIP))).select("doc", "page")
+    return oriented(spark, sf_dir).where(orientation_pending() & ~(blank | G.any_of(F.col("flags"), *G.SKIP))).select("doc", "page")
 
 
 SEED = 7

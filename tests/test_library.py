@@ -208,7 +208,7 @@ def test_stored_items_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["AGG-12", "SET-06"])
+@pytest.mark.parametrize("name", ["AGG-12", "SET-06", "FLT-34"])
 def test_pages_are_read_once(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Join" not in plan
