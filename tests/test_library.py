@@ -208,12 +208,36 @@ def test_stored_items_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+PAGE_FLAGS = ["AGG-12", "FLT-19", "SET-06", "FLT-08", "FLT-16", "AGG-10", "SIB-16", "FLT-11", "FLT-34", "AGG-09", "SIB-17", "FLT-07", "MTH-07"]
+
+
 @pytest.mark.parametrize("name", ["AGG-12", "SET-06", "FLT-34"])
 def test_pages_are_read_once(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Join" not in plan
 
 
+@pytest.mark.parametrize("name", PAGE_FLAGS)
+def test_normalised_texts_are_searched_once(spark, name):
+    """One pattern runs over a whole normalised text; the others see what isn't a letter. Tokens are looked into only where there are digits."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(norm#") == plan.count("Relation [") == 1
+    assert "split(norm#" not in plan and "regexp_count(norm#" not in plan and "regexp_extract_all(norm#" not in plan
+
+
+def test_normalised_to_the_very_end(spark):
+    """Only blanks and line feeds are stripped, and only at the very end, not before a last line separator."""
+    texts = ["", " \n a\r\n\r\n\r\n\rb\t \tc \n d \n", "a \u0085", "a  ", "\u000b a\r", "a  b\n \n\n c", "\r\r"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.normalize_page(F.col("t"))).collect()] == ["", "a\n\nb c\nd", "a \u0085", "a  ", "\u000b a", "a b\n\nc", ""]
+
+
+def test_ratios_of_odd_texts(spark):
+    texts = ["", " \n\u0085　", "é1 \U0001d49c٣|", "\u000b- á", "x Ⅰ\n2"]
+    rows = T.with_ratios(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
+    assert [(r.chars, r.alpha, r.symbol, r.newline) for r in rows] == [(0, 0.0, 0.0, 0.0), (4, 0.0, 0.0, 0.25), (6, 0.4, 0.2, 0.0), (5, 1 / 3, 2 / 3, 0.0), (5, 1 / 3, 0.0, 0.2)]
+
+
 def test_rollup_of_alike_pages(spark):
     """A row that stands for several pages counts as that many."""
     alike = spark.createDataFrame([(1, ["suspected_scanned_page"], 2), (1, [], 3), (2, ["suspected_scanned_page"], 3), (2, [], 3)], "doc int, flags array<string>, n int")
