@@ -14,12 +14,15 @@ table gives no rows; only the id and text columns are used.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +31,10 @@ from .common import materialize, table
 
 WINDOW = 4096
 END_ID = 2
-#: Entries of a worker's cache of encoded chunks; it is emptied when full.
-CACHE = 400_000
+#: Entries of a worker's caches of encoded words, and of chunks of texts that aren't plain; one is emptied when full.
+CACHE, CHUNK_CACHE = 800_000, 200_000
+#: Bytes of text that are encoded together, and at most one text more.
+SLICE = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -54,13 +59,18 @@ class ChunkEncoder:
     """Token ids of a text as little-endian bytes, through a cache of its white-space-delimited chunks.
 
     The tokenizer never joins across white space, so chunks can be encoded alone. Texts with the control characters
-    that `str.split` takes for white space, and the tokenizer doesn't, are encoded whole.
+    that `str.split` takes for white space, and the tokenizer doesn't, are encoded whole. Plain texts are encoded many
+    at a time: each of their distinct chunks is looked up once, and ids are laid out by position.
     """
 
     #: Letters, digits and marks for which the quick path is exact; others go through the tokenizer itself.
     PLAIN = re.compile(r"[!-~À-ÿ]+")
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
     ODD = re.compile("[\x1c-\x1f]")
+    PLAIN_TEXT = re.compile(r"[!-~À-ÿ \t-\r]+")
+    #: Words of chunks that are joined by line feeds, and these; what a line feed is encoded as, which is no id.
+    LINES = re.compile(WORDS.pattern + r"|\n")
+    MARK = np.uint32(0xFFFFFFFF)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,31 +86,73 @@ class ChunkEncoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, w: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize("".join(map(self.byte.__getitem__, w.encode())))], "<u4").tobytes()
+        if w == "\n":
+            return self.MARK.tobytes()
+        ids = [t.id for t in self.model.tokenize(w if w.isascii() else "".join(map(self.byte.__getitem__, w.encode())))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, c: str) -> bytes:
         if self.PLAIN.fullmatch(c) and "<|" not in c:
             return b"".join(map(self.words.__getitem__, self.WORDS.findall(c.lower())))
         return self.ids(c)
 
+    def room(self) -> None:
+        for memo, most in ((self.chunks, CHUNK_CACHE), (self.words, CACHE)):
+            if len(memo) > most:
+                memo.clear()
+
     def encode(self, text: str) -> bytes:
         if self.ODD.search(text) or not unicodedata.is_normalized("NFC", text):
             return self.ids(text)
-        for memo in (self.chunks, self.words):
-            if len(memo) > CACHE:
-                memo.clear()
+        self.room()
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """`encode` of plain texts in lower case, none empty."""
+        self.room()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        chunks = [*coded.dictionary.to_numpy(zero_copy_only=False), ""]
+        pool = np.frombuffer(b"".join(map(self.words.__getitem__, self.LINES.findall("\n".join(chunks)))), "<u4")
+        marks = np.flatnonzero(pool == self.MARK)  # one after each chunk
+        first = np.concatenate([[0], marks[:-1] + 1])
+        codes = coded.indices.to_numpy()
+        n = (marks - first)[codes]
+        end = np.cumsum(n)
+        data = pool[np.repeat(first[codes] - end + n, n) + np.arange(n.sum())].tobytes()
+        cuts = (4 * np.concatenate([[0], end])[split.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """`encode` of each text; a null one is empty."""
+        plain = [i for i, t in enumerate(texts) if t and self.PLAIN_TEXT.fullmatch(t) and "<|" not in t]
+        quick = dict(zip(plain, self.encode_plain([texts[i].lower() for i in plain]) if plain else ()))
+        return [quick[i] if i in quick else self.encode(t) if t else b"" for i, t in enumerate(texts)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> ChunkEncoder:
+    """One for all tasks of a worker, so that its caches outlive a task."""
+    return ChunkEncoder(path)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (id, text) in parts of `SLICE` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype="int64") // SLICE)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
 
 def _pieces(path: str, window: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail, ranks = ChunkEncoder(path), np.array([end], "<u4").tobytes(), [0] * (window + 1)
+        enc, tail, ranks = encoder(path), np.array([end], "<u4").tobytes(), [0] * (window + 1)
         part = TaskContext.get().partitionId()
         for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+            for batch in _slices(whole):
                 at, cols, ids = [], [[] for _ in range(5)], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    data = (enc.encode(text) if text else b"") + tail
+                for i, data in enumerate(enc.encode_all(batch.column(1).to_pylist())):
+                    data += tail
                     for s in range(0, len(data), 4 * window):
                         piece = data[s : s + 4 * window]
                         n = len(piece) // 4

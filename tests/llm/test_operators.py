@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +383,32 @@ def test_chunk_encoder_is_exact(text):
     assert enc.encode(text) == enc.ids(text)
 
 
+def test_plain_texts_are_encoded_together():
+    texts = ["", None, " It's\tI'LL  go.\n", "\r\n", "Été ÷× '12ab'' s", "don’t", "<|endoftext|> a", "a\x0bb\x0cc", "a\x1cb", "!!'s x'sy", "ÿß ¿", "it's"]
+    enc = packing.ChunkEncoder(packing.default_tokenizer())
+    want = [enc.ids(t or "") for t in texts]
+    made, make = [], enc.words.make
+    enc.words.make = lambda w: made.append(w) or make(w)
+    for rows in (texts, texts[::-1]):
+        assert enc.encode_all(rows) == (want if rows is texts else want[::-1])
+    assert len(made) == len(set(made)) and "it" in made
+    enc.words.update((str(i), b"") for i in range(packing.CACHE + 1))
+    assert enc.encode_all(texts) == want and len(enc.words) < 100
+
+
+def test_encoder_outlives_a_task():
+    path = packing.default_tokenizer()
+    assert packing.encoder(path) is packing.encoder(path)
+
+
+def test_slices_are_bounded():
+    rows = pa.RecordBatch.from_pydict({"id": range(6), "text": ["x" * 5_000_000, None, "é" * 3_000_000, "", "y" * 9_000_000, "z"]})
+    parts = list(packing._slices(rows))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(6)) and len(parts) == 3
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == rows.column("text").to_pylist()
+    assert sum(p.num_rows for p in packing._slices(rows.slice(0, 0))) == 0
+
+
 def test_secrets(spark):
     key = "aB3" + "x1Yz" * 9 + "Q"
     rows = [
