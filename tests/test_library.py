@@ -225,6 +225,14 @@ def test_normalised_texts_are_searched_once(spark, name):
     assert "split(norm#" not in plan and "regexp_count(norm#" not in plan and "regexp_extract_all(norm#" not in plan
 
 
+@pytest.mark.parametrize("name", ["SIB-16", "SIB-17", "FLT-07"])
+def test_whole_texts_are_copied_once(spark, name):
+    """Line breaks are counted where letters are gone, symbols where blanks are gone too, and only texts with loose ends are trimmed."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(norm#") == 1 and plan.count("regexp_replace(_bare#") == 2
+    assert "StartsWith" in plan and "EndsWith" in plan
+
+
 def test_normalised_to_the_very_end(spark):
     """Only blanks and line feeds are stripped, and only at the very end, not before a last line separator."""
     texts = ["", " \n a\r\n\r\n\r\n\rb\t \tc \n d \n", "a \u0085", "a  ", "\u000b a\r", "a  b\n \n\n c", "\r\r"]
