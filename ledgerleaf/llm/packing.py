@@ -31,10 +31,11 @@ from .common import materialize, table
 
 WINDOW = 4096
 END_ID = 2
-#: Entries of a worker's caches of encoded words, and of chunks of texts that aren't plain; one is emptied when full.
-CACHE, CHUNK_CACHE = 800_000, 200_000
-#: Bytes of text that are encoded together, and at most one text more.
-SLICE = 8 << 20
+#: Entries of a worker's caches of encoded words, and of chunks of texts that aren't plain; one is emptied when full, which
+#: is looked at before each slice. A worker keeps them as long as it lives, so the steps after this one have that much less memory.
+CACHE, CHUNK_CACHE = 200_000, 50_000
+#: Bytes of text that are encoded together, and at most one text more; a worker needs many times as much for that.
+SLICE = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -112,16 +113,19 @@ class ChunkEncoder:
         self.room()
         split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         coded = split.flatten().dictionary_encode()
-        chunks = [*coded.dictionary.to_numpy(zero_copy_only=False), ""]
-        pool = np.frombuffer(b"".join(map(self.words.__getitem__, self.LINES.findall("\n".join(chunks)))), "<u4")
-        marks = np.flatnonzero(pool == self.MARK)  # one after each chunk
-        first = np.concatenate([[0], marks[:-1] + 1])
+        lines = "\n".join([*coded.dictionary.to_numpy(zero_copy_only=False), ""])
+        pool = np.frombuffer(b"".join(map(self.words.__getitem__, self.LINES.findall(lines))), "<u4")
+        marks = np.flatnonzero(pool == self.MARK).astype("int32")  # one after each chunk; an Arrow string array has less than 2**31 bytes
+        first = np.zeros_like(marks)
+        first[1:] = marks[:-1] + 1
         codes = coded.indices.to_numpy()
         n = (marks - first)[codes]
-        end = np.cumsum(n)
-        data = pool[np.repeat(first[codes] - end + n, n) + np.arange(n.sum())].tobytes()
-        cuts = (4 * np.concatenate([[0], end])[split.offsets.to_numpy()]).tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        end = np.cumsum(n, dtype="int32")
+        at = np.repeat(first[codes] - end + n, n)
+        at += np.arange(len(at), dtype="int32")
+        data = pool[at]
+        cuts = np.concatenate([[0], end])[split.offsets.to_numpy()].tolist()
+        return [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """`encode` of each text; a null one is empty."""
@@ -161,7 +165,7 @@ def _pieces(path: str, window: int, end: int, keep_ids: bool):
                             c.append(v)
                         ranks[n] += 1
                         if keep_ids:
-                            ids.append(np.frombuffer(piece, "<u4").astype("int32"))
+                            ids.append(np.frombuffer(piece, "<i4"))
                 out = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, pa.int64()) for c in cols], pa.array([part] * len(at), pa.int32())]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "local_rank", "part"]
                 if keep_ids:

@@ -8,6 +8,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -396,6 +397,30 @@ def test_plain_texts_are_encoded_together():
     assert enc.encode_all(texts) == want and len(enc.words) < 100
 
 
+def test_packing_in_little_memory(monkeypatch):
+    """What a worker takes for 8 MB of texts of many distinct words; 149 MB when they were encoded in one slice."""
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": staticmethod(Task)}))
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(15_000)) for _ in range(80)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": range(80), "text": texts})
+    packing.encoder.cache_clear()
+    path = packing.default_tokenizer()
+    packing.encoder(path)
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in packing._pieces(path, packing.WINDOW, packing.END_ID, True)(iter([rows])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        packing.encoder.cache_clear()
+    assert n == 960 and most < 110e6
+
+
 def test_encoder_outlives_a_task():
     path = packing.default_tokenizer()
     assert packing.encoder(path) is packing.encoder(path)
