@@ -1,25 +1,40 @@
-"""JSON schemas of any depth as tables of nodes: what keeps them from being strict, and how they look when they are.
+"""JSON schemas of any depth as nodes: what keeps them from being strict, and how they look when they are.
 
-A node is (id, at, depth, key, pos, json): `at` holds the steps from the root (`.name` for a member, `[n]` for an entry,
-n padded with zeros so that steps sort in order), `json` the value as text with sorted keys. Rounds of explosion go one
-level down each, until nothing is left to open; rounds of grouping rebuild texts from the deepest level up. A round
-holds one level's rows, and a group the members of one node.
+A node is (id, at, depth, kind, json): `at` holds the steps from the root (`.name` for a member, `[n]` for an entry, n
+padded with zeros so that steps sort in order), `json` the value as text with sorted keys. Spark parses a text and writes
+it in one form; that is walked where it lies, with a stack of what is open. So nothing is written, joined or grouped,
+however deep a schema is, and rows leave in bounded blocks.
 
-Defined results: text that isn't JSON, or names a member twice, has no nodes, and one violation at the root; so has a
-null. Members count in the order of their names, whatever the text's order, and stand in messages as they are, between quotes. Ids must be unique; a null id is an id.
+Defined results: text that isn't JSON as a whole, or names a member twice, has no nodes, and one violation at the root; so
+has a null, and what is nested over 999 deep (Spark's parser takes no more). Members count in the order of their names,
+whatever the text's order, and stand in messages as they are, between quotes. Ids must be unique; a null id is an id.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import bridges as B
 from ..plans.catalog import query
-from ..plans.shared import written
 
 #: How many violations a report spells out. Fixed value.
 REPORTED = 10
+#: Rows, and characters, that a block of output may reach.
+ROWS, CHARS = 20_000, 1 << 23
+
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: Of JSON that Spark wrote, without blanks: the name of a member and what it holds, an entry, or an end. Of a container, the beginning.
+_TOKEN = re.compile(rf'(?:({_STRING}):)?+([\[{{]|{_STRING}|[^"\[\]{{}},:]++)|[\]}}]')
+_KINDS = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
+_ESCAPED = re.compile(r'[\x00-\x1f"\\]')
+_ESCAPES = {i: f"\\u{i:04X}" for i in range(32)} | {ord(c): "\\" + e for c, e in zip('\b\t\n\f\r"\\', 'btnfr"\\', strict=True)}
+_ARROW = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
 def _kind(node: Column) -> Column:
@@ -28,28 +43,73 @@ def _kind(node: Column) -> Column:
     return F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").otherwise("number")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """id, text: JSON as Spark writes it, names sorted; null if `json` isn't JSON."""
+    # the parser stops where a value ends, whatever comes then; the number behind it must come next
+    rows = B.once(docs, mark=F.xxhash64("json").cast("string"))
+    rows = B.once(rows, whole=F.try_parse_json(F.concat(F.lit("["), "json", F.lit(","), "mark", F.lit("]"))))
+    shown = F.to_json("whole")
+    return B.once(rows, shown=F.when(F.try_variant_get("whole", "$[1]", "bigint").cast("string") == F.col("mark"), shown)).select("id", F.expr("substring(shown, 2, length(shown) - length(mark) - 3)").alias("text"))
+
+
+def _each(docs: DataFrame, id_col: str, json_col: str, rows: Callable[..., Iterator[int]], columns: dict[str, str]) -> DataFrame:
+    """id, `columns`: what `rows` puts into lists for each text (`_texts`); it yields how many characters a row has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, of, size, found = batch.column(0), [], 0, [[] for _ in columns]
+
+            def block() -> pa.RecordBatch:
+                made = [ids.take(pa.array(of, pa.int32())), *[pa.array(c, _ARROW[t]) for c, t in zip(found, columns.values(), strict=True)]]
+                for c in (of, *found):
+                    c.clear()
+                return pa.RecordBatch.from_arrays(made, ["id", *columns])
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for chars in rows(text, *found):
+                    of.append(i)
+                    size += chars
+                    if size >= CHARS or len(of) >= ROWS:
+                        yield block()
+                        size = 0
+            if of:
+                yield block()
+
+    # dealt anew: a few small files hold very many texts
+    texts = docs.select(F.col(id_col).alias("id"), F.col(json_col).alias("json"))
+    texts = _texts(texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id", "json")))
+    return texts.mapInArrow(run, ", ".join([f"id {docs.schema[id_col].dataType.simpleString()}", *[f"{c} {t}" for c, t in columns.items()]]))
+
+
+def _nodes(text: str | None, steps: list, kinds: list, texts: list) -> Iterator[int]:
+    """Each node of a text, a container after what it holds."""
+    at, far, pos, up = (), 0, None, []
+    for m in _TOKEN.finditer(text or ""):
+        key, value = m.groups()
+        here, long, start = at, far, m.start(2)
+        if value is None:  # an end
+            (at, far, pos), kind, start = up.pop()
+        else:
+            if key is not None:
+                step = "." + (json.loads(key) if "\\" in key else key[1:-1])
+                here, long = (*at, step), far + len(step)
+            elif pos is not None:
+                here, long, pos = (*at, f"[{pos:010d}]"), far + 12, pos + 1
+            kind = _KINDS.get(value[0], "number")
+            if value == "{" or value == "[":
+                up.append(((at, far, pos), kind, start))
+                at, far, pos = here, long, 0 if value == "[" else None
+                continue
+        steps.append(here)
+        kinds.append(kind)
+        texts.append(text[start : m.end()])
+        yield long + m.end() - start
+
+
 def nodes(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """All nodes of the JSON texts, with their kind."""
-    # dealt anew: a few small files hold very many texts, and the rounds would stay on the tasks that read them
-    texts = docs.select(F.col(id_col).alias("id"), F.col(json_col).alias("json")).repartition(F.xxhash64("id", "json"))
-    level = B.once(texts, node=F.try_parse_json("json")).where("node is not null")
-    level = level.select("id", F.array().cast("array<string>").alias("at"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("pos"), "node")
-    out, depth = None, 0
-    while True:
-        shown = level.select("id", "at", F.lit(depth).alias("depth"), "key", "pos", _kind(F.col("node")).alias("kind"), F.to_json("node").alias("json"))
-        now = written(shown, "nodes")
-        out = now if out is None else out.unionByName(now)
-        wide = now.where("kind in ('object', 'array') and json not in ('{}', '[]')")
-        if wide.isEmpty():
-            return out
-        # text and not the variant is written, so each round parses the level that it opens
-        opened = wide.select("id", "at", "kind", F.parse_json("json").alias("node"))
-        members = opened.where("kind = 'object'").select("id", "at", F.explode(F.expr("cast(node as map<string, variant>)")).alias("key", "node"))
-        entries = opened.where("kind = 'array'").select("id", "at", F.posexplode(F.expr("cast(node as array<variant>)")).alias("pos", "node"))
-        none = F.lit(None)
-        members = members.select("id", F.array_append("at", F.concat(F.lit("."), "key")).alias("at"), "key", none.cast("int").alias("pos"), "node")
-        entries = entries.select("id", F.array_append("at", F.concat(F.lit("["), F.lpad(F.col("pos").cast("string"), 10, "0"), F.lit("]"))).alias("at"), none.cast("string").alias("key"), "pos", "node")
-        level, depth = members.unionByName(entries), depth + 1
+    found = _each(docs, id_col, json_col, _nodes, {"at": "array<string>", "kind": "string", "json": "string"})
+    return found.select("id", "at", F.size("at").alias("depth"), "kind", "json")
 
 
 def shown(at: Column) -> Column:
@@ -99,8 +159,8 @@ def violations(docs: DataFrame, id_col: str, json_col: str, found: DataFrame | N
         F.when(has & (F.size(extra) > 0), F.concat(path, F.lit(": required has unknown keys "), _names(extra), F.lit("."))),
     ]
     each = o.select("id", "at", F.posexplode(F.array(*rules)).alias("rule", "message")).where("message is not null")
-    parsed = F.try_parse_json(json_col)
-    bare = docs.where(F.coalesce(_kind(parsed) != "object", F.lit(True))).select(F.col(id_col).alias("id"), F.array().cast("array<string>").alias("at"), F.lit(0).alias("rule"), F.lit("Root schema must have type='object'.").alias("message"))
+    texts = _texts(docs.select(c(id_col).alias("id"), c(json_col).alias("json")))
+    bare = texts.where(F.coalesce(~c("text").startswith("{"), F.lit(True))).select("id", F.array().cast("array<string>").alias("at"), F.lit(0).alias("rule"), F.lit("Root schema must have type='object'.").alias("message"))
     return each.unionByName(bare)
 
 
@@ -112,13 +172,76 @@ def report(found: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id")).join(each.select("id", F.size("all").alias("n"), told.alias("message")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "message")
 
 
-def _quoted(text: Column) -> Column:
-    """A string as JSON."""
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
-
-
-PARTS = "array<struct<pos:int,key:string,json:string,was:string>>"
+class _Raw(str):
+    """JSON that stands as it is: numbers."""
+
+
+#: Numbers keep the form that Spark gave them.
+_READER = json.JSONDecoder(parse_int=_Raw, parse_float=_Raw)
+
+
+def _scalar(v: object) -> str:
+    if type(v) is str:
+        return f'"{v.translate(_ESCAPES) if _ESCAPED.search(v) else v}"'
+    return v if type(v) is _Raw else "null" if v is None else "true" if v else "false"
+
+
+def _strictly(text: str) -> object:
+    """What a text holds, rewritten."""
+    todo = [root := _READER.decode(text)]
+    while todo:
+        v = todo.pop()
+        if type(v) is dict:
+            if "$ref" in v:  # what stands under the name of a reference stays as it is
+                ref = v["$ref"]
+                v.clear()
+                v["$ref"] = ref
+                continue
+            if type(p := v.get("properties")) is dict and p:
+                v["required"], v["additionalProperties"] = sorted(p), False
+            todo += [x for x in v.values() if type(x) is dict or type(x) is list]
+        elif type(v) is list:
+            todo += [x for x in v if type(x) is dict or type(x) is list]
+    return root
+
+
+def _written(text: str | None, texts: list) -> Iterator[int]:
+    """The rewritten text, names sorted; a null stays."""
+    out, todo = [], [] if text is None else [_strictly(text)]
+    while todo:
+        v = todo.pop()
+        if type(v) is dict:
+            todo.append(_Raw("}"))
+            for k in sorted(v, reverse=True):
+                todo += v[k], _Raw(f"{_scalar(k)}:"), _Raw(",")
+            todo[-1] = _Raw("{") if v else _Raw("{}")
+        elif type(v) is list:
+            todo.append(_Raw("]"))
+            for x in reversed(v):
+                todo += x, _Raw(",")
+            todo[-1] = _Raw("[") if v else _Raw("[]")
+        else:
+            out.append(_scalar(v))
+    texts.append("".join(out) if text is not None else None)
+    yield len(text or "")
+
+
+def _places(text: str | None, places: list, values: list) -> Iterator[int]:
+    """Each node of the rewritten text."""
+    todo = [] if text is None else [("", _strictly(text))]
+    while todo:
+        at, v = todo.pop()
+        if type(v) is dict:
+            value = "object"
+            todo += [(f"{at}.{k}", x) for k, x in v.items()]
+        elif type(v) is list:
+            value = "array"
+            todo += [(f"{at}[{i:010d}]", x) for i, x in enumerate(v)]
+        else:
+            value = _scalar(v)
+        places.append(at)
+        values.append(value)
+        yield len(at) + len(value)
 
 
 def strict(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -126,36 +249,12 @@ def strict(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
     A reference keeps nothing beside it. Texts that aren't JSON give null.
     """
-    found = nodes(docs, id_col, json_col)
-    rules = _strict(found).select("id", "at", F.array_contains("names", "$ref").alias("ref"), F.when(F.size("properties") > 0, F.array_sort("properties")).alias("properties"))
-    # written once: each level reads its own nodes, and the rules aren't made again for every one
-    parent = written(found.select("id", "at", "depth", "key", "pos", "kind", "json").join(rules, ["id", "at"], "left"), "rules")
-    levels = parent.agg(F.max("depth")).first()[0]
-    below = None
-    for depth in range(-1 if levels is None else levels, -1, -1):
-        here = parent.where(F.col("depth") == depth)
-        if below is not None:
-            up = below.groupBy("id", F.slice("at", 1, F.lit(depth)).alias("at")).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "json", "was"))).alias("parts"))
-            here = here.join(up, ["id", "at"], "left")
-        else:
-            here = here.withColumn("parts", F.lit(None).cast(PARTS))
-        none = F.array().cast("array<struct<key:string,json:string>>")
-        parts = F.coalesce("parts", F.array().cast(PARTS))
-        own = F.transform(parts, lambda x: F.struct(x["key"].alias("key"), x["json"].alias("json")))
-        # what stands under the name of a reference stays as it is
-        alone = F.transform(F.filter(parts, lambda x: x["key"] == "$ref"), lambda x: F.struct(x["key"].alias("key"), x["was"].alias("json")))
-        rest = F.filter(own, lambda x: F.col("properties").isNull() | ~x["key"].isin("required", "additionalProperties"))
-        listed = F.concat(F.lit("["), F.array_join(F.transform("properties", _quoted), ","), F.lit("]"))
-        added = F.when(F.col("properties").isNotNull(), F.array(F.struct(F.lit("additionalProperties").alias("key"), F.lit("false").alias("json")), F.struct(F.lit("required").alias("key"), listed.alias("json")))).otherwise(none)
-        members = F.when(F.col("ref"), alone).otherwise(F.array_sort(F.concat(rest, added)))
-        text = (
-            F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.array_join(F.transform(members, lambda x: F.concat(_quoted(x["key"]), F.lit(":"), x["json"])), ","), F.lit("}")))
-            .when(F.col("kind") == "array", F.concat(F.lit("["), F.array_join(F.transform(own, lambda x: x["json"]), ","), F.lit("]")))
-            .otherwise(F.col("json"))
-        )
-        below = written(here.select("id", "at", "key", "pos", text.alias("json"), F.col("json").alias("was")), "strict")
-    made = docs.sparkSession.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, json string") if below is None else below.select("id", "json")
-    return docs.select(F.col(id_col).alias("id")).join(made, "id", "left")
+    return _each(docs, id_col, json_col, _written, {"json": "string"})
+
+
+def strict_places(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """id, place, value: all nodes of the rewritten schemas (`strict`), steps joined; value is the kind of a container, else the text."""
+    return _each(docs, id_col, json_col, _places, {"place": "string", "value": "string"})
 
 
 # ---- schemas made from events: deeper, and wrong in more ways, as the id says
@@ -212,5 +311,5 @@ UNION ALL SELECT id, array_to_string(way, '') || '.required', 'array' FROM more
 UNION ALL SELECT id, array_to_string(way, '') || '.required[' || lpad(CAST(i - 1 AS VARCHAR), 10, '0') || ']', CAST(to_json(props[i]) AS VARCHAR) FROM more, unnest(range(1, len(props) + 1)) r(i)""")
 def jsn08(spark, sf_dir):
     """All nodes of the rewritten schemas."""
-    found = nodes(strict(made(spark, sf_dir), "event_id", "schema"), "id", "json")
-    return found.select(F.col("id").alias("event_id"), F.array_join("at", "").alias("place"), F.when(F.col("kind").isin("object", "array"), F.col("kind")).otherwise(F.col("json")).alias("value"))
+    found = strict_places(made(spark, sf_dir), "event_id", "schema")
+    return found.select(F.col("id").alias("event_id"), "place", "value")

@@ -114,3 +114,44 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "id int, schema string")
     assert schemas.violations(docs, "id", "schema").count() == 0 and schemas.strict(docs, "id", "schema").count() == 0
     assert schemas.report(schemas.violations(docs, "id", "schema"), docs, "id").select(F.max("n")).first()[0] is None
+
+
+def placed(v, at=""):
+    """Every node of a value with its place, as JSN-08 gives them."""
+    if isinstance(v, dict):
+        return [(at, "object"), *[x for k in v for x in placed(v[k], f"{at}.{k}")]]
+    if isinstance(v, list):
+        return [(at, "array"), *[x for i, e in enumerate(v) for x in placed(e, f"{at}[{i:010d}]")]]
+    return [(at, json.dumps(v, ensure_ascii=False))]
+
+
+def test_places_of_the_rewritten_schema(spark):
+    rng = random.Random(5)
+    deep = '{"properties":{"a":[' * 300 + '{"$ref":{"properties":{"x":1}},"title":"t"}' + '],"b":0}}' * 300
+    wide = json.dumps({"items": list(range(45_000)), "properties": {str(i): {"properties": {"é😀": "\x1f\n\"\\/"}} for i in range(3)}})
+    odd = json.dumps({"properties": {"": {}, 'q"': [True, None], "tab\t": " ", "a.b": -7, "[0]": [[], {}]}, "required": 5})
+    texts = [json.dumps(made(rng)) for _ in range(60)] + [deep, wide, odd, "null", '"s"', "{}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, schema string")
+    got = {}
+    for r in schemas.strict_places(docs, "doc", "schema").collect():
+        got.setdefault(r.id, []).append((r.place, r.value.replace("\\u001F", "\\u001f")))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(placed(rewritten(json.loads(t)))) for i, t in enumerate(texts)}
+
+
+def test_text_after_the_schema_breaks_it(spark):
+    texts = ['{"type":"object"} x', '{"type":"object"}}', "[1]]", "1,2", "1],[2", '{"type":"object"},{}', ' {"type":"object"} \n']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, schema string")
+    assert {r.id for r in schemas.violations(docs, "doc", "schema").collect()} == set(range(6))
+    assert {r.id: r.json for r in schemas.strict(docs, "doc", "schema").collect()} == {**dict.fromkeys(range(6)), 6: '{"type":"object"}'}
+    assert {r.id for r in schemas.strict_places(docs, "doc", "schema").collect()} == {6}
+
+
+def test_no_rounds_by_depth(spark):
+    """JSN-08 is one plan, however deep the schemas are: making it runs no jobs but that for the table's columns, and it has one exchange."""
+    spark.sparkContext.setJobGroup("schemas", "schemas")
+    try:
+        found = schemas.jsn08(spark, "/root/testdata/sf0.001")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("schemas")) <= 1
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
