@@ -1,9 +1,10 @@
 """JSON schemas of any depth as nodes: what keeps them from being strict, and how they look when they are.
 
 A node is (id, at, depth, kind, json): `at` holds the steps from the root (`.name` for a member, `[n]` for an entry, n
-padded with zeros so that steps sort in order), `json` the value as text with sorted keys. Spark parses a text and writes
-it in one form; that is walked where it lies, with a stack of what is open. So nothing is written, joined or grouped,
-however deep a schema is, and rows leave in bounded blocks.
+padded with zeros so that steps sort in order), `json` the value as text with sorted keys. Spark's parser says
+which texts are JSON; these are read and walked where they lie, with a stack of what is open. So nothing is written, joined
+or grouped, however deep a schema is, and rows leave in bounded blocks. Numbers take the form that Spark's variants give
+them, doubles the fewest digits that tell them apart.
 
 Defined results: text that isn't JSON as a whole, or names a member twice, has no nodes, and one violation at the root; so
 has a null, and what is nested over 999 deep (Spark's parser takes no more). Members count in the order of their names,
@@ -15,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,11 +31,12 @@ REPORTED = 10
 ROWS, CHARS = 20_000, 1 << 23
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-#: Of JSON that Spark wrote, without blanks: the name of a member and what it holds, an entry, or an end. Of a container, the beginning.
+#: Of JSON without blanks: the name of a member and what it holds, an entry, or an end. Of a container, the beginning.
 _TOKEN = re.compile(rf'(?:({_STRING}):)?+([\[{{]|{_STRING}|[^"\[\]{{}},:]++)|[\]}}]')
 _KINDS = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
 _ESCAPED = re.compile(r'[\x00-\x1f"\\]')
 _ESCAPES = {i: f"\\u{i:04X}" for i in range(32)} | {ord(c): "\\" + e for c, e in zip('\b\t\n\f\r"\\', 'btnfr"\\', strict=True)}
+_LONE = re.compile(r"\\(?:u[dD][89abAB]..\\u[dD][c-fC-F]|(u[dD][89a-fA-F]..)|.)", re.S)
 _ARROW = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
@@ -44,12 +47,11 @@ def _kind(node: Column) -> Column:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """id, text: JSON as Spark writes it, names sorted; null if `json` isn't JSON."""
+    """id, text: `json`; null if it isn't JSON."""
     # the parser stops where a value ends, whatever comes then; the number behind it must come next
-    rows = B.once(docs, mark=F.xxhash64("json").cast("string"))
-    rows = B.once(rows, whole=F.try_parse_json(F.concat(F.lit("["), "json", F.lit(","), "mark", F.lit("]"))))
-    shown = F.to_json("whole")
-    return B.once(rows, shown=F.when(F.try_variant_get("whole", "$[1]", "bigint").cast("string") == F.col("mark"), shown)).select("id", F.expr("substring(shown, 2, length(shown) - length(mark) - 3)").alias("text"))
+    rows = B.once(docs, mark=F.xxhash64("json"))
+    whole = F.try_parse_json(F.concat(F.lit("["), "json", F.lit(","), F.col("mark").cast("string"), F.lit("]")))
+    return rows.select("id", F.when(F.try_variant_get(whole, "$[1]", "bigint") == F.col("mark"), F.make_valid_utf8("json")).alias("text"))
 
 
 def _each(docs: DataFrame, id_col: str, json_col: str, rows: Callable[..., Iterator[int]], columns: dict[str, str]) -> DataFrame:
@@ -81,10 +83,69 @@ def _each(docs: DataFrame, id_col: str, json_col: str, rows: Callable[..., Itera
     return texts.mapInArrow(run, ", ".join([f"id {docs.schema[id_col].dataType.simpleString()}", *[f"{c} {t}" for c, t in columns.items()]]))
 
 
+class _Raw(str):
+    """JSON that stands as it is."""
+
+
+def _number(t: str) -> str:
+    """A number as Spark writes it: with up to 38 digits and no exponent as it is, but for zeros at the end; others as doubles."""
+    if "e" not in t and "E" not in t:
+        _, digits, exponent = (d := Decimal(t)).as_tuple()
+        if len(digits) <= 38 and exponent >= -38:
+            shown = f"{d:f}"
+            shown = shown.rstrip("0").rstrip(".") if "." in shown else shown
+            return _Raw("0" if shown == "-0" else shown)
+    f = float(t)
+    if f in (float("inf"), float("-inf")):
+        return "Infinity" if f > 0 else "-Infinity"  # a string
+    if f == 0 or 1e-3 <= abs(f) < 1e7:
+        return _Raw(repr(f))
+    sign, digits, exponent = Decimal(repr(f)).as_tuple()
+    shown = "".join(map(str, digits))
+    return _Raw(f"{'-' * sign}{shown[0]}.{shown[1:].rstrip('0') or '0'}E{exponent + len(shown) - 1}")
+
+
+_READER = json.JSONDecoder(parse_int=lambda t: _Raw(t) if len(t) < 38 and t != "-0" else _number(t), parse_float=_number)
+
+
+def _read(text: str) -> object:
+    """What a text holds. Half a pair of surrogates is a question mark."""
+    if "\\ud" in text or "\\uD" in text:
+        text = _LONE.sub(lambda m: "?" if m[1] else m[0], text)
+    return _READER.decode(text)
+
+
+def _scalar(v: object) -> str:
+    if type(v) is str:
+        return f'"{v.translate(_ESCAPES) if _ESCAPED.search(v) else v}"'
+    return v if type(v) is _Raw else "null" if v is None else "true" if v else "false"
+
+
+def _shown(root: object) -> str:
+    """As JSON without blanks, names sorted."""
+    out, todo = [], [root]
+    while todo:
+        v = todo.pop()
+        if type(v) is dict:
+            todo.append(_Raw("}"))
+            for k in sorted(v, reverse=True):
+                todo += v[k], _Raw(f"{_scalar(k)}:"), _Raw(",")
+            todo[-1] = _Raw("{") if v else _Raw("{}")
+        elif type(v) is list:
+            todo.append(_Raw("]"))
+            for x in reversed(v):
+                todo += x, _Raw(",")
+            todo[-1] = _Raw("[") if v else _Raw("[]")
+        else:
+            out.append(_scalar(v))
+    return "".join(out)
+
+
 def _nodes(text: str | None, steps: list, kinds: list, texts: list) -> Iterator[int]:
     """Each node of a text, a container after what it holds."""
     at, far, pos, up = (), 0, None, []
-    for m in _TOKEN.finditer(text or ""):
+    text = "" if text is None else _shown(_read(text))
+    for m in _TOKEN.finditer(text):
         key, value = m.groups()
         here, long, start = at, far, m.start(2)
         if value is None:  # an end
@@ -160,7 +221,7 @@ def violations(docs: DataFrame, id_col: str, json_col: str, found: DataFrame | N
     ]
     each = o.select("id", "at", F.posexplode(F.array(*rules)).alias("rule", "message")).where("message is not null")
     texts = _texts(docs.select(c(id_col).alias("id"), c(json_col).alias("json")))
-    bare = texts.where(F.coalesce(~c("text").startswith("{"), F.lit(True))).select("id", F.array().cast("array<string>").alias("at"), F.lit(0).alias("rule"), F.lit("Root schema must have type='object'.").alias("message"))
+    bare = texts.where(F.coalesce(~F.ltrim("text", F.lit(" \t\n\r")).startswith("{"), F.lit(True))).select("id", F.array().cast("array<string>").alias("at"), F.lit(0).alias("rule"), F.lit("Root schema must have type='object'.").alias("message"))
     return each.unionByName(bare)
 
 
@@ -172,23 +233,9 @@ def report(found: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id")).join(each.select("id", F.size("all").alias("n"), told.alias("message")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "message")
 
 
-class _Raw(str):
-    """JSON that stands as it is: numbers."""
-
-
-#: Numbers keep the form that Spark gave them.
-_READER = json.JSONDecoder(parse_int=_Raw, parse_float=_Raw)
-
-
-def _scalar(v: object) -> str:
-    if type(v) is str:
-        return f'"{v.translate(_ESCAPES) if _ESCAPED.search(v) else v}"'
-    return v if type(v) is _Raw else "null" if v is None else "true" if v else "false"
-
-
-def _strictly(text: str) -> object:
-    """What a text holds, rewritten."""
-    todo = [root := _READER.decode(text)]
+def _strictly(root: object) -> object:
+    """`root` itself, rewritten."""
+    todo = [root]
     while todo:
         v = todo.pop()
         if type(v) is dict:
@@ -206,29 +253,14 @@ def _strictly(text: str) -> object:
 
 
 def _written(text: str | None, texts: list) -> Iterator[int]:
-    """The rewritten text, names sorted; a null stays."""
-    out, todo = [], [] if text is None else [_strictly(text)]
-    while todo:
-        v = todo.pop()
-        if type(v) is dict:
-            todo.append(_Raw("}"))
-            for k in sorted(v, reverse=True):
-                todo += v[k], _Raw(f"{_scalar(k)}:"), _Raw(",")
-            todo[-1] = _Raw("{") if v else _Raw("{}")
-        elif type(v) is list:
-            todo.append(_Raw("]"))
-            for x in reversed(v):
-                todo += x, _Raw(",")
-            todo[-1] = _Raw("[") if v else _Raw("[]")
-        else:
-            out.append(_scalar(v))
-    texts.append("".join(out) if text is not None else None)
+    """The rewritten text; a null stays."""
+    texts.append(None if text is None else _shown(_strictly(_read(text))))
     yield len(text or "")
 
 
 def _places(text: str | None, places: list, values: list) -> Iterator[int]:
     """Each node of the rewritten text."""
-    todo = [] if text is None else [("", _strictly(text))]
+    todo = [] if text is None else [("", _strictly(_read(text)))]
     while todo:
         at, v = todo.pop()
         if type(v) is dict:

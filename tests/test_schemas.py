@@ -155,3 +155,11 @@ def test_no_rounds_by_depth(spark):
         assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_numbers_and_strings_as_spark_writes_them(spark):
+    text = r'[1.50,-0,100.0,1e2,-12.340e-5,0.00100,12345678901234567890123,1E999,"😀\ud83dx\\ud83d","\u0000\u001f\t\/"]'
+    docs = spark.createDataFrame([(1, text)], "id int, schema string")
+    want = docs.select(F.to_json(F.parse_json("schema"))).first()[0]
+    assert schemas.strict(docs, "id", "schema").first().json == want
+    assert "[" + ",".join(r.value for r in schemas.strict_places(docs, "id", "schema").where("place <> ''").orderBy("place").collect()) + "]" == want
